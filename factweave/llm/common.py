@@ -65,7 +65,7 @@ def flag_keys(big: DataFrame, keys: DataFrame, cols: list[str], key_cols: list[s
     placed = big.withColumn("_p", _position([F.col(c) for c in cols], bits) + 1)
     placed = placed.withColumn("_bucket", F.bitmap_bucket_number("_p")).withColumn("_bit", F.bitmap_bit_position("_p"))
     byte = F.conv(F.hex(F.substring("_map", (F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hit = F.coalesce(F.shiftrightunsigned(byte, F.pmod("_bit", F.lit(8)).cast("int")).bitwiseAND(1) == 1, F.lit(False))
+    hit = F.coalesce(F.call_function("shiftright", byte, F.pmod("_bit", F.lit(8)).cast("int")).bitwiseAND(1) == 1, F.lit(False))
     return placed.join(F.broadcast(bitmap), "_bucket", "left").withColumn("_hit", hit).drop("_bucket", "_bit", "_p", "_map")
 
 
@@ -101,3 +101,8 @@ def list_column(values: np.ndarray) -> pa.Array:
     """A list column from a matrix of longs."""
     rows, width = values.shape
     return pa.ListArray.from_arrays(pa.array(np.arange(0, rows * width + 1, width, dtype=np.int32) if width else np.zeros(rows + 1, np.int32)), pa.array(np.ascontiguousarray(values).view(np.int64).reshape(-1)))
+
+
+def field_list(df: DataFrame, cols: list[str]) -> list[str]:
+    """Schema entries for columns that a Python function passes on."""
+    return [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema if f.name in cols]

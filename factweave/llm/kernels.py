@@ -85,7 +85,8 @@ def shingles(hashes: np.ndarray, before: np.ndarray, k: int) -> tuple[np.ndarray
     whole = mix(whole)
     for d in np.flatnonzero((counts > 0) & (counts < k)):
         own = hashes[before[d] : before[d + 1]]
-        whole[before[d]] = mix(np.array([sum(int((h ^ c[t]) * (c[t] | np.uint64(1))) for t, h in enumerate(own)) & (2**64 - 1)], np.uint64) + np.uint64(len(own)))[0]
+        part = c[: len(own)]
+        whole[before[d]] = mix(np.sum((own ^ part) * (part | np.uint64(1)), keepdims=True) + np.uint64(len(own)))[0]
     made = np.where(counts >= k, counts - k + 1, np.minimum(counts, 1))
     after = np.concatenate([[0], np.cumsum(made)])
     at = np.arange(after[-1]) - np.repeat(after[:-1], made) + np.repeat(before[:-1], made)

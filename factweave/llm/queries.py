@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, media, mixing
+from . import exact_dedup, html_text, media, mixing, near_dedup
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op5_media_columns": media.op5_media_columns,
     "op6_source_mix": mixing.op6_source_mix,
+    "op7_near_dedup": near_dedup.op7_near_dedup,
     "op9_html_text": html_text.op9_html_text,
 }
 SQL = {
