@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, media, mixing, near_dedup, packing
+from . import exact_dedup, html_text, media, mixing, near_dedup, packing, substrings
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_media_columns": media.op5_media_columns,
     "op6_source_mix": mixing.op6_source_mix,
     "op7_near_dedup": near_dedup.op7_near_dedup,
+    "op8_substring_dedup": substrings.op8_substring_dedup,
     "op9_html_text": html_text.op9_html_text,
 }
 SQL = {
