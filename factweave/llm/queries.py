@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, media, mixing, near_dedup, packing, substrings
+from . import exact_dedup, html_text, language, media, mixing, near_dedup, packing, quality, substrings
 
 QUERIES = {
+    "op1_language_id": language.op1_language_id,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_packing": packing.op3_packing,
+    "op4_quality": quality.op4_quality,
     "op5_media_columns": media.op5_media_columns,
     "op6_source_mix": mixing.op6_source_mix,
     "op7_near_dedup": near_dedup.op7_near_dedup,
