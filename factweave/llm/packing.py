@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import array
+import os
+import re
 import zlib
 
 import numpy as np
@@ -16,8 +19,8 @@ CAPACITY = 2048
 LARGE = 1 / 8
 #: Groups of equal cardinality that the large lengths are rounded up within.
 GROUPS = 40
-#: Words whose ids a Python worker remembers.
-REMEMBERED = 400_000
+#: Words, and parts of words, whose ids a Python worker remembers at most.
+REMEMBERED = 800_000
 #: Rows that one rank window holds, on average at most, for one length.
 BLOCK_ROWS = 200_000
 
@@ -25,57 +28,75 @@ BLOCK_ROWS = 200_000
 # --- tokens ------------------------------------------------------------------------------------
 
 
-class _Ids:
-    """Ids of whole texts. A text's ids are those of its runs between ASCII white space, which
-    neither the normaliser nor the pre-tokeniser of the vocabulary looks across."""
+#: After lower-casing: runs of letters, single digits, and the rest, for words of ASCII and Latin-1.
+_PART = re.compile("[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
+#: Words with these take the tokenizer's own way: apostrophes, special tokens, controls, other scripts.
+_OTHER = re.compile("['<\x00-\x20\x7f-\xa0\u0100-\U0010ffff]")
+#: The printable form that byte-level vocabularies give each byte; the others follow from U+0100 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: b for b in _PRINTED} | {b: 256 + n for n, b in enumerate(x for x in range(256) if x not in _PRINTED)}
+
+
+class Ids(dict):
+    """Ids of runs between ASCII white space, as bytes of 32-bit numbers.
+
+    Neither the normaliser nor the pre-tokeniser of the vocabulary looks across white space, so a
+    text's ids are those of its runs. Runs and their parts are remembered up to a bound.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.whole = Tokenizer.from_file(path)
+        self.model = self.whole.model
+        self.parts: dict[str, bytes] = {}
 
-    def texts(self, texts: list[bytes]):
-        parts = [t.split() for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list({w for p in parts for w in p if w not in self.known})
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            for w, e in zip(some, self.model.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        for p in parts:
-            yield b"".join(map(self.known.__getitem__, p))
+    def part(self, s: str) -> bytes:
+        found = array.array("I", [t.id for t in self.model.tokenize(s if s.isascii() else s.encode().decode("latin-1").translate(_BYTES))]).tobytes()
+        self.parts[s] = found
+        return found
+
+    def __missing__(self, word: bytes) -> bytes:
+        s = word.decode()
+        if _OTHER.search(s):
+            found = array.array("I", self.whole.encode(s, add_special_tokens=False).ids).tobytes()
+        else:
+            parts = self.parts
+            found = b"".join([parts.get(p) or self.part(p) for p in _PART.findall(s.lower())])
+        self[word] = found
+        return found
+
+    def text(self, raw: bytes) -> bytes:
+        if len(self) > REMEMBERED:
+            self.clear()
+        if len(self.parts) > REMEMBERED:
+            self.parts.clear()
+        return b"".join(map(self.__getitem__, raw.split()))
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = 0, text_columns: list[str] = ("doc_id",)) -> DataFrame:
     """Pieces of at most ``capacity`` ids of each document, the id ``end`` closing each document."""
-    import os
-
     keep = list(text_columns)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids = _Ids(tokenizer)
+        ids = Ids(tokenizer)
         tail = np.array([end], "<u4").tobytes()
         step = 4 * capacity
         for b in batches:
             data, offs = utf8(b.column("text"))
             raw = data.tobytes()
             row, piece, start, length, crc = [], [], [], [], []
-            n = b.num_rows
-            for i in range(0, n, 256):
-                texts = [raw[offs[d] : offs[d + 1]] for d in range(i, min(n, i + 256))]
-                for d, made in enumerate(ids.texts(texts), i):
-                    made += tail
-                    for p, at in enumerate(range(0, len(made), step)):
-                        part = made[at : at + step]
-                        row.append(d)
-                        piece.append(p)
-                        start.append(at // 4)
-                        length.append(len(part) // 4)
-                        crc.append(zlib.crc32(part))
+            for d in range(b.num_rows):
+                made = ids.text(raw[offs[d] : offs[d + 1]]) + tail
+                for p, at in enumerate(range(0, len(made), step)):
+                    part = made[at : at + step]
+                    row.append(d)
+                    piece.append(p)
+                    start.append(at // 4)
+                    length.append(len(part) // 4)
+                    crc.append(zlib.crc32(part))
             at = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays([*[b.column(c).take(at) for c in keep], pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=[*keep, "piece", "start", "length", "ids_crc32"])
 
