@@ -53,10 +53,14 @@ def range_hash(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
 
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words of all texts, and the number of words before each text."""
-    if not len(data):
+    return word_edges(~SPACE[data], offs)
+
+
+def word_edges(solid: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same from marks of what is not white space."""
+    if not len(solid):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-    solid = ~SPACE[data]
-    edge = np.zeros(len(data) + 1, bool)
+    edge = np.zeros(len(solid) + 1, bool)
     edge[offs] = True
     first, last = solid.copy(), solid.copy()
     first[1:] &= ~solid[:-1] | edge[1:-1]
@@ -65,8 +69,25 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int = 0) -> np.ndarray:
-    return range_hash(_BYTE[family][data], starts, ends)
+def one_space(data: np.ndarray, solid: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words with a space after each, and where each word starts there (and the end)."""
+    size = ends - starts
+    at = np.concatenate([[0], np.cumsum(size + 1)])
+    out = np.full(int(at[-1]), 32, data.dtype)
+    out[np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)] = data[solid]
+    return out, at
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int = 0, limit: int = 1 << 20) -> np.ndarray:
+    """Hashes of words in ascending order, about ``limit`` bytes at a time."""
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        a = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, a + limit, "right")))
+        out[i:j] = range_hash(_BYTE[family][data[a : ends[j - 1]]], starts[i:j] - a, ends[i:j] - a)
+        i = j
+    return out
 
 
 def shingles(hashes: np.ndarray, before: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

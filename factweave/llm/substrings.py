@@ -17,7 +17,7 @@ MINIMISER = 8
 #: Windows that one super-k-mer holds at most.
 RUN = 64
 #: Bytes of packed strings per bucket, and of text that a task packs at a time.
-BUCKET_BYTES, FLUSH_BYTES = 24 << 20, 16 << 20
+BUCKET_BYTES, FLUSH_BYTES = 12 << 20, 16 << 20
 
 
 def _sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
@@ -30,16 +30,6 @@ def _sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def _one_space(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The words, a space after each, and where each word starts."""
-    size = ends - starts
-    at = np.concatenate([[0], np.cumsum(size + 1)])
-    out = np.full(int(at[-1]), 32, np.uint8)
-    solid = np.flatnonzero(~K.SPACE[data])
-    out[np.arange(len(solid)) + np.repeat(np.arange(len(size)), size)] = data[solid]
-    return out, at
-
-
 class Runs:
     """Super-k-mers of some texts: text, first word in it, windows, minimiser, two hashes, and the packed bytes."""
 
@@ -76,7 +66,7 @@ class Runs:
         first = at[begin]
         self.first = first - before[self.text]
         self.minimum = value[begin]
-        joined, word_at = _one_space(data, starts, ends)
+        joined, word_at = K.one_space(data, ~K.SPACE[data], starts, ends)
         self.a, self.b = word_at[first], word_at[first + self.windows + window - 1] - 1
         self.h0, self.h1 = (K.range_hash(K._BYTE[f][joined], self.a, self.b) for f in (0, 1))
         self.packed = joined.tobytes()
@@ -235,8 +225,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIM
             data, offs = utf8(batch.column("text"))
             removed = batch.column("spans")
             for i, j in spans(offs):
-                starts, ends, before = K.words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                joined, at = _one_space(data[offs[i] : offs[j]], starts, ends)
+                own = data[offs[i] : offs[j]]
+                starts, ends, before = K.words(own, offs[i : j + 1] - offs[i])
+                joined, at = K.one_space(own, ~K.SPACE[own], starts, ends)
                 raw = joined.tobytes()
                 kept, gone = [], []
                 for d in range(j - i):
