@@ -101,7 +101,10 @@ def _verify(rows: DataFrame, by: list[str], sets: Callable, num: int, den: int)
         values, after = sets(table["text"].combine_chunks())
         pairs = link_sets(values, after, num, den, label)
         a, b = (pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1))
-        return pa.table({"a": table["id"].take(a), "b": table["id"].take(b)})
+        ids = table["id"].combine_chunks()
+        if pa.types.is_struct(ids.type):
+            ids = ids.cast(pa.struct([f.with_nullable(True) for f in ids.type]))
+        return pa.table({"a": ids.take(a), "b": ids.take(b)})
 
     return rows.groupBy(*by).applyInArrow(run, f"a {kind}, b {kind}")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, language, media, mixing, near_dedup, packing, quality, substrings
+from . import exact_dedup, html_text, language, line_dedup, media, mixing, near_dedup, packing, quality, substrings
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_substring_dedup": substrings.op8_substring_dedup,
     "op9_html_text": html_text.op9_html_text,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 SQL = {
     "op2_exact_dedup": exact_dedup.SQL,
