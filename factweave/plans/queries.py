@@ -13,6 +13,7 @@ from ..operators import evaluate as E
 from ..operators import gates as G
 from ..operators import markdown as M
 from ..operators import normalize as N
+from ..operators import recover as V
 from ..operators import notes as T
 from ..operators import risk as R
 from ..operators import sanitize as S
@@ -87,6 +88,27 @@ def kvt_candidates(s, d):
     return lines(s, d).filter(S.looks_like_fact(F.col("line"))).groupBy("hadm_id").agg(F.count("*").alias("n_candidates"))
 
 
+def _objects(s, d, head: str, tail: str):
+    """One text of fact objects per document."""
+    f = A.from_sql(s, d, A.FACTS)
+    one = F.concat(*[x for k, c in (("cluster", "cluster"), ("keyword", "keyword"), ("value", "value"), ("timestamp", "ts")) for x in (F.lit(f'{"{" if k == "cluster" else ","}"{k}":"'), F.col(c), F.lit('"'))], F.lit("}"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", one.alias("t")))), lambda x: x["t"]), ",")
+    return f.groupBy("hadm_id").agg(F.concat(F.lit(head), joined, F.lit(tail)).alias("raw"))
+
+
+_OBJECTS = f"WITH f AS ({A.FACTS}) SELECT DISTINCT hadm_id, concat_ws('|', cluster, keyword, value, ts) AS line FROM f"
+
+
+@query(_OBJECTS)
+def json_recover(s, d):
+    return V.extract_facts(_objects(s, d, '{"facts":[', "]}"), literals=False).select("hadm_id", "line")
+
+
+@query(_OBJECTS)
+def broken_json_recover(s, d):
+    return V.salvaged_facts(_objects(s, d, '{"facts":[', ',{"cluster":"LA').withColumnRenamed("raw", "text")).select("hadm_id", "line").distinct()
+
+
 @query(f"WITH f AS ({A.FACTS}), g AS (SELECT {Q.lookup('keyword', C.KEYWORD_CLUSTER)} AS inferred, coalesce({Q.lookup('lower(cluster)', C.CATEGORY_ALIASES)}, cluster) AS mapped FROM f) SELECT inferred, mapped, count(*) AS n FROM g GROUP BY ALL")
 def cluster_infer(s, d):
     f = A.from_sql(s, d, A.FACTS)

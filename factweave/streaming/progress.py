@@ -18,7 +18,7 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
 
 def watch(spark: SparkSession, path: str, schema: str, late: str = "10 minutes", every: str = "1 minute") -> DataFrame:
     """A stream of finished artifacts counted per minute; rows later than ``late`` are not waited for."""
-    stream = spark.readStream.schema(schema).parquet(path)
+    stream = spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
     return stream.withWatermark("ts", late).groupBy(F.window("ts", every).alias("w")).agg(F.count("*").alias("n"), F.approx_count_distinct("user_id").alias("users")).select(F.col("w.start").alias("minute"), "n", "users")
 
 
