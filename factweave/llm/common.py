@@ -10,8 +10,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A bitmap row of Spark's bitmap functions covers so many positions.
-_BITMAP_BITS = 32768
+#: Rows and bytes of an Arrow batch; whole texts may be long, and a batch is held by the JVM and by a Python worker.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Bounds the session's Arrow batches, for the Python stage that follows."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -43,30 +52,24 @@ def _position(key, bits: int):
     return F.pmod(F.xxhash64(*key), F.lit(bits).cast("bigint"))
 
 
-def key_bitmap(keys: DataFrame, cols: list[str], bits: int = 1 << 25) -> DataFrame:
-    """A fixed-size bitmap of hashed keys: at most ``bits / 32768`` rows of 4 KB, whatever ``keys`` holds."""
-    pos = _position([F.col(c) for c in cols], bits)
-    return (
-        keys.select((pos + 1).alias("_p"))
-        .select(F.bitmap_bucket_number("_p").alias("_bucket"), F.bitmap_bit_position("_p").alias("_bit"))
-        .groupBy("_bucket")
-        .agg(F.bitmap_construct_agg("_bit").alias("_map"))
-    )
+def key_bitmap(keys: DataFrame, cols: list[str], bits: int) -> DataFrame:
+    """A fixed-size bitmap of hashed keys: at most ``bits / 64`` words of 64 bits, whatever ``keys`` holds."""
+    pos = keys.select(_position([F.col(c) for c in cols], bits).alias("_p"))
+    return pos.groupBy(F.shiftright("_p", 6).alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("_p", F.lit(64)).cast("int"))).alias("_bits"))
 
 
-def flag_keys(big: DataFrame, keys: DataFrame, cols: list[str], key_cols: list[str] | None = None, bits: int = 1 << 25) -> DataFrame:
+def flag_keys(big: DataFrame, keys: DataFrame, cols: list[str], key_cols: list[str] | None = None, bits: int = 1 << 24) -> DataFrame:
     """Adds ``_hit``: false only if the row's key is certainly not in ``keys``.
 
-    The bitmap is the one thing that is broadcast, and its size is bounded by ``bits`` (4 MB by
-    default). It saves shuffling rows that a later join would drop; that join stays exact, so a
-    full bitmap costs time and never a row. Rows with a null key hash like any other value.
+    The bitmap is the one thing that is broadcast, and its size is bounded by ``bits``: 262,144
+    words by default. It saves shuffling rows that a later join would drop; that join stays exact,
+    so a full bitmap costs time and never a row. Rows with a null key hash like any other value.
     """
     bitmap = key_bitmap(keys, key_cols or cols, bits)
-    placed = big.withColumn("_p", _position([F.col(c) for c in cols], bits) + 1)
-    placed = placed.withColumn("_bucket", F.bitmap_bucket_number("_p")).withColumn("_bit", F.bitmap_bit_position("_p"))
-    byte = F.conv(F.hex(F.substring("_map", (F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hit = F.coalesce(F.call_function("shiftright", byte, F.pmod("_bit", F.lit(8)).cast("int")).bitwiseAND(1) == 1, F.lit(False))
-    return placed.join(F.broadcast(bitmap), "_bucket", "left").withColumn("_hit", hit).drop("_bucket", "_bit", "_p", "_map")
+    placed = big.withColumn("_p", _position([F.col(c) for c in cols], bits))
+    joined = placed.withColumn("_word", F.shiftright("_p", 6)).join(F.broadcast(bitmap), "_word", "left")
+    hit = F.call_function("shiftright", F.coalesce("_bits", F.lit(0).cast("bigint")), F.pmod("_p", F.lit(64)).cast("int")).bitwiseAND(1) == 1
+    return joined.withColumn("_hit", hit).drop("_word", "_bits", "_p")
 
 
 def matching(big: DataFrame, keys: DataFrame, cols: list[str], key_cols: list[str] | None = None) -> DataFrame:
@@ -87,7 +90,7 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
-def spans(offs: np.ndarray, limit: int = 1 << 21):
+def spans(offs: np.ndarray, limit: int = 1 << 19):
     """Runs of whole texts of about ``limit`` bytes; a longer text is a run of its own."""
     i, n = 0, len(offs) - 1
     while i < n:

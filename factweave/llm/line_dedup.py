@@ -8,15 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import flag_keys, matching, read, scratch, spans, utf8
+from .common import flag_keys, matching, read, scratch, small_batches, spans, utf8
 from .links import bucket_edges, components, verified_links
 
-#: Characters of a shingle. Eight, since shorter ones are common to unrelated lines of a language.
-SHINGLE = 8
+#: Characters of a shingle. Shorter ones are common to unrelated lines of a language, whose number of pairs grows with the square of the lines.
+SHINGLE = 12
 #: Lines of fewer characters, with single spaces, are never linked: they repeat in any prose.
 LEAST = 16
-#: Bands of three minima each; lines with a similarity of 0.8 share none with a chance of 8e-4.
-BANDS, ROWS = 10, 3
+#: Bands of three minima each; lines with a similarity of 0.8 share none with a chance of 3e-3, of 0.9 with 3e-5.
+BANDS, ROWS = 8, 3
 NUM, DEN = 8, 10
 NEWLINE = 10
 
@@ -88,7 +88,7 @@ def line_sketches(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             data, offs = utf8(b.column("text"))
-            for i, j in spans(offs, 1 << 20):
+            for i, j in spans(offs, 1 << 18):
                 lines, _, values, after, prints = line_shingles(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 low = K.minima(values, after, BANDS * ROWS, 9)
                 bands = np.zeros((len(low), BANDS), np.uint64)
@@ -103,37 +103,42 @@ def line_sketches(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("_text").take(at), pa.array(number[full].astype(np.int32)), pa.array(np.diff(after)[full]), *map(pa.array, longs)], names=["doc_id", "_text", "line", "weight", "f0", "f1", *names])
 
     rows = docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("_text", F.xxhash64("text"))
-    return rows.mapInArrow(run, "doc_id bigint, _text bigint, line int, weight bigint, f0 bigint, f1 bigint, " + ", ".join(f"{n} bigint" for n in names))
+    return small_batches(rows).mapInArrow(run, "doc_id bigint, _text bigint, line int, weight bigint, f0 bigint, f1 bigint, " + ", ".join(f"{n} bigint" for n in names))
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """doc_id, the text's hash and ``gone``, the numbers of the lines to remove."""
-    rows = scratch(line_sketches(docs))
+    # the written table fixes the row numbers
+    rows = scratch(line_sketches(docs).withColumn("row", F.monotonically_increasing_id()))
     bands = [f"h{i}" for i in range(BANDS)]
-    place = F.struct("doc_id", "_text", "line")
+    place = ["doc_id", "_text", "line"]
     # lines of a class have the same bands, so their minimum is just that value
-    classes = scratch(rows.groupBy("f0", "f1").agg(F.min(place).alias("id"), F.count("*").alias("n"), F.min("weight").alias("weight"), *[F.min(h).alias(h) for h in bands]))
+    classes = scratch(rows.groupBy("f0", "f1").agg(F.min("row").alias("id"), F.count("*").alias("n"), F.min("weight").alias("weight"), *[F.min(h).alias(h) for h in bands]))
     keys = classes.select("id", F.explode(F.array(*[F.xxhash64(h, F.lit(i)) for i, h in enumerate(bands)])).alias("key"))
     blocks = components(bucket_edges(keys)).select(F.col("node").alias("id"), F.col("component").alias("block"))
-    members = scratch(blocks.join(classes.select("id", "weight"), "id"))
+    spots = rows.select(F.col("row").alias("id"), *place, "weight")
+    members = scratch(blocks.join(matching(spots, blocks, ["id"]), "id"))
     texts = docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("_text", F.xxhash64("text"))
 
     def add_text(frame):
-        wanted = members.select(F.col("id.doc_id").alias("doc_id"), F.col("id._text").alias("_text"), F.col("id.line").alias("line"))
-        lines = matching(texts, wanted, ["doc_id", "_text"]).select("doc_id", "_text", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-        found = matching(lines, wanted, ["doc_id", "_text", "line"]).select(place.alias("id"), "text").dropDuplicates(["id"])
-        return found.join(frame, "id")
-
-    named = components(verified_links(members, add_text, line_sets, NUM, DEN)).select(F.col("node").alias("id"), "component")
-    affected = classes.join(named, "id", "left").filter("n > 1 OR component IS NOT NULL").select("f0", "f1", F.coalesce("component", "id").alias("keep"))
-    gone = matching(rows, affected, ["f0", "f1"]).join(affected, ["f0", "f1"]).filter(place != F.col("keep"))
+        lines = matching(texts, members, place[:2]).select(*place[:2], F.posexplode(F.split("text", "\n")).alias("line", "text"))
+        return matching(lines, members, place).join(members.select("id", *place), place).select("id", "text").dropDuplicates(["id"]).join(frame, "id")
+
+    links = verified_links(members.select("id", "block", "weight"), add_text, line_sets, NUM, DEN)
+    named = scratch(components(links).select(F.col("node").alias("id"), "component"))
+    heads = flag_keys(classes.select("id", "f0", "f1", "n"), named, ["id"]).filter("_hit OR n > 1").join(named, "id", "left").filter("n > 1 OR component IS NOT NULL")
+    heads = heads.select("f0", "f1", F.coalesce("component", "id").alias("component"))
+    alike = matching(rows.select(*place, "f0", "f1"), heads, ["f0", "f1"]).join(heads, ["f0", "f1"]).select(*place, "component")
+    alike = scratch(alike)
+    keep = alike.groupBy("component").agg(F.min(F.struct(*place)).alias("keep"))
+    gone = alike.join(keep, "component").filter(F.struct(*place) != F.col("keep"))
     return gone.groupBy("doc_id", "_text").agg(F.collect_set("line").alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``, and n_lines and n_removed of every row.
 
-    Lines are linked if their sets of 8-character shingles have a Jaccard similarity of at least
+    Lines are linked if their sets of 12-character shingles have a Jaccard similarity of at least
     0.8; of each component the line of the smallest doc_id, then smallest line number, stays. Lines
     under 16 characters always stay. ``n_chars``, where there is one, becomes the new length.
     With ``drop_emptied`` documents that lose all but white space go; their lines are all kept elsewhere.
@@ -149,8 +154,7 @@ def dedup_lines(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
     lines = F.split("text", "\n")
     count = F.coalesce(F.size(lines), F.lit(0))
     count = F.when(F.col("text").isNull(), 0).otherwise(count)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
-    changed = F.array_join(F.transform(left, lambda i: F.element_at(lines, i + 1)), "\n")
+    changed = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
     same = flagged.filter("NOT _hit").withColumns({"n_lines": count, "n_removed": F.lit(0)})
     both = flagged.filter("_hit").drop("_hit").join(found, ["doc_id", "_text"], "left")
     both = both.withColumns({"n_lines": count, "n_removed": F.coalesce(F.size("gone"), F.lit(0)), "_new": F.when(F.col("gone").isNull(), F.col("text")).otherwise(changed)})

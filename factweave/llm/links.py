@@ -9,10 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import field_list, matching, scratch
+from .common import matching, scratch, small_batches
 
 #: Set members that one verification task holds at most, unless one text alone has more.
 TASK_MEMBERS = 4_000_000
+#: Bytes of texts that a worker gathers before it links the groups among them.
+FLUSH_BYTES = 2 << 20
+#: Edges of a component search that one file holds, about.
+EDGES_PER_FILE = 250_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -20,21 +24,25 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star rounds; each is a partially aggregated minimum and an
     equi-join, so hubs are spread by partial aggregation and by the skew handling of joins. Each
-    round's edges are written to the shared folder. Nodes may be longs, strings or structs.
+    round's edges are written to the shared folder. Nodes are longs.
     """
     now = scratch(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    mark = None
+    files = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         roots = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(roots, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(roots.select("u", F.col("m").alias("v"))).distinct()
-        now = scratch(small)
-        seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if seen == mark:
+        now = scratch(small.coalesce(files) if files else small)
+        # done when each node has one edge and none leads on
+        ends = now.select("u", F.lit(1).alias("out")).unionByName(now.select(F.col("v").alias("u"), F.lit(0).alias("out")))
+        nodes = ends.groupBy("u").agg(F.sum("out").alias("outs"), F.min("out").alias("least"))
+        loose, rows = nodes.agg(F.count_if((F.col("outs") > 1) | ((F.col("outs") == 1) & (F.col("least") == 0))), F.sum("outs")).first()
+        if not loose:
             break
-        mark = seen
+        # a round's edges are as many as the last one's or fewer, so its files need not be as many as its tasks
+        files = max(8, rows // EDGES_PER_FILE)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
@@ -88,25 +96,52 @@ def link_sets(values: np.ndarray, after: np.ndarray, num: int, den: int, label:
 
 
 def _verify(rows: DataFrame, by: list[str], sets: Callable, num: int, den: int) -> DataFrame:
-    """Links within groups; rows have id, text and, where components are known, component."""
+    """Links within groups; rows have id, text and, where components are known, component.
+
+    Groups are runs of equal group hash in sorted partitions, and a worker turns many of them into
+    sets at once: most groups are pairs, and a call for each would cost more than its work. Two
+    groups of equal hash are one larger group, in which no more than what qualifies is linked.
+    """
     kind = rows.schema["id"].dataType.simpleString()
     known = "component" in rows.columns
+    cols = ["_group", "id", "text", *(["component"] if known else [])]
+    dealt = rows.withColumn("_group", F.xxhash64(*by)).select(*cols).repartition("_group").sortWithinPartitions("_group")
 
-    def run(table: pa.Table) -> pa.Table:
+    def link(table: pa.Table) -> pa.RecordBatch:
         table = table.combine_chunks()
-        label = None
-        if known:
-            keys = table["component"].combine_chunks()
-            label = np.unique(np.array([str(x) for x in keys.to_pylist()]), return_inverse=True)[1]
+        group = table["_group"].to_numpy()
+        edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
+        label = np.unique(table["component"].to_numpy(), return_inverse=True)[1] if known else None
         values, after = sets(table["text"].combine_chunks())
-        pairs = link_sets(values, after, num, den, label)
-        a, b = (pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1))
+        pairs = []
+        for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if j - i > 1:
+                own = link_sets(values[after[i] : after[j]], after[i : j + 1] - after[i], num, den, None if label is None else label[i:j])
+                pairs += [(i + x, i + y) for x, y in own]
         ids = table["id"].combine_chunks()
-        if pa.types.is_struct(ids.type):
-            ids = ids.cast(pa.struct([f.with_nullable(True) for f in ids.type]))
-        return pa.table({"a": ids.take(a), "b": ids.take(b)})
-
-    return rows.groupBy(*by).applyInArrow(run, f"a {kind}, b {kind}")
+        a, b = (pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([ids.take(a), ids.take(b)], names=["a", "b"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group = batch.column("_group").to_numpy()
+            # where the last group of this batch begins, which may go on in the next
+            last = int(np.searchsorted(group, group[-1]))
+            before = held and held[-1].column("_group")[-1].as_py() != group[0]
+            if size >= FLUSH_BYTES and (last or before):
+                if last:
+                    held.append(batch.slice(0, last))
+                yield link(pa.Table.from_batches(held))
+                held, size, batch = [], 0, batch.slice(last)
+            held.append(batch)
+            size += batch.nbytes
+        if held:
+            yield link(pa.Table.from_batches(held))
+
+    return small_batches(dealt).mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def verified_links(members: DataFrame, texts: Callable[[DataFrame], DataFrame], sets: Callable, num: int, den: int, task: int = TASK_MEMBERS) -> DataFrame:
@@ -137,7 +172,3 @@ def verified_links(members: DataFrame, texts: Callable[[DataFrame], DataFrame],
     pairs = rest.join(apart, "block", "left_semi").withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_q") - 1)))
     pairs = pairs.select("id", "block", "component", F.least("part", "_o").alias("p"), F.greatest("part", "_o").alias("r"))
     return scratch(found.unionByName(_verify(texts(pairs), ["block", "p", "r"], sets, num, den)))
-
-
-def pass_on(df: DataFrame, cols: list[str]) -> list[str]:
-    return field_list(df, cols)
