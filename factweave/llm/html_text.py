@@ -8,7 +8,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import read
+from .common import read, small_batches
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -230,7 +230,7 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [main_text(p.as_py()) for p in b.column("html")]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
 
-    return pages.select(*[f"`{c}`" for c in rest]).mapInArrow(run, schema)
+    return small_batches(pages.select(*[f"`{c}`" for c in rest])).mapInArrow(run, schema)
 
 
 def op9_html_text(spark, sf_dir):

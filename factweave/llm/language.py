@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import read, spans, utf8
+from .common import read, small_batches, spans, utf8
 
 ORDER = 4
 #: The models are fitted on at most so many documents of each language, those with the smallest hash
@@ -253,7 +253,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 lang = np.where(rejected, UNKNOWN, names[best])
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array(names[best], pa.string()), pa.array(lang, pa.string()), pa.array(score), pa.array(entropy), pa.array(rejected)], names=["doc_id", "lang_best", "lang", "score", "cross_entropy", "rejected"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, lang_best string, lang string, score double, cross_entropy double, rejected boolean")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id bigint, lang_best string, lang string, score double, cross_entropy double, rejected boolean")
 
 
 def op1_language_id(spark, sf_dir):

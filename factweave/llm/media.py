@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import read
+from .common import read, small_batches
 
 #: Rows of the payload images of documents, and the unit that payloads are filled up to.
 WIDTH, UNIT, FILL = 24, 576, 255
@@ -142,7 +142,7 @@ def media_columns(df: DataFrame, column: str = "media", tile: int = TILE) -> Dat
             kinds = [pa.int32()] * 3 + [pa.binary(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], *[pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]], names=[*keep, *added])
 
-    return df.select(*[f"`{c}`" for c in keep]).mapInArrow(run, schema)
+    return small_batches(df.select(*[f"`{c}`" for c in keep])).mapInArrow(run, schema)
 
 
 def documents_as_media(docs: DataFrame) -> DataFrame:
@@ -157,7 +157,7 @@ def documents_as_media(docs: DataFrame) -> DataFrame:
                 images.append(encode_pgm(raw + bytes([FILL]) * (UNIT - len(raw) if len(raw) < UNIT else -len(raw) % UNIT)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(images, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_bytes bigint, media binary")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id bigint, n_bytes bigint, media binary")
 
 
 def digest(media: DataFrame) -> DataFrame:
@@ -173,7 +173,7 @@ def digest(media: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *[pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return media.mapInArrow(run, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    return small_batches(media).mapInArrow(run, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
 
 
 def op5_media_columns(spark, sf_dir):

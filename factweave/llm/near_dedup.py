@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import flag_keys, matching, read, scratch, spans, utf8
+from .common import flag_keys, matching, read, scratch, small_batches, spans, utf8
 from .links import bucket_edges, components, verified_links
 
 #: Two collections of so many band hashes, each of two minima. Each pair of hashes, one from either
@@ -50,7 +50,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
             cols = [b.column("doc_id"), pa.array(np.diff(after)), *[pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (*sums.T, *bands.T)]]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "f0", "f1", *names])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, f0 bigint, f1 bigint, " + ", ".join(f"{n} bigint" for n in names))
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id bigint, n_shingles bigint, f0 bigint, f1 bigint, " + ", ".join(f"{n} bigint" for n in names))
 
 
 def near_groups(docs: DataFrame, k: int = 5, num: int = NUM, den: int = DEN) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, scratch, utf8
+from .common import read, scratch, small_batches, utf8
 
 CAPACITY = 2048
 #: Pieces longer than this share of the capacity are large.
@@ -20,7 +20,7 @@ LARGE = 1 / 8
 #: Groups of equal cardinality that the large lengths are rounded up within.
 GROUPS = 40
 #: Words, and parts of words, whose ids a Python worker remembers at most.
-REMEMBERED = 800_000
+REMEMBERED = 300_000
 #: Rows that one rank window holds, on average at most, for one length.
 BLOCK_ROWS = 200_000
 
@@ -100,7 +100,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
             at = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays([*[b.column(c).take(at) for c in keep], pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=[*keep, "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(*keep, "text").mapInArrow(run, f"{kinds}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return small_batches(docs.select(*keep, "text")).mapInArrow(run, f"{kinds}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 # --- the plan ----------------------------------------------------------------------------------

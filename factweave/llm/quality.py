@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import field_list, read, spans, utf8
+from .common import field_list, read, small_batches, spans, utf8
 
 #: Words of a passage.
 PASSAGE = 64
@@ -136,13 +136,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -> GatedAtt
     def run(batches):
         for b in batches:
             data, offs = utf8(b.column("text"))
-            for i, j in spans(offs):
+            for i, j in spans(offs, 1 << 19):
                 x, after = passages(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 cut = pa.array([x[a:b_].astype("<f4").tobytes() for a, b_ in zip(after[:-1], after[1:], strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), b.column("quality").slice(i, j - i), cut], names=["doc_id", "quality", "x"])
 
     # at most ``most`` identifiers are broadcast
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("quality").cast("int").alias("quality")).mapInArrow(run, "doc_id bigint, quality int, x binary")
+    found = small_batches(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("quality").cast("int").alias("quality")).mapInArrow(run, "doc_id bigint, quality int, x binary")
     bags = sorted({(r["doc_id"], r["quality"], bytes(r["x"])) for r in found.toLocalIterator()})
     if not bags:
         return None
@@ -168,12 +168,12 @@ def score(docs: DataFrame, model: GatedAttention | None, name: str = "score") ->
         for b in batches:
             data, offs = utf8(b.column("text"))
             found = [np.zeros(0)]
-            for i, j in spans(offs):
+            for i, j in spans(offs, 1 << 19):
                 x, after = passages(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 found.append(m.scores(x, after) if m else np.ones(j - i))
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(np.concatenate(found), pa.float64())], names=[*keep, name])
 
-    return docs.select(*[f"`{c}`" for c in keep]).mapInArrow(run, schema)
+    return small_batches(docs.select(*[f"`{c}`" for c in keep])).mapInArrow(run, schema)
 
 
 def held_out(col: str = "doc_id"):

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import flag_keys, matching, read, scratch, spans, utf8
+from .common import flag_keys, matching, read, scratch, small_batches, spans, utf8
 
 WINDOW = 50
 #: Words of a minimiser.
@@ -17,7 +17,7 @@ MINIMISER = 8
 #: Windows that one super-k-mer holds at most.
 RUN = 64
 #: Bytes of packed strings per bucket, and of text that a task packs at a time.
-BUCKET_BYTES, FLUSH_BYTES = 12 << 20, 16 << 20
+BUCKET_BYTES, FLUSH_BYTES = 6 << 20, 8 << 20
 
 
 def _sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
@@ -114,7 +114,7 @@ def _blobs(docs: DataFrame, buckets: int, window: int, minimiser: int) -> DataFr
         if held:
             yield flush(held)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket bigint, ids binary, shared binary, h0 binary, h1 binary, sizes binary, strings binary")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, "bucket bigint, ids binary, shared binary, h0 binary, h1 binary, sizes binary, strings binary")
 
 
 def count_bucket(table: pa.Table, window: int) -> pa.Table:
@@ -198,7 +198,7 @@ def repeat_spans(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMIS
                 at = pa.array(r.text + i)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("_text").take(at), pa.array(r.first), pa.array(r.h0.view(np.int64)), pa.array(r.h1.view(np.int64))], names=["doc_id", "_text", "first", "h0", "h1"])
 
-    own = rows.withColumn("_text", F.xxhash64("text")).mapInArrow(run, "doc_id bigint, _text bigint, first bigint, h0 bigint, h1 bigint")
+    own = small_batches(rows.withColumn("_text", F.xxhash64("text"))).mapInArrow(run, "doc_id bigint, _text bigint, first bigint, h0 bigint, h1 bigint")
     met = matching(own, found, ["h0", "h1"]).join(found, ["h0", "h1"]).filter("least < doc_id")
     span = F.struct((F.col("first") + F.col("w_from")).alias("a"), (F.col("first") + F.col("w_to") + window - 1).alias("b"))
     return met.groupBy("doc_id", "_text").agg(F.collect_set(span).alias("spans"))
@@ -244,7 +244,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIM
                     gone.append(lost)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(np.diff(before)), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
-    return both.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
+    return small_batches(both).mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
 
 
 def op8_substring_dedup(spark, sf_dir):
