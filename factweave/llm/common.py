@@ -76,6 +76,16 @@ def matching(big: DataFrame, keys: DataFrame, cols: list[str], key_cols: list[st
     return flag_keys(big, keys, cols, key_cols).filter("_hit").drop("_hit")
 
 
+def packed(df: DataFrame, *cols: str) -> DataFrame:
+    """The rows as one column ``_row`` beside the columns needed, so that no name of theirs meets one of ours."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *cols)
+
+
+def unpacked(df: DataFrame, **changed) -> list:
+    """The columns of ``_row``, some of them changed."""
+    return [changed.get(f.name, F.col("_row").getField(f.name)).alias(f.name) for f in df.schema["_row"].dataType]
+
+
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts and the offset of each (nulls count as empty)."""
     col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import packed, read, scratch, unpacked
 
 #: A source of n of all N rows gets the weight (n / N) ** ALPHA; 1 keeps the proportions, 0 makes sources equal.
 ALPHA = 0.5
@@ -13,6 +13,8 @@ ALPHA = 0.5
 EPOCHS = 1.0
 #: Quantiles of the Poisson distribution that are written out; with rates up to 16 the rest is under 1e-12.
 STEPS = 64
+#: Up to so many sources their rates are broadcast; beyond, rows are joined with them by a shuffle.
+BROADCAST_SOURCES = 10_000
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA, epochs: float = EPOCHS) -> DataFrame:
@@ -27,10 +29,15 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float
     return shares.crossJoin(F.broadcast(total)).select("_source", (F.col("_share") / F.nullif("_shares", F.lit(0.0)) * F.col("_all") * F.lit(float(epochs)) / F.col("_n")).alias("rate"))
 
 
+def digits(seed: str, *cols):
+    """A number of 52 bits from an MD5 digest of the values; the same on every engine."""
+    text = F.concat_ws(":", F.lit(seed), *[F.coalesce(c.cast("string"), F.lit("null")) for c in cols])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint")
+
+
 def uniform(seed: str, *cols):
-    """A number from 0 up to 1 from the first 52 bits of an MD5 digest; the same on every engine."""
-    text = F.concat_ws(":", F.lit(seed), *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in cols])
-    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
+    """A number from 0 up to 1."""
+    return digits(seed, *cols) / F.lit(float(1 << 52))
 
 
 def poisson(rate, u, steps: int = STEPS):
@@ -54,22 +61,19 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     parts, each with its own number. Sources that ``weights`` does not name get no rows. Empty
     tables give empty results, and all other columns, of whatever name, are passed on.
     """
-    cols = [c for c in docs.columns if c not in ("rate", "copy", "shuffle_key")]
-    table = rates(docs.select("source"), weights, alpha, epochs).withColumnRenamed("rate", "_rate")
-    joined = docs.select(*cols).join(table, F.col("source").eqNullSafe(F.col("_source")))
+    kept = docs.select(*[f"`{c}`" for c in docs.columns if c not in ("rate", "copy", "shuffle_key")])
+    table = scratch(rates(docs.select("source"), weights, alpha, epochs).withColumnRenamed("rate", "_rate"))
+    if table.count() <= BROADCAST_SOURCES:
+        table = F.broadcast(table)
+    joined = packed(kept, "doc_id", "source").join(table, F.col("source").eqNullSafe(F.col("_source")))
     parts = F.greatest(F.ceil(F.col("_rate") / 16).cast("int"), F.lit(1))
     each = F.col("_rate") / parts
-    first = poisson(each, uniform(seed, "doc_id"))
-    text = lambda i: F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("part"), i.cast("string"))
-    more = F.aggregate(
-        F.sequence(F.lit(2), parts),
-        F.lit(0),
-        lambda n, i: n + poisson(each, F.conv(F.substring(F.md5(text(i)), 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))),
-    )
+    first = poisson(each, uniform(seed, F.col("doc_id")))
+    more = F.aggregate(F.sequence(F.lit(2), parts), F.lit(0), lambda n, i: n + poisson(each, uniform(seed, F.col("doc_id"), F.lit("part"), i)))
     counted = joined.withColumn("_copies", F.when(F.col("_rate") > 0, F.when(parts > 1, first + more).otherwise(first)).otherwise(F.lit(0)))
-    copies = counted.filter("_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
-    keyed = copies.withColumn("shuffle_key", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("order"), F.col("copy").cast("string"))), 1, 13), 16, 10).cast("bigint"))
-    return keyed.select(*cols, F.col("_rate").alias("rate"), "copy", "shuffle_key").repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key")
+    copies = counted.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
+    keyed = copies.withColumn("_key", digits(seed, F.col("doc_id"), F.lit("order"), F.col("_copy")))
+    return keyed.select(*unpacked(keyed), F.col("_rate").alias("rate"), F.col("_copy").alias("copy"), F.col("_key").alias("shuffle_key")).repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key")
 
 
 def op6_source_mix(spark, sf_dir):
