@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import flag_keys, matching, read, scratch, small_batches, spans, utf8
+from .common import flag_keys, matching, packed, read, scratch, small_batches, spans, unpacked, utf8
 from .links import bucket_edges, components, verified_links
 
 #: Characters of a shingle. Shorter ones are common to unrelated lines of a language, whose number of pairs grows with the square of the lines.
@@ -148,23 +148,21 @@ def dedup_lines(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
     results. Columns named n_lines and n_removed are replaced; all others pass unchanged.
     """
     found = scratch(repeated_lines(docs))
-    cols = [c for c in docs.columns if c not in ("n_lines", "n_removed", "_text", "gone")]
-    rows = docs.select(*[f"`{c}`" for c in cols]).withColumn("_text", F.xxhash64("text"))
+    kept = docs.select(*[f"`{c}`" for c in docs.columns if c not in ("n_lines", "n_removed")])
+    rows = packed(kept, "doc_id", "text").withColumn("_text", F.xxhash64("text"))
     flagged = flag_keys(rows, found, ["doc_id", "_text"])
     lines = F.split("text", "\n")
-    count = F.coalesce(F.size(lines), F.lit(0))
-    count = F.when(F.col("text").isNull(), 0).otherwise(count)
+    count = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
     changed = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
-    same = flagged.filter("NOT _hit").withColumns({"n_lines": count, "n_removed": F.lit(0)})
-    both = flagged.filter("_hit").drop("_hit").join(found, ["doc_id", "_text"], "left")
-    both = both.withColumns({"n_lines": count, "n_removed": F.coalesce(F.size("gone"), F.lit(0)), "_new": F.when(F.col("gone").isNull(), F.col("text")).otherwise(changed)})
-    both = both.withColumn("n_removed", F.when(F.col("gone").isNull(), 0).otherwise(F.col("n_removed"))).withColumn("text", F.col("_new"))
+    same = flagged.filter("NOT _hit").select(*unpacked(flagged), count.alias("n_lines"), F.lit(0).alias("n_removed"))
+    both = flagged.filter("_hit").join(found, ["doc_id", "_text"], "left")
+    both = both.select("_row", count.alias("_lines"), F.coalesce(F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")), F.lit(0)).alias("_removed"), F.when(F.col("gone").isNull(), F.col("text")).otherwise(changed).alias("_new"))
     if drop_emptied:
-        both = both.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
-    if "n_chars" in cols:
-        both = both.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    out = [*[f"`{c}`" for c in cols], "n_lines", "n_removed"]
-    return same.select(*out).unionByName(both.select(*out))
+        both = both.filter((F.col("_removed") == 0) | F.col("_new").rlike(r"\S"))
+    new = {"text": F.col("_new")}
+    if "n_chars" in kept.columns:
+        new["n_chars"] = F.when(F.col("_removed") > 0, F.length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
+    return same.unionByName(both.select(*unpacked(both, **new), F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed")))
 
 
 def op10_line_dedup(spark, sf_dir):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import flag_keys, matching, read, scratch, small_batches, spans, utf8
+from .common import flag_keys, matching, packed, read, scratch, small_batches, spans, unpacked, utf8
 from .links import bucket_edges, components, verified_links
 
 #: Two collections of so many band hashes, each of two minima. Each pair of hashes, one from either
@@ -92,9 +92,10 @@ def near_groups(docs: DataFrame, k: int = 5, num: int = NUM, den: int = DEN) ->
 def near_dedup(docs: DataFrame, k: int = 5, num: int = NUM, den: int = DEN) -> DataFrame:
     """``docs`` without the documents that are not kept; all columns pass unchanged."""
     gone = scratch(near_groups(docs, k, num, den).filter("NOT kept").select("doc_id").distinct())
-    flagged = flag_keys(docs, gone, ["doc_id"])
+    flagged = flag_keys(packed(docs, "doc_id"), gone, ["doc_id"])
     rest = flagged.filter("_hit").join(gone, "doc_id", "left_anti")
-    return flagged.filter("NOT _hit").unionByName(rest).select(*[f"`{c}`" for c in docs.columns])
+    both = flagged.filter("NOT _hit").select("_row").unionByName(rest.select("_row"))
+    return both.select(*unpacked(both))
 
 
 def op7_near_dedup(spark, sf_dir):
