@@ -170,7 +170,9 @@ def semantic_gate(facts: DataFrame) -> DataFrame:
     Of problems the first chronic or past one is preferred, of symptoms the first at admission.
     """
     c, nk = F.col("cluster"), F.col("_nk")
-    fragment = (nk == "") | nk.isin(C.FRAGMENTS) | nk.startswith("and ") | nk.startswith("or ")
+    tokens = F.split(nk, " ")
+    places = (F.size(tokens) <= 2) & F.forall(tokens, lambda x: x.isin(C.ANATOMIC + C.DIRECTIONS))
+    fragment = (nk == "") | nk.isin(C.FRAGMENTS) | nk.startswith("and ") | nk.startswith("or ") | places
     rows = facts.withColumn("_nk", key_norm(F.col("keyword"))).filter(~((c == "SYMPTOMS") & fragment))
     gated = c.isin("PROBLEMS", "SYMPTOMS")
     prefer = F.when(c == "PROBLEMS", (F.lower("value") == "chronic") | (F.col("ts") == "Past")).otherwise(F.col("ts") == "Admission")

@@ -43,6 +43,20 @@ def symptom_pattern(c: Column) -> Column:
     return first_pattern(F.lower(c), C.SYMPTOM_RULES, "")
 
 
+def medication_pattern(c: Column) -> Column:
+    return first_pattern(F.lower(c), C.MEDICATION_RULES)
+
+
+def procedure_pattern(c: Column) -> Column:
+    return first_pattern(F.lower(c), C.PROCEDURE_RULES)
+
+
+def sex(c: Column) -> Column:
+    """male or female, or the term itself."""
+    low = F.lower(strip(c))
+    return F.when(low.isin("m", "male", "man"), "male").when(low.isin("f", "female", "woman"), "female").otherwise(strip(c))
+
+
 def icd9(c: Column) -> Column:
     """The canonical problem of a code, by its longest known prefix."""
     return first_prefix(F.upper(strip(c)), C.ICD9_PREFIXES)

@@ -17,6 +17,7 @@ from ..operators import recover as V
 from ..operators import notes as T
 from ..operators import risk as R
 from ..operators import sanitize as S
+from ..operators import stage1 as G1
 from ..operators import synonyms as Y
 from ..sources import adapter as A
 from ..streaming import progress as P
@@ -179,7 +180,7 @@ _NK = "trim(regexp_replace(lower(keyword), '[^a-z0-9]+', ' ', 'g'))"
 
 
 @query(f"""WITH {Q.sanitized(A.LINES, 'all', True)}, k AS (SELECT *, {_NK} AS nk FROM clean),
-ok AS (SELECT * FROM k WHERE NOT (cluster = 'SYMPTOMS' AND (nk = '' OR {Q.within('nk', C.FRAGMENTS)} OR starts_with(nk, 'and ') OR starts_with(nk, 'or ')))),
+ok AS (SELECT * FROM k WHERE NOT (cluster = 'SYMPTOMS' AND (nk = '' OR {Q.within('nk', C.FRAGMENTS)} OR starts_with(nk, 'and ') OR starts_with(nk, 'or ') OR len(string_split(nk, ' ')) <= 2 AND len(list_filter(string_split(nk, ' '), lambda x: NOT ({Q.within('x', C.ANATOMIC + C.DIRECTIONS)}))) = 0))),
 picked AS (SELECT * FROM ok WHERE cluster IN ('PROBLEMS', 'SYMPTOMS') QUALIFY row_number() OVER (PARTITION BY hadm_id, cluster, nk ORDER BY CASE WHEN CASE WHEN cluster = 'PROBLEMS' THEN lower(value) = 'chronic' OR ts = 'Past' ELSE ts = 'Admission' END THEN 0 ELSE 1 END, pos, sub_pos) = 1)
 SELECT {COLS} FROM ok WHERE cluster NOT IN ('PROBLEMS', 'SYMPTOMS') UNION ALL SELECT {COLS} FROM picked""")
 def semantic_gate(s, d):
@@ -543,6 +544,33 @@ def hybrid_merge(s, d):
     return M.hybrid(S.sanitize(lines(s, d), "all"), md(s, d))
 
 
+_SECTION_TEXTS = """SELECT k AS hadm_id,
+  concat('ADM: BP=', 90 + k % 70, '/', 50 + k % 40, '; SpO2=', 85 + k % 15, '% RA; Heart Rate=', 50 + k % 90, '*; Foo=1', chr(10), 'DC: Weight=', 100 + k % 100, ' lbs ', 40 + k % 60, ' kg') AS vitals,
+  concat('Hgb=', 7 + k % 8, ' g; UREA N=', k % 60, '; ASA=NEG; Na=1; Na=', 128 + k % 20) AS labs,
+  concat('Medication Count=', k % 20, ' pills', chr(10), 'Polypharmacy=', CASE k % 4 WHEN 0 THEN '1' WHEN 1 THEN 'No' WHEN 2 THEN 'n/a' ELSE 'maybe' END, chr(10), 'Other=1') AS medications,
+  CASE k % 4 WHEN 0 THEN concat('Home w services', chr(10), 'clear') WHEN 1 THEN concat('Disposition: extended', chr(10), 'mental=Lethargic', chr(10), 'Disposition=home') WHEN 2 THEN '' ELSE concat('Disposition=not stated', chr(10), 'rehab', chr(10), 'support=cane') END AS disposition,
+  CASE k % 5 WHEN 0 THEN concat('Surgery=no', chr(10), 'Dialysis=1') WHEN 1 THEN concat('Surgery=no', chr(10), 'Dialysis=0') WHEN 2 THEN 's/p appendectomy' WHEN 3 THEN concat('intubated for ', k % 9, ' days') ELSE '' END AS procedures,
+  CASE k % 3 WHEN 0 THEN 'F' WHEN 1 THEN concat('Age=', k % 90) ELSE concat('Sex=M', chr(10), 'Age=', k % 90, chr(10), 'rest') END AS demographics
+FROM (SELECT c_custkey AS k FROM customer) c"""
+_NS = "not stated"
+
+
+@query(f"""SELECT k AS hadm_id, concat('ADM: Heart Rate=', 50 + k % 90, '; Systolic BP=', 90 + k % 70, '; Diastolic BP=', 50 + k % 40, '; SpO2=', 85 + k % 15, chr(10), 'DC: Weight=', 40 + k % 60) AS vitals, concat('Hemoglobin=', 7 + k % 8, '; Sodium=', 128 + k % 20, '; BUN=', k % 60) AS labs,
+  concat('Medication Count=', k % 20, chr(10), 'New Medications Count={_NS}', chr(10), 'Polypharmacy=', CASE k % 4 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' WHEN 2 THEN '{_NS}' ELSE 'maybe' END, {", ".join(f"chr(10), '{x}={_NS}'" for x in C.STRICT_KEYWORDS["MEDICATIONS"][3:])}) AS medications,
+  CASE k % 4 WHEN 2 THEN '{_NS}' ELSE concat('Discharge Disposition=', CASE k % 4 WHEN 0 THEN 'Home with Services' WHEN 1 THEN 'SNF' ELSE 'Rehab' END, chr(10), 'Mental Status=', CASE k % 4 WHEN 0 THEN 'alert' WHEN 1 THEN 'lethargic' ELSE '{_NS}' END, chr(10), 'Support Needs=', CASE k % 4 WHEN 3 THEN 'cane' ELSE '{_NS}' END) END AS disposition,
+  concat('Any Procedure=', CASE k % 5 WHEN 0 THEN 'no' WHEN 2 THEN 'no' WHEN 3 THEN 'yes' ELSE '{_NS}' END, chr(10), 'Surgery=', CASE k % 5 WHEN 0 THEN 'no' WHEN 2 THEN 'yes' WHEN 3 THEN 'no' ELSE '{_NS}' END, chr(10), 'Dialysis=', CASE k % 5 WHEN 0 THEN 'done' WHEN 2 THEN 'no' WHEN 3 THEN 'no' ELSE '{_NS}' END, chr(10), 'Mechanical Ventilation=', CASE k % 5 WHEN 0 THEN 'no' WHEN 2 THEN 'no' WHEN 3 THEN (k % 9)::VARCHAR ELSE '{_NS}' END) AS procedures,
+  CASE k % 3 WHEN 0 THEN concat('Sex=female', chr(10), 'Age={_NS}') WHEN 1 THEN concat('Sex={_NS}', chr(10), 'Age=', k % 90) ELSE concat('Sex=male', chr(10), 'Age=', k % 90) END AS demographics FROM (SELECT c_custkey AS k FROM customer) c""")
+def stage1_sections(s, d):
+    x = A.from_sql(s, d, _SECTION_TEXTS)
+    made = {n: getattr(G1, n)(F.col(n)) for n in ("vitals", "labs", "medications", "disposition", "procedures", "demographics")}
+    return x.select("hadm_id", *[v.alias(n) for n, v in made.items()])
+
+
+@query(f"""WITH {Q.sanitized(A.LINES, 'all')} SELECT hadm_id, coalesce(string_agg(DISTINCT keyword, ',' ORDER BY keyword) FILTER (NOT {Q.strict_ok('cluster', 'keyword')}), '') AS outside, CASE WHEN count(*) FILTER ({Q.within('cluster', list(C.STRICT_KEYWORDS))}) > 0 THEN count(*) FILTER ({Q.within('cluster', list(C.STRICT_KEYWORDS))} AND {Q.strict_ok('cluster', 'keyword')}) / count(*) FILTER ({Q.within('cluster', list(C.STRICT_KEYWORDS))})::DOUBLE ELSE 1.0 END AS compliance FROM clean GROUP BY hadm_id""")
+def keyword_report(s, d):
+    return G1.keyword_report(S.sanitize(lines(s, d), "all"))
+
+
 # --- gates, runs and reports -----------------------------------------------------------------------
 
 
