@@ -294,14 +294,13 @@ def _scored(lines_sql: str) -> str:
     strip = lambda k, ps: _strip_sql(k, ps)
     its = "list_transform(string_split_regex(trim(v), '[;\\n,]+'), lambda x: trim(trim(regexp_replace(x, '\\s+', ' ', 'g')), ' -'))"
     its = f"list_filter({its}, lambda x: x <> '')[1:20]"
-    uniq = f"list_filter({its}, lambda x, i: list_position(list_transform({its}, lambda y: lower(y)), lower(x)) = i)"
     ranged = " OR ".join(f"(cluster = {Q.lit(c)} AND keyword = {Q.lit(k)})" for c, k in C.RANGES if c not in C.NUMERIC_CLUSTERS)
     plaus = "CASE " + " ".join(f"WHEN cluster = {Q.lit(c)} AND keyword = {Q.lit(k)} THEN vn BETWEEN {lo} AND {hi}" for (c, k), ((lo, hi), _) in C.RANGES.items()) + " ELSE true END"
     num = "CASE WHEN NOT contains(value, '/') THEN try_cast(nullif(regexp_extract(value, '[-+]?[0-9]+(?:\\.[0-9]+)?'), '') AS DOUBLE) END"
     return f"""
 sl AS ({lines_sql}), sp AS (SELECT hadm_id, pos, list_transform(string_split(trim(line), '|'), lambda x: trim(x)) AS p FROM sl WHERE trim(line) <> '' AND NOT starts_with(trim(line), '#')),
 sk AS (SELECT hadm_id, pos, coalesce(len(p) = 4 AND {Q.within('p[1]', C.CLUSTERS)}, false) AS ok, p[1] AS cluster, CASE WHEN p[1] = 'PROBLEMS' THEN {strip('p[2]', C.PROBLEM_PREFIXES)} WHEN p[1] = 'SYMPTOMS' THEN {strip('p[2]', C.SYMPTOM_PREFIXES)} ELSE p[2] END AS k, p[3] AS v, p[4] AS t FROM sp),
-si AS (SELECT *, {uniq} AS its FROM sk),
+si AS (SELECT *, list_filter(its0, lambda x, i: list_position(low, lower(x)) = i) AS its FROM (SELECT *, list_transform(its0, lambda y: lower(y)) AS low FROM (SELECT *, {its} AS its0 FROM sk) w) w2),
 sf AS (SELECT hadm_id, pos, unnest(range(len(its))) AS sub_pos, ok, cluster, unnest(its) AS keyword, CASE WHEN {Q.within('lower(k)', C.ACUTE_KEYS)} THEN 'acute' ELSE 'chronic' END AS value, CASE WHEN {Q.within('lower(k)', C.ACUTE_KEYS)} THEN 'Discharge' ELSE 'Past' END AS ts FROM si WHERE cluster = 'PROBLEMS' AND len(its) > 0 AND {Q.within('lower(k)', C.ACUTE_KEYS + C.CHRONIC_KEYS)}
   UNION ALL SELECT hadm_id, pos, 0, ok, cluster, k, v, t FROM si WHERE NOT coalesce(cluster = 'PROBLEMS' AND len(its) > 0 AND {Q.within('lower(k)', C.ACUTE_KEYS + C.CHRONIC_KEYS)}, false)),
 sn AS (SELECT *, coalesce({Q.within('cluster', C.NUMERIC_CLUSTERS)} OR {ranged}, false) AS must, CASE WHEN {Q.within('cluster', C.NUMERIC_CLUSTERS)} OR {ranged} OR (cluster = 'PROCEDURES' AND keyword = 'Mechanical Ventilation') THEN {num} END AS vn FROM sf),

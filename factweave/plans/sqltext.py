@@ -62,7 +62,7 @@ def canonical(c: str, k: str, v: str) -> str:
 def parsed(lines: str) -> str:
     """CTEs ending in ``parsed`` (hadm_id, pos, line, c, k, v, t); c is null for lines that are no facts."""
     return f"""
-lines AS ({lines}),
+lines AS MATERIALIZED ({lines}),
 split AS (SELECT hadm_id, pos, line, list_transform(string_split(trim(regexp_replace(trim(line), '^[-*•]\\s+', '')), '|'), lambda x: trim(x)) AS p FROM lines),
 shaped AS (SELECT *, len(p) AS n, {name('p[1]')} AS guess, {lookup('p[1]', C.KEYWORD_CLUSTER)} AS inferred FROM split),
 parsed AS (SELECT hadm_id, pos, line,
@@ -126,20 +126,19 @@ UNION ALL SELECT hadm_id, pos, i - 1, c, its[i], CASE WHEN c = 'SYMPTOMS' THEN '
 UNION ALL SELECT hadm_id, pos, 0, c, kw, nv, CASE WHEN c = 'PROBLEMS' AND lower(t) = 'unknown' THEN CASE nv WHEN 'acute' THEN 'Discharge' WHEN 'chronic' THEN 'Past' ELSE 'Admission' END ELSE t END
   FROM (SELECT *, CASE WHEN c = 'PROBLEMS' THEN {problem} ELSE {symptom} END AS nv FROM keyed WHERE NOT listed AND NOT {placeholder}) WHERE nv IS NOT NULL"""
     keep = "AND false" if scope == "objective" else ""
-    first_items = f"list_filter({items('v')}, lambda x, i: list_position({items('v')}, x) = i)"
     return f"""
-lines AS ({lines}),
+lines AS MATERIALIZED ({lines}),
 split AS (SELECT hadm_id, pos, list_transform(string_split(line, '|'), lambda x: trim(x)) AS p FROM lines),
 shaped AS (SELECT *, len(p) AS n, {name('p[1]')} AS guess, {lookup('p[1]', C.KEYWORD_CLUSTER)} AS inferred FROM split),
-recovered AS (SELECT hadm_id, pos, {recover} AS p FROM shaped),
+recovered AS MATERIALIZED (SELECT hadm_id, pos, {recover} AS p FROM shaped),
 fields AS (SELECT hadm_id, pos, {name('p[1]')} AS c, p[2] AS k, CASE WHEN starts_with(p[3], '$') THEN trim(ltrim(p[3], '$')) ELSE p[3] END AS v, CASE WHEN lower(p[4]) = 'adm' THEN 'Admission' WHEN lower(p[4]) = 'dc' THEN 'Discharge' ELSE p[4] END AS t
   FROM recovered WHERE len(p) = 4 AND p[1] <> '' AND p[2] <> '' AND p[3] <> '' AND p[4] <> ''),
-stated AS (SELECT * FROM fields WHERE lower(v) <> 'not stated' AND NOT ({within('c', C.NUMERIC_CLUSTERS)} AND NOT regexp_full_match(v, '-?[0-9]+(\\.[0-9]+)?'))),
-placed AS (SELECT hadm_id, pos, {moved} AS c, k, v, t FROM stated),
+stated AS MATERIALIZED (SELECT * FROM fields WHERE lower(v) <> 'not stated' AND NOT ({within('c', C.NUMERIC_CLUSTERS)} AND NOT regexp_full_match(v, '-?[0-9]+(\\.[0-9]+)?'))),
+placed AS MATERIALIZED (SELECT hadm_id, pos, {moved} AS c, k, v, t FROM stated),
 top AS (SELECT hadm_id, pos, 0 AS sub_pos, c AS cluster, k AS keyword, v AS value, t AS ts FROM placed WHERE {within('c', C.OBJECTIVE_CLUSTERS)}
   QUALIFY row_number() OVER (PARTITION BY hadm_id, c, k ORDER BY CASE WHEN lower(t) = 'discharge' THEN 0 WHEN lower(t) = 'admission' THEN 1 ELSE 2 END, pos) = 1),
 semantic AS (SELECT * FROM placed WHERE NOT {within('c', C.OBJECTIVE_CLUSTERS)} {keep}),
-keyed AS (SELECT *, {within('lower(kw)', C.ACUTE_KEYS + C.CHRONIC_KEYS)} AND c = 'PROBLEMS' AND len(its) > 0 OR {within('lower(kw)', C.ADMISSION_KEYS + C.DISCHARGE_KEYS)} AND c = 'SYMPTOMS' AND len(its) > 0 AS listed FROM (SELECT *, {kw} AS kw, {first_items} AS its FROM semantic WHERE c IN ('PROBLEMS', 'SYMPTOMS')) z),
+keyed AS MATERIALIZED (SELECT *, {within('lower(kw)', C.ACUTE_KEYS + C.CHRONIC_KEYS)} AND c = 'PROBLEMS' AND len(its) > 0 OR {within('lower(kw)', C.ADMISSION_KEYS + C.DISCHARGE_KEYS)} AND c = 'SYMPTOMS' AND len(its) > 0 AS listed FROM (SELECT *, list_filter(its0, lambda x, i: list_position(its0, x) = i) AS its FROM (SELECT *, {kw} AS kw, {items('v')} AS its0 FROM semantic WHERE c IN ('PROBLEMS', 'SYMPTOMS')) y) z),
 both_kinds AS (SELECT 0 AS o, hadm_id, pos, sub_pos, cluster, keyword, value, {objective_ts} AS ts FROM top UNION ALL SELECT 1 AS o, * FROM ({semantic}) sem),
 clean AS (SELECT * FROM both_kinds QUALIFY row_number() OVER (PARTITION BY hadm_id, cluster, keyword, value, ts ORDER BY o, pos, sub_pos) = 1)"""
 
