@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -36,18 +37,38 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def scratch(df: DataFrame) -> DataFrame:
+_scopes: list[list[str]] = []
+
+
+def scratch(df: DataFrame, keep: bool = False) -> DataFrame:
     """Writes ``df`` below the shared folder and reads it back, which cuts the lineage.
 
-    The table survives the loss of executors. It is left in the shared folder, whose owner
-    empties it after the application.
+    The table survives the loss of executors. Inside a ``scratch_scope`` it is deleted at the end of
+    the scope, unless it is to be kept; other tables stay until the folder's owner empties it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/factweave-{uuid.uuid4().hex}"
+    if _scopes and not keep:
+        _scopes[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Deletes the scratch tables made inside, once what is made of them has been written and kept."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes.remove(made)
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in made:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+
+
 def _position(key, bits: int):
     return F.pmod(F.xxhash64(*key), F.lit(bits).cast("bigint"))
 
@@ -58,10 +79,10 @@ def key_bitmap(keys: DataFrame, cols: list[str], bits: int) -> DataFrame:
     return pos.groupBy(F.shiftright("_p", 6).alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("_p", F.lit(64)).cast("int"))).alias("_bits"))
 
 
-def flag_keys(big: DataFrame, keys: DataFrame, cols: list[str], key_cols: list[str] | None = None, bits: int = 1 << 24) -> DataFrame:
+def flag_keys(big: DataFrame, keys: DataFrame, cols: list[str], key_cols: list[str] | None = None, bits: int = 1 << 25) -> DataFrame:
     """Adds ``_hit``: false only if the row's key is certainly not in ``keys``.
 
-    The bitmap is the one thing that is broadcast, and its size is bounded by ``bits``: 262,144
+    The bitmap is the one thing that is broadcast, and its size is bounded by ``bits``: 524,288
     words by default. It saves shuffling rows that a later join would drop; that join stays exact,
     so a full bitmap costs time and never a row. Rows with a null key hash like any other value.
     """

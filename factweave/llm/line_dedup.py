@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import flag_keys, matching, packed, read, scratch, small_batches, spans, unpacked, utf8
+from .common import flag_keys, matching, packed, read, scratch, scratch_scope, small_batches, spans, unpacked, utf8
 from .links import bucket_edges, components, verified_links
 
 #: Characters of a shingle. Shorter ones are common to unrelated lines of a language, whose number of pairs grows with the square of the lines.
@@ -147,7 +147,8 @@ def dedup_lines(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
     pass unchanged and remove nothing. Rows equal in doc_id and text are one document and get equal
     results. Columns named n_lines and n_removed are replaced; all others pass unchanged.
     """
-    found = scratch(repeated_lines(docs))
+    with scratch_scope(docs.sparkSession):
+        found = scratch(repeated_lines(docs), keep=True)
     kept = docs.select(*[f"`{c}`" for c in docs.columns if c not in ("n_lines", "n_removed")])
     rows = packed(kept, "doc_id", "text").withColumn("_text", F.xxhash64("text"))
     flagged = flag_keys(rows, found, ["doc_id", "_text"])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import flag_keys, matching, packed, read, scratch, small_batches, spans, unpacked, utf8
+from .common import flag_keys, matching, packed, read, scratch, scratch_scope, small_batches, spans, unpacked, utf8
 from .links import bucket_edges, components, verified_links
 
 #: Two collections of so many band hashes, each of two minima. Each pair of hashes, one from either
@@ -66,6 +66,11 @@ def near_groups(docs: DataFrame, k: int = 5, num: int = NUM, den: int = DEN) ->
     have none and are components of their own. A null doc_id is linked with nothing: its component
     is null and it is kept. Repeated rows are results repeated. Other columns are ignored.
     """
+    with scratch_scope(docs.sparkSession):
+        return scratch(_near_groups(docs, k, num, den), keep=True)
+
+
+def _near_groups(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     rows = scratch(sketches(docs, k))
     sets = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     bands = [f"h{i}" for i in range(2 * COLLECTION)]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import flag_keys, matching, read, scratch, small_batches, spans, utf8
+from .common import flag_keys, matching, read, scratch, scratch_scope, small_batches, spans, utf8
 
 WINDOW = 50
 #: Words of a minimiser.
@@ -213,7 +213,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIM
     lose words nor cost others any. Rows of one doc_id are one document: windows that only they
     share stay, and each is judged by its own text. Other columns are ignored.
     """
-    found = scratch(repeat_spans(docs, window, minimiser))
+    with scratch_scope(docs.sparkSession):
+        found = scratch(repeat_spans(docs, window, minimiser), keep=True)
     rows = docs.select("doc_id", "text").withColumn("_text", F.xxhash64("text"))
     flagged = flag_keys(rows, found, ["doc_id", "_text"])
     none = F.lit(None).cast(found.schema["spans"].dataType)
