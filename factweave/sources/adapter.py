@@ -118,7 +118,7 @@ SELECT hadm_id, pos, CASE
   WHEN q % 5 = 0 THEN concat(keyword, '=not stated')
   WHEN q % 11 = 0 THEN 'Weight=not stated; SpO2=Not Stated'
   ELSE concat(keyword, '=', value) END AS line
-FROM ({FACTS}) f WHERE pos <= 40
+FROM ({FACTS}) f
 """
 
 #: (event and user tables) lines about use of care, one document per user.
