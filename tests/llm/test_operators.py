@@ -92,6 +92,13 @@ def test_lines_equal_brute_force(spark, sf, texts):
         assert got[i] == "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in sets or groups.find((i, n)) == (i, n))
 
 
+@pytest.mark.parametrize("size", [80, 100, 118])
+def test_lines_with_one_inner_edit_are_linked(spark, size):
+    line = "".join(chr(97 + int(x)) for x in np.random.default_rng(size).integers(0, 26, size))
+    docs = spark.createDataFrame([(1, line), (2, f"{line[: size // 2]}0{line[size // 2 + 1 :]}")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()} == {1: line, 2: ""}
+
+
 def test_packing_round_trip(spark, sf, texts):
     from tokenizers import Tokenizer
 
