@@ -13,8 +13,8 @@ from .links import bucket_edges, components, verified_links
 
 #: Characters of a shingle. Eight, since shorter ones are common to unrelated lines of a language.
 SHINGLE = 8
-#: Lines of fewer characters, with single spaces, are never linked: they repeat in any prose.
-LEAST = 16
+#: Lines of fewer characters, with single spaces, are never linked: only those without any.
+LEAST = 1
 #: Bands of three minima each; lines with a similarity of 0.8 share none with a chance of 8e-4, of 0.9 with 2e-6.
 BANDS, ROWS = 10, 3
 NUM, DEN = 8, 10
@@ -34,7 +34,8 @@ def line_shingles(data: np.ndarray, offs: np.ndarray, least: int = LEAST, k: int
     """Lines of each text (their count per text), and of each line its length, shingle hashes and fingerprint.
 
     Lines end at a line feed. A line is compared with A-Z lower-cased, runs of ASCII white space as
-    one space and none at its ends; its length is that of this form, in code points.
+    one space and none at its ends; its length is that of this form, in code points. A line shorter
+    than a shingle has itself as its one shingle, an empty one has none.
     """
     codes = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     at = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offs]
@@ -52,9 +53,9 @@ def line_shingles(data: np.ndarray, offs: np.ndarray, least: int = LEAST, k: int
     edge = np.searchsorted(line_of, np.arange(total + 1))
     a, b = word_at[edge[:-1]], word_at[edge[1:]] - 1
     length = np.maximum(b - a, 0)
-    full = np.flatnonzero(length >= max(least, k))
+    full = np.flatnonzero(length >= least)
     made = np.zeros(total, np.int64)
-    made[full] = length[full] - k + 1
+    made[full] = np.maximum(length[full] - k + 1, 1)
     after = np.concatenate([[0], np.cumsum(made)])
     symbols = _code_symbols()[joined]
     n = len(joined)
@@ -62,11 +63,14 @@ def line_shingles(data: np.ndarray, offs: np.ndarray, least: int = LEAST, k: int
     inverse = K.powers(n + 1, inverse=True)
     window = K.mix((sums[k:] - sums[:-k]) * inverse[: n + 1 - k]) if n >= k else np.zeros(0, np.uint64)
     where = np.arange(after[-1]) + np.repeat(a - after[:-1], made)
+    values = window[np.minimum(where, len(window) - 1)] if len(window) else np.zeros(len(where), np.uint64)
     prints = np.zeros((total, 2), np.uint64)
     prints[full, 0] = K.mix((sums[b[full]] - sums[a[full]]) * inverse[a[full]] + length[full].astype(np.uint64))
     second = np.concatenate([[np.uint64(0)], np.cumsum(K.mix(symbols + np.uint64(77)) * K.powers(n), dtype=np.uint64)])
     prints[full, 1] = K.mix((second[b[full]] - second[a[full]]) * inverse[a[full]])
-    return lines, length, window[where], after, prints
+    short = full[length[full] < k]
+    values[after[short]] = K.mix(prints[short, 0] + prints[short, 1])
+    return lines, length, values, after, prints
 
 
 def line_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -82,14 +86,17 @@ def line_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def line_sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, a hash of the text, line number, number of shingles, fingerprint and band hashes of the lines long enough."""
+    """doc_id, a hash of the text, line number, number of shingles, fingerprint and band hashes of the lines that are not empty.
+
+    Lines shorter than a shingle have null band hashes: they are similar to equal lines alone, which have one fingerprint.
+    """
     names = [f"h{i}" for i in range(BANDS)]
 
     def run(batches):
         for b in batches:
             data, offs = utf8(b.column("text"))
             for i, j in spans(offs, 1 << 18):
-                lines, _, values, after, prints = line_shingles(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                lines, length, values, after, prints = line_shingles(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 low = K.minima(values, after, BANDS * ROWS, 9)
                 bands = np.zeros((len(low), BANDS), np.uint64)
                 for k in range(BANDS):
@@ -99,7 +106,8 @@ def line_sketches(docs: DataFrame) -> DataFrame:
                 owner = np.repeat(np.arange(i, j), lines)
                 number = np.arange(len(owner)) - np.repeat(np.concatenate([[0], np.cumsum(lines)])[:-1], lines)
                 at = pa.array(owner[full])
-                longs = [np.ascontiguousarray(x[full]).view(np.int64) for x in (*prints.T, *bands.T)]
+                longs = [np.ascontiguousarray(x[full]).view(np.int64) for x in prints.T]
+                longs += [pa.array(np.ascontiguousarray(x[full]).view(np.int64), mask=length[full] < SHINGLE) for x in bands.T]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("_text").take(at), pa.array(number[full].astype(np.int32)), pa.array(np.diff(after)[full]), *map(pa.array, longs)], names=["doc_id", "_text", "line", "weight", "f0", "f1", *names])
 
     rows = docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("_text", F.xxhash64("text"))
@@ -114,7 +122,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     place = ["doc_id", "_text", "line"]
     # lines of a class have the same bands, so their minimum is just that value
     classes = scratch(rows.groupBy("f0", "f1").agg(F.min("row").alias("id"), F.count("*").alias("n"), F.min("weight").alias("weight"), *[F.min(h).alias(h) for h in bands]))
-    keys = classes.select("id", F.explode(F.array(*[F.xxhash64(h, F.lit(i)) for i, h in enumerate(bands)])).alias("key"))
+    keys = classes.filter("h0 IS NOT NULL").select("id", F.explode(F.array(*[F.xxhash64(h, F.lit(i)) for i, h in enumerate(bands)])).alias("key"))
     blocks = components(bucket_edges(keys)).select(F.col("node").alias("id"), F.col("component").alias("block"))
     spots = rows.select(F.col("row").alias("id"), *place, "weight")
     members = scratch(blocks.join(matching(spots, blocks, ["id"]), "id"))
@@ -140,7 +148,7 @@ def dedup_lines(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
 
     Lines are linked if their sets of 8-character shingles have a Jaccard similarity of at least
     0.8; of each component the line of the smallest doc_id, then smallest line number, stays. Lines
-    under 16 characters always stay. ``n_chars``, where there is one, becomes the new length.
+    under 8 characters are linked if they are equal, empty lines always stay. ``n_chars``, where there is one, becomes the new length.
     With ``drop_emptied`` documents that lose all but white space go; their lines are all kept elsewhere.
 
     Null texts stay null with no lines; an empty text has one empty line. Rows with a null doc_id

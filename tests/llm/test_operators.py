@@ -99,6 +99,20 @@ def test_lines_with_one_inner_edit_are_linked(spark, size):
     assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()} == {1: line, 2: ""}
 
 
+def test_equal_short_lines_are_repeats(spark, sf, texts):
+    docs = spark.createDataFrame([(1, "Les.\n\nx\ntwelve chars\nbcdefghijklmnop"), (2, "les. \n\n y\nTwelve  chars\nLes\nabcdefghijklmno")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()} == {1: "Les.\n\nx\ntwelve chars\nbcdefghijklmnop", 2: "\n y\nLes\nabcdefghijklmno"}
+    k, sets = line_dedup.SHINGLE, {}
+    for i, t in texts:
+        for n, x in enumerate(t.split("\n")):
+            if x := " ".join(WORD.findall(lower(x))):
+                sets[i, n] = frozenset(x[j : j + k] for j in range(max(len(x) - k, 0) + 1))
+    groups = linked(sets, 8, 10)
+    got = {r.doc_id: r.text for r in Q.QUERIES["op10_line_dedup"](spark, sf).collect()}
+    for i, t in texts:
+        assert got[i] == "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in sets or groups.find((i, n)) == (i, n))
+
+
 def test_packing_round_trip(spark, sf, texts):
     from tokenizers import Tokenizer
 
