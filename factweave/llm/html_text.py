@@ -25,6 +25,8 @@ FURNITURE = frozenset(
     " comment comments commentlist disqus respond reply replies share sharing social related recommended newsletter subscribe subscription signup login cookie cookies consent gdpr notice notices"
     " alert alerts popup modal overlay pagination pager widget skip copyright disclaimer feedback".split()
 )
+#: Those of what readers and other articles say, which may be longer than the article.
+TALK = frozenset("comment comments commentlist disqus respond reply replies related recommended".split())
 _HEADER_WORDS = frozenset(["header", "head", "top"])
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar toolbar alertdialog".split())
 _NEVER = frozenset(["html", "body", "article", "main"])
@@ -36,14 +38,17 @@ LEAST = 25
 _WORD = re.compile(r"[a-z0-9]+")
 
 
-def _furniture(tag: str, attrs: str, inside: bool) -> bool:
-    """inside: within an article or main element, where a header holds the headline."""
+def _furniture(tag: str, attrs: str, inside: bool) -> bool | frozenset:
+    """True if an element is furniture by itself, else the words of its names that say so.
+
+    inside: within an article or main element, where a header holds the headline.
+    """
     if tag in DROPPED:
         return True
     if tag == "header" and not inside:
         return True
     if not attrs or tag in ("html", "body"):
-        return False
+        return frozenset()
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")):
         return True
@@ -51,25 +56,22 @@ def _furniture(tag: str, attrs: str, inside: bool) -> bool:
         return True
     names = set(_WORD.findall(re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", f"{found.get('class', '')} {found.get('id', '')}").lower()))
     if tag in _NEVER:
-        return tag == "article" and bool(names & {"comment", "comments", "reply"})
-    return bool(names & FURNITURE) or (not inside and bool(names & _HEADER_WORDS) and tag not in _HEADING)
+        return frozenset(names & {"comment", "comments", "reply"} if tag == "article" else ())
+    return frozenset(names & (FURNITURE if inside or tag in _HEADING else FURNITURE | _HEADER_WORDS))
 
 
 def blocks(page: str):
-    """Parses a page. Nodes are (tag, parent, dropped, inside); blocks (node, text, length in links)."""
-    nodes = [("#", -1, False, False)]
+    """Parses a page. Nodes are (tag, parent, dropped, inside, furniture words); blocks (node, parts), parts (text, in a link, node)."""
+    nodes = [("#", -1, False, False, frozenset())]
     stack = [0]
-    out: list[tuple[int, str, int]] = []
-    parts: list[tuple[str, bool]] = []
+    out: list[tuple[int, list[tuple[str, bool, int]]]] = []
+    parts: list[tuple[str, bool, int]] = []
     links = 0
     owner = 0
 
     def flush():
         if parts:
-            text = " ".join(html.unescape("".join(p for p, _ in parts)).split())
-            if text:
-                linked = len(" ".join(html.unescape("".join(p for p, a in parts if a)).split()))
-                out.append((owner, text, linked))
+            out.append((owner, parts.copy()))
             parts.clear()
 
     def pop_to(depth):
@@ -98,7 +100,7 @@ def blocks(page: str):
         m = _TOKEN.search(page, at)
         text = page[at : m.start() if m else size]
         if text and not nodes[stack[-1]][2]:
-            parts.append((text, links > 0))
+            parts.append((text, links > 0, stack[-1]))
         if not m:
             break
         at = m.end()
@@ -108,12 +110,12 @@ def blocks(page: str):
         tag, ends, attrs = name.lower(), m[1] or m[4], m[3] or m[6] or ""
         if ends:
             if tag == "br":
-                parts.append((" ", links > 0))
+                parts.append((" ", links > 0, stack[-1]))
             elif tag not in VOID:
                 close({tag}, {"table"} if tag not in BLOCK and tag != "a" else ())
             continue
         if tag == "br" or tag == "wbr":
-            parts.append((" " if tag == "br" else "", links > 0))
+            parts.append((" " if tag == "br" else "", links > 0, stack[-1]))
             continue
         if tag in ("html", "body") and any(nodes[i][0] == tag for i in stack):
             continue
@@ -132,9 +134,9 @@ def blocks(page: str):
         if tag in VOID:
             continue
         parent = stack[-1]
-        _, _, dropped, inside = nodes[parent]
-        gone = dropped or _furniture(tag, attrs, inside)
-        nodes.append((tag, parent, gone, inside or tag in ("article", "main")))
+        _, _, dropped, inside, _ = nodes[parent]
+        found = _furniture(tag, attrs, inside)
+        nodes.append((tag, parent, dropped or found is True, inside or tag in ("article", "main"), frozenset() if found is True else found))
         if attrs.rstrip().endswith("/") and tag in ("svg", "math"):
             continue
         if tag in RAW:
@@ -151,11 +153,77 @@ def blocks(page: str):
     return nodes, out
 
 
+def _text(parts) -> str:
+    return " ".join(html.unescape("".join(p[0] for p in parts)).split())
+
+
+def _points(text: str, in_links: int) -> float:
+    """What a paragraph passes to its parent."""
+    return (1 + text.count(",") + text.count("，") + min(len(text) / 100, 3)) * (1 - in_links / len(text)) if len(text) >= LEAST else 0.0
+
+
+def _dead(nodes, found) -> list[bool]:
+    """Whether each node is in furniture by name.
+
+    An element with such a name is none if it holds the article: an article or main element, or more
+    than half of the page's points, while no other article stands. Elements with more points are
+    decided first. Comments and related articles need more than half of the points in any case,
+    and no points of others beside them unless they hold such an element.
+    """
+    named = [0] * len(nodes)
+    for i, (_, up, _, _, words) in enumerate(nodes):
+        named[i] = i if words else named[up] if i else 0
+    if any(named):
+        points, own = [0.0] * len(nodes), [0.0] * len(nodes)
+        for _, parts in found:
+            by_name = {}
+            for p in parts:
+                by_name.setdefault(named[p[2]], []).append(p)
+            for at, some in by_name.items():
+                text = _text(some)
+                gain = _points(text, len(_text([p for p in some if p[1]]))) if text else 0.0
+                own[at] += gain
+                up = at
+                while gain and up >= 0:
+                    points[up] += gain
+                    up = nodes[up][1]
+        bodies = {i: named[i] for i, n in enumerate(nodes) if n[0] in ("article", "main") and not n[2]}
+        holds = set()
+        for i in bodies:
+            while i > 0:
+                holds.add(i)
+                i = nodes[i][1]
+        stay, outside = {0}, own[0]
+        standing = {i for i, at in bodies.items() if not at}
+        for i in sorted({*named} - {0}, key=lambda i: (-points[i], i)):
+            up, around, free = nodes[i][1], set(), True
+            while up > 0:
+                around.add(up)
+                free &= not nodes[up][4] or up in stay
+                up = nodes[up][1]
+            most = 2 * points[i] > points[0]
+            talk = nodes[i][4] <= TALK
+            if free and not any(nodes[b][0] == "article" or b not in around for b in standing) and ((most or not talk) if i in holds else most and (not talk or not outside)):
+                stay.add(i)
+                outside += own[i]
+                standing |= {b for b, at in bodies.items() if at == i}
+    dead = [False] * len(nodes)
+    for i, (_, up, _, _, words) in enumerate(nodes):
+        dead[i] = i > 0 and (dead[up] or bool(words) and i not in stay)
+    return dead
+
+
 def main_text(page: str | None) -> str:
     """The article of a page: its blocks joined by an empty line; empty if there is none."""
     if not page:
         return ""
-    nodes, found = blocks(page)
+    nodes, raw = blocks(page)
+    dead = _dead(nodes, raw)
+    found = []
+    for node, parts in raw:
+        parts = [p for p in parts if not dead[p[2]]]
+        if text := _text(parts):
+            found.append((node, text, len(_text([p for p in parts if p[1]]))))
     if not found:
         return ""
     points = [0.0] * len(nodes)
@@ -169,8 +237,7 @@ def main_text(page: str | None) -> str:
             up = nodes[up][1]
         if len(text) < LEAST:
             continue
-        own = 1 + text.count(",") + text.count("，") + min(len(text) / 100, 3)
-        own *= 1 - in_links / len(text)
+        own = _points(text, in_links)
         up, share = (nodes[node][1] if nodes[node][0] in _LEAF else node), 1.0
         while up > 0:
             points[up] += own * share

@@ -217,6 +217,16 @@ def test_pages(spark, sf):
     assert len(got) == 50 and all(r.n_chars == len(r.text) and "track(" not in r.text and "&middot;" not in r.text for r in got)
 
 
+@pytest.mark.parametrize("names", ["class='layout has-sidebar'", "id='page' class='no-ads'", "class='post comments-open'"])
+@pytest.mark.parametrize("tag", ["article", "main", "section"])
+def test_wrappers_named_like_furniture_stay(names, tag):
+    own = "A first paragraph, with commas, and enough text to count. " * 3
+    page = f"<body><div {names}><{tag}><p>{own}</p><p>{own}</p></{tag}><div class=sidebar><p>Side text, some more of it, and more.</p></div></div></body>"
+    assert html_text.main_text(page) == "\n\n".join([own.strip()] * 2)
+    talk = f"<article><p>{own}</p></article><div class=comments><p>{own * 5}</p></div><section class=related><article><p>{own * 4}</p></article></section>"
+    assert html_text.main_text(f"<div {names}>{talk}</div>") == html_text.main_text(talk) == own.strip()
+
+
 def test_big_blocks_are_split_without_losing_links(spark):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 60, 60).astype(np.uint64)
