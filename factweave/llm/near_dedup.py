@@ -32,7 +32,7 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, set size, a 128-bit fingerprint of the set and the band hashes of both collections."""
+    """doc_id, a hash of the text, set size, a 128-bit fingerprint of the set and the band hashes of both collections."""
     names = [f"h{i}" for i in range(2 * COLLECTION)]
 
     def run(batches):
@@ -47,10 +47,10 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                 for m in range(MINIMA):
                     bands[:, i] = K.mix(bands[:, i] + low[:, i * MINIMA + m] + np.uint64(i + 1))
             sums = K.set_sums(values, after)
-            cols = [b.column("doc_id"), pa.array(np.diff(after)), *[pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (*sums.T, *bands.T)]]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "f0", "f1", *names])
+            cols = [b.column("doc_id"), b.column("_text"), pa.array(np.diff(after)), *[pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (*sums.T, *bands.T)]]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "_text", "n_shingles", "f0", "f1", *names])
 
-    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id bigint, n_shingles bigint, f0 bigint, f1 bigint, " + ", ".join(f"{n} bigint" for n in names))
+    return small_batches(docs.select("doc_id", "text", F.xxhash64("text").alias("_text"))).mapInArrow(run, "doc_id bigint, _text bigint, n_shingles bigint, f0 bigint, f1 bigint, " + ", ".join(f"{n} bigint" for n in names))
 
 
 def near_groups(docs: DataFrame, k: int = 5, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -64,42 +64,65 @@ def near_groups(docs: DataFrame, k: int = 5, num: int = NUM, den: int = DEN) ->
 
     Texts of fewer than k words have their whole sequence as one shingle; null and wordless texts
     have none and are components of their own. A null doc_id is linked with nothing: its component
-    is null and it is kept. Repeated rows are results repeated. Other columns are ignored.
+    is null and it is kept. Repeated rows are results repeated; different texts of one doc_id are
+    linked each on its own. Other columns are ignored.
     """
     with scratch_scope(docs.sparkSession):
-        return scratch(_near_groups(docs, k, num, den), keep=True)
+        return scratch(_near_groups(docs, k, num, den).drop("_text", "_group"), keep=True)
 
 
 def _near_groups(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    rows = scratch(sketches(docs, k))
+    """The rows of ``near_groups``, the hash of the text and _group, which tells components apart (null: linked with nothing)."""
+    # the written table fixes the row numbers
+    rows = scratch(sketches(docs, k).withColumn("row", F.monotonically_increasing_id()))
+    place = ["doc_id", "_text"]
     sets = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     bands = [f"h{i}" for i in range(2 * COLLECTION)]
     # members of a class have the same bands, so their minimum is just that value
-    classes = scratch(sets.groupBy("f0", "f1").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("weight"), *[F.min(h).alias(h) for h in bands]))
+    classes = scratch(sets.groupBy("f0", "f1").agg(F.min("row").alias("id"), F.min("doc_id").alias("low"), F.min("n_shingles").alias("weight"), *[F.min(h).alias(h) for h in bands]))
     one, other = F.array(*bands[:COLLECTION]), F.array(*bands[COLLECTION:])
     keys = classes.select("id", F.explode(F.flatten(F.transform(one, lambda a: F.transform(other, lambda b: F.xxhash64(a, b))))).alias("key"))
     blocks = components(bucket_edges(keys)).select(F.col("node").alias("id"), F.col("component").alias("block"))
-    members = scratch(blocks.join(classes.select("id", "weight"), "id"))
-    texts = docs.select(F.col("doc_id").alias("id"), "text").filter("id IS NOT NULL")
+    spots = sets.select(F.col("row").alias("id"), *place, F.col("n_shingles").alias("weight"))
+    members = scratch(blocks.join(matching(spots, blocks, ["id"]), "id"))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("_text")).filter("doc_id IS NOT NULL")
 
     def add_text(frame):
-        # a repeated doc_id gives repeated rows, which are equal sets or are told apart by nothing
-        return matching(texts, members, ["id"]).dropDuplicates(["id"]).join(frame, "id")
+        found = matching(texts, members, place).join(members.select("id", *place), place).select("id", "text")
+        return found.dropDuplicates(["id"]).join(frame, "id")
 
-    links = verified_links(members, add_text, lambda t: shingle_sets(t, k), num, den)
-    named = components(links).select(F.col("node").alias("rep"), "component")
-    groups = classes.select("f0", "f1", F.col("id").alias("rep")).join(named, "rep", "left").select("f0", "f1", F.coalesce("component", "rep").alias("component"))
-    linked = sets.join(groups, ["f0", "f1"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
-    alone = rows.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    links = verified_links(members.select("id", "block", "weight"), add_text, lambda t: shingle_sets(t, k), num, den)
+    named = scratch(components(links).select(F.col("node").alias("id"), "component"))
+    first = named.join(matching(classes.select("id", "low"), named, ["id"]), "id").groupBy("component").agg(F.min("low").alias("least"))
+    groups = classes.select("f0", "f1", "id", "low").join(named.join(first, "component"), "id", "left")
+    groups = groups.select("f0", "f1", F.coalesce("component", "id").alias("_group"), F.coalesce("least", "low").alias("component_id"))
+    linked = sets.join(groups, ["f0", "f1"]).select(*place, "n_shingles", "component_id", "_group")
+    alone = rows.filter("n_shingles = 0 OR doc_id IS NULL").select(*place, "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("bigint").alias("_group"))
+    return linked.unionByName(alone).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "_text", "_group")
 
 
 def near_dedup(docs: DataFrame, k: int = 5, num: int = NUM, den: int = DEN) -> DataFrame:
-    """``docs`` without the documents that are not kept; all columns pass unchanged."""
-    gone = scratch(near_groups(docs, k, num, den).filter("NOT kept").select("doc_id").distinct())
-    flagged = flag_keys(packed(docs, "doc_id"), gone, ["doc_id"])
-    rest = flagged.filter("_hit").join(gone, "doc_id", "left_anti")
-    both = flagged.filter("NOT _hit").select("_row").unionByName(rest.select("_row"))
+    """``docs`` with one row of each component; all columns pass unchanged.
+
+    Of several rows of the smallest doc_id that of the smallest text hash stays, of equal ones any.
+    Rows with a null doc_id and those without words all stay.
+    """
+    place = ["doc_id", "_text"]
+    with scratch_scope(docs.sparkSession):
+        groups = scratch(_near_groups(docs, k, num, den).filter("_group IS NOT NULL"))
+        several = scratch(groups.filter("kept").groupBy("_group").agg(F.min("doc_id").alias("doc_id"), F.min("_text").alias("_text"), F.count("*").alias("n")).filter("n > 1"))
+        others = matching(groups.filter("kept"), several, ["_group"]).select(*place, "_group").join(several.select("_group", F.col("_text").alias("_keep")), "_group").filter("_text <> _keep")
+        gone = scratch(groups.filter("NOT kept").select(*place).unionByName(others.select(*place)).distinct(), keep=True)
+        once = scratch(several.select(*place), keep=True)
+    rows = packed(docs, "doc_id", "text").withColumn("_text", F.xxhash64("text")).drop("text")
+    flagged = flag_keys(rows, gone, place)
+    rest = flagged.filter("_hit").join(gone, place, "left_anti")
+    both = flagged.filter("NOT _hit").select(*place, "_row").unionByName(rest.select(*place, "_row"))
+    if not once.isEmpty():
+        flagged = flag_keys(both, once, place)
+        alike = flagged.filter("_hit").join(once.withColumn("_once", F.lit(True)), place, "left")
+        one = alike.filter("_once").select(*place, "_row").dropDuplicates(place)
+        both = flagged.filter("NOT _hit").select("_row").unionByName(alike.filter("_once IS NULL").select("_row")).unionByName(one.select("_row"))
     return both.select(*unpacked(both))
 
 

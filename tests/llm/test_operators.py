@@ -63,6 +63,17 @@ def test_near_groups_equal_brute_force(spark, sf, texts):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
 
 
+def test_near_texts_of_one_id_are_linked_apart(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(100)) for c in "ab")
+    docs = spark.createDataFrame([(1, a), (1, b), (2, f"{a} tail"), (3, f"{b} tail"), (4, a), (5, "c d e f g"), (5, "c d e f g"), (6, f"{a} {b}"), (None, a), (None, a), (7, ""), (7, "")], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in near_dedup.near_groups(docs).collect())
+    assert got == [(0, 0, True)] * 2 + [(1, 1, True)] * 2 + [(2, 1, False), (3, 1, False), (4, 1, False)] + [(5, 5, True)] * 2 + [(6, 6, True)] + [(7, 7, True)] * 2
+    left = sorted((r.doc_id or 0, r.text) for r in near_dedup.near_dedup(docs).collect())
+    assert left == [(0, a), (0, a), (1, a), (1, b), (5, "c d e f g"), (6, f"{a} {b}"), (7, ""), (7, "")]
+    same = spark.createDataFrame([(1, a), (1, f"{a} tail"), (2, a)], "doc_id long, text string")
+    assert [r.doc_id for r in near_dedup.near_dedup(same).collect()] == [1]
+
+
 def test_substrings_equal_brute_force(spark, sf, texts):
     first = {}
     words = {i: WORD.findall(t) for i, t in texts}
