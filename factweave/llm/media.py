@@ -63,21 +63,68 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     return raw.astype(np.uint8) if most == 255 else (raw.astype(np.int64) * 255 // most).astype(np.uint8)
 
 
+def _runs(data: bytes, at: int, wide: int, rows: int, depth: int) -> np.ndarray:
+    """Palette indices of an RLE4 or RLE8 bitmap, bottom row first; places left out are 0."""
+    out = np.zeros((rows, wide), np.uint8)
+    x = y = 0
+
+    def put(values):
+        nonlocal x
+        if y >= rows or x + len(values) > wide + (depth == 4):
+            raise ValueError("broken bitmap")
+        values = values[: wide - x]
+        out[y, x : x + len(values)] = values
+        x += len(values)
+
+    while True:
+        n, value = data[at], data[at + 1]
+        at += 2
+        if n:
+            put([value] * n if depth == 8 else [value >> 4 if k % 2 == 0 else value & 15 for k in range(n)])
+        elif value == 0:
+            x, y = 0, y + 1
+        elif value == 1:
+            return out
+        elif value == 2:
+            x, y = x + data[at], y + data[at + 1]
+            at += 2
+        else:
+            size = value if depth == 8 else (value + 1) // 2
+            own = data[at : at + size]
+            if len(own) < size:
+                raise ValueError("broken bitmap")
+            put(list(own) if depth == 8 else [own[k // 2] >> 4 if k % 2 == 0 else own[k // 2] & 15 for k in range(value)])
+            at += size + size % 2
+
+
 def decode_bmp(data: bytes) -> np.ndarray:
-    """Uncompressed bitmaps of 8 (palette), 24 and 32 bits."""
+    """Bitmaps of 1, 4 and 8 (palette, RLE4, RLE8), 16, 24 and 32 bits, with colour masks if they have any."""
     start, head, wide, high, _, depth, packed = struct.unpack_from("<I I i i H H I", data, 10)
-    if packed not in (0, 3) or depth not in (8, 24, 32):
+    if depth not in (1, 4, 8, 16, 24, 32) or packed not in {4: (0, 2), 8: (0, 1), 16: (0, 3, 6), 32: (0, 3, 6)}.get(depth, (0,)) or wide <= 0 or not high:
         raise ValueError("unsupported bitmap")
-    rows, each = abs(high), depth // 8
-    row = (wide * each + 3) // 4 * 4
-    raw = np.frombuffer(data, np.uint8, row * rows, start).reshape(rows, row)[:, : wide * each].reshape(rows, wide, each)
-    if depth == 8:
-        colours = (start - 14 - head) // 4
+    rows = abs(high)
+    if packed in (1, 2):
+        raw = _runs(data, start, wide, rows, depth)
+    else:
+        row = (wide * depth + 31) // 32 * 4
+        raw = np.frombuffer(data, np.uint8, row * rows, start).reshape(rows, row)
+    if depth <= 8:
+        if packed == 0 and depth < 8:
+            bits = np.unpackbits(raw, axis=1).reshape(rows, -1, depth)
+            raw = (bits * (1 << np.arange(depth)[::-1])).sum(axis=2).astype(np.uint8)
+        colours = min(struct.unpack_from("<I", data, 46)[0] or 1 << depth, 256, (start - 14 - head) // 4)
         table = np.zeros((256, 3), np.uint8)
         table[:colours] = np.frombuffer(data, np.uint8, 4 * colours, 14 + head).reshape(-1, 4)[:, 2::-1]
-        raw = table[raw[:, :, 0]]
+        raw = table[raw[:, :wide]]
+    elif packed or depth == 16:
+        masks = struct.unpack_from("<3I", data, 54) if packed else (0x7C00, 0x3E0, 0x1F)
+        pixels = np.ascontiguousarray(raw[:, : wide * depth // 8]).view(f"<u{depth // 8}").astype(np.int64)
+        if not all(masks):
+            raise ValueError("broken masks")
+        low = [m & -m for m in masks]
+        raw = np.stack([(((pixels & m) // s) * 255 + m // s // 2) // (m // s) for m, s in zip(masks, low, strict=True)], axis=2).astype(np.uint8)
     else:
-        raw = raw[:, :, 2::-1]
+        raw = raw[:, : wide * depth // 8].reshape(rows, wide, depth // 8)[:, :, 2::-1]
     return raw if high < 0 else raw[::-1]
 
 
@@ -133,7 +180,7 @@ def media_columns(df: DataFrame, column: str = "media", tile: int = TILE) -> Dat
         try:
             image = decode(data or b"")
             return (*image.shape, npy(area_resize(image, tile, tile)), difference_hash(image), None)
-        except (ValueError, struct.error, IndexError) as e:
+        except (ValueError, struct.error, IndexError, MemoryError) as e:
             return None, None, None, None, None, str(e) or "broken"
 
     def run(batches):

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import struct
 import zlib
 from collections import defaultdict
 
@@ -213,6 +214,23 @@ def test_media_formats(spark):
     assert all(got[i].error and got[i].tile is None for i in (6, 7, 8, 9)) and not got[0].error
 
 
+def test_bitmap_kinds():
+    def bmp(depth, packed, body, extra=b"", wide=2, high=2):
+        head = struct.pack("<IiiHHIIiiII", 40, wide, high, 1, depth, packed, 0, 0, 0, 0, 0)
+        return b"BM" + struct.pack("<III", 0, 0, 54 + len(extra)) + head + extra + body
+
+    table = b"".join(bytes([3 * i, 2 * i, i, 0]) for i in range(16))
+    cells = lambda image: image[:, :, 0].tolist()
+    assert cells(media.decode(bmp(1, 0, b"\x40\0\0\0\x80\0\0\0", table[:8]))) == [[1, 0], [0, 1]]
+    assert cells(media.decode(bmp(4, 0, b"\x12\0\0\0\x34\0\0\0", table))) == [[3, 4], [1, 2]]
+    assert cells(media.decode(bmp(8, 1, b"\2\5\0\0\1\7\1\6\0\1", table))) == [[7, 6], [5, 5]]
+    assert cells(media.decode(bmp(8, 1, b"\0\3\1\2\3\0\0\0\0\2\2\0\1\4\0\1", table, wide=3))) == [[0, 0, 4], [1, 2, 3]]
+    assert cells(media.decode(bmp(4, 2, b"\2\x12\0\0\2\x34\0\1", table))) == [[3, 4], [1, 2]]
+    assert media.decode(bmp(16, 0, b"\0\x7c\xe0\3\x1f\0\xff\x7f")).tolist() == [[[0, 0, 255], [255] * 3], [[255, 0, 0], [0, 255, 0]]]
+    assert media.decode(bmp(16, 3, b"\0\xf8\xe0\7\x1f\0\0\0", struct.pack("<3I", 0xF800, 0x7E0, 0x1F))).tolist() == [[[0, 0, 255], [0] * 3], [[255, 0, 0], [0, 255, 0]]]
+    assert media.decode(bmp(32, 3, b"\1\2\3\0" * 4, struct.pack("<3I", 255, 255 << 8, 255 << 16)))[0, 0].tolist() == [1, 2, 3]
+
+
 def test_area_resize_keeps_means():
     image = np.random.default_rng(1).integers(0, 256, (37, 53, 1)).astype(np.uint8)
     assert abs(float(media.area_resize(image, 5, 7).mean()) - float(image.mean())) < 1
