@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -29,44 +31,80 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none."""
+    """The folder all executors share; one of our own only in local mode, where the session names none.
+
+    On a cluster a folder that only the driver sees would give empty tables, so its lack is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="factweave-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-_scopes: list[list[str]] = []
+#: The scratch tables of the innermost scope of a thread.
+_scope: ContextVar[list[str] | None] = ContextVar("scratch_scope", default=None)
+
+
+def _place(spark: SparkSession, path: str):
+    """The folder's file system and its path there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
 def scratch(df: DataFrame, keep: bool = False) -> DataFrame:
     """Writes ``df`` below the shared folder and reads it back, which cuts the lineage.
 
     The table survives the loss of executors. Inside a ``scratch_scope`` it is deleted at the end of
-    the scope, unless it is to be kept; other tables stay until the folder's owner empties it.
+    the scope, unless it is to be kept; other tables are deleted when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/factweave-{uuid.uuid4().hex}"
-    if _scopes and not keep:
-        _scopes[-1].append(path)
+    made = _scope.get()
+    if made is not None and not keep:
+        made.append(path)
     df.write.option("compression", "zstd").parquet(path)
+    if made is None or keep:
+        system, place = _place(spark, path)
+        system.deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def scratch_scope(spark: SparkSession):
-    """Deletes the scratch tables made inside, once what is made of them has been written and kept."""
+    """Deletes the scratch tables made inside, once what is made of them has been written and kept.
+
+    Scopes belong to the thread that opens them, so queries in other threads keep their tables.
+    """
     made: list[str] = []
-    _scopes.append(made)
+    before = _scope.set(made)
     try:
         yield
     finally:
-        _scopes.remove(made)
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        _scope.reset(before)
         for path in made:
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(conf).delete(place, True)
+            system, place = _place(spark, path)
+            system.delete(place, True)
+
+
+#: Of the keys that more rows than this have, at most so many, the most frequent ones, are joined apart.
+HOT_ROWS, HOT_KEYS = 1000, 1000
+
+
+def spread_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Joins ``big`` with ``small``, which is unique by ``on`` and counts in ``n`` the rows of ``big`` with a key.
+
+    Rows of the most frequent keys are not shuffled: at most ``HOT_KEYS`` keys, of more than
+    ``HOT_ROWS`` rows, are broadcast to them. No other key has more than a thousandth of all rows.
+    ``small`` should be a written table, since it is read twice; ``n`` goes to the result.
+    """
+    hot = scratch(small.filter(F.col("n") > HOT_ROWS).orderBy(F.desc("n")).limit(HOT_KEYS))
+    if hot.isEmpty():
+        return big.join(small, on, how)
+    rest = big.join(F.broadcast(hot.select(*on)), on, "left_anti").join(small, on, how)
+    return big.join(F.broadcast(hot), on).unionByName(rest)
 
 
 def _position(key, bits: int):

@@ -6,19 +6,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import flag_keys, matching, packed, read, scratch, scratch_scope, small_batches, spans, unpacked, utf8
-from .links import bucket_edges, components, verified_links
+from .common import flag_keys, list_column, matching, read, scratch, scratch_scope, small_batches, spans, spread_join, utf8
+from .links import linked_components
 
 #: Characters of a shingle. Eight, since shorter ones are common to unrelated lines of a language.
 SHINGLE = 8
-#: Lines of fewer characters, with single spaces, are never linked: only those without any.
-LEAST = 1
 #: Bands of three minima each; lines with a similarity of 0.8 share none with a chance of 8e-4, of 0.9 with 2e-6.
 BANDS, ROWS = 10, 3
 NUM, DEN = 8, 10
 NEWLINE = 10
+#: What makes a class of equal lines: two hashes of the compared form and its number of shingles.
+CLASS = ["f0", "f1", "weight"]
+#: Where a line is: a document, by its identifier and a hash of its text, and the line's number.
+PLACE = ["doc_id", "_text", "line"]
 
 _SPACES = np.concatenate([K.SPACE, [False]])
 _symbols: list[np.ndarray] = []
@@ -30,7 +33,7 @@ def _code_symbols() -> np.ndarray:
     return _symbols[0]
 
 
-def line_shingles(data: np.ndarray, offs: np.ndarray, least: int = LEAST, k: int = SHINGLE):
+def line_shingles(data: np.ndarray, offs: np.ndarray, k: int = SHINGLE):
     """Lines of each text (their count per text), and of each line its length, shingle hashes and fingerprint.
 
     Lines end at a line feed. A line is compared with A-Z lower-cased, runs of ASCII white space as
@@ -53,7 +56,7 @@ def line_shingles(data: np.ndarray, offs: np.ndarray, least: int = LEAST, k: int
     edge = np.searchsorted(line_of, np.arange(total + 1))
     a, b = word_at[edge[:-1]], word_at[edge[1:]] - 1
     length = np.maximum(b - a, 0)
-    full = np.flatnonzero(length >= least)
+    full = np.flatnonzero(length > 0)
     made = np.zeros(total, np.int64)
     made[full] = np.maximum(length[full] - k + 1, 1)
     after = np.concatenate([[0], np.cumsum(made)])
@@ -88,9 +91,8 @@ def line_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def line_sketches(docs: DataFrame) -> DataFrame:
     """doc_id, a hash of the text, line number, number of shingles, fingerprint and band hashes of the lines that are not empty.
 
-    Lines shorter than a shingle have null band hashes: they are similar to equal lines alone, which have one fingerprint.
+    Lines shorter than a shingle have no band hashes: they are similar to equal lines alone, which have one fingerprint.
     """
-    names = [f"h{i}" for i in range(BANDS)]
 
     def run(batches):
         for b in batches:
@@ -106,40 +108,41 @@ def line_sketches(docs: DataFrame) -> DataFrame:
                 owner = np.repeat(np.arange(i, j), lines)
                 number = np.arange(len(owner)) - np.repeat(np.concatenate([[0], np.cumsum(lines)])[:-1], lines)
                 at = pa.array(owner[full])
-                longs = [np.ascontiguousarray(x[full]).view(np.int64) for x in prints.T]
-                longs += [pa.array(np.ascontiguousarray(x[full]).view(np.int64), mask=length[full] < SHINGLE) for x in bands.T]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("_text").take(at), pa.array(number[full].astype(np.int32)), pa.array(np.diff(after)[full]), *map(pa.array, longs)], names=["doc_id", "_text", "line", "weight", "f0", "f1", *names])
+                longs = [pa.array(np.ascontiguousarray(x[full]).view(np.int64)) for x in prints.T]
+                some = length[full] >= SHINGLE
+                keys = list_column(bands[full][some])
+                keys = keys.take(pa.array(np.cumsum(some) - 1, mask=~some))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("_text").take(at), pa.array(number[full].astype(np.int32)), pa.array(np.diff(after)[full].astype(np.int32)), *longs, keys], names=[*PLACE, "weight", "f0", "f1", "bands"])
 
     rows = docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("_text", F.xxhash64("text"))
-    return small_batches(rows).mapInArrow(run, "doc_id bigint, _text bigint, line int, weight bigint, f0 bigint, f1 bigint, " + ", ".join(f"{n} bigint" for n in names))
+    return small_batches(rows).mapInArrow(run, "doc_id bigint, _text bigint, line int, weight int, f0 bigint, f1 bigint, bands array<bigint>")
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
+def line_groups(docs: DataFrame) -> DataFrame:
     """doc_id, the text's hash and ``gone``, the numbers of the lines to remove."""
-    # the written table fixes the row numbers
+    # the written table fixes the row numbers; a class of equal lines is named by its first row
     rows = scratch(line_sketches(docs).withColumn("row", F.monotonically_increasing_id()))
-    bands = [f"h{i}" for i in range(BANDS)]
-    place = ["doc_id", "_text", "line"]
-    # lines of a class have the same bands, so their minimum is just that value
-    classes = scratch(rows.groupBy("f0", "f1").agg(F.min("row").alias("id"), F.count("*").alias("n"), F.min("weight").alias("weight"), *[F.min(h).alias(h) for h in bands]))
-    keys = classes.filter("h0 IS NOT NULL").select("id", F.explode(F.array(*[F.xxhash64(h, F.lit(i)) for i, h in enumerate(bands)])).alias("key"))
-    blocks = components(bucket_edges(keys)).select(F.col("node").alias("id"), F.col("component").alias("block"))
-    spots = rows.select(F.col("row").alias("id"), *place, "weight")
-    members = scratch(blocks.join(matching(spots, blocks, ["id"]), "id"))
+    again = scratch(rows.groupBy(*CLASS).agg(F.min("row").alias("id"), F.count("*").alias("n")).filter("n > 1"))
+    flagged = flag_keys(rows.filter("bands IS NOT NULL").select("row", "bands", *CLASS), again, CLASS)
+    heads = flagged.filter("NOT _hit").select("row", "weight", "bands")
+    heads = heads.unionByName(spread_join(flagged.filter("_hit").drop("_hit"), again, CLASS, "left").filter("id IS NULL OR id = row").select("row", "weight", "bands"))
+    keys = heads.select(F.col("row").alias("id"), "weight", F.posexplode("bands").alias("_i", "_h")).select("id", "weight", F.xxhash64("_h", "_i").alias("key"))
     texts = docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("_text", F.xxhash64("text"))
 
     def add_text(frame):
-        lines = matching(texts, members, place[:2]).select(*place[:2], F.posexplode(F.split("text", "\n")).alias("line", "text"))
-        return matching(lines, members, place).join(members.select("id", *place), place).select("id", "text").dropDuplicates(["id"]).join(frame, "id")
-
-    links = verified_links(members.select("id", "block", "weight"), add_text, line_sets, NUM, DEN)
-    named = scratch(components(links).select(F.col("node").alias("id"), "component"))
-    heads = flag_keys(classes.select("id", "f0", "f1", "n"), named, ["id"]).filter("_hit OR n > 1").join(named, "id", "left").filter("n > 1 OR component IS NOT NULL")
-    heads = heads.select("f0", "f1", F.coalesce("component", "id").alias("component"))
-    alike = matching(rows.select(*place, "f0", "f1"), heads, ["f0", "f1"]).join(heads, ["f0", "f1"]).select(*place, "component")
-    alike = scratch(alike)
-    keep = alike.groupBy("component").agg(F.min(F.struct(*place)).alias("keep"))
-    gone = alike.join(keep, "component").filter(F.struct(*place) != F.col("keep"))
+        ids = frame.select("id").distinct()
+        spots = scratch(matching(rows.select(F.col("row").alias("id"), *PLACE), ids, ["id"]).join(ids, "id"))
+        lines = matching(texts, spots, PLACE[:2]).select(*PLACE[:2], F.posexplode(F.split("text", "\n")).alias("line", "text"))
+        return matching(lines, spots, PLACE).join(spots, PLACE).select("id", "text").dropDuplicates(["id"]).join(frame, "id")
+
+    named = linked_components(keys, rows.count() * BANDS, add_text, line_sets, NUM, DEN).withColumnRenamed("node", "id")
+    # lines of classes with several, and the linked ones that are alone in their class
+    groups = scratch(again.join(named, "id", "left").select(*CLASS, "n", F.coalesce("component", "id").alias("group")))
+    several = spread_join(matching(rows.select(*PLACE, *CLASS), again, CLASS), groups, CLASS).select(*PLACE, "group")
+    single = matching(rows.select(F.col("row").alias("id"), *PLACE), named, ["id"]).join(named, "id").join(again.select("id"), "id", "left_anti")
+    alike = scratch(several.unionByName(single.select(*PLACE, F.col("component").alias("group"))))
+    first = scratch(alike.groupBy("group").agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("n")))
+    gone = spread_join(alike, first, ["group"]).filter(F.struct(*PLACE) != F.col("first"))
     return gone.groupBy("doc_id", "_text").agg(F.collect_set("line").alias("gone"))
 
 
@@ -148,30 +151,47 @@ def dedup_lines(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
 
     Lines are linked if their sets of 8-character shingles have a Jaccard similarity of at least
     0.8; of each component the line of the smallest doc_id, then smallest line number, stays. Lines
-    under 8 characters are linked if they are equal, empty lines always stay. ``n_chars``, where there is one, becomes the new length.
-    With ``drop_emptied`` documents that lose all but white space go; their lines are all kept elsewhere.
+    under 8 characters are linked if they are equal; empty lines always stay. ``n_chars``, where
+    there is one, becomes the new length. With ``drop_emptied`` documents that lose all but white
+    space go; their lines are all kept elsewhere.
 
     Null texts stay null with no lines; an empty text has one empty line. Rows with a null doc_id
-    pass unchanged and remove nothing. Rows equal in doc_id and text are one document and get equal
-    results. Columns named n_lines and n_removed are replaced; all others pass unchanged.
+    pass unchanged and remove nothing; a doc_id is a long. Rows equal in doc_id and text are one
+    document and get equal results. Columns named n_lines and n_removed are replaced; all others
+    pass unchanged.
     """
     with scratch_scope(docs.sparkSession):
-        found = scratch(repeated_lines(docs), keep=True)
-    kept = docs.select(*[f"`{c}`" for c in docs.columns if c not in ("n_lines", "n_removed")])
-    rows = packed(kept, "doc_id", "text").withColumn("_text", F.xxhash64("text"))
+        found = scratch(line_groups(docs), keep=True)
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).alias("n_lines")
+    rest = F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("_row")
+    rows = docs.select(rest, "doc_id", "text").withColumn("_text", F.xxhash64("text"))
     flagged = flag_keys(rows, found, ["doc_id", "_text"])
-    lines = F.split("text", "\n")
-    count = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
-    changed = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
-    same = flagged.filter("NOT _hit").select(*unpacked(flagged), count.alias("n_lines"), F.lit(0).alias("n_removed"))
-    both = flagged.filter("_hit").join(found, ["doc_id", "_text"], "left")
-    both = both.select("_row", count.alias("_lines"), F.coalesce(F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")), F.lit(0)).alias("_removed"), F.when(F.col("gone").isNull(), F.col("text")).otherwise(changed).alias("_new"))
+    met = flagged.filter("_hit").join(found, ["doc_id", "_text"], "left").select("_row", "text", "gone")
+
+    def cut(batches):
+        for b in batches:
+            texts, removed = [], []
+            for text, gone in zip(b.column("text"), b.column("gone"), strict=True):
+                text, gone = text.as_py(), frozenset(gone.as_py() or ())
+                texts.append("\n".join([x for i, x in enumerate(text.split("\n")) if i not in gone]) if gone else text)
+                removed.append(len(gone))
+            yield pa.RecordBatch.from_arrays([b.column("_row"), b.column("text"), pa.array(texts, pa.string()), pa.array(removed, pa.int32())], names=["_row", "text", "_new", "n_removed"])
+
+    changed = small_batches(met).mapInArrow(cut, T.StructType([met.schema["_row"], met.schema["text"], T.StructField("_new", T.StringType()), T.StructField("n_removed", T.IntegerType())]))
     if drop_emptied:
-        both = both.filter((F.col("_removed") == 0) | F.col("_new").rlike(r"\S"))
-    new = {"text": F.col("_new")}
-    if "n_chars" in kept.columns:
-        new["n_chars"] = F.when(F.col("_removed") > 0, F.length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
-    return same.unionByName(both.select(*unpacked(both, **new), F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed")))
+        changed = changed.filter((F.col("n_removed") == 0) | F.col("_new").rlike(r"\S"))
+    length = docs.schema["n_chars"].dataType if "n_chars" in names else None
+
+    def columns(text, removed):
+        field = lambda c: F.col("_row").getField(c)
+        new = {"text": text}
+        if length is not None:
+            new["n_chars"] = field("n_chars") if removed is None else F.when(removed > 0, F.length(text).cast(length)).otherwise(field("n_chars"))
+        return [(new[c] if c in new else field(c)).alias(c) for c in names]
+
+    same = flagged.filter("NOT _hit").select(*columns(F.col("text"), None), lines, F.lit(0).alias("n_removed"))
+    return same.unionByName(changed.select(*columns(F.col("_new"), F.col("n_removed")), lines, "n_removed"))
 
 
 def op10_line_dedup(spark, sf_dir):

@@ -1,4 +1,4 @@
-"""Connected components and verified links inside candidate blocks."""
+"""Candidate pairs of shared keys, links verified on full sets, and connected components."""
 
 from __future__ import annotations
 
@@ -6,11 +6,18 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import matching, scratch, small_batches
+from . import kernels as K
+from .common import HOT_KEYS, HOT_ROWS, scratch, small_batches, spread_join
 
+#: Keys that one task sorts, about.
+TASK_KEYS = 1 << 20
+#: Every so-many-th member of a bucket is counted to find the hot keys.
+HOT_STEP = 16
+#: Tasks that the members of one bucket may be compared with its leader in.
+LEADER_PARTS = 1024
 #: Set members that one verification task holds at most, unless one text alone has more.
 TASK_MEMBERS = 4_000_000
 #: Bytes of texts that a worker gathers before it links the groups among them.
@@ -19,42 +26,163 @@ FLUSH_BYTES = 2 << 20
 EDGES_PER_FILE = 250_000
 
 
+def _with_least(edges: DataFrame, hot: bool) -> tuple[DataFrame, DataFrame]:
+    """Edges (u, v) with the smallest v of each u as m, and the table of these."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    if not hot:
+        return edges.join(least.drop("n"), "u"), least
+    least = scratch(least)
+    return spread_join(edges, least, ["u"]), least
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b), the component named by its smallest node.
 
     Alternates large-star and small-star rounds; each is a partially aggregated minimum and an
-    equi-join, so hubs are spread by partial aggregation and by the skew handling of joins. Each
-    round's edges are written to the shared folder. Nodes are longs.
+    equi-join, in which the rows of hubs are not shuffled. Each round's edges are written to the
+    shared folder. Nodes are longs.
     """
     now = scratch(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    files = None
     while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        roots = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(roots, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(roots.select("u", F.col("m").alias("v"))).distinct()
-        now = scratch(small.coalesce(files) if files else small)
         # done when each node has one edge and none leads on
         ends = now.select("u", F.lit(1).alias("out")).unionByName(now.select(F.col("v").alias("u"), F.lit(0).alias("out")))
-        nodes = ends.groupBy("u").agg(F.sum("out").alias("outs"), F.min("out").alias("least"))
-        loose, rows = nodes.agg(F.count_if((F.col("outs") > 1) | ((F.col("outs") == 1) & (F.col("least") == 0))), F.sum("outs")).first()
+        nodes = ends.groupBy("u").agg(F.sum("out").alias("outs"), F.min("out").alias("least"), F.count("*").alias("n"))
+        loose, rows, most = nodes.agg(F.count_if((F.col("outs") > 1) | ((F.col("outs") == 1) & (F.col("least") == 0))), F.sum("outs"), F.max("n")).first()
         if not loose:
             break
+        hot = most > HOT_ROWS
+        met, _ = _with_least(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), hot)
+        large = met.filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        large = scratch(large) if hot else large
+        met, roots = _with_least(large, hot)
+        small = met.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(roots.select("u", F.col("m").alias("v"))).distinct()
         # a round's edges are as many as the last one's or fewer, so its files need not be as many as its tasks
-        files = max(8, rows // EDGES_PER_FILE)
+        now = scratch(small.coalesce(max(8, rows // EDGES_PER_FILE)))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def bucket_edges(keys: DataFrame) -> DataFrame:
-    """Edges from the smallest id of each bucket to its other members; ``keys`` has (id, key).
+def bucket_stars(keys: DataFrame, total: int, near: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of the smallest id of each bucket and another member, with their weights.
+
+    ``keys`` has (id, weight, key), ``total`` rows about. ``bucket`` names the member set of a bucket
+    of three and more; of smaller ones only pairs whose weights allow a similarity of ``near`` stay.
+    Keys are shuffled once and sorted in tasks of ``TASK_KEYS`` of them. The most frequent keys, at
+    most ``HOT_KEYS``, are found by counting one of ``HOT_STEP`` members; their smallest ids are
+    broadcast, and their rows are not shuffled.
+    """
+    num, den = near
+    hot = keys.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(HOT_STEP)) == 0).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_ROWS // HOT_STEP)
+    hot = scratch(hot.orderBy(F.desc("n")).limit(HOT_KEYS).select("key"))
+    some = not hot.isEmpty()
+    cold = keys.join(F.broadcast(hot), "key", "left_anti") if some else keys
+
+    def run(batches):
+        held = [(b.column("key").to_numpy(), b.column("id").to_numpy(), b.column("weight").to_numpy()) for b in batches]
+        if not held:
+            return
+        key, ids, weight = (np.concatenate([h[k] for h in held]) for k in range(3))
+        order = np.argsort(key, kind="stable")
+        same = key[order][1:] == key[order][:-1]
+        order = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+        order = order[np.lexsort((ids[order], key[order]))]
+        key, ids, weight = key[order], ids[order], weight[order].astype(np.int64)
+        if not len(key):
+            return
+        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        n = np.diff(np.append(begin, len(key)))
+        lead = np.repeat(begin, n)
+        name = K.mix(np.add.reduceat(K.mix(ids.view(np.uint64)), begin) + n.astype(np.uint64)).view(np.int64)
+        large = np.repeat(n > 2, n)
+        low, high = np.minimum(weight, weight[lead]), np.maximum(weight, weight[lead])
+        pick = (np.arange(len(key)) != lead) & (large | (den * low >= num * high))
+        bucket = pa.array(np.repeat(name, n)[pick], mask=~large[pick])
+        made = pa.table({"bucket": bucket, "a": ids[lead][pick], "b": ids[pick], "wa": weight[lead][pick], "wb": weight[pick]})
+        yield from made.group_by(made.column_names).aggregate([]).to_batches()
+
+    schema = "bucket bigint, a bigint, b bigint, wa bigint, wb bigint"
+    dealt = cold.select("key", "id", F.col("weight").cast("int").alias("weight")).repartition(max(8, -(-total // TASK_KEYS)), "key")
+    stars = small_batches(dealt).mapInArrow(run, schema)
+    if some:
+        rows = keys.join(F.broadcast(hot), "key")
+        lead = scratch(rows.groupBy("key").agg(F.min(F.struct("id", "weight")).alias("lead"))).select("key", F.col("lead.id").alias("a"), F.col("lead.weight").cast("bigint").alias("wa"))
+        stars = stars.unionByName(rows.join(F.broadcast(lead), "key").filter("a <> id").select(F.col("key").alias("bucket"), "a", F.col("id").alias("b"), "wa", F.col("weight").cast("bigint").alias("wb")))
+    return stars
+
+
+def verified_pairs(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], sets: Callable, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that come near enough, with a level.
+
+    Level 2: den * intersection >= num * union. Level 1: the similarity is at least 2 * num / den - 1.
+    ``texts`` adds the text to a frame of ids and ``sets`` turns texts into sorted sets. A pair meets
+    in the group of its smaller id; a group is dealt to up to ``LEADER_PARTS`` parts, and its members
+    pass the leader one batch after the other, so it may be of any size.
+    """
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(LEADER_PARTS)).cast("int").alias("_part"))
+    rows = dealt.select("a", "_part", F.col("b").alias("id")).unionByName(dealt.select("a", "_part", F.col("a").alias("id")).distinct())
+    rows = texts(rows).select("a", "_part", "id", "text").repartition("a", "_part").sortWithinPartitions("a", "_part", "id")
+
+    def judge(table: pa.Table, leader):
+        table = table.combine_chunks()
+        a, part, ids = (table[c].to_numpy() for c in ("a", "_part", "id"))
+        edges = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (part[1:] != part[:-1]), [True]]))
+        values, after = sets(table["text"].combine_chunks())
+        near = np.zeros(len(a), np.int8)
+        for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if ids[i] == a[i]:
+                leader = (a[i], part[i], values[after[i] : after[i + 1]])
+                i += 1
+            own = leader[2]
+            if i == j or (leader[0], leader[1]) != (a[i], part[i]) or not len(own):
+                continue
+            x = values[after[i] : after[j]]
+            hits = np.concatenate([[0], np.cumsum(own[np.minimum(np.searchsorted(own, x), len(own) - 1)] == x)])
+            met = hits[after[i + 1 : j + 1] - after[i]] - hits[after[i:j] - after[i]]
+            union = len(own) + np.diff(after[i : j + 1]) - met
+            near[i:j] = np.where(den * met >= num * union, 2, np.where(den * met >= (2 * num - den) * union, 1, 0))
+        pick = np.flatnonzero(near)
+        return pa.RecordBatch.from_arrays([pa.array(a[pick]), pa.array(ids[pick]), pa.array(near[pick].astype(np.int32))], names=["a", "b", "level"]), leader
+
+    def run(batches):
+        held, size, leader = [], 0, None
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= FLUSH_BYTES:
+                out, leader = judge(pa.Table.from_batches(held), leader)
+                yield out
+                held, size = [], 0
+        if held and any(b.num_rows for b in held):
+            yield judge(pa.Table.from_batches(held), leader)[0]
+
+    return small_batches(rows).mapInArrow(run, "a bigint, b bigint, level int")
+
 
-    Buckets of one member go first, by a count and a bounded bitmap of the counted keys.
+def linked_components(keys: DataFrame, total: int, texts: Callable[[DataFrame], DataFrame], sets: Callable, num: int, den: int) -> DataFrame:
+    """(node, component) of the ids that links join; ids share a candidate bucket where they share a key.
+
+    First each bucket's smallest id is compared with its other members. Where x is linked to that
+    leader and y is less similar to it than 2 * num / den - 1, x and y cannot be linked, since the
+    Jaccard distance is a metric. What this leaves open is compared inside its bucket, but for
+    members that the links found so far connect; large buckets are dealt to several tasks.
     """
-    shared = keys.groupBy("key").count().filter("count > 1")
-    met = matching(keys, shared, ["key"])
-    lead = met.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    return met.join(lead, "key").select("a", F.col("id").alias("b")).filter("a <> b").distinct()
+    reach = (2 * num - den, den)
+    stars = scratch(bucket_stars(keys, total, reach))
+    close = F.lit(reach[1]) * F.least("wa", "wb") >= F.lit(reach[0]) * F.greatest("wa", "wb")
+    levels = scratch(verified_pairs(stars.filter(close).select("a", "b").distinct(), texts, sets, num, den))
+    found = scratch(components(levels.filter("level = 2").select("a", "b")))
+    large = stars.filter("bucket IS NOT NULL").select("bucket", "a", "b", "wb").distinct()
+    marked = scratch(large.join(levels, ["a", "b"], "left").select("bucket", "b", "wb", F.coalesce("level", F.lit(0)).alias("level")))
+    sums = scratch(marked.groupBy("bucket").agg(F.count_if(F.col("level") == 1).alias("c1"), F.count_if(F.col("level") == 0).alias("c0"), F.count("*").alias("n")).filter("c1 > 0 OR c0 > 1"))
+    loose = spread_join(marked, sums, ["bucket"]).filter("c1 > 0 OR level = 0").select(F.col("bucket").alias("block"), F.col("b").alias("id"), F.col("wb").alias("weight"))
+    loose = scratch(loose.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")))
+    apart = loose.groupBy("block").agg(F.min("component").alias("_l"), F.max("component").alias("_m"), F.count("*").alias("n")).filter("_l <> _m").select("block", "n")
+    apart = scratch(apart)
+    if apart.isEmpty():
+        return found
+    more = verified_links(scratch(spread_join(loose, apart, ["block"]).drop("n")), texts, sets, num, den)
+    if more.isEmpty():
+        return found
+    return scratch(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
 
 
 def link_sets(values: np.ndarray, after: np.ndarray, num: int, den: int, label: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -147,26 +275,28 @@ def _verify(rows: DataFrame, by: list[str], sets: Callable, num: int, den: int)
 def verified_links(members: DataFrame, texts: Callable[[DataFrame], DataFrame], sets: Callable, num: int, den: int, task: int = TASK_MEMBERS) -> DataFrame:
     """Edges between members of a block whose sets qualify, enough to give the true components.
 
-    ``members`` has id, block and weight (set size); ``texts`` adds the text to a frame of ids and
-    ``sets`` turns texts into sorted sets. A block over ``task`` set members is dealt to
+    ``members`` has id, block, weight (set size) and may have the component that other links give an
+    id; members of one component are not compared. A block over ``task`` set members is dealt to
     several tasks by id: first each part is linked on its own, then one member of each component
     found is compared, and where a block still falls apart every pair of its parts is compared,
     without the pairs already connected. No task holds more than two parts.
     """
-    sizes = members.groupBy("block").agg(F.sum("weight").alias("_w")).withColumn("_q", F.ceil(F.col("_w") / task).cast("int")).drop("_w")
-    parted = members.join(sizes, "block").withColumn("part", F.pmod(F.xxhash64("id"), F.col("_q")).cast("int"))
-    found = scratch(_verify(texts(parted.select("id", "block", "part")), ["block", "part"], sets, num, den))
+    known = "component" in members.columns
+    sizes = scratch(members.groupBy("block").agg(F.ceil(F.sum("weight") / task).cast("int").alias("_q"), F.count("*").alias("n")))
+    parted = scratch(spread_join(members, sizes, ["block"]).drop("n").withColumn("part", F.pmod(F.xxhash64("id"), F.col("_q")).cast("int")))
+    found = scratch(_verify(texts(parted.select("id", "block", "part", *(["component"] if known else []))), ["block", "part"], sets, num, den))
     if sizes.filter("_q > 1").isEmpty():
         return found
+    before = members.select(F.col("id").alias("a"), F.col("component").alias("b")).distinct() if known else found.limit(0)
 
     def labelled(edges):
-        named = components(edges).withColumnRenamed("node", "id")
-        return parted.filter("_q > 1").join(named, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        named = components(edges.unionByName(before)).withColumnRenamed("node", "id")
+        return parted.filter("_q > 1").drop("component").join(named, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
-    heads = labelled(found).filter(F.col("id") == F.col("component"))
+    heads = labelled(found).withColumn("_r", F.row_number().over(Window.partitionBy("block", "component", "part").orderBy("id"))).filter("_r = 1").drop("_r")
     loads = heads.groupBy("block").agg(F.ceil(F.sum("weight") / task).cast("int").alias("_h"))
     heads = heads.join(loads, "block").withColumn("part", F.pmod(F.xxhash64("id", F.lit(7)), F.col("_h")).cast("int"))
-    found = scratch(found.unionByName(_verify(texts(heads.select("id", "block", "part")), ["block", "part"], sets, num, den)))
+    found = scratch(found.unionByName(_verify(texts(heads.select("id", "block", "part", "component")), ["block", "part"], sets, num, den)))
     rest = labelled(found)
     apart = rest.groupBy("block").agg(F.min("component").alias("_l"), F.max("component").alias("_m")).filter("_l <> _m").select("block")
     pairs = rest.join(apart, "block", "left_semi").withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_q") - 1)))

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import flag_keys, matching, packed, read, scratch, scratch_scope, small_batches, spans, unpacked, utf8
-from .links import bucket_edges, components, verified_links
+from .common import flag_keys, list_column, matching, packed, read, scratch, scratch_scope, small_batches, spans, spread_join, unpacked, utf8
+from .links import linked_components
 
 #: Two collections of so many band hashes, each of two minima. Each pair of hashes, one from either
 #: collection, is a table: 100 tables of four minima each from 40 minima instead of 400. Sets with a
@@ -33,7 +33,6 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, a hash of the text, set size, a 128-bit fingerprint of the set and the band hashes of both collections."""
-    names = [f"h{i}" for i in range(2 * COLLECTION)]
 
     def run(batches):
         for b in batches:
@@ -47,10 +46,10 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                 for m in range(MINIMA):
                     bands[:, i] = K.mix(bands[:, i] + low[:, i * MINIMA + m] + np.uint64(i + 1))
             sums = K.set_sums(values, after)
-            cols = [b.column("doc_id"), b.column("_text"), pa.array(np.diff(after)), *[pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (*sums.T, *bands.T)]]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "_text", "n_shingles", "f0", "f1", *names])
+            cols = [b.column("doc_id"), b.column("_text"), pa.array(np.diff(after)), *[pa.array(np.ascontiguousarray(x).view(np.int64)) for x in sums.T], list_column(bands)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "_text", "n_shingles", "f0", "f1", "bands"])
 
-    return small_batches(docs.select("doc_id", "text", F.xxhash64("text").alias("_text"))).mapInArrow(run, "doc_id bigint, _text bigint, n_shingles bigint, f0 bigint, f1 bigint, " + ", ".join(f"{n} bigint" for n in names))
+    return small_batches(docs.select("doc_id", "text", F.xxhash64("text").alias("_text"))).mapInArrow(run, "doc_id bigint, _text bigint, n_shingles bigint, f0 bigint, f1 bigint, bands array<bigint>")
 
 
 def near_groups(docs: DataFrame, k: int = 5, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -59,11 +58,12 @@ def near_groups(docs: DataFrame, k: int = 5, num: int = NUM, den: int = DEN) ->
     Words are runs of non-white-space with A-Z lower-cased. Documents are linked if den * size of
     the intersection of their k-word shingle sets >= num * size of the union; a component is named
     by its smallest doc_id, which is kept. Documents of equal sets become one before any key is
-    made, so a large group of copies costs one entry. Candidate groups come from the tables; inside
-    them links are confirmed on the full sets, and pairs that other links connect already are skipped.
+    made, so a large group of copies costs one entry: sets are equal if their sizes and two sums over
+    hashes of their members are. Candidate pairs come from the tables and are confirmed on the full
+    sets of 64-bit shingle hashes; pairs that other links connect already are skipped.
 
     Texts of fewer than k words have their whole sequence as one shingle; null and wordless texts
-    have none and are components of their own. A null doc_id is linked with nothing: its component
+    have none and are components of their own. A doc_id is a long. A null doc_id is linked with nothing: its component
     is null and it is kept. Repeated rows are results repeated; different texts of one doc_id are
     linked each on its own. Other columns are ignored.
     """
@@ -73,32 +73,38 @@ def near_groups(docs: DataFrame, k: int = 5, num: int = NUM, den: int = DEN) ->
 
 def _near_groups(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The rows of ``near_groups``, the hash of the text and _group, which tells components apart (null: linked with nothing)."""
-    # the written table fixes the row numbers
+    # the written table fixes the row numbers; a class of equal sets is named by its first row
     rows = scratch(sketches(docs, k).withColumn("row", F.monotonically_increasing_id()))
-    place = ["doc_id", "_text"]
+    place, kind = ["doc_id", "_text"], ["f0", "f1", "n_shingles"]
     sets = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    bands = [f"h{i}" for i in range(2 * COLLECTION)]
-    # members of a class have the same bands, so their minimum is just that value
-    classes = scratch(sets.groupBy("f0", "f1").agg(F.min("row").alias("id"), F.min("doc_id").alias("low"), F.min("n_shingles").alias("weight"), *[F.min(h).alias(h) for h in bands]))
-    one, other = F.array(*bands[:COLLECTION]), F.array(*bands[COLLECTION:])
-    keys = classes.select("id", F.explode(F.flatten(F.transform(one, lambda a: F.transform(other, lambda b: F.xxhash64(a, b))))).alias("key"))
-    blocks = components(bucket_edges(keys)).select(F.col("node").alias("id"), F.col("component").alias("block"))
-    spots = sets.select(F.col("row").alias("id"), *place, F.col("n_shingles").alias("weight"))
-    members = scratch(blocks.join(matching(spots, blocks, ["id"]), "id"))
+    again = scratch(sets.groupBy(*kind).agg(F.min("row").alias("id"), F.min("doc_id").alias("low"), F.count("*").alias("n")).filter("n > 1"))
+    flagged = flag_keys(sets.drop(*place), again, kind)
+    heads = flagged.filter("NOT _hit").select("row", "n_shingles", "bands")
+    heads = heads.unionByName(spread_join(flagged.filter("_hit").drop("_hit"), again, kind, "left").filter("id IS NULL OR id = row").select("row", "n_shingles", "bands"))
+    one, other = (F.slice("bands", at, COLLECTION) for at in (1, COLLECTION + 1))
+    keys = heads.select(F.col("row").alias("id"), F.col("n_shingles").alias("weight"), F.explode(F.flatten(F.transform(one, lambda a: F.transform(other, lambda b: F.xxhash64(a, b))))).alias("key"))
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("_text")).filter("doc_id IS NOT NULL")
 
     def add_text(frame):
-        found = matching(texts, members, place).join(members.select("id", *place), place).select("id", "text")
-        return found.dropDuplicates(["id"]).join(frame, "id")
-
-    links = verified_links(members.select("id", "block", "weight"), add_text, lambda t: shingle_sets(t, k), num, den)
-    named = scratch(components(links).select(F.col("node").alias("id"), "component"))
-    first = named.join(matching(classes.select("id", "low"), named, ["id"]), "id").groupBy("component").agg(F.min("low").alias("least"))
-    groups = classes.select("f0", "f1", "id", "low").join(named.join(first, "component"), "id", "left")
-    groups = groups.select("f0", "f1", F.coalesce("component", "id").alias("_group"), F.coalesce("least", "low").alias("component_id"))
-    linked = sets.join(groups, ["f0", "f1"]).select(*place, "n_shingles", "component_id", "_group")
+        ids = frame.select("id").distinct()
+        spots = scratch(matching(sets.select(F.col("row").alias("id"), *place), ids, ["id"]).join(ids, "id"))
+        return matching(texts, spots, place).join(spots, place).select("id", "text").dropDuplicates(["id"]).join(frame, "id")
+
+    named = linked_components(keys, rows.count() * COLLECTION**2, add_text, lambda t: shingle_sets(t, k), num, den).withColumnRenamed("node", "id")
+    # rows of classes with several, the linked ones that are alone in their class, and the others
+    groups = scratch(again.join(named, "id", "left").select(*kind, "n", F.coalesce("component", "id").alias("_group")))
+    flagged = flag_keys(sets.select("row", *place, *kind), again, kind)
+    several = spread_join(flagged.filter("_hit").drop("_hit"), groups, kind, "left").select("row", *place, "n_shingles", "_group")
+    single = flagged.filter("NOT _hit").select("row", *place, "n_shingles", F.lit(None).cast("bigint").alias("_group")).unionByName(several.filter("_group IS NULL"))
+    several = scratch(several.filter("_group IS NOT NULL"))
+    single = flag_keys(single.drop("_group"), named, ["row"], ["id"])
+    linked = scratch(several.unionByName(single.filter("_hit").join(named.withColumnRenamed("id", "row"), "row").select("row", *place, "n_shingles", F.col("component").alias("_group"))))
+    least = scratch(linked.groupBy("_group").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")))
+    met = spread_join(linked, least, ["_group"]).select(*place, "n_shingles", "component_id", "_group")
+    free = single.filter("NOT _hit").unionByName(single.filter("_hit").join(named.select(F.col("id").alias("row")), "row", "left_anti"))
+    free = free.select(*place, "n_shingles", F.col("doc_id").alias("component_id"), F.col("row").alias("_group"))
     alone = rows.filter("n_shingles = 0 OR doc_id IS NULL").select(*place, "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("bigint").alias("_group"))
-    return linked.unionByName(alone).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "_text", "_group")
+    return met.unionByName(free).unionByName(alone).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "_text", "_group")
 
 
 def near_dedup(docs: DataFrame, k: int = 5, num: int = NUM, den: int = DEN) -> DataFrame:

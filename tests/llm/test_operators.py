@@ -91,17 +91,21 @@ def test_substrings_equal_brute_force(spark, sf, texts):
         assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256) == (len(w), alive.count(False), hashlib.sha256(kept.encode()).hexdigest())
 
 
-def test_lines_equal_brute_force(spark, sf, texts):
+def line_components(texts):
+    """Components of all lines that are not empty: 8-character shingles, 0.8; shorter lines if equal."""
     sets = {}
     for i, t in texts:
         for n, x in enumerate(t.split("\n")):
-            x = " ".join(WORD.findall(lower(x)))
-            if len(x) >= line_dedup.LEAST:
-                sets[i, n] = frozenset(x[k : k + line_dedup.SHINGLE] for k in range(len(x) - line_dedup.SHINGLE + 1))
-    groups = linked(sets, 8, 10)
+            if x := " ".join(WORD.findall(lower(x))):
+                sets[i, n] = frozenset(x[j : j + 8] for j in range(max(len(x) - 8, 0) + 1))
+    return linked(sets, 8, 10)
+
+
+def test_lines_equal_brute_force(spark, sf, texts):
+    groups = line_components(texts)
     got = {r.doc_id: r.text for r in Q.QUERIES["op10_line_dedup"](spark, sf).collect()}
     for i, t in texts:
-        assert got[i] == "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in sets or groups.find((i, n)) == (i, n))
+        assert got[i] == "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in groups.up or groups.find((i, n)) == (i, n))
 
 
 @pytest.mark.parametrize("size", [80, 100, 118])
@@ -111,18 +115,9 @@ def test_lines_with_one_inner_edit_are_linked(spark, size):
     assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()} == {1: line, 2: ""}
 
 
-def test_equal_short_lines_are_repeats(spark, sf, texts):
+def test_equal_short_lines_are_repeats(spark):
     docs = spark.createDataFrame([(1, "Les.\n\nx\ntwelve chars\nbcdefghijklmnop"), (2, "les. \n\n y\nTwelve  chars\nLes\nabcdefghijklmno")], "doc_id long, text string")
     assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()} == {1: "Les.\n\nx\ntwelve chars\nbcdefghijklmnop", 2: "\n y\nLes\nabcdefghijklmno"}
-    k, sets = line_dedup.SHINGLE, {}
-    for i, t in texts:
-        for n, x in enumerate(t.split("\n")):
-            if x := " ".join(WORD.findall(lower(x))):
-                sets[i, n] = frozenset(x[j : j + k] for j in range(max(len(x) - k, 0) + 1))
-    groups = linked(sets, 8, 10)
-    got = {r.doc_id: r.text for r in Q.QUERIES["op10_line_dedup"](spark, sf).collect()}
-    for i, t in texts:
-        assert got[i] == "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in sets or groups.find((i, n)) == (i, n))
 
 
 def test_packing_round_trip(spark, sf, texts):
