@@ -16,11 +16,13 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
-    x ^= x >> np.uint64(33)
+    x = np.array(x, np.uint64)
+    room = x >> np.uint64(33)
+    x ^= room
+    x *= np.uint64(0xFF51AFD7ED558CCD)
+    x ^= np.right_shift(x, np.uint64(33), out=room)
     x *= np.uint64(0xC4CEB9FE1A85EC53)
-    x ^= x >> np.uint64(33)
+    x ^= np.right_shift(x, np.uint64(33), out=room)
     return x
 
 
@@ -74,7 +76,9 @@ def one_space(data: np.ndarray, solid: np.ndarray, starts: np.ndarray, ends: np.
     size = ends - starts
     at = np.concatenate([[0], np.cumsum(size + 1)])
     out = np.full(int(at[-1]), 32, data.dtype)
-    out[np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)] = data[solid]
+    room = np.ones(int(at[-1]), bool)
+    room[at[1:] - 1] = False
+    out[room] = data[solid]
     return out, at
 
 
@@ -116,9 +120,13 @@ def shingles(hashes: np.ndarray, before: np.ndarray, k: int) -> tuple[np.ndarray
 
 def distinct(values: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct values of each text."""
-    parts = [np.unique(values[a:b]) for a, b in zip(after[:-1].tolist(), after[1:].tolist(), strict=True)]
-    sizes = np.array([len(p) for p in parts], np.int64)
-    return (np.concatenate(parts) if parts else values[:0]), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    out = values.copy()
+    for a, b in zip(after[:-1].tolist(), after[1:].tolist(), strict=True):
+        out[a:b].sort()
+    new = np.ones(len(out), bool)
+    new[1:] = out[1:] != out[:-1]
+    new[after[:-1][np.diff(after) > 0]] = True
+    return out[new], np.concatenate([[0], np.cumsum(new)]).astype(np.int64)[after]
 
 
 def minima(values: np.ndarray, after: np.ndarray, functions: int, seed: int) -> np.ndarray:

@@ -69,10 +69,10 @@ def line_shingles(data: np.ndarray, offs: np.ndarray, k: int = SHINGLE):
     values = window[np.minimum(where, len(window) - 1)] if len(window) else np.zeros(len(where), np.uint64)
     prints = np.zeros((total, 2), np.uint64)
     prints[full, 0] = K.mix((sums[b[full]] - sums[a[full]]) * inverse[a[full]] + length[full].astype(np.uint64))
-    second = np.concatenate([[np.uint64(0)], np.cumsum(K.mix(symbols + np.uint64(77)) * K.powers(n), dtype=np.uint64)])
-    prints[full, 1] = K.mix((second[b[full]] - second[a[full]]) * inverse[a[full]])
     short = full[length[full] < k]
-    values[after[short]] = K.mix(prints[short, 0] + prints[short, 1])
+    values[after[short]] = K.mix(prints[short, 0])
+    if len(full):
+        prints[full, 1] = K.mix(np.add.reduceat(K.mix(values), after[full]) + length[full].astype(np.uint64))
     return lines, length, values, after, prints
 
 
@@ -97,7 +97,7 @@ def line_sketches(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             data, offs = utf8(b.column("text"))
-            for i, j in spans(offs, 1 << 18):
+            for i, j in spans(offs, 1 << 17):
                 lines, length, values, after, prints = line_shingles(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 low = K.minima(values, after, BANDS * ROWS, 9)
                 bands = np.zeros((len(low), BANDS), np.uint64)
@@ -118,6 +118,11 @@ def line_sketches(docs: DataFrame) -> DataFrame:
     return small_batches(rows).mapInArrow(run, "doc_id bigint, _text bigint, line int, weight int, f0 bigint, f1 bigint, bands array<bigint>")
 
 
+def band_keys(bands: np.ndarray) -> np.ndarray:
+    """Keys of the bands: their hashes already hold the band's number."""
+    return bands
+
+
 def line_groups(docs: DataFrame) -> DataFrame:
     """doc_id, the text's hash and ``gone``, the numbers of the lines to remove."""
     # the written table fixes the row numbers; a class of equal lines is named by its first row
@@ -126,16 +131,14 @@ def line_groups(docs: DataFrame) -> DataFrame:
     flagged = flag_keys(rows.filter("bands IS NOT NULL").select("row", "bands", *CLASS), again, CLASS)
     heads = flagged.filter("NOT _hit").select("row", "weight", "bands")
     heads = heads.unionByName(spread_join(flagged.filter("_hit").drop("_hit"), again, CLASS, "left").filter("id IS NULL OR id = row").select("row", "weight", "bands"))
-    keys = heads.select(F.col("row").alias("id"), "weight", F.posexplode("bands").alias("_i", "_h")).select("id", "weight", F.xxhash64("_h", "_i").alias("key"))
     texts = docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("_text", F.xxhash64("text"))
 
-    def add_text(frame):
-        ids = frame.select("id").distinct()
+    def text_of(ids):
         spots = scratch(matching(rows.select(F.col("row").alias("id"), *PLACE), ids, ["id"]).join(ids, "id"))
         lines = matching(texts, spots, PLACE[:2]).select(*PLACE[:2], F.posexplode(F.split("text", "\n")).alias("line", "text"))
-        return matching(lines, spots, PLACE).join(spots, PLACE).select("id", "text").dropDuplicates(["id"]).join(frame, "id")
+        return matching(lines, spots, PLACE).join(spots, PLACE).select("id", "text").dropDuplicates(["id"])
 
-    named = linked_components(keys, rows.count() * BANDS, add_text, line_sets, NUM, DEN).withColumnRenamed("node", "id")
+    named = linked_components(heads.withColumnRenamed("row", "id"), rows.count(), band_keys, BANDS, text_of, line_sets, NUM, DEN).withColumnRenamed("node", "id")
     # lines of classes with several, and the linked ones that are alone in their class
     groups = scratch(again.join(named, "id", "left").select(*CLASS, "n", F.coalesce("component", "id").alias("group")))
     several = spread_join(matching(rows.select(*PLACE, *CLASS), again, CLASS), groups, CLASS).select(*PLACE, "group")

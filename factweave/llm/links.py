@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .common import HOT_KEYS, HOT_ROWS, scratch, small_batches, spread_join
 
-#: Keys that one task sorts, about.
-TASK_KEYS = 1 << 20
-#: Every so-many-th member of a bucket is counted to find the hot keys.
+#: Keys that are sorted at once, about, and keys that a worker packs at a time.
+SLOT_KEYS, FLUSH_KEYS = 1 << 17, 1 << 19
+#: Every so-many-th set's keys are counted to find the hot ones.
 HOT_STEP = 16
 #: Tasks that the members of one bucket may be compared with its leader in.
 LEADER_PARTS = 1024
@@ -61,51 +61,113 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def bucket_stars(keys: DataFrame, total: int, near: tuple[int, int]) -> DataFrame:
+def _matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids, weights and the bands as rows of a matrix."""
+    bands = batch.column("bands").flatten().to_numpy().view(np.uint64)
+    return batch.column("id").to_numpy(), batch.column("weight").to_numpy(), bands.reshape(batch.num_rows, -1)
+
+
+def _stars(key: np.ndarray, ids: np.ndarray, weight: np.ndarray, near: tuple[int, int]) -> pa.Table:
+    """The pairs of whole buckets, as ``bucket_stars`` returns them."""
+    num, den = near
+    order = np.argsort(key, kind="stable")
+    same = key[order][1:] == key[order][:-1]
+    order = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+    order = order[np.lexsort((ids[order], key[order]))]
+    key, ids, weight = key[order], ids[order], weight[order].astype(np.int64)
+    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    n = np.diff(np.append(begin, len(key)))
+    lead = np.repeat(begin, n)
+    name = K.mix(np.add.reduceat(K.mix(ids.view(np.uint64)), begin) + n.astype(np.uint64)).view(np.int64) if len(key) else key.view(np.int64)
+    large = np.repeat(n > 2, n)
+    low, high = np.minimum(weight, weight[lead]), np.maximum(weight, weight[lead])
+    pick = (np.arange(len(key)) != lead) & (large | (den * low >= num * high))
+    bucket = pa.array(np.repeat(name, n)[pick], mask=~large[pick])
+    made = pa.table({"bucket": bucket, "a": ids[lead][pick], "b": ids[pick], "wa": weight[lead][pick], "wb": weight[pick]})
+    return made.group_by(made.column_names).aggregate([])
+
+
+def bucket_stars(sets: DataFrame, rows: int, expand: Callable[[np.ndarray], np.ndarray], width: int, near: tuple[int, int]) -> DataFrame:
     """Pairs (a, b) of the smallest id of each bucket and another member, with their weights.
 
-    ``keys`` has (id, weight, key), ``total`` rows about. ``bucket`` names the member set of a bucket
-    of three and more; of smaller ones only pairs whose weights allow a similarity of ``near`` stay.
-    Keys are shuffled once and sorted in tasks of ``TASK_KEYS`` of them. The most frequent keys, at
-    most ``HOT_KEYS``, are found by counting one of ``HOT_STEP`` members; their smallest ids are
-    broadcast, and their rows are not shuffled.
+    ``sets`` has (id, weight, bands), ``rows`` rows about; ``expand`` turns a matrix of bands into one
+    of ``width`` keys a row. ``bucket`` names the member set of a bucket of three and more; of smaller
+    ones only pairs whose weights allow a similarity of ``near`` stay.
+
+    Keys are shuffled once, packed in arrays by slots of about ``SLOT_KEYS`` keys, and sorted there.
+    The most frequent keys, at most ``HOT_KEYS``, are found by counting one of ``HOT_STEP`` sets;
+    their smallest ids are broadcast, and their rows are not shuffled.
     """
-    num, den = near
-    hot = keys.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(HOT_STEP)) == 0).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_ROWS // HOT_STEP)
-    hot = scratch(hot.orderBy(F.desc("n")).limit(HOT_KEYS).select("key"))
-    some = not hot.isEmpty()
-    cold = keys.join(F.broadcast(hot), "key", "left_anti") if some else keys
+    slots = max(8, -(-rows * width // SLOT_KEYS))
 
-    def run(batches):
-        held = [(b.column("key").to_numpy(), b.column("id").to_numpy(), b.column("weight").to_numpy()) for b in batches]
-        if not held:
-            return
-        key, ids, weight = (np.concatenate([h[k] for h in held]) for k in range(3))
-        order = np.argsort(key, kind="stable")
-        same = key[order][1:] == key[order][:-1]
-        order = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
-        order = order[np.lexsort((ids[order], key[order]))]
-        key, ids, weight = key[order], ids[order], weight[order].astype(np.int64)
-        if not len(key):
-            return
-        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        n = np.diff(np.append(begin, len(key)))
-        lead = np.repeat(begin, n)
-        name = K.mix(np.add.reduceat(K.mix(ids.view(np.uint64)), begin) + n.astype(np.uint64)).view(np.int64)
-        large = np.repeat(n > 2, n)
-        low, high = np.minimum(weight, weight[lead]), np.maximum(weight, weight[lead])
-        pick = (np.arange(len(key)) != lead) & (large | (den * low >= num * high))
-        bucket = pa.array(np.repeat(name, n)[pick], mask=~large[pick])
-        made = pa.table({"bucket": bucket, "a": ids[lead][pick], "b": ids[pick], "wa": weight[lead][pick], "wb": weight[pick]})
-        yield from made.group_by(made.column_names).aggregate([]).to_batches()
+    def all_keys(batches):
+        for b in batches:
+            ids, weight, bands = _matrix(b)
+            key = expand(bands).reshape(-1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(ids, width)), pa.array(np.repeat(weight, width).astype(np.int64))], names=["key", "id", "weight"])
+
+    kind = "key bigint, id bigint, weight bigint"
+    counted = small_batches(sets.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(HOT_STEP)) == 0)).mapInArrow(all_keys, kind).groupBy("key").agg(F.count("*").alias("n"))
+    hot = sorted(r["key"] for r in counted.filter(F.col("n") > HOT_ROWS // HOT_STEP).orderBy(F.desc("n")).limit(HOT_KEYS).collect())
+    known = np.array(hot, np.int64)
+
+    def deal(batches):
+        held, size = [], 0
+
+        def flush():
+            ids, weight, bands = (np.concatenate([h[k] for h in held]) for k in range(3))
+            key = expand(bands).reshape(-1)
+            ids, weight = np.repeat(ids, width), np.repeat(weight, width).astype(np.int32)
+            if len(known):
+                cold = ~np.isin(key.view(np.int64), known)
+                key, ids, weight = key[cold], ids[cold], weight[cold]
+            slot = (key % np.uint64(slots)).astype(np.int64)
+            order = np.argsort(slot, kind="stable")
+            key, ids, weight, slot = key[order], ids[order], weight[order], slot[order]
+            edges = np.append(np.flatnonzero(np.diff(slot, prepend=-1)), len(slot)).tolist()
+            cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(slot[edges[:-1]]), cut(key), cut(ids), cut(weight)], names=["slot", "key", "id", "weight"])
+
+        for b in batches:
+            if b.num_rows:
+                held.append(_matrix(b))
+                size += b.num_rows * width
+            if size >= FLUSH_KEYS:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
+
+    def sort(batches):
+        now, held = None, []
+
+        def done():
+            return _stars(*(np.frombuffer(b"".join(x[k] for x in held), t) for k, t in enumerate((np.uint64, np.int64, np.int32))), near).to_batches()
+
+        for b in batches:
+            for slot, *parts in zip(*(b.column(c).to_pylist() for c in ("slot", "key", "id", "weight")), strict=True):
+                if slot != now and held:
+                    yield from done()
+                    held = []
+                now = slot
+                held.append(parts)
+        if held:
+            yield from done()
 
     schema = "bucket bigint, a bigint, b bigint, wa bigint, wb bigint"
-    dealt = cold.select("key", "id", F.col("weight").cast("int").alias("weight")).repartition(max(8, -(-total // TASK_KEYS)), "key")
-    stars = small_batches(dealt).mapInArrow(run, schema)
-    if some:
-        rows = keys.join(F.broadcast(hot), "key")
-        lead = scratch(rows.groupBy("key").agg(F.min(F.struct("id", "weight")).alias("lead"))).select("key", F.col("lead.id").alias("a"), F.col("lead.weight").cast("bigint").alias("wa"))
-        stars = stars.unionByName(rows.join(F.broadcast(lead), "key").filter("a <> id").select(F.col("key").alias("bucket"), "a", F.col("id").alias("b"), "wa", F.col("weight").cast("bigint").alias("wb")))
+    dealt = small_batches(sets).mapInArrow(deal, "slot bigint, key binary, id binary, weight binary").repartition(max(8, slots // 8), "slot").sortWithinPartitions("slot")
+    stars = small_batches(dealt).mapInArrow(sort, schema)
+    if hot:
+
+        def hot_keys(batches):
+            for b in all_keys(batches):
+                pick = np.flatnonzero(np.isin(b.column("key").to_numpy(), known))
+                yield b.take(pa.array(pick))
+
+        found = scratch(small_batches(sets).mapInArrow(hot_keys, kind))
+        lead = found.groupBy("key").agg(F.min(F.struct("id", "weight")).alias("_lead"))
+        pairs = found.join(F.broadcast(lead), "key").filter("_lead.id <> id")
+        stars = stars.unionByName(pairs.select(F.col("key").alias("bucket"), F.col("_lead.id").alias("a"), F.col("id").alias("b"), F.col("_lead.weight").alias("wa"), F.col("weight").alias("wb")))
     return stars
 
 
@@ -157,29 +219,36 @@ def verified_pairs(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], se
     return small_batches(rows).mapInArrow(run, "a bigint, b bigint, level int")
 
 
-def linked_components(keys: DataFrame, total: int, texts: Callable[[DataFrame], DataFrame], sets: Callable, num: int, den: int) -> DataFrame:
-    """(node, component) of the ids that links join; ids share a candidate bucket where they share a key.
+def linked_components(sets: DataFrame, rows: int, expand: Callable, width: int, texts: Callable[[DataFrame], DataFrame], members: Callable, num: int, den: int) -> DataFrame:
+    """(node, component) of the ids that links join; ids are compared where they share a key.
 
-    First each bucket's smallest id is compared with its other members. Where x is linked to that
-    leader and y is less similar to it than 2 * num / den - 1, x and y cannot be linked, since the
-    Jaccard distance is a metric. What this leaves open is compared inside its bucket, but for
-    members that the links found so far connect; large buckets are dealt to several tasks.
+    ``sets`` has (id, weight, bands), see ``bucket_stars``; ``texts`` gives (id, text) of a frame of
+    ids and ``members`` turns texts into sorted sets. First each bucket's smallest id is compared
+    with its other members. Where x is linked to that leader and the leader's similarity to y is
+    less than 2 * num / den - 1, x and y cannot be linked, since the Jaccard distance is a metric.
+    What this leaves open is compared inside its bucket, but for members that the links found so far
+    connect; large buckets are dealt to several tasks.
     """
     reach = (2 * num - den, den)
-    stars = scratch(bucket_stars(keys, total, reach))
+    stars = scratch(bucket_stars(sets, rows, expand, width, reach))
+    found_texts = scratch(texts(stars.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
+    add = lambda frame: frame.join(found_texts, "id")
     close = F.lit(reach[1]) * F.least("wa", "wb") >= F.lit(reach[0]) * F.greatest("wa", "wb")
-    levels = scratch(verified_pairs(stars.filter(close).select("a", "b").distinct(), texts, sets, num, den))
+    levels = scratch(verified_pairs(stars.filter(close).select("a", "b").distinct(), add, members, num, den))
     found = scratch(components(levels.filter("level = 2").select("a", "b")))
     large = stars.filter("bucket IS NOT NULL").select("bucket", "a", "b", "wb").distinct()
-    marked = scratch(large.join(levels, ["a", "b"], "left").select("bucket", "b", "wb", F.coalesce("level", F.lit(0)).alias("level")))
-    sums = scratch(marked.groupBy("bucket").agg(F.count_if(F.col("level") == 1).alias("c1"), F.count_if(F.col("level") == 0).alias("c0"), F.count("*").alias("n")).filter("c1 > 0 OR c0 > 1"))
-    loose = spread_join(marked, sums, ["bucket"]).filter("c1 > 0 OR level = 0").select(F.col("bucket").alias("block"), F.col("b").alias("id"), F.col("wb").alias("weight"))
-    loose = scratch(loose.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")))
-    apart = loose.groupBy("block").agg(F.min("component").alias("_l"), F.max("component").alias("_m"), F.count("*").alias("n")).filter("_l <> _m").select("block", "n")
-    apart = scratch(apart)
-    if apart.isEmpty():
+    marked = large.join(levels, ["a", "b"], "left").select("bucket", F.col("b").alias("id"), F.col("wb").alias("weight"), F.coalesce("level", F.lit(0)).alias("level"))
+    marked = scratch(marked.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")))
+    # level 2 is one component; level 1 may be linked to all, level 0 to all but level 2
+    name = lambda f, cond: f(F.when(cond, F.col("component")))
+    low, one = F.col("level") < 2, F.col("level") == 1
+    sums = marked.groupBy("bucket").agg(F.count("*").alias("n"), name(F.min, ~low).alias("lead"), name(F.min, low).alias("l0"), name(F.max, low).alias("l1"), name(F.min, one).alias("m0"), name(F.max, one).alias("m1"))
+    sums = sums.select("bucket", "n", F.coalesce(F.col("l0") != F.col("l1"), F.lit(False)).alias("among"), F.coalesce((F.col("m0") != F.col("lead")) | (F.col("m1") != F.col("lead")), F.lit(False)).alias("across"))
+    sums = scratch(sums.filter("among OR across"))
+    if sums.isEmpty():
         return found
-    more = verified_links(scratch(spread_join(loose, apart, ["block"]).drop("n")), texts, sets, num, den)
+    apart = spread_join(marked, sums, ["bucket"]).filter("across OR level < 2").select(F.col("bucket").alias("block"), "id", "weight", "component")
+    more = verified_links(scratch(apart), add, members, num, den)
     if more.isEmpty():
         return found
     return scratch(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))

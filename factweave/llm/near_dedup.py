@@ -52,6 +52,12 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
     return small_batches(docs.select("doc_id", "text", F.xxhash64("text").alias("_text"))).mapInArrow(run, "doc_id bigint, _text bigint, n_shingles bigint, f0 bigint, f1 bigint, bands array<bigint>")
 
 
+def table_keys(bands: np.ndarray) -> np.ndarray:
+    """Keys of all tables: every pair of one band of either collection."""
+    one, other = bands[:, :COLLECTION], K.mix(bands[:, COLLECTION:])
+    return K.mix(one[:, :, None] + other[:, None, :]).reshape(len(bands), -1)
+
+
 def near_groups(docs: DataFrame, k: int = 5, num: int = NUM, den: int = DEN) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs``.
 
@@ -81,16 +87,14 @@ def _near_groups(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     flagged = flag_keys(sets.drop(*place), again, kind)
     heads = flagged.filter("NOT _hit").select("row", "n_shingles", "bands")
     heads = heads.unionByName(spread_join(flagged.filter("_hit").drop("_hit"), again, kind, "left").filter("id IS NULL OR id = row").select("row", "n_shingles", "bands"))
-    one, other = (F.slice("bands", at, COLLECTION) for at in (1, COLLECTION + 1))
-    keys = heads.select(F.col("row").alias("id"), F.col("n_shingles").alias("weight"), F.explode(F.flatten(F.transform(one, lambda a: F.transform(other, lambda b: F.xxhash64(a, b))))).alias("key"))
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("_text")).filter("doc_id IS NOT NULL")
 
-    def add_text(frame):
-        ids = frame.select("id").distinct()
+    def text_of(ids):
         spots = scratch(matching(sets.select(F.col("row").alias("id"), *place), ids, ["id"]).join(ids, "id"))
-        return matching(texts, spots, place).join(spots, place).select("id", "text").dropDuplicates(["id"]).join(frame, "id")
+        return matching(texts, spots, place).join(spots, place).select("id", "text").dropDuplicates(["id"])
 
-    named = linked_components(keys, rows.count() * COLLECTION**2, add_text, lambda t: shingle_sets(t, k), num, den).withColumnRenamed("node", "id")
+    heads = heads.select(F.col("row").alias("id"), F.col("n_shingles").alias("weight"), "bands")
+    named = linked_components(heads, rows.count(), table_keys, COLLECTION**2, text_of, lambda t: shingle_sets(t, k), num, den).withColumnRenamed("node", "id")
     # rows of classes with several, the linked ones that are alone in their class, and the others
     groups = scratch(again.join(named, "id", "left").select(*kind, "n", F.coalesce("component", "id").alias("_group")))
     flagged = flag_keys(sets.select("row", *place, *kind), again, kind)
