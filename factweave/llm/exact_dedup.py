@@ -5,37 +5,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, scratch
+from .common import read, scratch, spread_join
 
-#: Runs at the leaves of the merge tree, and how many of them one merge takes; the depth is log_FAN(RUNS).
-RUNS, FAN = 64, 4
+#: Entries that one run holds, about, and runs that meet in a round: there are a power of ``FAN`` of runs.
+RUN_ROWS, FAN = 1_000_000, 8
 SPACES = r"[\x20\x09-\x0D]+"
 
 
+KEY = ["_digest", "_bytes", "_check"]
+
+
 def digests(docs: DataFrame) -> DataFrame:
+    """doc_id, code points of the text and, of the text without white space, SHA-256 digest, byte length and a second hash."""
     text = F.coalesce("text", F.lit(""))
     body = F.regexp_replace(text, SPACES, "")
     return docs.select("doc_id", F.length(text).cast("long").alias("_size"), body.alias("_body")).select(
-        "doc_id", "_size", F.sha2("_body", 256).alias("text_sha256"), F.octet_length("_body").alias("_bytes"), F.xxhash64("_body").alias("_check")
+        "doc_id", "_size", F.unhex(F.sha2("_body", 256)).alias("_digest"), F.octet_length("_body").alias("_bytes"), F.xxhash64("_body").alias("_check")
     )
 
 
-def tree_merge(rows: DataFrame, runs: int = RUNS, fan: int = FAN) -> DataFrame:
-    """Merges digest runs level by level until each digest has one entry.
+def _merged(entries: DataFrame, runs: int) -> DataFrame:
+    """Brings each run to one task, sorts it there by digest and merges what is equal, best row first.
+
+    Entries are equal if digest, byte length and second hash are: an entry that only shares the digest is not merged.
+    """
+    sorted_runs = entries.repartition(runs, "_run").sortWithinPartitions("_run", *KEY)
+    return sorted_runs.groupBy("_run", *KEY).agg(F.sum("n").alias("n"), F.min("_best").alias("_best"))
+
+
+def tree_merge(rows: DataFrame, runs: int, fan: int = FAN) -> DataFrame:
+    """Merges sorted digest runs in binomial rounds until each digest has one entry.
 
-    Rows are dealt to ``runs`` runs by their identifier. At the leaves each run is reduced to one
-    entry per digest: how many rows it stands for and its best row. In every further round groups
-    of ``fan`` runs meet, so a digest that a third of all rows share brings at most ``runs``
-    entries to the first merge and ``fan`` to each later one. Byte length and a second hash are
-    part of the key, so entries merge only where all three agree.
+    Rows are dealt evenly to ``runs`` runs, ``runs`` being a power of ``fan``; a run is sorted by
+    digest and holds one entry per digest: how many rows it stands for and the best of them. In
+    round r the ``fan`` runs whose numbers differ in digit r alone exchange entries: each keeps
+    those whose digest has its own digit there and merges what the others send. After the last
+    round a run holds all entries of its digests. A digest that a third of all rows share is in
+    each run once from the start, so no task ever meets more than ``fan`` entries of it.
     """
-    key = ["text_sha256", "_bytes", "_check"]
     best = F.struct((-F.col("_size")).alias("s"), F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"))
-    merged = rows.withColumn("_run", F.pmod(F.xxhash64("doc_id"), F.lit(runs)).cast("int")).groupBy(*key, "_run").agg(F.count("*").alias("group_size"), F.min(best).alias("_best"))
-    while runs > 1:
-        runs = -(-runs // fan)
-        merged = merged.withColumn("_run", F.floor(F.col("_run") / fan).cast("int")).groupBy(*key, "_run").agg(F.sum("group_size").alias("group_size"), F.min("_best").alias("_best"))
-    return merged.select(*key, "group_size", F.col("_best.d").alias("keep_id"))
+    entries = rows.select(*KEY, F.lit(1).cast("long").alias("n"), best.alias("_best"), F.pmod(F.monotonically_increasing_id(), F.lit(runs)).cast("int").alias("_run"))
+    merged, step = _merged(entries, runs), 1
+    while step < runs:
+        own = F.pmod(F.floor(F.col("_run") / step), F.lit(fan))
+        digit = F.pmod(F.floor(F.pmod(F.xxhash64("_digest"), F.lit(runs)) / step), F.lit(fan))
+        merged = _merged(merged.withColumn("_run", (F.col("_run") + (digit - own) * step).cast("int")), runs)
+        step *= fan
+    return merged.select(*KEY, "n", F.col("_best.d").alias("keep_id"))
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
@@ -47,9 +63,12 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     the row that stays is marked as kept. Empty tables give empty results; other columns are ignored.
     """
     rows = scratch(digests(docs.select("doc_id", "text")))
-    groups = tree_merge(rows)
-    return rows.join(groups, ["text_sha256", "_bytes", "_check"]).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
+    runs = FAN**2
+    while runs * RUN_ROWS < rows.count():
+        runs *= FAN
+    groups = scratch(tree_merge(rows, runs))
+    return spread_join(rows, groups, KEY).select(
+        "doc_id", "keep_id", F.col("n").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("_digest")).alias("text_sha256")
     )
 
 

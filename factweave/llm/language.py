@@ -8,14 +8,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import read, small_batches, spans, utf8
+from .common import read, scratch, small_batches, spans, spread_join, utf8
 
 ORDER = 4
 #: The models are fitted on at most so many documents of each language, those with the smallest hash
 #: of their identifier; every fifth of them calibrates the scores instead.
 PER_LANGUAGE = 250
-#: Characters with ids of their own; all other letters share one id.
-ALPHABET = 250
+#: Of so many bytes of text of a language the model is made at most, unless its first document alone is longer.
+SAMPLE_BYTES = 8 << 20
+#: Letters with ids of their own, which have 16 bits; should a sample have more, the rarest share one id.
+ALPHABET = 65_533
+#: Up to so many sampled identifiers are broadcast.
+BROADCAST_IDS = 100_000
+#: Bytes of text that are looked up at a time.
+SPAN = 1 << 20
 UNKNOWN = "und"
 #: Share of the calibration documents of a language whose cross-entropy may be above the limit.
 REJECT_SHARE = 0.005
@@ -53,33 +59,37 @@ def symbols(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def grams(ids: np.ndarray, offs: np.ndarray, order: int) -> np.ndarray:
-    """Each position's n-gram, one byte a symbol, the newest lowest; texts begin with white space."""
+    """Each position's n-gram, 16 bits a symbol, the newest lowest; texts begin with white space."""
     out = ids.astype(np.uint64)
     for t in range(1, order):
-        out[t:] |= ids[:-t].astype(np.uint64) << np.uint64(8 * t)
+        out[t:] |= ids[:-t].astype(np.uint64) << np.uint64(16 * t)
     for s in range(order - 1):
         p = offs[:-1] + s
         p = p[p < offs[1:]]
-        out[p] &= np.uint64((1 << (8 * (s + 1))) - 1)
+        out[p] &= _mask(s + 1)
     return out
 
 
+def _mask(k: int) -> np.uint64:
+    return np.uint64((1 << (16 * k)) - 1)
+
+
 # --- the model ---------------------------------------------------------------------------------
 
 
 class SortedHashes:
-    """Sorted hashes of keys with a row of values each; the top bits of a hash say where to begin."""
+    """Sorted hashes of keys with a value each; the top bits of a hash say where to begin."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         h = K.mix(keys)
         order = np.argsort(h)
-        self.hashes, self.values = np.append(h[order], np.uint64(2**64 - 1)), values[order].astype(np.float32)
+        self.hashes, self.values = np.append(h[order], np.uint64(2**64 - 1)), np.append(values[order], 0).astype(np.float32)
         bits = max(1, int(len(keys)).bit_length())
         self.shift = np.uint64(64 - bits)
         self.begin = np.searchsorted(self.hashes[:-1], np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """The row of each key, -1 for those that are not there."""
+        """The place of each key, -1 for those that are not there."""
         h = K.mix(keys)
         at = self.begin[(h >> self.shift).astype(np.int64)]
         have = self.hashes[at]
@@ -88,91 +98,106 @@ class SortedHashes:
             at[late] += 1
             have[late] = now = self.hashes[at[late]]
             late = late[now < h[late]]
-        hit = (have == h) & (at < len(self.values))
+        hit = (have == h) & (at < len(self.hashes) - 1)
         return np.where(hit, at, -1)
 
 
 class Model:
-    """Character models of some languages over one alphabet.
+    """One interpolated Kneser-Ney character model per language, over one alphabet.
 
-    ``tables[n]`` holds log-probabilities of the n-grams seen in any language, one per language and
-    fully interpolated; ``backoff[n]`` the logarithms of the interpolation weights of contexts.
+    ``tables[j][k]`` holds the log-probabilities of the k-grams that language j has, fully
+    interpolated, and ``backoff[j][k]`` the logarithms of the interpolation weights of its contexts,
+    both as sorted hash arrays; what a language has not seen takes no room.
     """
 
     def __init__(self, texts: dict[str, list[np.ndarray]], order: int = ORDER):
         self.order, self.languages = order, sorted(texts)
-        letters, counts = np.unique(np.concatenate([x for ls in texts.values() for x in ls] or [np.zeros(0, np.uint32)]), return_counts=True)
-        letters, counts = letters[letters > 0], counts[letters > 0]
-        common = np.sort(letters[np.argsort(-counts, kind="stable")[:ALPHABET]])
-        self.common = common
-        size = len(common) + 2
-        seen = {}
-        for lang in self.languages:
+        found, counts = np.unique(np.concatenate([x for ls in texts.values() for x in ls] or [np.zeros(0, np.uint32)]), return_counts=True)
+        found, counts = found[found > 0], counts[found > 0]
+        self.common = np.sort(found[np.argsort(-counts, kind="stable")[:ALPHABET]])
+        self.floor = float(-np.log(len(self.common) + 2))
+        self.tables, self.backoff = [], []
+        for j, lang in enumerate(self.languages):
             ids = [self.ids(t) for t in texts[lang] if len(t)]
             offs = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int64)
-            seen[lang] = np.unique(grams(np.concatenate(ids) if ids else np.zeros(0, np.uint8), offs, order), return_counts=True)
-        union, parts = {}, {lang: {} for lang in self.languages}
-        for lang, (keys, n) in seen.items():
-            for k in range(order, 0, -1):
-                mask = np.uint64((1 << 8 * k) - 1)
-                if k < order:  # how many different symbols come before
-                    keys, n = np.unique(keys & mask, return_counts=True)
+            keys, n = np.unique(grams(np.concatenate(ids) if ids else np.zeros(0, np.uint16), offs, order), return_counts=True)
+            counted = {order: (keys, n)}
+            for k in range(order - 1, 0, -1):  # how many different symbols come before
+                counted[k] = np.unique(counted[k + 1][0] & _mask(k), return_counts=True)
+            self.tables.append({})
+            self.backoff.append({})
+            for k in range(1, order + 1):
+                keys, n = counted[k]
                 once, twice = int((n == 1).sum()), int((n == 2).sum())
                 discount = once / (once + 2 * twice) if once and twice else 0.5
-                contexts, where = np.unique(keys >> np.uint64(8), return_inverse=True)
+                contexts, where = np.unique(keys >> np.uint64(16), return_inverse=True)
                 totals = np.bincount(where, n, len(contexts))
-                parts[lang][k] = (keys, np.maximum(n - discount, 0) / totals[where], contexts, discount * np.bincount(where, minlength=len(contexts)) / totals)
-        for k in range(1, order + 1):
-            union[k] = np.unique(np.concatenate([parts[lang][k][0] for lang in self.languages] or [np.zeros(0, np.uint64)]))
-        self.tables, self.backoff = {}, {}
-        for k in range(1, order + 1):
-            keys = union[k]
-            contexts = np.unique(np.concatenate([parts[lang][k][2] for lang in self.languages] or [np.zeros(0, np.uint64)]))
-            weight = np.ones((len(contexts), len(self.languages)))
-            p = np.zeros((len(keys), len(self.languages)))
-            lower = np.exp(self._known(keys & np.uint64((1 << 8 * (k - 1)) - 1), k - 1)) if k > 1 else np.full(p.shape, 1 / size)
-            for j, lang in enumerate(self.languages):
-                own, value, its, lam = parts[lang][k]
-                weight[np.searchsorted(contexts, its), j] = lam
-                p[np.searchsorted(keys, own), j] = value
-            p += weight[np.searchsorted(contexts, keys >> np.uint64(8))] * lower
-            self.tables[k] = SortedHashes(keys, np.log(np.maximum(p, 1e-12)))
-            self.backoff[k] = SortedHashes(contexts, np.log(np.maximum(weight, 1e-12)))
-        self.floor = float(-np.log(size))
+                weight = discount * np.bincount(where, minlength=len(contexts)) / totals
+                p = np.maximum(n - discount, 0) / totals[where] + weight[where] * np.exp(self._known(keys & _mask(k - 1), k - 1, j))
+                self.tables[j][k] = SortedHashes(keys, np.log(p))
+                self.backoff[j][k] = SortedHashes(contexts, np.log(weight))
         self.limits = np.full(len(self.languages), np.inf)
         self.sharpness = 4.0
 
     def ids(self, letters: np.ndarray) -> np.ndarray:
-        """1 and up for common letters, the last id for others, 0 for white space."""
+        """1 and up for known letters, the last id for others, 0 for white space."""
         at = np.searchsorted(self.common, letters)
-        found = (at < len(self.common)) & (self.common[np.minimum(at, len(self.common) - 1)] == letters) if len(self.common) else np.zeros(len(letters), bool)
-        return np.where(letters == 0, 0, np.where(found, at + 1, len(self.common) + 1)).astype(np.uint8)
+        found = self.common[np.minimum(at, len(self.common) - 1)] == letters if len(self.common) else np.zeros(len(letters), bool)
+        return np.where(letters == 0, 0, np.where(found, at + 1, len(self.common) + 1)).astype(np.uint16)
 
-    def _known(self, keys: np.ndarray, k: int) -> np.ndarray:
-        """Log-probabilities of k-grams, seen or not."""
+    def _known(self, keys: np.ndarray, k: int, j: int) -> np.ndarray:
+        """Log-probabilities of k-grams in language j, seen or not."""
         if k == 0:
-            return np.full((len(keys), len(self.languages)), self.floor, np.float32) if hasattr(self, "floor") else np.full((len(keys), len(self.languages)), -np.log(len(self.common) + 2), np.float32)
-        at = self.tables[k].find(keys)
-        out = self.tables[k].values[at] if len(self.tables[k].values) else np.zeros((len(keys), len(self.languages)), np.float32)
+            return np.full(len(keys), self.floor, np.float32)
+        at = self.tables[j][k].find(keys)
+        out = self.tables[j][k].values[at]
         miss = np.flatnonzero(at < 0)
         if len(miss):
-            lower = self._known(keys[miss] & np.uint64((1 << 8 * (k - 1)) - 1), k - 1)
-            context = self.backoff[k].find(keys[miss] >> np.uint64(8))
+            lower = self._known(keys[miss] & _mask(k - 1), k - 1, j)
+            context = self.backoff[j][k].find(keys[miss] >> np.uint64(16))
             seen = context >= 0
-            lower[seen] += self.backoff[k].values[context[seen]]
+            lower[seen] += self.backoff[j][k].values[context[seen]]
             out[miss] = lower
         return out
 
+    def sums(self, keys: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Nats of the n-grams from each beginning to the next, under each language; each n-gram is looked up once."""
+        different, where = np.unique(keys, return_inverse=True)
+        return np.stack([-np.add.reduceat(self._known(different, self.order, j)[where], begin, dtype=np.float64) for j in range(len(self.languages))], axis=1)
+
     def entropies(self, letters: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Nats per symbol of each text under each language."""
-        logs = self._known(grams(self.ids(letters), offs, self.order), self.order)
         size = np.diff(offs)
         out = np.zeros((len(size), len(self.languages)))
         full = np.flatnonzero(size > 0)
-        if len(full):
-            out[full] = -np.add.reduceat(logs, offs[full], axis=0, dtype=np.float64) / size[full, None]
+        if len(full) and self.languages:
+            out[full] = self.sums(grams(self.ids(letters), offs, self.order), offs[full]) / size[full, None]
         return out
 
+    def long_entropies(self, data: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, int, bool]:
+        """The same of one long text, ``span`` bytes at a time, its number of symbols, and whether it has letters."""
+        total, size, some, before = np.zeros(len(self.languages)), 0, False, np.zeros(0, np.uint32)
+        at = 0
+        while at < len(data):
+            end = min(len(data), at + span)
+            while end < len(data) and data[end] & 0xC0 == 0x80:
+                end += 1
+            own = symbols(data[at:end], np.array([0, end - at]))[0]
+            first = data[at:end][:4].tobytes().decode("utf-8", "ignore")[:1]
+            at = end
+            # white space at the beginning of a piece is a symbol if a letter comes before it
+            if len(before) and before[-1] and not _letters()[ord(first or " ")]:
+                own = np.append(np.zeros(1, own.dtype), own)
+            if not len(own):
+                continue
+            some |= bool((own != 0).any())
+            joined = np.concatenate([before, own])
+            if self.languages:
+                total += self.sums(grams(self.ids(joined), np.array([0, len(joined)]), self.order)[len(before) :], np.array([0]))[0]
+            size += len(own)
+            before = joined[-(self.order - 1) :] if self.order > 1 else own[:0]
+        return total / max(size, 1), size, some
+
     def posterior(self, entropies: np.ndarray, size: np.ndarray) -> np.ndarray:
         x = -self.sharpness * np.sqrt(size)[:, None] * entropies
         x = np.exp(x - x.max(axis=1, keepdims=True))
@@ -202,18 +227,26 @@ class Model:
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, order: int = ORDER) -> Model:
-    """A model of every language in ``lang`` (null and 'und' excepted), from a bounded sample of ``docs``."""
-    named = docs.filter(F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & F.col("text").isNotNull()).withColumn("_h", F.xxhash64(F.lit("language"), "doc_id"))
+    """A model of every language in ``lang`` (null and 'und' excepted), from a bounded sample of ``docs``.
+
+    Only identifiers are counted and ranked; the texts of those chosen are fetched after that.
+    """
+    named = docs.filter(F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    named = named.select("lang", "doc_id", F.octet_length("text").cast("long").alias("_size"), F.xxhash64(F.lit("language"), "doc_id").alias("_h"))
+    counts = scratch(named.groupBy("lang").agg(F.count("*").alias("n")))
     # a hash threshold leaves about four times the rows wanted of each language, so that the ranking is small
-    counts = named.groupBy("lang").agg(F.count("*").alias("_n"))
-    near = named.join(counts, "lang").filter(F.shiftrightunsigned("_h", 11) / float(1 << 53) < 4.0 * per_language / F.col("_n"))
-    rows = near.select("lang", "doc_id", "text", "_h").withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))).filter(F.col("_r") <= per_language)
+    near = spread_join(named, counts, ["lang"]).filter(F.shiftrightunsigned("_h", 11) / float(1 << 53) < 4.0 * per_language / F.col("n"))
+    order_by = Window.partitionBy("lang").orderBy("_h", "doc_id", "_size")
+    ranked = near.withColumn("_r", F.row_number().over(order_by)).filter(F.col("_r") <= per_language)
+    chosen = scratch(ranked.withColumn("_upto", F.sum("_size").over(order_by.rowsBetween(Window.unboundedPreceding, 0))).filter((F.col("_r") == 1) | (F.col("_upto") <= SAMPLE_BYTES)).select("lang", "doc_id", "_size", "_r"))
+    few = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen
+    texts = docs.select("lang", "doc_id", "text", F.octet_length("text").cast("long").alias("_size")).join(few, ["lang", "doc_id", "_size"]).select("lang", "_r", "text")
     train: dict[str, list] = {}
     held: dict[str, list] = {}
-    for r in sorted(rows.select("lang", "_r", "text").toLocalIterator(), key=lambda r: (r["lang"], r["_r"])):
+    for r in sorted(texts.toLocalIterator(), key=lambda r: (r["lang"], r["_r"], r["text"])):
         data = np.frombuffer(r["text"].encode(), np.uint8)
-        letters = symbols(data, np.array([0, len(data)]))[0]
-        (held if r["_r"] % 5 == 0 else train).setdefault(r["lang"], []).append(letters)
+        own = symbols(data, np.array([0, len(data)]))[0]
+        (held if r["_r"] % 5 == 0 else train).setdefault(r["lang"], []).append(own)
     model = Model(train, order)
     model.calibrate(held)
     return model
@@ -235,17 +268,21 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         names = np.array([*m.languages, UNKNOWN], object)
         for b in batches:
             data, offs = utf8(b.column("text"))
-            for i, j in spans(offs, 1 << 20):
-                letters, at = symbols(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                # texts whose one symbol stands for other characters have no letter
-                some = np.zeros(j - i, bool)
-                filled = np.flatnonzero(np.diff(at) > 0)
-                if len(filled):
-                    some[filled] = np.add.reduceat((letters != 0).astype(np.int64), at[filled]) > 0
+            for i, j in spans(offs, SPAN):
+                own = data[offs[i] : offs[j]]
+                if j == i + 1 and len(own) > SPAN:
+                    one, count, letters = m.long_entropies(own)
+                    e, size, some = one[None, :], np.array([count]), np.array([letters])
+                else:
+                    found, at = symbols(own, offs[i : j + 1] - offs[i])
+                    # texts whose one symbol stands for other characters have no letter
+                    e, size, some = m.entropies(found, at), np.diff(at), np.zeros(j - i, bool)
+                    filled = np.flatnonzero(size > 0)
+                    if len(filled):
+                        some[filled] = np.add.reduceat((found != 0).astype(np.int64), at[filled]) > 0
                 if m.languages:
-                    e = m.entropies(letters, at)
                     best = np.where(some, e.argmin(axis=1), len(m.languages))
-                    score = np.where(some, m.posterior(e, np.diff(at)).max(axis=1), 0.0)
+                    score = np.where(some, m.posterior(e, size).max(axis=1), 0.0)
                     entropy = np.where(some, e.min(axis=1), 0.0)
                     rejected = some & (entropy > np.append(m.limits, np.inf)[best])
                 else:

@@ -52,6 +52,21 @@ def test_query_equals_sql(spark, sf, name):
     assert same(Q.QUERIES[name](spark, sf), duck(Q.SQL[name], sf))
 
 
+def test_tree_merge_of_runs(spark):
+    docs = spark.range(9_000).selectExpr("id AS doc_id", "IF(id % 3 = 0, repeat('a b', 3), concat('t', id % 2500, repeat(' ', int(id % 7)))) AS text")
+    got = {r.doc_id: r for r in exact_dedup.exact_dedup(docs).collect()}
+    want = defaultdict(list)
+    for i in range(9_000):
+        want["ababab" if i % 3 == 0 else f"t{i % 2500}"].append(((-9, i) if i % 3 == 0 else (-len(f"t{i % 2500}") - i % 7, i)))
+    for t, own in want.items():
+        for _, i in own:
+            assert (got[i].keep_id, got[i].group_size, got[i].text_sha256) == (min(own)[1], len(own), hashlib.sha256(t.encode()).hexdigest())
+    rows = exact_dedup.digests(docs)
+    plan = exact_dedup.tree_merge(rows, 64)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(_run") == 3 and plan.count("Sort [_run") == 3 and "Python" not in plan
+    assert sorted(r.n for r in exact_dedup.tree_merge(rows, 8).collect()) == sorted(r.n for r in exact_dedup.tree_merge(rows, 512).collect()) == sorted(map(len, want.values()))
+
+
 def test_near_groups_equal_brute_force(spark, sf, texts):
     sets = {}
     for i, t in texts:
@@ -170,13 +185,65 @@ def test_language_on_held_out(spark, sf):
     assert np.mean([r.lang_pred == truth[r.doc_id][0] for r in got]) > 0.97
 
 
-def test_model_probabilities_sum_to_one():
-    letters = np.array([ord(c) if c != " " else 0 for c in " the cat sat on the mat and the rat"], np.uint32)
-    model = language.Model({"a": [letters], "b": [letters[::-1].copy()]}, order=3)
+def letters(text):
+    return language.symbols(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))[0]
+
+
+def kneser_ney(text, size, order):
+    """P(symbol | context) of interpolated Kneser-Ney, by counting tuples; contexts as long as the text has them."""
+    seq = [0] * (order - 1) + list(text)
+    count = {order: defaultdict(int)}
+    for i in range(order - 1, len(seq)):
+        count[order][tuple(seq[i - order + 1 : i + 1])] += 1
+    for k in range(order - 1, 0, -1):
+        count[k] = defaultdict(int)
+        for g in count[k + 1]:
+            count[k][g[1:]] += 1
+
+    def p(gram):
+        k = len(gram)
+        if not k:
+            return 1 / size
+        once, twice = (sum(n == x for n in count[k].values()) for x in (1, 2))
+        d = once / (once + 2 * twice) if once and twice else 0.5
+        own = {g: n for g, n in count[k].items() if g[:-1] == gram[:-1]}
+        if not own:
+            return p(gram[1:])
+        total = sum(own.values())
+        return max(own.get(gram, 0) - d, 0) / total + d * len(own) / total * p(gram[1:])
+
+    return p
+
+
+def test_model_equals_kneser_ney_by_counting():
+    texts = {"a": "the cat sat on the mat and the rat sat", "b": "der hund und die katze und der rabe"}
+    model = language.Model({k: [letters(t)] for k, t in texts.items()}, order=3)
     size = len(model.common) + 2
-    for context in ([0], [1, 2], [3, 1]):
-        keys = np.array([sum(c << 8 * (t + 1) for t, c in enumerate(reversed(context))) + x for x in range(size)], np.uint64)
-        assert np.allclose(np.exp(model._known(keys, len(context) + 1)).sum(axis=0), 1, atol=1e-4)
+    for j, t in enumerate(texts.values()):
+        p = kneser_ney(model.ids(letters(t)).tolist(), size, 3)
+        probe = [0, 0, *model.ids(letters("the rat und zzz katze")).tolist()]
+        grams = [tuple(probe[i : i + 3]) for i in range(len(probe) - 2)]
+        keys = np.array([(a << 32) | (b << 16) | c for a, b, c in grams], np.uint64)
+        assert np.allclose(np.exp(model._known(keys, 3, j)), [p(g) for g in grams], rtol=1e-4)
+    for j in range(2):
+        for context in ([0], [1, 2], [3, 1]):
+            keys = np.array([sum(c << 16 * (t + 1) for t, c in enumerate(reversed(context))) + x for x in range(size)], np.uint64)
+            assert np.isclose(np.exp(model._known(keys, len(context) + 1, j)).sum(), 1, atol=1e-4)
+
+
+def test_large_scripts_and_long_texts(spark):
+    rng = np.random.default_rng(5)
+    words = {"zh": [chr(c) for c in rng.integers(0x4E00, 0x9000, 900)], "zh2": [chr(c) for c in rng.integers(0x4E00, 0x9000, 900)], "ko": [chr(c) for c in rng.integers(0xAC00, 0xD700, 900)]}
+    rows = [(100 * n + i, "".join(rng.choice(w, 60)), k) for n, (k, w) in enumerate(words.items()) for i in range(60)]
+    docs = spark.createDataFrame([(i, t, k if i % 100 < 40 else None) for i, t, k in rows], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_best for r in language.identify(docs, language.fit(docs)).collect()}
+    assert np.mean([got[i] == k for i, _, k in rows if i % 100 >= 40]) > 0.95
+    model = language.Model({"a": [letters("one two three")], "b": [letters("eins zwei drei")]})
+    text = ("one two, drei! " * 5_000 + "  ... " * 9_000 + "zwei" * 7).encode()
+    data = np.frombuffer(text, np.uint8)
+    whole = language.symbols(data, np.array([0, len(data)]))[0]
+    parts, size, some = model.long_entropies(data, 4_099)
+    assert size == len(whole) and some and np.allclose(parts, model.entropies(whole, np.array([0, len(whole)]))[0], atol=1e-5)
 
 
 def test_quality_on_held_out(spark):
