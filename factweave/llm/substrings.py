@@ -188,7 +188,8 @@ def repeat_spans(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMIS
     rows = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(48, int(size * 3.3) // BUCKET_BYTES)
-    found = scratch(_blobs(rows, buckets, window, minimiser).groupBy("bucket").applyInArrow(lambda t: count_bucket(t, window), "h0 bigint, h1 bigint, w_from bigint, w_to bigint, least bigint"))
+    # a task holds one bucket after the other; eight buckets to a task keep what it reads bounded at any size
+    found = scratch(_blobs(rows, buckets, window, minimiser).repartition(max(48, buckets // 8), "bucket").groupBy("bucket").applyInArrow(lambda t: count_bucket(t, window), "h0 bigint, h1 bigint, w_from bigint, w_to bigint, least bigint"))
 
     def run(batches):
         for batch in batches:
