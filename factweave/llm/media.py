@@ -11,12 +11,16 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import read, small_batches
 
 #: Rows of the payload images of documents, and the unit that payloads are filled up to.
 WIDTH, UNIT, FILL = 24, 576, 255
 TILE = 32
+#: Samples that an image may declare, and samples beyond which the integral image is kept at the borders of cells alone.
+MOST_SAMPLES, WHOLE_SAMPLES = 1 << 30, 1 << 22
 
 
 def encode_pgm(payload: bytes, width: int = WIDTH) -> bytes:
@@ -46,6 +50,10 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     if not 0 < most < 65536:
         raise ValueError("broken header")
     channels = 3 if kind in (b"P3", b"P6") else 1
+    if not 0 < wide * high * channels <= MOST_SAMPLES:
+        raise ValueError("empty or too large")
+    if kind in (b"P1", b"P2", b"P3") and wide * high * channels > len(data):
+        raise ValueError("too few samples")
     if kind == b"P4":
         row = (wide + 7) // 8
         raw = np.frombuffer(data, np.uint8, row * high, at).reshape(high, row)
@@ -103,6 +111,8 @@ def decode_bmp(data: bytes) -> np.ndarray:
     if depth not in (1, 4, 8, 16, 24, 32) or packed not in {4: (0, 2), 8: (0, 1), 16: (0, 3, 6), 32: (0, 3, 6)}.get(depth, (0,)) or wide <= 0 or not high:
         raise ValueError("unsupported bitmap")
     rows = abs(high)
+    if wide * rows > MOST_SAMPLES:
+        raise ValueError("too large")
     if packed in (1, 2):
         raw = _runs(data, start, wide, rows, depth)
     else:
@@ -144,12 +154,28 @@ def _bands(total: np.ndarray, cells: int) -> np.ndarray:
     return np.diff(total[low] * (1 - part) + total[low + 1] * part, axis=0)
 
 
+def _row_bands(image: np.ndarray, cells: int) -> np.ndarray:
+    """The same over the rows of a large image, whose running sum is kept only where it is read."""
+    at = np.linspace(0, len(image), cells + 1)
+    low = np.minimum(at.astype(np.int64), len(image) - 1)
+    places = np.unique(np.concatenate([[0], low, low + 1]))
+    total = np.cumsum(np.stack([np.zeros(image.shape[1:]), *[image[a:b].sum(axis=0, dtype=np.float64) for a, b in zip(places[:-1], places[1:], strict=True)]]), axis=0)
+    part = (at - low)[:, None, None]
+    return np.diff(total[np.searchsorted(places, low)] * (1 - part) + total[np.searchsorted(places, low + 1)] * part, axis=0)
+
+
 def area_resize(image: np.ndarray, high: int, wide: int) -> np.ndarray:
     """Means over equal areas, read off the integral image, which is interpolated inside samples."""
     rows, cols = image.shape[:2]
-    total = np.zeros((rows + 1, cols + 1, image.shape[2]), np.float64)
-    np.cumsum(np.cumsum(image, axis=0, dtype=np.float64), axis=1, out=total[1:, 1:])
-    sums = _bands(_bands(total, high).swapaxes(0, 1), wide).swapaxes(0, 1)
+    if image.size > WHOLE_SAMPLES:
+        bands = _row_bands(image, high)
+        total = np.zeros((cols + 1, high, image.shape[2]))
+        np.cumsum(bands.swapaxes(0, 1), axis=0, out=total[1:])
+        sums = _bands(total, wide).swapaxes(0, 1)
+    else:
+        total = np.zeros((rows + 1, cols + 1, image.shape[2]), np.float64)
+        np.cumsum(np.cumsum(image, axis=0, dtype=np.float64), axis=1, out=total[1:, 1:])
+        sums = _bands(_bands(total, high).swapaxes(0, 1), wide).swapaxes(0, 1)
     return np.clip(np.rint(sums * (high * wide / (rows * cols))), 0, 255).astype(np.uint8)
 
 
@@ -166,62 +192,56 @@ def npy(array: np.ndarray) -> bytes:
     return out.getvalue()
 
 
-def media_columns(df: DataFrame, column: str = "media", tile: int = TILE) -> DataFrame:
-    """``df`` with height, width, channels, tile (NPY of tile x tile x channels), dhash and error.
+ADDED = {
+    "media_bytes": T.LongType(), "media_sha256": T.StringType(), "height": T.IntegerType(), "width": T.IntegerType(), "channels": T.IntegerType(), "samples": T.LongType(),
+    "samples_sha256": T.StringType(), "tail_crc32": T.LongType(), "tile": T.BinaryType(), "dhash": T.StringType(), "error": T.StringType(),
+}
 
-    Null, empty, cut-off and unknown media get an error and nulls; no row is dropped and repeated
-    rows give repeated results. Columns of the added names are replaced, all others pass unchanged.
-    """
-    added = ["height", "width", "channels", "tile", "dhash", "error"]
-    keep = [c for c in df.columns if c not in added]
-    schema = ", ".join([f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.select(*[f"`{c}`" for c in keep]).schema] + ["height int", "width int", "channels int", "tile binary", "dhash string", "error string"])
-
-    def one(data):
-        try:
-            image = decode(data or b"")
-            return (*image.shape, npy(area_resize(image, tile, tile)), difference_hash(image), None)
-        except (ValueError, struct.error, IndexError, MemoryError) as e:
-            return None, None, None, None, None, str(e) or "broken"
-
-    def run(batches):
-        for b in batches:
-            rows = [one(x.as_py()) for x in b.column(column)]
-            kinds = [pa.int32()] * 3 + [pa.binary(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], *[pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]], names=[*keep, *added])
 
-    return small_batches(df.select(*[f"`{c}`" for c in keep])).mapInArrow(run, schema)
+def describe(stored: bytes | None, tile: int = TILE) -> tuple:
+    """The values of ``ADDED`` for one stored image, read back from its bytes.
 
+    Whatever is wrong with an image, it gets an error and nulls: its bytes come from anywhere.
+    """
+    stored = stored or b""
+    head = len(stored), hashlib.sha256(stored).hexdigest()
+    try:
+        image = decode(stored)
+        raw = image.tobytes()
+        return (*head, *image.shape, len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-32:]), npy(area_resize(image, tile, tile)), difference_hash(image), None)
+    except Exception as e:
+        return (*head, *[None] * 8, str(e) or type(e).__name__)
 
-def documents_as_media(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and the text of each document as a grey map (null: empty)."""
 
-    def run(batches):
-        for b in batches:
-            sizes, images = [], []
-            for text in b.column("text"):
-                raw = (text.as_py() or "").encode()
-                sizes.append(len(raw))
-                images.append(encode_pgm(raw + bytes([FILL]) * (UNIT - len(raw) if len(raw) < UNIT else -len(raw) % UNIT)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(images, pa.binary())], names=["doc_id", "n_bytes", "media"])
+def text_image(text: str | None) -> bytes:
+    """The bytes of a text (null: empty), filled up to whole units, as a grey map."""
+    raw = (text or "").encode()
+    return encode_pgm(raw + bytes([FILL]) * (UNIT - len(raw) if len(raw) < UNIT else -len(raw) % UNIT))
 
-    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id bigint, n_bytes bigint, media binary")
 
+def media_columns(df: DataFrame, column: str = "media", tile: int = TILE, encode=None) -> DataFrame:
+    """``df`` with the columns of ``ADDED``: digests of the stored image, its size, digests of its samples, tile and hash.
 
-def digest(media: DataFrame) -> DataFrame:
-    """Digests of the payload as read back from the stored image, beside those of the image itself."""
+    The tile is an NPY array of tile x tile x channels. With ``encode``, a function from the column's
+    values to stored images, these are made, read back and described in the same pass. Null, empty,
+    cut-off and unknown media get an error and nulls; no row is dropped and repeated rows give
+    repeated results. Columns of the added names are replaced, all others pass unchanged.
+    """
+    keep = [c for c in df.columns if c not in ADDED]
+    schema = T.StructType([*df.select(*[f"`{c}`" for c in keep]).schema, *[T.StructField(k, v) for k, v in ADDED.items()]])
+    kinds = [{"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}[v.simpleString()] for v in ADDED.values()]
 
     def run(batches):
         for b in batches:
-            rows = []
-            for stored, dhash, tile in zip(b.column("media"), b.column("dhash"), b.column("tile"), strict=True):
-                data = stored.as_py()
-                back = decode(data).tobytes()
-                rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(data), hashlib.sha256(data).hexdigest(), f"{dhash.as_py()}:{zlib.crc32(tile.as_py()):08x}"))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *[pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            rows = [describe(encode(x.as_py()) if encode else x.as_py(), tile) for x in b.column(column)]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], *[pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]], names=[*keep, *ADDED])
 
-    return small_batches(media).mapInArrow(run, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    return small_batches(df.select(*[f"`{c}`" for c in keep])).mapInArrow(run, schema)
 
 
 def op5_media_columns(spark, sf_dir):
-    return digest(media_columns(documents_as_media(read(spark, sf_dir, "documents"))))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = media_columns(docs, "text", encode=text_image)
+    feature = F.concat_ws(":", "dhash", F.lpad(F.lower(F.hex(F.crc32("tile"))), 8, "0")).alias("feature")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
+    return found.select("doc_id", size, F.col("samples").alias("payload_bytes"), F.col("samples_sha256").alias("payload_sha256"), "tail_crc32", "media_bytes", "media_sha256", feature, "tile")

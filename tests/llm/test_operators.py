@@ -1,6 +1,7 @@
 """Each operator against SQL, brute force, a round trip or held-out labels, and on odd rows."""
 
 import hashlib
+import io
 import re
 import struct
 import zlib
@@ -260,6 +261,40 @@ def test_media_round_trip(spark, sf, texts):
         raw = t.encode()
         full = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
         assert (got[i].n_bytes, got[i].payload_bytes, got[i].payload_sha256, got[i].tail_crc32) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-32:]))
+        stored = b"P5\n24 %d\n255\n" % (len(full) // 24) + full
+        assert (got[i].media_bytes, got[i].media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+    for i, t in texts[:12]:
+        raw = t.encode()
+        image = np.frombuffer(raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw)), np.uint8).reshape(-1, 24)
+        tile = np.load(io.BytesIO(got[i].tile))
+        small = area_means(image, 8, 9)
+        assert (tile[:, :, 0] == area_means(image, 32, 32)).all()
+        assert got[i].feature == np.packbits(small[:, 1:] > small[:, :-1]).tobytes().hex() + f":{zlib.crc32(got[i].tile):08x}"
+
+
+def area_means(image, high, wide):
+    """Means over equal areas by adding up every sample's share, one sample after the other."""
+    out = np.zeros((high, wide))
+    share = [[(k, max(0.0, min((k + 1) * n / c, p + 1) - max(k * n / c, p))) for k in range(c) if min((k + 1) * n / c, p + 1) - max(k * n / c, p) > 1e-12] for n, c in ((image.shape[0], high), (image.shape[1], wide)) for p in range(n)]
+    down, across = share[: image.shape[0]], share[image.shape[0] :]
+    for y, ys in enumerate(down):
+        for x, xs in enumerate(across):
+            for a, h in ys:
+                for b, w in xs:
+                    out[a, b] += h * w * image[y, x]
+    return np.rint(np.round(out * high * wide / image.size, 9)).astype(np.uint8)
+
+
+def test_broken_media_get_errors(spark):
+    bad = [b"P5 0 5 255\n", b"P4 0 0\n", b"P5 99999999999 99999999999 255\n", b"P3 1 1 255 99999999999999999999 1 1", b"P2 70000 70000 255 1", b"BM" + bytes(10), b"BM" + bytes(100), b"P5 3 3 0\n" + bytes(9), b"P6 2 2 255\nabc"]
+    rows = spark.createDataFrame([(i, x, "o") for i, x in enumerate(bad)], "id int, media binary, tile string")
+    got = media.media_columns(rows).collect()
+    assert len(got) == len(bad) and all(r.error and r.tile is None and r.samples is None and r.media_bytes for r in got)
+    assert media.media_columns(rows.limit(0)).isEmpty()
+    large = np.random.default_rng(2).integers(0, 256, (30_000, 150, 1)).astype(np.uint8)
+    total = np.zeros((30_001, 151, 1))
+    np.cumsum(np.cumsum(large, axis=0, dtype=np.float64), axis=1, out=total[1:, 1:])
+    assert (media.area_resize(large, 8, 9) == np.rint(media._bands(media._bands(total, 8).swapaxes(0, 1), 9).swapaxes(0, 1) * 72 / large.size).astype(np.uint8)).all()
 
 
 def test_media_formats(spark):
@@ -352,8 +387,8 @@ def test_odd_rows(spark, odd, none):
     assert mixed.filter("doc_id IS NULL").count() >= 0 and mixing.mix(odd, {"s0": 1.0}, epochs=40.0).filter("source <> 's0' OR source IS NULL").isEmpty()
     packed = packing.pack_documents(odd).collect()
     assert len({(r.sequence_id, r.offset) for r in packed}) == len(packed) and sum(r.piece == 0 for r in packed) == n
-    shown = media.digest(media.media_columns(media.documents_as_media(odd))).collect()
-    assert len(shown) == n and {r.payload_bytes for r in shown if r.doc_id in (3, 4)} == {576}
+    shown = media.media_columns(odd, "text", encode=media.text_image).collect()
+    assert len(shown) == n and {r.samples for r in shown if r.doc_id in (3, 4)} == {576}
     for empty in (exact_dedup.exact_dedup(none), near_dedup.near_groups(none), substrings.remove_repeats(none), line_dedup.dedup_lines(none), mixing.mix(none), packing.pack_documents(none)):
         assert empty.isEmpty()
 
