@@ -64,43 +64,43 @@ def blocks(page: str):
     """Parses a page. Nodes are (tag, parent, dropped, inside, furniture words); blocks (node, parts), parts (text, in a link, node)."""
     nodes = [("#", -1, False, False, frozenset())]
     stack = [0]
+    #: The nearest block of each open element, and how many elements of each name are open.
+    owners = [0]
+    open_tags: dict[str, int] = {}
     out: list[tuple[int, list[tuple[str, bool, int]]]] = []
     parts: list[tuple[str, bool, int]] = []
-    links = 0
-    owner = 0
 
     def flush():
         if parts:
-            out.append((owner, parts.copy()))
+            out.append((owners[-1], parts.copy()))
             parts.clear()
 
     def pop_to(depth):
-        nonlocal links, owner
         while len(stack) > depth:
             tag = nodes[stack[-1]][0]
             if tag in BLOCK:
                 flush()
-            elif tag == "a":
-                links = max(0, links - 1)
+            open_tags[tag] -= 1
             stack.pop()
-        owner = next((i for i in reversed(stack) if nodes[i][0] in BLOCK or i == 0), 0)
+            owners.pop()
 
     def close(names, borders):
+        if not any(open_tags.get(n) for n in names):
+            return
         for depth in range(len(stack) - 1, 0, -1):
             tag = nodes[stack[depth]][0]
             if tag in names:
                 pop_to(depth)
-                return True
+                return
             if tag in borders:
-                return False
-        return False
+                return
 
     at, size = 0, len(page)
     while at < size:
         m = _TOKEN.search(page, at)
         text = page[at : m.start() if m else size]
         if text and not nodes[stack[-1]][2]:
-            parts.append((text, links > 0, stack[-1]))
+            parts.append((text, bool(open_tags.get("a")), stack[-1]))
         if not m:
             break
         at = m.end()
@@ -110,14 +110,14 @@ def blocks(page: str):
         tag, ends, attrs = name.lower(), m[1] or m[4], m[3] or m[6] or ""
         if ends:
             if tag == "br":
-                parts.append((" ", links > 0, stack[-1]))
+                parts.append((" ", bool(open_tags.get("a")), stack[-1]))
             elif tag not in VOID:
                 close({tag}, {"table"} if tag not in BLOCK and tag != "a" else ())
             continue
         if tag == "br" or tag == "wbr":
-            parts.append((" " if tag == "br" else "", links > 0, stack[-1]))
+            parts.append((" " if tag == "br" else "", bool(open_tags.get("a")), stack[-1]))
             continue
-        if tag in ("html", "body") and any(nodes[i][0] == tag for i in stack):
+        if tag in ("html", "body") and open_tags.get(tag):
             continue
         if tag in _CLOSES_P:
             close({"p"}, {"table", "td", "th", "li", "div", "article", "section", "blockquote"} if tag != "p" else {"table", "td", "th", "article", "section", "blockquote", "div", "li"})
@@ -125,7 +125,7 @@ def blocks(page: str):
             pop_to(len(stack) - 1)
         if tag in _CLOSES:
             close(*_CLOSES[tag])
-        if tag == "a" and links:
+        if tag == "a":
             close({"a"}, BLOCK)
         if tag == "body":
             close({"head"}, ())
@@ -144,10 +144,8 @@ def blocks(page: str):
             at = end.end() if end else size
             continue
         stack.append(len(nodes) - 1)
-        if tag == "a":
-            links += 1
-        if tag in BLOCK:
-            owner = stack[-1]
+        owners.append(stack[-1] if tag in BLOCK else owners[-1])
+        open_tags[tag] = open_tags.get(tag, 0) + 1
     pop_to(1)
     flush()
     return nodes, out
@@ -183,30 +181,40 @@ def _dead(nodes, found) -> list[bool]:
                 text = _text(some)
                 gain = _points(text, len(_text([p for p in some if p[1]]))) if text else 0.0
                 own[at] += gain
-                up = at
-                while gain and up >= 0:
-                    points[up] += gain
-                    up = nodes[up][1]
-        bodies = {i: named[i] for i, n in enumerate(nodes) if n[0] in ("article", "main") and not n[2]}
+                points[at] += gain
+        # children come after their parents, so one pass from the end sums up whole trees
+        last = list(range(len(nodes)))
+        for i in range(len(nodes) - 1, 0, -1):
+            up = nodes[i][1]
+            points[up] += points[i]
+            last[up] = max(last[up], last[i])
+        bodies: dict[int, list[int]] = {}
         holds = set()
-        for i in bodies:
-            while i > 0:
-                holds.add(i)
-                i = nodes[i][1]
+        for i, n in enumerate(nodes):
+            if n[0] in ("article", "main") and not n[2]:
+                bodies.setdefault(named[i], []).append(i)
+                while i > 0 and i not in holds:
+                    holds.add(i)
+                    i = nodes[i][1]
         stay, outside = {0}, own[0]
-        standing = {i for i, at in bodies.items() if not at}
+        # of the articles and main elements that stand: whether any is an article, and what an element around which all others are must span
+        stands, first, final = False, -1, len(nodes)
+
+        def admit(own_bodies):
+            nonlocal stands, first, final
+            for b in own_bodies:
+                stands |= nodes[b][0] == "article"
+                first, final = max(first, b), min(final, last[b])
+
+        admit(bodies.get(0, ()))
         for i in sorted({*named} - {0}, key=lambda i: (-points[i], i)):
-            up, around, free = nodes[i][1], set(), True
-            while up > 0:
-                around.add(up)
-                free &= not nodes[up][4] or up in stay
-                up = nodes[up][1]
             most = 2 * points[i] > points[0]
             talk = nodes[i][4] <= TALK
-            if free and not any(nodes[b][0] == "article" or b not in around for b in standing) and ((most or not talk) if i in holds else most and (not talk or not outside)):
+            free = named[nodes[i][1]] in stay and not stands and first < i and final >= i
+            if free and ((most or not talk) if i in holds else most and (not talk or not outside)):
                 stay.add(i)
                 outside += own[i]
-                standing |= {b for b, at in bodies.items() if at == i}
+                admit(bodies.get(i, ()))
     dead = [False] * len(nodes)
     for i, (_, up, _, _, words) in enumerate(nodes):
         dead[i] = i > 0 and (dead[up] or bool(words) and i not in stay)
@@ -227,22 +235,21 @@ def main_text(page: str | None) -> str:
     if not found:
         return ""
     points = [0.0] * len(nodes)
+    passed = [0.0] * len(nodes)
     length = [0] * len(nodes)
     linked = [0] * len(nodes)
     for node, text, in_links in found:
-        up = node
-        while up >= 0:
-            length[up] += len(text)
-            linked[up] += in_links
-            up = nodes[up][1]
-        if len(text) < LEAST:
-            continue
-        own = _points(text, in_links)
-        up, share = (nodes[node][1] if nodes[node][0] in _LEAF else node), 1.0
-        while up > 0:
-            points[up] += own * share
-            share = 0.5 if share == 1.0 else share * 2 / 3
-            up = nodes[up][1]
+        length[node] += len(text)
+        linked[node] += in_links
+        passed[nodes[node][1] if nodes[node][0] in _LEAF else node] += _points(text, in_links)
+    # children come after their parents: an element has what paragraphs pass to it, half of what they
+    # pass to its children, and two thirds of what these have of their own children
+    for i in range(len(nodes) - 1, 0, -1):
+        up = nodes[i][1]
+        length[up] += length[i]
+        linked[up] += linked[i]
+        points[up] += 0.5 * passed[i] + points[i] * 2 / 3
+        points[i] += passed[i]
     bonus = {"article": 25, "main": 15, "div": 2, "section": 2, "pre": 3, "td": 3, "blockquote": 3, "ul": -3, "ol": -3, "th": -5}
 
     def score(i):
@@ -265,16 +272,12 @@ def main_text(page: str | None) -> str:
                 if nodes[i][0] in _HEADING and i < best or score(i) >= limit or nodes[i][0] == "p" and dense < 0.25 and (length[i] > 80 or not linked[i] and length[i] >= LEAST):
                     kept.add(i)
 
-    def stays(node):
-        up = node
-        while up >= 0:
-            if up in kept:
-                return True
-            if nodes[up][0] in ("ul", "ol", "table", "div", "section") and linked[up] > 0.66 * length[up]:
-                return False
-            up = nodes[up][1]
-        return not best
-    return "\n\n".join(text for node, text, _ in found if stays(node))
+    stays = [0 in kept or not best] * len(nodes)
+    for i, (tag, up, *_) in enumerate(nodes):
+        if i:
+            dense = tag in ("ul", "ol", "table", "div", "section") and linked[i] > 0.66 * length[i]
+            stays[i] = i in kept or not dense and stays[up]
+    return "\n\n".join(text for node, text, _ in found if stays[node])
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -343,6 +343,40 @@ def test_pages(spark, sf):
     assert len(got) == 50 and all(r.n_chars == len(r.text) and "track(" not in r.text and "&middot;" not in r.text for r in got)
 
 
+A = "The first paragraph of the story, with commas, has enough words to count as text. It goes on for a while."
+B = "The second one, too, is long enough, and it says something more about the matter at hand than the first."
+GOLD = [
+    (f"<html><head><title>T</title><style>p{{}}</style></head><body><nav><ul><li><a href=/>Home</a><li><a href=/b>B</a></ul></nav><article><h1>Head</h1><p>{A}</p><p>{B}</p></article><footer>(c) us</footer></body></html>", ["Head", A, B]),
+    (f"<div id=header><a href=/>Site</a></div><table><tr><td class=menu><a href=1>One</a><a href=2>Two</a><td><h1>Head</h1><p>{A}<p>{B}</table>", ["Head", A, B]),
+    (f"<main><h2>Head</h2><p>{A}</p><div class='ad banner'><p>Buy now, cheap, while it lasts, and tell your friends about it.</p></div><p>{B}</p></main>", ["Head", A, B]),
+    (f"<div class=post><p>{A}</p><blockquote><p>{B}</p></blockquote><ul><li>First point of the list</li><li>Second point of the list</li></ul></div><div id=comments><p>{A}</p></div>", [A, B, "First point of the list", "Second point of the list"]),
+    (f"<div class=cookie-notice><p>We use cookies, as everyone does, to make the site better for all.</p></div><article><p>{A}</p><pre>x = 1,  y = 2</pre><p>{B}</p></article>", [A, "x = 1, y = 2", B]),
+    (f"<article><p>{A}</p><form><label>Mail</label><input><button>Go</button></form><script>document.write('<p>{B}</p>')</script><p>{B}</p><aside><p>{A}</p></aside></article>", [A, B]),
+    (f"<body><div><div><section><p>Caf&eacute; &amp; bar &#8212; {A}</p><p>{B}<br>next&nbsp;line</p></section></div></div><div class=related><a href=a>{A}</a></div></body>", [f"Café & bar — {A}", f"{B} next line"]),
+    (f"<article><header><h1>Head</h1></header><p>{A}</p><figure><img src=x><figcaption>A caption, short.</figcaption></figure><p>{B}</p><footer>Tags: <a href=t>t</a></footer></article>", ["Head", A, "A caption, short.", B]),
+    (f"<p>{A}</p>", [A]),
+    ("<nav><a href=/>Home</a></nav><footer>Nothing but furniture here, alas, and no text.</footer>", []),
+]
+
+
+@pytest.mark.parametrize("page, want", GOLD)
+def test_gold_pages(page, want):
+    assert html_text.main_text(page) == "\n\n".join(want)
+
+
+def test_deep_and_broken_pages_take_linear_time(spark):
+    import time
+
+    deep = "<div class=promo>" * 60_000 + f"<p>{A}</p>" + "</span></b>" * 60_000
+    began = time.time()
+    assert html_text.main_text(deep) == A
+    assert html_text.main_text(f"<p>{A}" + "<b><i>" * 30_000 + "<div>x</div>" * 30_000).startswith(A)
+    assert time.time() - began < 30
+    rows = spark.createDataFrame([(1, "u", deep, "t", 5), (2, None, None, None, None), (2, None, None, None, None), (3, "v", "", "x", 1)], "page_id long, url string, html string, text string, n_chars long")
+    got = sorted((r.page_id, r.text, r.n_chars) for r in html_text.extract(rows).collect())
+    assert got == [(1, A, len(A)), (2, "", 0), (2, "", 0), (3, "", 0)] and html_text.extract(rows.limit(0)).isEmpty()
+
+
 @pytest.mark.parametrize("names", ["class='layout has-sidebar'", "id='page' class='no-ads'", "class='post comments-open'"])
 @pytest.mark.parametrize("tag", ["article", "main", "section"])
 def test_wrappers_named_like_furniture_stay(names, tag):
