@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import field_list, read, small_batches, spans, utf8
+from .common import field_list, read, scratch, small_batches, spans, utf8
 
 #: Words of a passage.
 PASSAGE = 64
 #: The classifier is fitted on at most so many labelled documents, those with the smallest hash of their identifier.
 MOST_LABELS = 3000
+#: Of so many bytes of text in all, unless the first document alone is longer.
+MOST_BYTES = 64 << 20
 PAIRS = 64
 #: Scores from here on count as quality 1.
 THRESHOLD = 0.3
@@ -50,7 +52,9 @@ def passages(data: np.ndarray, offs: np.ndarray, size: int = PASSAGE) -> tuple[n
     x[:, :CLASSES] = np.bincount(own * CLASSES + _CLASS[data], minlength=total * CLASSES).reshape(total, CLASSES) / length
     if len(data) > 1:
         pair = ((_LEFT[data[:-1]] ^ _RIGHT[data[1:]]) >> np.uint64(58)).astype(np.int64)
-        x[:, CLASSES : CLASSES + PAIRS] = np.bincount(own[:-1] * PAIRS + pair, minlength=total * PAIRS).reshape(total, PAIRS) / length
+        # a pair that spans two passages counts for neither, so a score does not depend on the texts around
+        pair = (own[:-1] * PAIRS + pair)[own[:-1] == own[1:]]
+        x[:, CLASSES : CLASSES + PAIRS] = np.bincount(pair, minlength=total * PAIRS).reshape(total, PAIRS) / length
     if len(starts):
         passage = own[starts]
         n = np.bincount(passage, minlength=total)
@@ -131,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -> GatedAtt
     rows = rows.withColumn("_h", F.xxhash64(F.lit("quality"), "doc_id"))
     # a hash threshold leaves about four times the rows wanted, so that no task sorts all labels
     share = 4.0 * most / max(1, rows.count())
-    chosen = rows.filter(F.shiftrightunsigned("_h", 11) / float(1 << 53) < share).orderBy("_h", "doc_id").limit(most).drop("_h")
+    chosen = rows.filter(F.shiftrightunsigned("_h", 11) / float(1 << 53) < share).orderBy("_h", "doc_id").limit(most)
 
     def run(batches):
         for b in batches:
@@ -141,7 +145,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -> GatedAtt
                 cut = pa.array([x[a:b_].astype("<f4").tobytes() for a, b_ in zip(after[:-1], after[1:], strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), b.column("quality").slice(i, j - i), cut], names=["doc_id", "quality", "x"])
 
-    # at most ``most`` identifiers are broadcast
+    # at most ``most`` identifiers are broadcast; their sizes are few rows, so that one window may add them up
+    sizes = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("_size")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality", "_h").agg(F.sum("_size").alias("_size"))
+    upto = F.sum("_size").over(Window.orderBy("_h", "doc_id"))
+    chosen = scratch(sizes.withColumn("_upto", upto).filter((F.col("_upto") <= MOST_BYTES) | (F.col("_upto") == F.col("_size"))).select("doc_id", "quality"))
     found = small_batches(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("quality").cast("int").alias("quality")).mapInArrow(run, "doc_id bigint, quality int, x binary")
     bags = sorted({(r["doc_id"], r["quality"], bytes(r["x"])) for r in found.toLocalIterator()})
     if not bags:

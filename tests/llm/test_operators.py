@@ -255,6 +255,35 @@ def test_quality_on_held_out(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
 
 
+def test_attention_equals_a_loop_over_passages():
+    texts = ["one two three " * 60, "", "A, b! " * 500, "x"]
+    raw = [t.encode() for t in texts]
+    x, after = quality.passages(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    model = quality.GatedAttention(seed=3)
+    got, p = model.scores(x, after), model.p
+    for d in range(len(texts)):
+        hs, weights = [], []
+        for row in x[after[d] : after[d + 1]]:
+            h = np.tanh(np.clip((row - model.mean) / model.scale, -8, 8) @ p["e"] + p["eb"])
+            weights.append(np.exp(sum(p["w"][k] * np.tanh(h @ p["v"][:, k]) / (1 + np.exp(-(h @ p["u"][:, k]))) for k in range(len(p["w"])))))
+            hs.append(h)
+        z = sum(w * h for w, h in zip(weights, hs, strict=True)) / sum(weights)
+        assert np.isclose(got[d], 1 / (1 + np.exp(-(z @ p["c"] + p["cb"]))))
+        one, own = quality.passages(np.frombuffer(raw[d], np.uint8), np.array([0, len(raw[d])]))
+        assert len(one) == max(1, -(-len(texts[d].split()) // 64)) and np.allclose(one, x[after[d] : after[d + 1]], atol=1e-6)
+
+
+def test_fit_is_bounded_in_bytes(spark, monkeypatch):
+    docs = spark.range(40).selectExpr("id AS doc_id", "repeat('word ', 200) AS text")
+    labels = spark.range(40).selectExpr("id AS doc_id", "int(id % 2) AS quality")
+    seen = []
+    monkeypatch.setattr(quality.GatedAttention, "fit", lambda self, x, after, y: seen.append(len(y)))
+    for most, want in ((64 << 20, 40), (5_500, 5), (10, 1)):
+        monkeypatch.setattr(quality, "MOST_BYTES", most)
+        quality.fit(docs, labels)
+        assert seen.pop() == want
+
+
 def test_media_round_trip(spark, sf, texts):
     got = {r.doc_id: r for r in Q.QUERIES["op5_media_columns"](spark, sf).collect()}
     for i, t in texts:
@@ -423,6 +452,7 @@ def test_odd_rows(spark, odd, none):
     assert len({(r.sequence_id, r.offset) for r in packed}) == len(packed) and sum(r.piece == 0 for r in packed) == n
     shown = media.media_columns(odd, "text", encode=media.text_image).collect()
     assert len(shown) == n and {r.samples for r in shown if r.doc_id in (3, 4)} == {576}
+    assert language.identify(none, model).isEmpty() and quality.score(none, quality.GatedAttention()).isEmpty()
     for empty in (exact_dedup.exact_dedup(none), near_dedup.near_groups(none), substrings.remove_repeats(none), line_dedup.dedup_lines(none), mixing.mix(none), packing.pack_documents(none)):
         assert empty.isEmpty()
 
