@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import NUMBER, safe_ratio
+from .. import config as C
+from ..functions.columns import NUMBER, once, safe_ratio, strip
 
 
 def cache_key(model: Column, case: Column, prompt: Column, note: Column) -> Column:
@@ -23,12 +24,79 @@ def gate_summary(facts: DataFrame) -> DataFrame:
     )
 
 
-def offline_gates(lines: DataFrame, *, parse_min: float = 0.99, placeholder_max: float = 0.0) -> DataFrame:
-    """One row: rates over documents and whether each threshold holds."""
-    per = lines.groupBy("hadm_id").agg(F.bool_or(F.col("line").contains("|")).alias("parsed"), F.bool_or(F.col("line").contains("___")).alias("placeholder"), (F.count("*") > F.count_distinct("line")).alias("repeats"))
-    rate = lambda c: safe_ratio(F.count_if(c), F.count("*"))
-    out = per.agg(F.count("*").alias("n_docs"), F.round(rate("parsed"), 6).alias("parse_rate"), F.round(rate("placeholder"), 6).alias("placeholder_rate"), F.round(rate("repeats"), 6).alias("duplicate_rate"))
-    return out.withColumn("passed", (F.col("parse_rate") >= parse_min) & (F.col("placeholder_rate") <= placeholder_max))
+def measured_ok(section: Column, vitals: bool) -> Column:
+    """Whether a section of vitals or labs holds numbers only: no percent sign, no word RA among vitals, no other value."""
+    c = F.coalesce(section, F.lit(""))
+    rest = F.transform(F.split(c, "\r\n|[\n\r]"), lambda x: F.when(x.contains(":"), F.regexp_replace(x, "^[^:]*:", "")).otherwise(x))
+    values = F.transform(F.filter(F.flatten(F.transform(rest, lambda x: F.split(x, ";"))), lambda p: p.contains("=")), lambda p: F.lower(strip(F.regexp_replace(p, "^[^=]*=", ""))))
+    fine = F.forall(values, lambda v: (v == "not stated") | v.rlike(f"^{NUMBER}$")) & ~c.contains("%")
+    return fine & ~c.rlike(r"(?i)\bRA\b") if vitals else fine
+
+
+def told_mental_status(section: Column) -> Column:
+    """The mental status a section states, lower-cased; empty if it states none."""
+    pairs = F.filter(F.split(F.coalesce(section, F.lit("")), "\r\n|[\n\r]"), lambda x: x.contains("=") & (F.lower(strip(F.regexp_extract(x, "^([^=]*)=", 1))) == "mental status"))
+    return F.coalesce(F.lower(strip(F.regexp_replace(F.get(pairs, F.lit(0)), "^[^=]*=", ""))), F.lit(""))
+
+
+def repeat_counts(lines: Column) -> Column:
+    """(total, different) of the lines that are not empty."""
+    kept = F.filter(F.transform(lines, lambda x: strip(x)), lambda x: x != "")
+    return F.struct(F.size(kept).alias("total"), F.size(F.array_distinct(kept)).alias("different"))
+
+
+def offline_gates(runs: DataFrame, *, parse_min: float = 0.99, placeholder_max: float = 0.0, mental_max: float = 0.0, nonnumeric_max: float = 0.0, success_min: float = 0.95) -> DataFrame:
+    """One row: the rates of a run over its documents, whether each threshold holds, and whether all do.
+
+    ``runs`` has one row per document: json_ok, raw_model, raw (texts of the first stage before and
+    after sanitation), vitals, labs, disposition and summary (its sections and their whole), n_facts
+    (normalized facts of the second stage) and lines (its raw lines). Of no documents, parse and
+    success rates are 1 and all others 0.
+    """
+    mark = lambda c: F.coalesce(F.col(c).contains("___"), F.lit(False))
+    mental = told_mental_status(F.col("disposition"))
+    repeats = repeat_counts(F.coalesce("lines", F.array().cast("array<string>")))
+    per = runs.select(
+        F.coalesce("json_ok", F.lit(False)).alias("parse"), mark("raw_model").alias("model_placeholder"), mark("raw").alias("placeholder"), mark("summary").alias("normalized_placeholder"),
+        ((mental != "") & ~mental.isin(C.MENTAL_STATUS)).alias("bad_mental"), (~(measured_ok(F.col("vitals"), True) & measured_ok(F.col("labs"), False))).alias("nonnumeric"),
+        (F.coalesce("n_facts", F.lit(0)) > 0).alias("success"), (repeats["different"] < repeats["total"]).alias("duplicate"),
+    )
+    rate = lambda c, none: F.round(F.coalesce(F.try_divide(F.count_if(c), F.count("*")), F.lit(none)), 6).alias(f"{c}_rate")
+    out = per.agg(F.count("*").alias("n_docs"), *[rate(c, 1.0 if c in ("parse", "success") else 0.0) for c in per.columns if c != "duplicate"], F.count_if("duplicate").alias("duplicate_docs"))
+    gates = {"parse_ok": F.col("parse_rate") >= parse_min, "placeholder_ok": F.col("placeholder_rate") <= placeholder_max, "mental_ok": F.col("bad_mental_rate") <= mental_max, "numeric_ok": F.col("nonnumeric_rate") <= nonnumeric_max, "success_ok": F.col("success_rate") >= success_min}
+    passed = F.lit(True)
+    for g in gates.values():
+        passed = passed & g
+    return out.withColumns({**gates, "passed": passed})
+
+
+def run_summary(docs: DataFrame) -> DataFrame:
+    """Per document (hadm_id, note, summary, lines): lengths, clusters, their counts and the share of valid lines.
+
+    A line is valid if it has three parts or more; tokens are estimated as a quarter of the characters.
+    """
+    part = lambda x: strip(F.split_part(x, F.lit("|"), F.lit(1)))
+    rows = once(docs, ["hadm_id", "note", "summary", "lines"], _v=F.transform(F.filter("lines", lambda x: F.size(F.split(x, "[|]")) >= 3), part))
+    names = F.array_sort(F.array_distinct("_v"))
+    counts = F.array_join(F.transform(names, lambda c: F.concat(c, F.lit("="), F.size(F.filter("_v", lambda x: x == c)).cast("string"))), ",")
+    return rows.select(
+        "hadm_id", (F.size("lines") > 0).alias("parse_success"), F.length("note").alias("input_char_len"), F.floor(F.length("summary") / 4).cast("int").alias("stage1_tokens"), F.size("lines").alias("lines_extracted"),
+        F.array_join(names, ",").alias("clusters_present"), counts.alias("cluster_counts"), F.round(safe_ratio(F.size("_v"), F.size("lines")), 6).alias("valid_ratio"), F.forall(names, lambda c: c.isin(C.CLUSTERS)).alias("all_clusters_valid"),
+    )
+
+
+def monitor(wanted: DataFrame, artifacts: DataFrame, now: Column, since: Column) -> DataFrame:
+    """One row about a run: documents wanted (hadm_id) and done (hadm_id, mtime in seconds), rates per minute and minutes left.
+
+    The window rate counts what was done after ``since``, the average rate all since the oldest artifact.
+    """
+    done = artifacts.join(wanted, "hadm_id", "left_semi")
+    total = wanted.agg(F.count("*").alias("total"))
+    one = done.agg(F.count("*").alias("done"), F.count_if(F.col("mtime") > since).alias("_new"), F.min_by("hadm_id", F.struct("mtime", "hadm_id")).alias("oldest"), F.max_by("hadm_id", F.struct("mtime", "hadm_id")).alias("newest"), F.min("mtime").alias("_from"), F.max("mtime").alias("_to"))
+    one = one.crossJoin(F.broadcast(total))
+    left = F.col("total") - F.col("done")
+    one = one.withColumns({"rate_window": F.col("_new") / F.greatest(now - since, F.lit(1e-6)) * 60, "rate_avg": F.when(F.col("done") >= 2, F.col("done") / F.greatest(now - F.col("_from"), F.lit(1e-6)) * 60)})
+    return one.select("total", "done", F.round(F.coalesce(F.try_divide(F.col("done") * 100.0, F.col("total")), F.lit(0.0)), 4).alias("percent"), "oldest", "newest", F.round(now - F.col("_to"), 4).alias("age"), F.round("rate_window", 6).alias("rate_window"), F.round(F.try_divide(left, F.col("rate_window")), 4).alias("eta_window"), F.round("rate_avg", 6).alias("rate_avg"), F.round(F.try_divide(left, F.col("rate_avg")), 4).alias("eta_avg"))
 
 
 def ab_diff(a: DataFrame, b: DataFrame, key: list[str], text: str) -> DataFrame:
@@ -54,8 +122,8 @@ def impact(base: DataFrame, reductions: tuple[float, ...] = (0.02, 0.05, 0.08))
 
 
 def markdown_table(df: DataFrame, cols: list[str], order: list[str]) -> DataFrame:
-    """The rows of a Markdown table, header and rule first."""
+    """(n, line): the rows of a Markdown table, header and rule first; n orders them."""
     spark = df.sparkSession
-    head = spark.createDataFrame([(0, "| " + " | ".join(cols) + " |"), (1, "|" + "---|" * len(cols))], "n int, line string")
-    body = df.select(F.lit(2).alias("n"), *order, F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]), F.lit(" |")).alias("line")).orderBy(*order)
-    return head.select("line").unionByName(body.select("line"))
+    head = spark.createDataFrame([(0, "| " + " | ".join(cols) + " |"), (1, "|" + "---|" * len(cols))], "n long, line string")
+    body = df.select((F.row_number().over(Window.orderBy(*order)) + 1).cast("long").alias("n"), F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]), F.lit(" |")).alias("line"))
+    return head.unionByName(body)

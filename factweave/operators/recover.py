@@ -16,8 +16,6 @@ from .sanitize import looks_like_fact, recovered_line
 # Marks of a model's thinking, and of its end.
 THINKING = ["thought", "the user wants", "here's my plan", "input:", "output:", "constraints:"]
 _KEYS = {"cluster": ["cluster", "Cluster", "CLUSTER", "C", "category", "Category"], "keyword": ["keyword", "Keyword", "KEYWORD", "K"], "value": ["value", "Value", "VALUE", "V"], "ts": ["timestamp", "Timestamp", "TIMESTAMP", "T"]}
-_FLAT = r"""(?i)\{\s*["']cluster["']\s*:\s*["']([^"']+)["']\s*,\s*["']keyword["']\s*:\s*["']([^"']+)["']\s*,\s*["']value["']\s*:\s*("[^"]*"|'[^']*'|-?[0-9]+(?:\.[0-9]+)?|true|false|null)\s*,\s*["']timestamp["']\s*:\s*["']([^"']+)["']\s*\}"""
-_ITEM = r"""(?i)\{\s*["']K["']\s*:\s*["']([^"']+)["']\s*,\s*["']V["']\s*:\s*("[^"]*"|-?[0-9]+(?:\.[0-9]+)?|true|false)\s*,\s*["']T["']\s*:\s*["']([^"']+)["']\s*\}"""
 
 
 def raw_lines(raw: DataFrame) -> DataFrame:
@@ -67,20 +65,26 @@ def json_facts(text: DataFrame) -> DataFrame:
     return one.unionByName(two).filter("line IS NOT NULL")
 
 
-def _unquoted(c: Column) -> Column:
-    return F.regexp_replace(c, r"""^["']|["']$""", "")
+def _objects(c: Column) -> Column:
+    """The innermost objects of a text as maps, whatever the order of their keys; what is cut off or no JSON is left out."""
+    found = F.transform(F.regexp_extract_all(c, F.lit(r"(\{[^{}]*\})"), F.lit(1)), lambda x: F.from_json(x, "map<string,string>", {"allowSingleQuotes": "true"}))
+    return F.filter(found, lambda m: m.isNotNull() & (F.size(m) > 0))
+
+
+def _has(m: str, key: str) -> Column:
+    return F.exists(F.map_keys(m), lambda k: k.isin(_KEYS[key]))
 
 
 def salvaged_facts(text: DataFrame) -> DataFrame:
     """(hadm_id, branch, n, line) of fact objects in cut-off JSON, flat or below a cluster's heading, and of «quoted» facts."""
     take = lambda p, g, c: F.regexp_extract_all(c, F.lit(p), F.lit(g))
-    zipped = F.arrays_zip(*[take(_FLAT, g, F.col("text")).alias(n) for g, n in enumerate("ckvt", 1)])
-    flat = text.select("hadm_id", F.lit(3).alias("branch"), F.posexplode(zipped).alias("n", "_z")).select("hadm_id", "branch", "n", F.concat_ws("|", category_to_cluster(F.col("_z.c")), "_z.k", _unquoted(F.col("_z.v")), "_z.t").alias("line"))
+    flat = text.select("hadm_id", F.lit(3).alias("branch"), F.posexplode(_objects(F.col("text"))).alias("n", "_m")).filter(_has("_m", "cluster") & _has("_m", "ts")).select("hadm_id", "branch", "n", fact_line(F.col("_m")).alias("line"))
     heads = "|".join(C.CLUSTERS)
     marked = F.regexp_replace("text", rf'(?i)"({heads})"\s*:\s*\[', "\x1e$1\x1f")
     blocks = text.select("hadm_id", F.posexplode(F.slice(F.split(marked, "\x1e"), 2, 1 << 20)).alias("_b", "_s")).select("hadm_id", "_b", F.upper(F.substring_index("_s", "\x1f", 1)).alias("_c"), F.substring_index("_s", "\x1f", -1).alias("_i"))
-    items = F.arrays_zip(*[take(_ITEM, g, F.col("_i")).alias(n) for g, n in enumerate("kvt", 1)])
-    grouped = blocks.select("hadm_id", "_b", "_c", F.posexplode(items).alias("n", "_z")).select("hadm_id", F.lit(4).alias("branch"), (F.col("_b") * 10_000 + F.col("n")).alias("n"), F.concat_ws("|", "_c", "_z.k", _unquoted(F.col("_z.v")), "_z.t").alias("line"))
+    items = blocks.select("hadm_id", "_b", "_c", F.posexplode(_objects(F.col("_i"))).alias("_k", "_m")).filter(~_has("_m", "cluster") & _has("_m", "ts"))
+    items = items.withColumn("_m", F.map_concat(F.map_filter("_m", lambda k, v: ~k.isin(_KEYS["cluster"])), F.create_map(F.lit("cluster"), F.col("_c"))))
+    grouped = items.select("hadm_id", F.lit(4).alias("branch"), F.row_number().over(Window.partitionBy("hadm_id").orderBy("_b", "_k")).alias("n"), fact_line(F.col("_m")).alias("line"))
     quoted = text.select("hadm_id", F.lit(5).alias("branch"), F.posexplode(take("«([^»]+)»", 1, F.col("text"))).alias("n", "_q")).select("hadm_id", "branch", "n", recovered_line(F.col("_q")).alias("line"))
     told = F.arrays_zip(*[take(r"(?im)\*\*Cluster:\*\*\s*(.+?)\s*$\s*^.*?\*\*Keyword:\*\*\s*(.+?)\s*$\s*^.*?\*\*Value:\*\*\s*(.+?)\s*$\s*^.*?\*\*Timestamp:\*\*\s*(.+?)\s*$", g, F.col("text")).alias(n) for g, n in enumerate("ckvt", 1)])
     narrative = text.select("hadm_id", F.lit(6).alias("branch"), F.posexplode(told).alias("n", "_z")).select("hadm_id", "branch", "n", F.concat_ws("|", category_to_cluster(F.col("_z.c")), "_z.k", "_z.v", "_z.t").alias("line"))
@@ -138,8 +142,25 @@ def extract_facts(raw: DataFrame, allow_kvt3: bool = True, literals: bool = True
 
 
 def first_json_object(c: Column) -> Column:
-    """The first JSON object of a text, tolerant of line feeds inside its strings; null if there is none."""
-    body = F.nullif(F.regexp_extract(c, r"(?s)(\{.*\})", 1), F.lit(""))
-    healed = F.regexp_replace(body, r'(?s)(?<=[^"{}\[\],:\s])\n(?=[^"{}\[\]]*")', r"\\\\n")
+    """The JSON object that begins at a text's first brace, without what follows it; null if there is none.
+
+    If that is no valid JSON, all from the first brace to the last is taken with the line breaks
+    inside its strings escaped. Quotes, braces, escapes and line breaks are walked through in order.
+    """
+    body = F.regexp_extract(F.coalesce(c, F.lit("")), r"(?s)(\{.*\})", 1)
+    tokens = F.filter(F.split(body, r"""(?<=["{}\\\n\r])|(?=["{}\\\n\r])"""), lambda t: t != "")
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("inside"), F.lit(False).alias("escaped"), F.lit("").alias("seen"), F.lit("").alias("healed"), F.lit(None).cast("string").alias("first"))
+
+    def step(s: Column, t: Column) -> Column:
+        quote, live = (t == '"') & ~s["escaped"], ~s["inside"]
+        depth = s["depth"] + F.when(live & (t == "{"), 1).when(live & (t == "}"), -1).otherwise(0)
+        seen = F.concat(s["seen"], t)
+        safe = F.when(s["inside"] & ~s["escaped"] & (t == "\n"), "\\n").when(s["inside"] & ~s["escaped"] & (t == "\r"), "\\r").otherwise(t)
+        return F.struct(
+            depth.alias("depth"), F.when(quote, ~s["inside"]).otherwise(s["inside"]).alias("inside"), (s["inside"] & ~s["escaped"] & (t == "\\")).alias("escaped"), seen.alias("seen"), F.concat(s["healed"], safe).alias("healed"),
+            F.coalesce(s["first"], F.when((depth == 0) & live & (t == "}"), seen)).alias("first"),
+        )
+
+    made = F.aggregate(tokens, start, step)
     parse = lambda x: F.when(F.try_parse_json(x).isNotNull(), x)
-    return F.coalesce(parse(strip(c)), parse(body), parse(healed))
+    return F.coalesce(parse(made["first"]), F.when(made["healed"] != "", parse(made["healed"])))

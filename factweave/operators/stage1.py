@@ -178,7 +178,7 @@ def objective_facts(sections: DataFrame) -> DataFrame:
     ts = F.when(F.col("line").startswith("ADM:"), "Admission").when(F.col("line").startswith("DC:"), "Discharge").when(F.col("section") == "DISPOSITION", "Discharge").when(F.col("section") == "UTILIZATION", "Past").otherwise("Admission")
     rows = rows.select("hadm_id", "section", "n", ts.alias("ts"), F.posexplode(F.split(F.regexp_replace("line", "^(ADM|DC):", ""), ";")).alias("m", "_p")).filter(F.col("_p").contains("="))
     k, v = key_of(F.col("_p")), value_of(F.col("_p"))
-    rows = rows.select("hadm_id", (F.col("n") * 1000 + F.col("m")).cast("bigint").alias("pos"), F.lit(0).alias("sub_pos"), F.col("section").alias("cluster"), k.alias("keyword"), v.alias("value"), "ts")
+    rows = rows.select("hadm_id", F.col("n").cast("bigint").alias("pos"), F.col("m").alias("sub_pos"), F.col("section").alias("cluster"), k.alias("keyword"), v.alias("value"), "ts")
     known = F.lit(False)
     for cluster in C.OBJECTIVE_CLUSTERS:
         known = known | ((F.col("cluster") == cluster) & F.col("keyword").isin(C.STRICT_KEYWORDS[cluster]))

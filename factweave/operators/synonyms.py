@@ -60,3 +60,8 @@ def sex(c: Column) -> Column:
 def icd9(c: Column) -> Column:
     """The canonical problem of a code, by its longest known prefix."""
     return first_prefix(F.upper(strip(c)), C.ICD9_PREFIXES)
+
+
+def problem_display(c: Column) -> Column:
+    """The display name of a problem by its first pattern, or the text itself."""
+    return F.coalesce(first_pattern(F.lower(c), C.PROBLEM_DISPLAY), c)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.columns import line
+from ..operators import backends as B
+from ..operators import cloud as CL
 from ..operators import evaluate as E
 from ..operators import gates as G
 from ..operators import markdown as M
@@ -21,6 +23,7 @@ from ..operators import stage1 as G1
 from ..operators import synonyms as Y
 from ..sources import adapter as A
 from ..streaming import progress as P
+from . import golden
 from . import sqltext as Q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -573,10 +576,66 @@ def keyword_report(s, d):
 # --- gates, runs and reports -----------------------------------------------------------------------
 
 
-@query(f"""WITH lines AS ({A.LINES}), p AS (SELECT hadm_id, bool_or(contains(line, '|')) AS a, bool_or(contains(line, '___')) AS b, count(*) > count(DISTINCT line) AS c FROM lines GROUP BY hadm_id),
-r AS (SELECT count(*) AS n_docs, round(count(*) FILTER (a) / count(*)::DOUBLE, 6) AS parse_rate, round(count(*) FILTER (b) / count(*)::DOUBLE, 6) AS placeholder_rate, round(count(*) FILTER (c) / count(*)::DOUBLE, 6) AS duplicate_rate FROM p) SELECT *, parse_rate >= 0.99 AND placeholder_rate <= 0 AS passed FROM r""")
+#: Runs of documents with what the gates look at, one per customer.
+_RUNS = """SELECT k AS hadm_id, k % 150 <> 7 AS json_ok, CASE WHEN k % 9 = 0 THEN 'a ___' ELSE 'a' END AS raw_model, CASE WHEN k % 97 = 5 THEN '___' ELSE 'b' END AS raw, CASE WHEN k % 31 = 3 THEN 'x ___' ELSE 'x' END AS summary,
+  concat('ADM: Heart Rate=', 50 + k % 90, '; SpO2=', 90 + k % 9, CASE WHEN k % 17 = 2 THEN '%' WHEN k % 19 = 4 THEN ' RA' ELSE '' END, chr(10), 'DC: Respiratory Rate=18') AS vitals, concat('Sodium=', CASE WHEN k % 23 = 1 THEN 'high' ELSE '138' END, '; BUN=Not Stated') AS labs,
+  concat('Discharge Disposition=Home', chr(10), 'Mental Status=', CASE k % 5 WHEN 0 THEN 'Alert' WHEN 1 THEN 'confused' WHEN 2 THEN 'not stated' WHEN 3 THEN 'oriented' ELSE CASE WHEN k % 37 = 6 THEN 'odd' ELSE 'lethargic' END END) AS disposition,
+  CASE WHEN k % 41 = 8 THEN 0 ELSE 3 END AS n_facts, concat('LABS|Na|1|Past', chr(10), CASE WHEN k % 13 = 0 THEN 'LABS|Na|1|Past' ELSE 'LABS|K|4|Past' END, chr(10), CASE WHEN k % 3 = 0 THEN 'odd|line' ELSE 'VITALS|HR|80|Past' END) AS lines FROM (SELECT c_custkey AS k FROM customer) c"""
+
+
+@query(f"""WITH r AS ({_RUNS}), p AS (SELECT json_ok AS parse, contains(raw_model, '___') AS model_placeholder, contains(raw, '___') AS placeholder, contains(summary, '___') AS normalized_placeholder, contains(disposition, 'odd') AS bad_mental,
+  contains(vitals, '%') OR contains(vitals, ' RA') OR contains(labs, 'high') AS nonnumeric, n_facts > 0 AS success, hadm_id % 13 = 0 AS duplicate FROM r),
+a AS (SELECT count(*) AS n_docs, {", ".join(f"round(count(*) FILTER ({c}) / count(*)::DOUBLE, 6) AS {c}_rate" for c in ("parse", "model_placeholder", "placeholder", "normalized_placeholder", "bad_mental", "nonnumeric", "success"))}, count(*) FILTER (duplicate) AS duplicate_docs FROM p)
+SELECT *, parse_rate >= 0.99 AS parse_ok, placeholder_rate <= 0 AS placeholder_ok, bad_mental_rate <= 0 AS mental_ok, nonnumeric_rate <= 0 AS numeric_ok, success_rate >= 0.95 AS success_ok, parse_rate >= 0.99 AND placeholder_rate <= 0 AND bad_mental_rate <= 0 AND nonnumeric_rate <= 0 AND success_rate >= 0.95 AS passed FROM a""")
 def gates(s, d):
-    return G.offline_gates(lines(s, d))
+    return G.offline_gates(A.from_sql(s, d, _RUNS).withColumn("lines", F.split("lines", "\n")))
+
+
+@query(f"""WITH r AS ({_RUNS}) SELECT hadm_id, true AS parse_success, length(disposition) AS input_char_len, (length(vitals) // 4)::INT AS stage1_tokens, 3 AS lines_extracted, CASE WHEN hadm_id % 3 = 0 THEN 'LABS' ELSE 'LABS,VITALS' END AS clusters_present,
+  CASE WHEN hadm_id % 3 = 0 THEN 'LABS=2' ELSE 'LABS=2,VITALS=1' END AS cluster_counts, CASE WHEN hadm_id % 3 = 0 THEN 0.666667 ELSE 1.0 END::DOUBLE AS valid_ratio, true AS all_clusters_valid FROM r""")
+def run_summary(s, d):
+    x = A.from_sql(s, d, _RUNS)
+    return G.run_summary(x.select("hadm_id", F.col("disposition").alias("note"), F.col("vitals").alias("summary"), F.split("lines", "\n").alias("lines")))
+
+
+@query("""WITH w AS (SELECT o_orderkey AS hadm_id FROM orders WHERE o_orderkey % 4 <> 0), a AS (SELECT o_orderkey AS hadm_id, floor(epoch(o_orderdate))::BIGINT AS mtime FROM orders WHERE o_orderkey % 3 = 0),
+d AS (SELECT a.* FROM a JOIN w USING (hadm_id)), m AS (SELECT count(*) AS done, count(*) FILTER (mtime > 800000000) AS nw, arg_min(hadm_id, mtime * 10000000 + hadm_id) AS oldest, arg_max(hadm_id, mtime * 10000000 + hadm_id) AS newest, min(mtime) AS f, max(mtime) AS t FROM d), x AS (SELECT m.*, (SELECT count(*) FROM w) AS total, nw / (1000000000.0 - 800000000.0)::DOUBLE * 60 AS rw, done / (1000000000 - f)::DOUBLE * 60 AS ra FROM m)
+SELECT total, done, round(done * 100.0 / total, 4) AS percent, oldest, newest, round(1000000000 - t, 4)::DOUBLE AS age, round(rw, 6) AS rate_window, round((total - done) / rw, 4) AS eta_window, round(ra, 6) AS rate_avg, round((total - done) / ra, 4) AS eta_avg FROM x""")
+def run_monitor(s, d):
+    o = read(s, d, "orders")
+    done = o.filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("hadm_id"), F.unix_timestamp("o_orderdate").alias("mtime"))
+    return G.monitor(o.filter("o_orderkey % 4 <> 0").select(F.col("o_orderkey").alias("hadm_id")), done, F.lit(1e9), F.lit(8e8))
+
+
+_OUTPUTS = "SELECT concat('model-', k % 3) AS model, (k % 7)::BIGINT AS seconds, concat(CASE WHEN k % 2 = 0 THEN '# facts' ELSE '```' END, chr(10), 'labs|Na|', k % 50, '|Past', chr(10), CASE WHEN k % 3 = 1 THEN 'prose' ELSE 'VITALS|HR|80|Past' END) AS raw FROM (SELECT c_custkey AS k FROM customer) c"
+
+
+@query(f"WITH o AS ({_OUTPUTS}) SELECT model, sum(CASE WHEN contains(raw, 'prose') THEN 1 ELSE 2 END)::BIGINT AS fact_count, CASE WHEN model = 'model-1' THEN 'LABS' ELSE 'LABS,VITALS' END AS clusters, sum(seconds)::BIGINT AS seconds, round(sum(CASE WHEN contains(raw, 'prose') THEN 1 ELSE 2 END) / (2.0 * count(*)), 6)::DOUBLE AS format_validity FROM o GROUP BY model")
+def model_comparison(s, d):
+    return CL.compare(A.from_sql(s, d, _OUTPUTS.replace("(k % 7)::BIGINT", "CAST(k % 7 AS BIGINT)")))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, text, 'm_1__' || role || '__' || left(md5(role), 8) || '_' || left(md5(text), 8) AS key FROM conversations), e AS (SELECT key, arg_max(raw, n) AS raw FROM (SELECT key, 'r' || text AS raw, conv_id * 1000 + turn AS n FROM c WHERE turn % 2 = 0) x GROUP BY key)
+SELECT conv_id, turn, e.raw, e.raw IS NOT NULL AS is_cached FROM c LEFT JOIN e USING (key)""")
+def cached_results(s, d):
+    x = read(s, d, "conversations").select("conv_id", "turn", F.lit("m.1").alias("model"), F.col("role").alias("case_id"), F.col("role").alias("prompt"), F.col("text").alias("note"))
+    cache = CL.cache_entries(x.filter("turn % 2 = 0").withColumn("raw", F.concat(F.lit("r"), "note")), F.col("conv_id") * 1000 + F.col("turn"))
+    return CL.with_cache(x, cache).select("conv_id", "turn", "raw", "is_cached")
+
+
+@query(f"""WITH a AS ({A.LINES}), u AS (SELECT hadm_id, row_number() OVER (PARTITION BY hadm_id ORDER BY s, pos) AS pos, line FROM (SELECT hadm_id, 1 AS s, pos, line FROM a WHERE pos % 3 = 0 UNION ALL SELECT hadm_id, 2, pos, line FROM a WHERE pos % 2 = 0) x), {Q.normalized('SELECT * FROM u')} SELECT {COLS} FROM best""")
+def two_stage_union(s, d):
+    x = lines(s, d)
+    return B.run_stages(x, lambda n: n.filter("pos % 3 = 0"), lambda n: n.filter("pos % 2 = 0")).select(*FACT)
+
+
+@query(f"WITH {Q.sanitized(A.LINES, 'all')} SELECT DISTINCT hadm_id, cluster, keyword, value, ts FROM clean")
+def reextract_sanitize(s, d):
+    """Raw outputs are searched for lines again, and these are sanitized."""
+    x = lines(s, d)
+    raw = x.groupBy("hadm_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda v: v["line"]), "\n").alias("raw"))
+    again = V.raw_lines(raw).select("hadm_id", F.col("pos").cast("bigint").alias("pos"), "line")
+    return S.sanitize(again, "all").select("hadm_id", "cluster", "keyword", "value", "ts").distinct()
 
 
 @query(f"WITH {Q.normalized(A.LINES)} SELECT hadm_id, count(*) AS n_facts, count(DISTINCT cluster) AS n_clusters, string_agg(DISTINCT cluster, ',' ORDER BY cluster) AS clusters, round(coalesce(count(*) FILTER (cluster IN ('VITALS', 'LABS') AND regexp_full_match(value, '-?[0-9]+(?:\\.[0-9]+)?')) / nullif(count(*) FILTER (cluster IN ('VITALS', 'LABS')), 0)::DOUBLE, 0), 6) AS numeric_rate FROM best GROUP BY hadm_id")
@@ -678,3 +737,10 @@ def label_metrics(s, d):
     return x.groupBy("quality").agg(F.round(F.avg(F.when(F.col("toxic") == 1, 1.0).otherwise(0.0)), 9).alias("toxic_rate"), F.count("*").alias("n"), F.count_if(F.length("text") > 1000).alias("n_long"))
 
 
+@query(f"WITH {_RESULT} SELECT hadm_id, composite_score, CASE WHEN n_facts_parsed > 0 THEN probability END AS probability FROM (SELECT * FROM result WHERE n_facts_parsed > 0) r")
+def risk_or_none(s, d):
+    x = R.results(scored(s, d))
+    return R.or_none(x.filter("n_facts_parsed > 0"), x).select("hadm_id", "composite_score", "probability")
+
+
+golden.register(QUERIES, SQL)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import strip
@@ -49,9 +49,15 @@ def ids_from_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def completions(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
-    """(hadm_id, raw) of JSON lines; the limit counts all lines, empty completions go, a missing id is the line's number."""
-    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("_n"), "value")
-    rows = rows.orderBy("_n").limit(limit) if limit else rows
+    """(hadm_id, raw) of JSON lines; the limit counts all lines, empty completions go, a missing id is the line's number.
+
+    Lines are numbered by their partition's place and the counts of those before it, in the order of files and splits.
+    """
+    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("_i"), "value").select(F.shiftright("_i", 33).alias("_p"), F.col("_i").bitwiseAND((1 << 33) - 1).alias("_k"), "value")
+    ahead = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(ahead), F.lit(0)))  # one row per partition
+    rows = rows.join(F.broadcast(before.select("_p", "_before")), "_p").withColumn("_n", F.col("_before") + F.col("_k"))
+    rows = rows.filter(F.col("_n") < limit) if limit else rows
     got = rows.select(F.coalesce(F.get_json_object("value", "$.hadm_id"), F.concat(F.lit("row_"), F.col("_n").cast("string"))).alias("hadm_id"), F.get_json_object("value", "$.completion").alias("raw"))
     return got.filter(F.coalesce(strip(F.col("raw")), F.lit("")) != "")
 
@@ -72,6 +78,60 @@ def missing_ids(wanted: DataFrame, have: DataFrame) -> DataFrame:
     return wanted.join(have, "hadm_id", "left_anti")
 
 
-def write_artifacts(df: DataFrame, path: str, kind: str) -> None:
-    """One table per kind of artifact; a run overwrites only the documents it holds."""
-    df.withColumn("kind", F.lit(kind)).write.mode("append").partitionBy("kind").parquet(path)
+def ids_from_list(spark: SparkSession, text: str) -> DataFrame:
+    """Identifiers of a comma-separated argument, in their order; anything but digits is an error."""
+    parts = [x.strip() for x in (text or "").split(",") if x.strip()]
+    bad = [x for x in parts if not (x.isascii() and x.isdigit())]
+    if bad:
+        raise ValueError(f"not an identifier: {bad[0]}")
+    return spark.createDataFrame([(int(x),) for x in dict.fromkeys(parts)], "hadm_id long")
+
+
+def ids_with_artifacts(spark: SparkSession, root: str, names: list[str], first: int | None = None) -> DataFrame:
+    """Documents whose folder holds all the named files, the smallest identifiers first."""
+    found = None
+    for name in names:
+        own = spark.read.format("binaryFile").load(f"{root}/*/{name}").select(F.regexp_extract("path", r"/([0-9]+)/[^/]+$", 1).alias("_id")).filter("_id <> ''").select(F.col("_id").cast("bigint").alias("hadm_id"))
+        found = own if found is None else found.join(own, "hadm_id", "left_semi")
+    return found.orderBy("hadm_id").limit(first) if first else found
+
+
+def ids_for_run(spark: SparkSession, root: str, override: str | None = None, names: list[str] = ("stage1.md",)) -> DataFrame:
+    """The documents of a run: those of a given list, else those its own list names, else those with artifacts."""
+    if override:
+        return ids_from_json(spark, override)
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/hadm_ids.json")
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return ids_from_json(spark, f"{root}/hadm_ids.json")
+    return ids_with_artifacts(spark, root, list(names))
+
+
+def evidence_claims(spark: SparkSession, path: str) -> DataFrame:
+    """Claims with their evidence, trimmed, under their display names; what is missing is empty."""
+    names = {"claim_id": "Claim ID", "claim": "Claim", "metric": "Metric", "status": "Status", "artifact": "Artifact"}
+    rows = spark.read.schema(", ".join(f"{n} string" for n in names)).json(path, multiLine=True)
+    return rows.select(*[F.coalesce(strip(F.col(n)), F.lit("")).alias(shown) for n, shown in names.items()])
+
+
+def write_artifacts(df: DataFrame, path: str, kind: str, buckets: int = 64) -> None:
+    """One table per kind of artifact, by buckets of documents; a run replaces the artifacts of the documents it holds.
+
+    Buckets with a document of the run are rewritten with what they hold of other documents, so that
+    a rerun gives no row twice; other buckets are not touched.
+    """
+    spark = df.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/kind={kind}")
+    mine = df.withColumn("kind", F.lit(kind)).withColumn("bucket", F.pmod(F.xxhash64("hadm_id"), F.lit(buckets)).cast("int"))
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        old = spark.read.schema(mine.schema).parquet(path).filter(F.col("kind") == kind)
+        kept = old.join(mine.select("bucket").distinct(), "bucket", "left_semi").join(mine.select("hadm_id").distinct(), "hadm_id", "left_anti")
+        staged = f"{path}/_staged_{kind}"  # Spark's readers skip names that begin with an underscore
+        mine.unionByName(kept.select(mine.columns)).write.mode("overwrite").parquet(staged)
+        mine = spark.read.schema(mine.schema).parquet(staged)
+    mine.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kind", "bucket").parquet(path)
+
+
+def write_run(timings: DataFrame, summary: DataFrame, path: str) -> None:
+    """A run's timings as CSV with a header and its summary as JSON lines."""
+    timings.write.mode("overwrite").csv(f"{path}/timings", header=True)
+    summary.write.mode("overwrite").json(f"{path}/summary")

@@ -40,8 +40,9 @@ def test_branches(spark, raw, out):
 
 
 def test_first_json_object(spark):
-    rows = spark.createDataFrame([('note {"a": 1} rest',), ('{"a": "x"}',), ("none",)], "t string").select(V.first_json_object(F.col("t"))).collect()
-    assert [r[0] for r in rows] == ['{"a": 1}', '{"a": "x"}', None]
+    texts = ['note {"a": 1} rest', '{"a": "x"}', "none", '{"a":1} and {"b":2}', '{"a": "x,\ny\r"} z', '{"a": "\\"}", "b": {"c": "{"}} }', '{"a": ', None, ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(V.first_json_object(F.col("t"))).collect()
+    assert [r[0] for r in rows] == ['{"a": 1}', '{"a": "x"}', None, '{"a":1}', '{"a": "x,\\ny\\r"}', '{"a": "\\"}", "b": {"c": "{"}}', None, None, None]
 
 
 def test_readers(spark, tmp_path):
@@ -65,3 +66,39 @@ def test_readers(spark, tmp_path):
         D.ids_from_csv(spark, f"{root}/out.jsonl")
     wanted, have = D.ids_from_json(spark, f"{root}/ids.json"), D.ids_from_csv(spark, f"{root}/ids.csv")
     assert [r.hadm_id for r in D.missing_ids(wanted, have).collect()] == [10]
+    (tmp_path / "many").mkdir()
+    for part in range(3):
+        (tmp_path / "many" / f"{part}.jsonl").write_text('{"completion":"x"}\n' * 5)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40")
+    try:
+        assert sorted(int(r.hadm_id[4:]) for r in D.completions(spark, f"{root}/many").collect()) == list(range(15))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.hadm_id for r in D.ids_from_list(spark, " 7,10 , 7").collect()] == [7, 10]
+    with pytest.raises(ValueError):
+        D.ids_from_list(spark, "7,x")
+    assert [r.hadm_id for r in D.ids_with_artifacts(spark, root, ["ehr_*.txt"]).orderBy("hadm_id").collect()] == [7, 10]
+    assert [r.hadm_id for r in D.ids_with_artifacts(spark, root, ["ehr_*.txt", "ground_truth_*.json"], first=3).collect()] == [10]
+    assert [r.hadm_id for r in D.ids_for_run(spark, root, f"{root}/ids.json").orderBy("hadm_id").collect()] == [7, 10]
+    assert [r.hadm_id for r in D.ids_for_run(spark, root, names=["ground_truth_*.json"]).collect()] == [10]
+    (tmp_path / "claims.json").write_text(json.dumps([{"claim_id": " C1 ", "claim": "x"}]))
+    assert D.evidence_claims(spark, f"{root}/claims.json").first().asDict() == {"Claim ID": "C1", "Claim": "x", "Metric": "", "Status": "", "Artifact": ""}
+
+
+def test_artifacts_are_replaced_by_document(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame(r, "hadm_id long, line string")
+    path = str(tmp_path / "artifacts")
+    D.write_artifacts(rows((1, "a"), (1, "b"), (2, "c")), path, "facts", buckets=2)
+    D.write_artifacts(rows((2, "d"), (3, "e")), path, "facts", buckets=2)
+    D.write_artifacts(rows((2, "z"),), path, "notes", buckets=2)
+    D.write_artifacts(rows((2, "d"), (3, "e")), path, "facts", buckets=2)
+    got = sorted((r.kind, r.hadm_id, r.line) for r in spark.read.parquet(path).collect())
+    assert got == [("facts", 1, "a"), ("facts", 1, "b"), ("facts", 2, "d"), ("facts", 3, "e"), ("notes", 2, "z")]
+    D.write_run(rows((1, "x")), rows((1, "y")), str(tmp_path / "run"))
+    assert spark.read.csv(str(tmp_path / "run/timings"), header=True).count() == 1
+
+
+def test_fact_objects_in_any_order_of_keys(spark):
+    raw = '{"LABS": [{"T":"Past","K":"Na","V":130}, {"V":"1.2","K":"Creatinine","T":"Discharge"}, {"K":'
+    rows = V.extract_facts(spark.createDataFrame([(1, raw)], "hadm_id long, raw string")).orderBy("pos").collect()
+    assert [r.line for r in rows] == ["LABS|Na|130|Past", "LABS|Creatinine|1.2|Discharge"]

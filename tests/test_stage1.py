@@ -51,9 +51,12 @@ def test_windows_and_fill(spark):
     rows = spark.createDataFrame([(1, text), (2, "short"), (3, None)], "hadm_id long, text string")
     got = {r.hadm_id: r.trimmed for r in T.trim_windows(rows, 60, ["vital"], around=10, head=20).collect()}
     assert got == {1: "a" * 20 + "\n\n" + "b" * 10 + "vital" + "c" * 10, 2: "short", 3: None}
+    text = "h" * 30 + "x" * 30 + "VITAL" + "y" * 5 + "vital" + "z" * 40 + "lab" + "w" * 30
+    got = {m: T.trim_windows(spark.createDataFrame([(1, text)], "hadm_id long, text string"), m, ["vital", "lab"], around=10, head=20).first().trimmed for m in (100, 50, 30)}
+    assert got == {100: text[:20] + "\n\n" + text[50:85] + "\n\n" + text[105:128], 50: text[:20] + "\n\n" + text[50:80], 30: text[:20] + "\n\n" + text[50:60]}
     cols = "hadm_id long, cluster string, keyword string, value string"
     stated = spark.createDataFrame([(1, "LABS", "Sodium", "Not stated"), (1, "LABS", "BUN", "4")], cols)
-    found = spark.createDataFrame([(1, "LABS", "Sodium", "138"), (1, "LABS", "BUN", "9")], cols)
+    found = spark.createDataFrame([(1, "LABS", "Sodium", "140", 5), (1, "LABS", "Sodium", "138", 2), (1, "LABS", "BUN", "9", 1)], cols + ", pos int")
     assert {r.keyword: r.value for r in T.fill_from_evidence(stated, found).collect()} == {"Sodium": "138", "BUN": "4"}
 
 
