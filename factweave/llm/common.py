@@ -69,7 +69,16 @@ def scratch(df: DataFrame, keep: bool = False) -> DataFrame:
     if made is None or keep:
         system, place = _place(spark, path)
         system.deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a scratch table that nothing reads any more."""
+    if path := getattr(table, "scratch_path", None):
+        system, place = _place(table.sparkSession, path)
+        system.delete(place, True)
 
 
 @contextmanager

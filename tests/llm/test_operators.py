@@ -429,6 +429,22 @@ def test_big_blocks_are_split_without_losing_links(spark):
     assert {i: got.get(i, i) for i in sets} == {i: want.find(i) for i in sets}
 
 
+def test_long_texts(spark):
+    """A text of 20 MB goes through the operators that read whole texts."""
+    rng = np.random.default_rng(9)
+    words = np.array(["".join(map(chr, rng.integers(97, 123, 6))) for _ in range(5_000)])
+    lines = [" ".join(words[rng.integers(0, 5_000, 12)]) for _ in range(240_000)]
+    long = "\n".join(lines)
+    docs = spark.createDataFrame([(1, long, "en"), (2, "\n".join(lines[:50]), "en"), (3, "short text of few words", "en")], "doc_id long, text string, lang string")
+    assert len(long) > 20_000_000
+    assert {r.doc_id: r.lang_best for r in language.identify(docs, language.fit(docs)).collect()} == {1: "en", 2: "en", 3: "en"}
+    assert {r.doc_id: r.component_id for r in near_dedup.near_groups(docs, 4).collect()} == {1: 1, 2: 2, 3: 3}
+    assert {r.doc_id: r.n_removed for r in substrings.remove_repeats(docs).select("doc_id", "n_removed").collect()} == {1: 0, 2: 600, 3: 0}
+    assert {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(docs).select("doc_id", "n_removed").collect()} == {1: 0, 2: 50, 3: 0}
+    assert {r.doc_id: r.n for r in quality.score(docs, quality.GatedAttention()).selectExpr("doc_id", "int(score >= 0) AS n").collect()} == {1: 1, 2: 1, 3: 1}
+    assert {r.doc_id: r.error for r in media.media_columns(docs, "text", encode=media.text_image).select("doc_id", "error").collect()} == {1: None, 2: None, 3: None}
+
+
 def test_odd_rows(spark, odd, none):
     """Counts, nulls and repeats as the docstrings state them; empty tables give empty results."""
     n = odd.count()
@@ -478,3 +494,5 @@ def test_pipeline(spark, sf):
         if name == "near_dedup":
             assert near_dedup.near_groups(docs).filter("NOT kept").isEmpty()
     assert docs.count() > 0 and docs.groupBy("sequence_id").sum("length").filter("`sum(length)` > 2048").isEmpty()
+    pieces = lambda d: sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in d.collect())
+    assert pieces(corpus_pipeline.run(spark, sf)) == pieces(docs)
