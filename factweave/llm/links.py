@@ -242,8 +242,10 @@ def linked_components(sets: DataFrame, rows: int, expand: Callable, width: int,
     # level 2 is one component; level 1 may be linked to all, level 0 to all but level 2
     name = lambda f, cond: f(F.when(cond, F.col("component")))
     low, one = F.col("level") < 2, F.col("level") == 1
-    sums = marked.groupBy("bucket").agg(F.count("*").alias("n"), name(F.min, ~low).alias("lead"), name(F.min, low).alias("l0"), name(F.max, low).alias("l1"), name(F.min, one).alias("m0"), name(F.max, one).alias("m1"))
-    sums = sums.select("bucket", "n", F.coalesce(F.col("l0") != F.col("l1"), F.lit(False)).alias("among"), F.coalesce((F.col("m0") != F.col("lead")) | (F.col("m1") != F.col("lead")), F.lit(False)).alias("across"))
+    sums = marked.groupBy("bucket").agg(F.count("*").alias("n"), name(F.min, ~low).alias("lead"), name(F.min, low).alias("l0"), name(F.max, low).alias("l1"), name(F.min, one).alias("m0"), name(F.max, one).alias("m1"), F.count_if(low).alias("few"), F.min(F.when(low, F.col("weight"))).alias("w0"), F.max(F.when(low, F.col("weight"))).alias("w1"))
+    # two sets whose sizes are too different cannot be linked
+    unlike = (F.col("few") == 2) & (F.lit(den) * F.col("w0") < F.lit(num) * F.col("w1"))
+    sums = sums.select("bucket", "n", F.coalesce((F.col("l0") != F.col("l1")) & ~unlike, F.lit(False)).alias("among"), F.coalesce((F.col("m0") != F.col("lead")) | (F.col("m1") != F.col("lead")), F.lit(False)).alias("across"))
     sums = scratch(sums.filter("among OR across"))
     if sums.isEmpty():
         return found
