@@ -77,9 +77,8 @@ def _synonyms(groups: list[tuple[str, int, list[str]]]) -> Column:
     for gid, weight, synonyms in groups:
         for s in synonyms:
             index.setdefault(s.strip().lower(), (gid, weight))
-    found = F.lit("\n".join(f"{s}\t{g}\t{w}" for s, (g, w) in index.items()))
-    part = lambda x, i: F.split_part(x, F.lit("\t"), F.lit(i))
-    return F.transform(F.split(found, "\n"), lambda x, i: F.struct(part(x, 1).alias("s"), part(x, 2).alias("gid"), part(x, 3).cast("int").alias("weight"), (-i).alias("o")))
+    # one expression of literals, which the optimizer folds to a constant
+    return F.expr("array(" + ", ".join(f'named_struct("s", "{s}", "gid", "{g}", "weight", {w}, "o", {-i})' for i, (s, (g, w)) in enumerate(index.items())) + ")")
 
 
 def concept(c: Column, low: Column) -> Column:
