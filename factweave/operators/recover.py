@@ -88,7 +88,26 @@ def salvaged_facts(text: DataFrame) -> DataFrame:
     quoted = text.select("hadm_id", F.lit(5).alias("branch"), F.posexplode(take("«([^»]+)»", 1, F.col("text"))).alias("n", "_q")).select("hadm_id", "branch", "n", recovered_line(F.col("_q")).alias("line"))
     told = F.arrays_zip(*[take(r"(?im)\*\*Cluster:\*\*\s*(.+?)\s*$\s*^.*?\*\*Keyword:\*\*\s*(.+?)\s*$\s*^.*?\*\*Value:\*\*\s*(.+?)\s*$\s*^.*?\*\*Timestamp:\*\*\s*(.+?)\s*$", g, F.col("text")).alias(n) for g, n in enumerate("ckvt", 1)])
     narrative = text.select("hadm_id", F.lit(6).alias("branch"), F.posexplode(told).alias("n", "_z")).select("hadm_id", "branch", "n", F.concat_ws("|", category_to_cluster(F.col("_z.c")), "_z.k", "_z.v", "_z.t").alias("line"))
-    return flat.unionByName(grouped).unionByName(quoted).unionByName(narrative)
+    return flat.unionByName(grouped).unionByName(quoted).unionByName(narrative).unionByName(inline_facts(text))
+
+
+def inline_facts(text: DataFrame) -> DataFrame:
+    """(hadm_id, branch, n, line) of fact objects without a cluster that follow text in their line.
+
+    Their cluster is the last one named so far in a line that does not begin with a brace or bracket.
+    """
+    rows = text.select("hadm_id", F.posexplode(F.split("text", "\n")).alias("_b", "_s")).withColumn("_s", strip(F.col("_s"))).filter(~F.col("_s").rlike(r"^$|^[{\[]"))
+    plain = F.regexp_replace("_s", r"^[*•\-\s]+", "")
+    heading = F.regexp_extract(plain, r"^([A-Z][A-Z ]{2,})\s*:[\s*]*$", 1)
+    named = category_to_cluster(F.coalesce(F.nullif(heading, F.lit("")), F.nullif(F.regexp_extract(plain, rf"(?i)\b({'|'.join(C.CLUSTERS)})\b", 1), F.lit(""))))
+    rows = once(rows, ["hadm_id", "_b", "_s"], _n=F.when(named.isin(C.CLUSTERS), named))
+    last = F.last("_n", ignorenulls=True).over(Window.partitionBy("hadm_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
+    items = rows.withColumn("_c", last).filter("_c IS NOT NULL").select("hadm_id", "_b", "_c", F.posexplode(_objects(F.col("_s"))).alias("_k", "_m"))
+    stamp = F.lower(F.element_at(F.map_values(F.map_filter("_m", lambda k, v: k.isin(_KEYS["ts"]))), 1))
+    items = items.filter(~_has("_m", "cluster") & _has("_m", "ts")).filter(stamp.isin(*[t.lower() for t in C.TIMESTAMPS]))
+    items = items.withColumn("_m", F.map_concat("_m", F.create_map(F.lit("cluster"), F.col("_c"))))
+    ranked = F.row_number().over(Window.partitionBy("hadm_id").orderBy("_b", "_k"))
+    return items.select("hadm_id", F.lit(7).alias("branch"), ranked.alias("n"), fact_line(F.col("_m")).alias("line"))
 
 
 def line_facts(lines: DataFrame, allow_kvt3: bool = True) -> DataFrame:
@@ -100,7 +119,7 @@ def line_facts(lines: DataFrame, allow_kvt3: bool = True) -> DataFrame:
     s = F.when(keyed, F.regexp_replace(s, r"^([^|=]+)\|([^|=]+)=([^|]+)$", "$1|$2|$3|Unknown")).otherwise(s)
     rows = once(lines, ["hadm_id", "pos"], _s=s)
     rows = once(rows, ["hadm_id", "pos"], line=recovered_line(F.col("_s")))
-    return rows.filter(F.col("line").isNotNull() & looks_like_fact(F.col("line"), allow_kvt3)).select("hadm_id", F.lit(7).alias("branch"), F.col("pos").cast("int").alias("n"), "line")
+    return rows.filter(F.col("line").isNotNull() & looks_like_fact(F.col("line"), allow_kvt3)).select("hadm_id", F.lit(8).alias("branch"), F.col("pos").cast("int").alias("n"), "line")
 
 
 def literal_facts(text: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.columns import NUMBER, any_of, first_number, lookup, strip, words
+from ..functions.columns import NUMBER, any_of, first_number, lookup, once, strip, words
 from .sanitize import key_norm
 
 # Keys of laboratory values in summaries, by normalized name.
@@ -172,6 +172,33 @@ def surgery_evidence(line: Column) -> Column:
     return ~denied & line.rlike(rf"(?i)({SURGERY}|\bs/p\b|\bcabg\b|laparoscopic)")
 
 
+def procedure_evidence(lines: Column) -> Column:
+    """Whether any of a procedure section's lines tells of surgery, dialysis or ventilation and does not deny it; null and no lines tell nothing."""
+
+    def tells(x: Column) -> Column:
+        said = F.lower(strip(F.regexp_extract(x, "(?s)=(.*)$", 1)))
+        denied = x.contains("=") & said.isin(*C.TEXT_PLACEHOLDERS, "no", "0", "0.0", "false")
+        return surgery_evidence(x) | (~denied & x.rlike(f"(?i)({DIALYSIS}|{VENTILATION})"))
+
+    return F.coalesce(F.exists(lines, lambda x: F.coalesce(tells(x), F.lit(False))), F.lit(False))
+
+
+def strict_facts(lines: DataFrame, raising: bool = False) -> DataFrame:
+    """(hadm_id, pos, cluster, keyword, value, ts) of lines (hadm_id, pos, line) that meet the strict contract.
+
+    Empty lines and invalid facts are left out. A line that has not four parts is left out too, or
+    ends the query with an error if ``raising``.
+    """
+    s = strip(F.col("line"))
+    rows = once(lines.filter(s != ""), ["hadm_id", "pos", "line"], _p=F.transform(F.split(s, "[|]"), lambda x: strip(x)))
+    if raising:
+        wrong = F.raise_error(F.concat(F.lit("Expected 4 parts in line: "), "line")).cast("array<string>")
+        rows = once(rows, ["hadm_id", "pos"], _p=F.when(F.size("_p") == 4, F.col("_p")).otherwise(wrong))
+    part = [F.get("_p", F.lit(i)).alias(n) for i, n in enumerate(("cluster", "keyword", "value", "ts"))]
+    facts = rows.filter(F.size("_p") == 4).select("hadm_id", "pos", *part)
+    return facts.filter(F.coalesce(valid_fact(F.col("cluster"), F.col("ts"), F.col("value")), F.lit(False)))
+
+
 def objective_facts(sections: DataFrame) -> DataFrame:
     """Facts of canonical section texts (hadm_id, section, text): numbers of vitals, labs and use of care, sex, age and disposition."""
     rows = sections.select("hadm_id", "section", F.posexplode(text_lines(F.col("text"))).alias("n", "line"))

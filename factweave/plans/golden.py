@@ -229,6 +229,43 @@ def note_windows(notes):
     return T.trim_windows(notes, 30, ["vital", "lab"], around=2, head=7)
 
 
+@golden(
+    "hadm_id BIGINT, windows VARCHAR, objective VARCHAR",
+    [(1, "Note bps.\n\no BP 1\n\nd xray ", "Note bps.\n\no BP 1"), (2, "bps bps bps bps bps bp", "bps bps bps bps bps bp"), (3, ".........\n\n. xray .", "........."), (4, "BP", "BP"), (5, None, None)],
+    [(1, "Note bps. hello BP 120 and xray yes no yes no"), (2, "bps bps bps bps bps bps"), (3, "............ xray ....."), (4, "BP"), (5, None)], "hadm_id long, text string",
+)
+def keyword_windows(notes):
+    cut = lambda o: T.trim_windows(notes, 22, ["bp", "xray"], around=2, head=9, objective=o, whole_words=True)
+    return cut(None).withColumnRenamed("trimmed", "windows").join(cut(["bp"]).withColumnRenamed("trimmed", "objective"), "hadm_id")
+
+
+@golden(
+    "hadm_id BIGINT, evidence BOOLEAN", [(1, True), (2, False), (3, True), (4, False), (5, False), (6, True)],
+    [(1, "Dialysis=started"), (2, "Dialysis=no\nMechanical Ventilation=Not stated\nSurgery=no"), (3, "plain\nwas intubated"), (4, ""), (5, None), (6, "s/p CABG")], "hadm_id long, section string",
+)
+def any_procedure_evidence(rows):
+    return rows.select("hadm_id", S.procedure_evidence(F.split("section", "\n")).alias("evidence"))
+
+
+@golden(
+    "hadm_id BIGINT, pos INT, cluster VARCHAR, keyword VARCHAR, value VARCHAR, ts VARCHAR", [(1, 0, "LABS", "Sodium", "138", "Past")],
+    [(1, 0, " LABS | Sodium|138|Past"), (1, 1, "LABS|Sodium|high|Past"), (1, 2, "LABS|Sodium|138"), (1, 3, "  "), (1, 4, None), (2, 0, "ODD|a|b|Past")], "hadm_id long, pos int, line string",
+)
+def strict_contract(lines):
+    return S.strict_facts(lines)
+
+
+@golden(
+    "hadm_id BIGINT, n INT, line VARCHAR", [(1, 1, "VITALS|Heart Rate|54|Admission"), (1, 2, "LABS|Na|130|past"), (1, 3, "LABS|K|4.1|Discharge")],
+    [
+        (1, '* **VITALS:**\n  pulse -> {"K":"Heart Rate","V":54,"T":"Admission"}\n- **LABS:** {"K":"Na","V":"130","T":"past"} and {"T":"Discharge","K":"K","V":"4.1"}\n{"K":"x","V":"1","T":"Past"}\nz {"K":"y","V":"1","T":"someday"}'),
+        (2, 'none {"K":"Heart Rate","V":54,"T":"Admission"}'), (3, None),
+    ], "hadm_id long, text string",
+)
+def inline_items(text):
+    return V.inline_facts(text).select("hadm_id", "n", "line")
+
+
 def register(queries: dict, sql: dict[str, str]) -> None:
     queries.update(QUERIES)
     sql.update(SQL)

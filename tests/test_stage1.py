@@ -73,3 +73,22 @@ def test_backends(spark):
     assert answers.first().raw == "HR: 92, SODIUM 138"
     row = spark.range(1).select(Y.medication_pattern(F.lit("Lasix 40")), Y.procedure_pattern(F.lit("PCI with stent")), Y.sex(F.lit(" F ")), Y.medication_pattern(F.lit("x"))).first()
     assert tuple(row) == ("Loop diuretic", "PCI/stent", "female", None)
+
+
+def test_strict_facts_raise_on_lines_without_four_parts(spark):
+    lines = spark.createDataFrame([(1, 0, "LABS|Sodium|138|Past"), (1, 1, "LABS|Sodium")], "hadm_id long, pos int, line string")
+    assert G.strict_facts(lines).count() == 1
+    with pytest.raises(Exception, match="Expected 4 parts in line: LABS.Sodium"):
+        G.strict_facts(lines, raising=True).collect()
+
+
+def test_keyword_windows_on_notes_that_need_no_cut(spark):
+    from factweave.operators import notes as T
+
+    rows = spark.createDataFrame([(1, "BP 120/80"), (2, None), (3, "")], "hadm_id long, text string")
+    for most in (0, 100):
+        for last in (False, True):
+            assert {r.hadm_id: r.trimmed for r in T.trim_keyword_windows(rows, most, last).collect()} == {1: "BP 120/80", 2: None, 3: ""}
+    long = "x" * 3000 + " HGB 9 " + "y" * 3000
+    found = T.trim_keyword_windows(spark.createDataFrame([(1, long)], "hadm_id long, text string"), 4000, True).first().trimmed
+    assert found == long[:900] + "\n\n" + long[2101:3904]
