@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, language, line_dedup, media, mixing, near_dedup, packing, quality, substrings
+from . import decontam, exact_dedup, html_text, language, line_dedup, media, mixing, near_dedup, negatives, packing, quality, spelling, substrings
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
@@ -15,8 +15,13 @@ QUERIES = {
     "op8_substring_dedup": substrings.op8_substring_dedup,
     "op9_html_text": html_text.op9_html_text,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_spelling": spelling.op11_spelling,
+    "op12_decontam": decontam.op12_decontam,
+    "op13_hard_negatives": negatives.op13_hard_negatives,
 }
 SQL = {
     "op2_exact_dedup": exact_dedup.SQL,
     "op6_source_mix": mixing.SQL,
+    "op12_decontam": decontam.SQL,
+    "op13_hard_negatives": negatives.SQL,
 }
