@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,11 +15,15 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not markup; all but the text areas are skipped up to their end tag.
-RAW = frozenset("script style noscript template iframe svg math textarea title object canvas noembed noframes xmp".split())
-DROPPED = RAW | frozenset("head nav footer aside form button select input menu dialog audio video label fieldset".split())
+RAW = frozenset("script style noscript template iframe svg textarea title object canvas noembed noframes xmp".split())
+#: Of a formula the text stays, what repeats it in another notation goes.
+DROPPED = RAW | frozenset("head nav footer aside button select input menu dialog audio video label annotation annotation-xml".split())
+#: Furniture unless they hold the article: whole sites stand in one form.
+SHELLS = frozenset(["form", "fieldset"])
 BLOCK = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 _LEAF = frozenset("p pre blockquote li dd dt h1 h2 h3 h4 h5 h6 td th figcaption caption summary".split())
-_HEADING = frozenset("h1 h2 h3 h4 h5 h6 header hgroup".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_HEADING = _HEADINGS | {"header", "hgroup"}
 #: Words of class and id names of page furniture; a name is split at everything but letters and digits.
 FURNITURE = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar"
@@ -27,6 +32,9 @@ FURNITURE = frozenset(
 )
 #: Those of what readers and other articles say, which may be longer than the article.
 TALK = frozenset("comment comments commentlist disqus respond reply replies related recommended".split())
+#: The names of paragraphs, list items, quotes and headings that count inside an article, as classes; there an id is an anchor.
+ADVERT = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored comment comments reply replies".split())
+_PROSE = frozenset("p li pre blockquote h1 h2 h3 h4 h5 h6 figcaption caption summary".split())
 _HEADER_WORDS = frozenset(["header", "head", "top"])
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar toolbar alertdialog".split())
 _NEVER = frozenset(["html", "body", "article", "main"])
@@ -38,6 +46,7 @@ LEAST = 25
 _WORD = re.compile(r"[a-z0-9]+")
 
 
+@lru_cache(1 << 13)
 def _furniture(tag: str, attrs: str, inside: bool) -> bool | frozenset:
     """True if an element is furniture by itself, else the words of its names that say so.
 
@@ -47,17 +56,22 @@ def _furniture(tag: str, attrs: str, inside: bool) -> bool | frozenset:
         return True
     if tag == "header" and not inside:
         return True
+    shell = SHELLS & {tag}
     if not attrs or tag in ("html", "body"):
-        return frozenset()
+        return shell
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")):
         return True
     if found.get("role", "").lower() in ROLES:
         return True
-    names = set(_WORD.findall(re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", f"{found.get('class', '')} {found.get('id', '')}").lower()))
+    classes, ids = (frozenset(_WORD.findall(re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", found.get(x, "")).lower())) for x in ("class", "id"))
     if tag in _NEVER:
-        return frozenset(names & {"comment", "comments", "reply"} if tag == "article" else ())
-    return frozenset(names & (FURNITURE if inside or tag in _HEADING else FURNITURE | _HEADER_WORDS))
+        return (classes | ids) & {"comment", "comments", "reply"} if tag == "article" else frozenset()
+    if tag in _PROSE:
+        return classes & (ADVERT if inside else FURNITURE)
+    if inside and (tag == "section" or "section" in classes):
+        return classes & FURNITURE | ids & (ADVERT | TALK)
+    return shell | (classes | ids) & (FURNITURE if inside or tag in _HEADING else FURNITURE | _HEADER_WORDS)
 
 
 def blocks(page: str):
@@ -160,26 +174,34 @@ def _points(text: str, in_links: int) -> float:
     return (1 + text.count(",") + text.count("，") + min(len(text) / 100, 3)) * (1 - in_links / len(text)) if len(text) >= LEAST else 0.0
 
 
-def _dead(nodes, found) -> list[bool]:
-    """Whether each node is in furniture by name.
+def _measured(parts) -> tuple[str, int]:
+    """The text of some parts and how much of it is in links."""
+    return _text(parts), len(_text(x)) if (x := [p for p in parts if p[1]]) else 0
+
+
+def _dead(nodes, found, whole: dict[int, tuple[str, int]]) -> list[bool]:
+    """Whether each node is in furniture by name; ``whole`` gets what it measures of blocks of one name.
 
     An element with such a name is none if it holds the article: an article or main element, or more
     than half of the page's points, while no other article stands. Elements with more points are
     decided first. Comments and related articles need more than half of the points in any case,
-    and no points of others beside them unless they hold such an element.
+    and no points of others beside them unless they hold such an element. A form, and any element
+    inside an article, needs more than half of the points too, and then stays whatever else stands.
     """
     named = [0] * len(nodes)
     for i, (_, up, _, _, words) in enumerate(nodes):
         named[i] = i if words else named[up] if i else 0
     if any(named):
         points, own = [0.0] * len(nodes), [0.0] * len(nodes)
-        for _, parts in found:
+        for k, (_, parts) in enumerate(found):
             by_name = {}
             for p in parts:
                 by_name.setdefault(named[p[2]], []).append(p)
             for at, some in by_name.items():
-                text = _text(some)
-                gain = _points(text, len(_text([p for p in some if p[1]]))) if text else 0.0
+                made = _measured(some)
+                if len(by_name) == 1:
+                    whole[k] = made
+                gain = _points(*made) if made[0] else 0.0
                 own[at] += gain
                 points[at] += gain
         # children come after their parents, so one pass from the end sums up whole trees
@@ -210,8 +232,9 @@ def _dead(nodes, found) -> list[bool]:
         for i in sorted({*named} - {0}, key=lambda i: (-points[i], i)):
             most = 2 * points[i] > points[0]
             talk = nodes[i][4] <= TALK
-            free = named[nodes[i][1]] in stay and not stands and first < i and final >= i
-            if free and ((most or not talk) if i in holds else most and (not talk or not outside)):
+            alive = named[nodes[i][1]] in stay
+            free = alive and not stands and first < i and final >= i
+            if alive and most and (nodes[i][4] <= SHELLS or nodes[i][3] and not talk) or free and ((most or not talk) if i in holds else most and (not talk or not outside)):
                 stay.add(i)
                 outside += own[i]
                 admit(bodies.get(i, ()))
@@ -226,28 +249,34 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     nodes, raw = blocks(page)
-    dead = _dead(nodes, raw)
+    whole: dict[int, tuple[str, int]] = {}
+    dead = _dead(nodes, raw, whole)
     found = []
-    for node, parts in raw:
-        parts = [p for p in parts if not dead[p[2]]]
-        if text := _text(parts):
-            found.append((node, text, len(_text([p for p in parts if p[1]]))))
+    for k, (node, parts) in enumerate(raw):
+        alive = [p for p in parts if not dead[p[2]]]
+        text, in_links = whole[k] if k in whole and len(alive) == len(parts) else _measured(alive)
+        if text:
+            found.append((node, text, in_links))
     if not found:
         return ""
     points = [0.0] * len(nodes)
     passed = [0.0] * len(nodes)
+    total = [0.0] * len(nodes)
     length = [0] * len(nodes)
     linked = [0] * len(nodes)
     for node, text, in_links in found:
         length[node] += len(text)
         linked[node] += in_links
-        passed[nodes[node][1] if nodes[node][0] in _LEAF else node] += _points(text, in_links)
+        gain = _points(text, in_links)
+        total[node] += gain
+        passed[nodes[node][1] if nodes[node][0] in _LEAF else node] += gain
     # children come after their parents: an element has what paragraphs pass to it, half of what they
     # pass to its children, and two thirds of what these have of their own children
     for i in range(len(nodes) - 1, 0, -1):
         up = nodes[i][1]
         length[up] += length[i]
         linked[up] += linked[i]
+        total[up] += total[i]
         points[up] += 0.5 * passed[i] + points[i] * 2 / 3
         points[i] += passed[i]
     bonus = {"article": 25, "main": 15, "div": 2, "section": 2, "pre": 3, "td": 3, "blockquote": 3, "ul": -3, "ol": -3, "th": -5}
@@ -262,32 +291,72 @@ def main_text(page: str | None) -> str:
         if nodes[up][0] == "article":
             best = up
         up = nodes[up][1]
-    kept = {best}
-    if best:
-        limit = max(10.0, 0.2 * score(best))
-        parent = nodes[best][1]
-        for i in range(1, len(nodes)):
-            if nodes[i][1] == parent and i != best and length[i] and nodes[i][0] in BLOCK:
-                dense = linked[i] / length[i]
-                if nodes[i][0] in _HEADING and i < best or score(i) >= limit or nodes[i][0] == "p" and dense < 0.25 and (length[i] > 80 or not linked[i] and length[i] >= LEAST):
-                    kept.add(i)
+    kept = _with_siblings(nodes, best, total, length, linked) if best else {best}
 
+    # where the prose of what is kept begins and ends, and the element before each one below the same parent
     stays = [0 in kept or not best] * len(nodes)
-    for i, (tag, up, *_) in enumerate(nodes):
+    for i, n in enumerate(nodes):
+        stays[i] = i in kept or i > 0 and stays[n[1]]
+    prose = [node for node, text, in_links in found if stays[node] and _points(text, in_links) >= 1]
+    first, last = (prose[0], prose[-1]) if prose else (0, 0)
+    before: dict[int, int] = {}
+    for i, (tag, up, _, inside, *_) in enumerate(nodes):
         if i:
             dense = tag in ("ul", "ol", "table", "div", "section") and linked[i] > 0.66 * length[i]
-            stays[i] = i in kept or not dense and stays[up]
+            # links are furniture at the ends of a container that is no article by its name, unless they have a heading
+            own = inside or first < i < last or nodes[before.get(up, 0)][0] in _HEADINGS
+            stays[i] = i in kept or stays[up] and not (dense and not own)
+            if length[i]:
+                before[up] = i
     return "\n\n".join(text for node, text, _ in found if stays[node])
 
 
+def _with_siblings(nodes, best: int, total: list[float], length: list[int], linked: list[int]) -> set[int]:
+    """The best container and what of the article stands beside it or beside the elements around it.
+
+    Siblings stay if they have a fifth of its points, and sections beside a section and paragraphs if
+    they are text and no links; a heading before it stays too. Further up only elements of the same
+    name count, and a headline if there is none yet, up to the body or to what is an article by its name.
+    """
+    below: dict[int, list[int]] = {}
+    for i, n in enumerate(nodes):
+        if i and length[i]:
+            below.setdefault(n[1], []).append(i)
+    kept, at = {best}, best
+    share = 0.2 * total[best] * (1 - linked[best] / length[best])
+    titled = False
+    while at:
+        up, tag = nodes[at][1], nodes[at][0]
+        for i in below.get(up, ()):
+            own = nodes[i][0]
+            if i == at or own not in BLOCK:
+                continue
+            dense = linked[i] / length[i]
+            gain = total[i] * (1 - dense)
+            text = dense < 0.25 and length[i] >= LEAST
+            if at == best:
+                fits = own in _HEADING and i < at or gain > 0 and gain >= share or text and (own == tag == "section" or own == "p" and (length[i] > 80 or not linked[i]))
+            else:
+                fits = own == tag and gain > 0 and gain >= share or own == "h1" and i < at and not titled
+            if fits:
+                kept.add(i)
+                titled = titled or own == "h1"
+        if nodes[at][0] in ("article", "main") or nodes[up][0] in ("#", "html", "body", "article", "main"):
+            break
+        at = up
+    return kept
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """``pages`` with ``text`` and ``n_chars`` instead of ``html``.
 
     Each block-level element with text of its own passes 1 point, 1 for each comma and up to 3 for
     its length to its parent, half of that to the next ancestor and two thirds of the last share
     to each further one; a container's points are cut by the share of its text that is in links.
-    The best container, or the article around it, is kept with those of its siblings that score at
-    least a fifth as much, hold a link-free paragraph or precede it as a headline. Null, empty and
+    The best container, or the article around it, is kept with what stands beside it or beside the
+    elements around it and has a fifth of its points, see ``_with_siblings``. A form goes unless most
+    of the page's points are in it. Lists of links stay inside an article, in the middle of the text and
+    below a heading. Of a formula the text stays. Null, empty and
     broken pages are parsed as far as they go; without text the result is empty. Pages repeated are
     results repeated. Own columns named text or n_chars are replaced; all others pass unchanged.
     """
