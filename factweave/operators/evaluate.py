@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.columns import number, parts, safe_ratio, squeeze, strip
+from ..functions.columns import number, once, parts, safe_ratio, squeeze, strip
 
 KEY = ["hadm_id", "cluster", "keyword"]
 
@@ -37,36 +37,67 @@ def values_match(cluster: Column, pred: Column, truth: Column) -> Column:
     return F.coalesce(F.when(cluster.isin(C.NUMERIC_CLUSTERS), near).otherwise(F.lower(strip(pred)) == F.lower(strip(truth))), F.lit(False))
 
 
+def _outcome(cluster: Column, keyword: Column, outcome: str, reason: Column | None = None) -> Column:
+    why = F.lit(None).cast("string") if reason is None else reason
+    return F.struct(cluster.alias("cluster"), keyword.alias("keyword"), F.lit(outcome).alias("outcome"), why.alias("reason"))
+
+
+def by_key(p: DataFrame, t: DataFrame, require_timestamp: bool) -> DataFrame:
+    """The outcomes of facts that match by their key: one join of both sides gives what was found, wrong and missed."""
+    a = p.select(*KEY, F.col("value").alias("p_value"), F.col("ts").alias("p_ts"), F.lit(True).alias("told"))
+    b = t.select(*KEY, F.col("value").alias("t_value"), F.col("ts").alias("t_ts"), F.lit(True).alias("true"))
+    ts_ok = F.col("p_ts") == F.col("t_ts") if require_timestamp else F.lit(True)
+    c, k = F.col("cluster"), F.col("keyword")
+    reason = F.when(F.col("true").isNull(), "not_in_gt").when(~ts_ok, "timestamp_mismatch").when(~values_match(c, F.col("p_value"), F.col("t_value")), "value_mismatch")
+    rows = once(a.join(b, KEY, "full_outer"), [*KEY, "told", "true"], reason=reason)
+    right = F.col("told").isNotNull() & F.col("reason").isNull()
+    wrong = F.when(F.col("told").isNotNull() & ~right, _outcome(c, k, "fp", F.col("reason")))
+    missed = F.when(F.col("true").isNotNull() & ~right, _outcome(c, k, "fn"))
+    return rows.select("hadm_id", F.inline(F.array_compact(F.array(F.when(right, _outcome(c, k, "tp")), wrong, missed))))
+
+
+def by_presence(p: DataFrame, t: DataFrame, require_timestamp: bool) -> DataFrame:
+    """The outcomes of problems and symptoms, which match by normalized keyword and presence across both clusters.
+
+    A fold over the predictions of a keyword in their order: each takes the first reference fact that
+    is free and agrees. One that finds none says why the last free one did not agree. The facts of a
+    document with one normalized keyword differ in cluster, case or white space, so they are few.
+    """
+    fact = F.struct("pos", "cluster", "keyword", presence(F.col("value")).alias("present"), "ts")
+    side = lambda x, name: x.groupBy("hadm_id", keyword_norm(F.col("keyword")).alias("_k")).agg(F.array_sort(F.collect_list(fact)).alias(name))
+    both = side(p, "told").join(side(t, "true"), ["hadm_id", "_k"], "full_outer")
+    none = F.array().cast(both.schema["true"].dataType)
+    both = both.withColumns({"told": F.coalesce("told", none), "true": F.coalesce("true", none)})
+    out = "array<struct<cluster:string,keyword:string,outcome:string,reason:string>>"
+    begin = F.struct(F.array().cast("array<int>").alias("taken"), F.array().cast(out).alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        same_ts = lambda i: F.get("true", i)["ts"] == x["ts"] if require_timestamp else F.lit(True)
+        places = F.when(F.size("true") > 0, F.sequence(F.lit(0), F.size("true") - 1)).otherwise(F.array().cast("array<int>"))
+        free = F.array_except(places, s["taken"])
+        hit = F.get(F.filter(free, lambda i: F.coalesce((F.get("true", i)["present"] == x["present"]) & same_ts(i), F.lit(False))), F.lit(0))
+        last = F.get(free, F.size(free) - 1)
+        why = F.when(F.size("true") == 0, "not_in_gt").when(last.isNotNull() & ~same_ts(last), "timestamp_mismatch").otherwise("value_mismatch")
+        met = F.get("true", hit)
+        made = F.when(hit.isNotNull(), _outcome(met["cluster"], met["keyword"], "tp")).otherwise(_outcome(x["cluster"], x["keyword"], "fp", why))
+        return F.struct(F.when(hit.isNotNull(), F.concat(s["taken"], F.array(hit))).otherwise(s["taken"]).alias("taken"), F.concat(s["out"], F.array(made)).alias("out"))
+
+    judged = once(both, ["hadm_id", "true"], s=F.aggregate("told", begin, step))
+    missed = F.transform(F.filter("true", lambda x, i: ~F.array_contains("s.taken", i)), lambda x: _outcome(x["cluster"], x["keyword"], "fn"))
+    return judged.select("hadm_id", F.inline(F.concat("s.out", missed)))
+
+
 def compare(pred: DataFrame, truth: DataFrame, *, require_timestamp: bool = False, semantic: bool = False) -> DataFrame:
     """(hadm_id, cluster, keyword, outcome, reason): tp, fp and fn facts, the latter two of one side only.
 
-    With ``semantic``, problems and symptoms match by normalized keyword and presence across both
-    clusters: the i-th prediction of a keyword, presence (and timestamp) takes the i-th truth, which
-    pairs as many as taking the first free one in turn. A true positive carries the truth's key.
+    With ``semantic``, problems and symptoms match by keyword and presence, see ``by_presence``; a
+    true positive then carries the truth's key.
     """
     p, t = as_map(pred), as_map(truth)
-    is_semantic = F.col("cluster").isin("PROBLEMS", "SYMPTOMS") if semantic else F.lit(False)
-    ts_ok = F.col("ts") == F.col("t_ts") if require_timestamp else F.lit(True)
-    truth_side = t.select(*KEY, F.col("value").alias("t_value"), F.col("ts").alias("t_ts"), F.lit(True).alias("found"))
-    joined = p.filter(~is_semantic).join(truth_side, KEY, "left")
-    reason = F.when(F.col("found").isNull(), "not_in_gt").when(~ts_ok, "timestamp_mismatch").when(~values_match(F.col("cluster"), F.col("value"), F.col("t_value")), "value_mismatch")
-    judged = joined.withColumn("reason", reason).withColumn("outcome", F.when(F.col("reason").isNull(), "tp").otherwise("fp")).select(*KEY, "outcome", "reason")
-    if semantic:
-        sides = [x.filter(F.col("cluster").isin("PROBLEMS", "SYMPTOMS")).withColumns({"_k": keyword_norm(F.col("keyword")), "_p": presence(F.col("value"))}) for x in (p, t)]
-        by = ["hadm_id", "_k", "_p", *(["ts"] if require_timestamp else [])]
-        a, b = (x.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("pos", "cluster", "keyword"))) for x in sides)
-        taken = b.filter("_p IS NOT NULL").select(*by, "_n", F.col("cluster").alias("t_cluster"), F.col("keyword").alias("t_keyword"))
-        named = sides[1].select("hadm_id", "_k").distinct().withColumn("_named", F.lit(True))
-        matched = a.join(taken, [*by, "_n"], "left").join(named, ["hadm_id", "_k"], "left")
-        hit = F.col("t_cluster").isNotNull()
-        why = F.when(hit, F.lit(None)).when(F.col("_named").isNull(), "not_in_gt").otherwise("no_match")
-        judged = judged.unionByName(
-            matched.select(
-                "hadm_id", F.coalesce("t_cluster", "cluster").alias("cluster"), F.coalesce("t_keyword", "keyword").alias("keyword"), F.when(hit, "tp").otherwise("fp").alias("outcome"), why.alias("reason")
-            )
-        )
-    missed = t.select(*KEY).join(judged.filter("outcome = 'tp'").select(*KEY), KEY, "left_anti")
-    return judged.unionByName(missed.withColumns({"outcome": F.lit("fn"), "reason": F.lit(None).cast("string")}))
+    if not semantic:
+        return by_key(p, t, require_timestamp)
+    shared = F.col("cluster").isin("PROBLEMS", "SYMPTOMS")
+    return by_key(p.filter(~shared), t.filter(~shared), require_timestamp).unionByName(by_presence(p.filter(shared), t.filter(shared), require_timestamp))
 
 
 def counts(details: DataFrame, by: list[str]) -> DataFrame:
@@ -119,3 +150,27 @@ def format_stats(lines: DataFrame) -> DataFrame:
     )
     effective = F.col("raw_valid_kvt4_lines") + F.col("raw_recovered_cluster_prefix_lines")
     return out.withColumn("raw_effective_valid_kvt4_lines", effective).withColumn("raw_effective_valid_rate", F.round(safe_ratio(effective, F.col("raw_total_lines")), 6))
+
+
+def first_lines(lines: DataFrame, keep: Column, name: str, k: int = 5) -> DataFrame:
+    """(hadm_id, name): the first ``k`` lines of each document that ``keep`` holds for.
+
+    Ranks are limited to ``k`` before the shuffle as after it, so no task ever holds more of a document.
+    """
+    place = F.row_number().over(Window.partitionBy("hadm_id").orderBy("pos"))
+    few = lines.select("hadm_id", "pos", strip(F.col("line")).alias("_s")).filter(keep).withColumn("_n", place).filter(F.col("_n") <= k)
+    return few.groupBy("hadm_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_s"))), lambda x: x["_s"]).alias(name))
+
+
+def with_examples(lines: DataFrame, k: int = 5) -> DataFrame:
+    """The counters of ``format_stats`` with up to ``k`` invalid lines and up to ``k`` three-part 'not stated' lines."""
+    s = F.col("_s")
+    p = parts(s)
+    full = (F.size(p) == 4) & F.forall(p, lambda x: x != "")
+    unsaid = (F.size(p) == 3) & (F.lower(F.get(p, F.lit(1))) == "not stated")
+    said = (s != "") & (F.lower(s) != "end")
+    invalid = first_lines(lines, said & ~unsaid & ~full, "raw_invalid_examples", k)
+    unstated = first_lines(lines, said & unsaid, "raw_kvt3_not_stated_examples", k)
+    out = format_stats(lines).join(invalid, "hadm_id", "left").join(unstated, "hadm_id", "left")
+    none = F.array().cast("array<string>")
+    return out.withColumns({c: F.coalesce(c, none) for c in ("raw_invalid_examples", "raw_kvt3_not_stated_examples")})

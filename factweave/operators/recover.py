@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import ast
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import config as C
 from ..functions.columns import any_of, once, strip
@@ -164,22 +166,52 @@ def first_json_object(c: Column) -> Column:
     """The JSON object that begins at a text's first brace, without what follows it; null if there is none.
 
     If that is no valid JSON, all from the first brace to the last is taken with the line breaks
-    inside its strings escaped. Quotes, braces, escapes and line breaks are walked through in order.
+    inside its strings escaped.
     """
-    body = F.regexp_extract(F.coalesce(c, F.lit("")), r"(?s)(\{.*\})", 1)
-    tokens = F.filter(F.split(body, r"""(?<=["{}\\\n\r])|(?=["{}\\\n\r])"""), lambda t: t != "")
-    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("inside"), F.lit(False).alias("escaped"), F.lit("").alias("seen"), F.lit("").alias("healed"), F.lit(None).cast("string").alias("first"))
-
-    def step(s: Column, t: Column) -> Column:
-        quote, live = (t == '"') & ~s["escaped"], ~s["inside"]
-        depth = s["depth"] + F.when(live & (t == "{"), 1).when(live & (t == "}"), -1).otherwise(0)
-        seen = F.concat(s["seen"], t)
-        safe = F.when(s["inside"] & ~s["escaped"] & (t == "\n"), "\\n").when(s["inside"] & ~s["escaped"] & (t == "\r"), "\\r").otherwise(t)
-        return F.struct(
-            depth.alias("depth"), F.when(quote, ~s["inside"]).otherwise(s["inside"]).alias("inside"), (s["inside"] & ~s["escaped"] & (t == "\\")).alias("escaped"), seen.alias("seen"), F.concat(s["healed"], safe).alias("healed"),
-            F.coalesce(s["first"], F.when((depth == 0) & live & (t == "}"), seen)).alias("first"),
-        )
-
-    made = F.aggregate(tokens, start, step)
+    made = _objects_at(c)
     parse = lambda x: F.when(F.try_parse_json(x).isNotNull(), x)
-    return F.coalesce(parse(made["first"]), F.when(made["healed"] != "", parse(made["healed"])))
+    return F.coalesce(parse(made["first"]), parse(made["healed"]))
+
+
+_MARK = re.compile(r'["{}\\\n\r]')
+_BREAKS = {"\n": "\\n", "\r": "\\r"}
+
+
+def scan_object(text: str | None) -> tuple[str | None, str | None]:
+    """The object that begins at the first brace, and all from there to the last brace with line breaks in strings escaped.
+
+    One walk over the positions of quotes, braces, escapes and line breaks; no text is built on the way.
+    """
+    begin, end = (text.find("{"), text.rfind("}")) if text else (-1, -1)
+    if begin < 0 or end < begin:
+        return None, None
+    body = text[begin : end + 1]
+    depth, inside, spared, first = 0, False, -1, None
+    cuts: list[int] = []
+    for m in _MARK.finditer(body):
+        at, mark = m.start(), m[0]
+        if inside:
+            if at == spared:
+                continue
+            if mark == '"':
+                inside = False
+            elif mark == "\\":
+                spared = at + 1
+            elif mark in _BREAKS:
+                cuts.append(at)
+        elif mark == '"':
+            inside = True
+        elif mark == "{":
+            depth += 1
+        elif mark == "}":
+            depth -= 1
+            if depth == 0 and first is None:
+                first = at + 1
+    edges = [0, *(x for at in cuts for x in (at, at + 1)), len(body)]
+    healed = "".join(body[a:b] if k % 2 == 0 else _BREAKS[body[a]] for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)))
+    return (body[:first] if first else None), healed
+
+
+@F.pandas_udf(T.StructType().add("first", "string").add("healed", "string"))
+def _objects_at(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([scan_object(t) for t in texts], columns=["first", "healed"])

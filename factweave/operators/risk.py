@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.columns import number, once, squeeze, strip
+from . import concepts
+from . import rules as rule_tables
 
 ACTIVE = ["chronic", "acute", "exist"]
 
@@ -116,10 +118,14 @@ def plausible_range(c: Column, k: Column) -> Column:
     return F.try_element_at(_literal_map({f"{a}|{b}": F.struct(F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi")) for (a, b), ((lo, hi), _) in C.RANGES.items()}), rule_key(c, k))
 
 
-def points(c: Column, k: Column, v: Column, n: Column, plausible: Column) -> Column:
-    """Points of a single fact of the clusters that score facts one by one; the first range that holds counts."""
-    table = _literal_map({f"{a}|{b}": F.array(*[F.struct(F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"), F.lit(p).alias("p")) for lo, hi, p in rs]) for (a, b), (_, rs) in C.RANGES.items()})
-    hit = F.get(F.filter(F.try_element_at(table, rule_key(c, k)), lambda r: n.between(r["lo"], r["hi"])), F.lit(0))["p"]
+def points(c: Column, k: Column, v: Column, n: Column, plausible: Column, hit: Column | None = None) -> Column:
+    """Points of a single fact of the clusters that score facts one by one; the first range that holds counts.
+
+    ``hit`` has the points of the ranges where they come from a table, see ``rules``.
+    """
+    if hit is None:
+        table = _literal_map({f"{a}|{b}": F.array(*[F.struct(F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"), F.lit(p).alias("p")) for lo, hi, p in rs]) for (a, b), (_, rs) in C.RANGES.items()})
+        hit = F.get(F.filter(F.try_element_at(table, rule_key(c, k)), lambda r: n.between(r["lo"], r["hi"])), F.lit(0))["p"]
     low = F.lower(strip(v))
     home = low.isin("home with service", "home w service", "home with svc", "home w/ service", "home w services", "home w/ services", "home health", "home health care")
     low = F.when(c != "DISPOSITION", low).when(k == "Mental Status", F.lower(mental_status(v))).when(home, "home with services").when(low.isin("hospice residence", "hospice care"), "hospice").otherwise(low)
@@ -138,14 +144,18 @@ _MEASURED = {
 _TOLD = {"mental": ("DISPOSITION", "Mental Status"), "disp": ("DISPOSITION", "Discharge Disposition"), "anticoag": ("MEDICATIONS", "Anticoagulation")}
 
 
-def documents(facts: DataFrame) -> DataFrame:
+def documents(facts: DataFrame, rules: DataFrame | None = None, synonyms: list | None = None) -> DataFrame:
     """One row per document, in one aggregation: the score of each cluster, the inputs of the patterns, what it has and factors.
 
     The largest weight of each group is a column of its own; groups are configured, so they are few.
+    ``rules`` (an index of ``rules``) and ``synonyms`` (of ``concepts``) stand in for the literal tables.
     """
     c, k, value = F.col("cluster"), F.col("keyword"), F.col("value")
     low = F.lower(strip(value))
-    rows = once(with_groups(facts), ["hadm_id", "pos", "sub_pos", "cluster", "keyword", "value", "value_num", "is_numeric", "dropped", "gid", "weight"], _pts=points(c, k, value, F.col("value_num"), F.col("plausible")), _low=low)
+    grouped = with_groups(facts) if synonyms is None else concepts.with_groups(facts, synonyms)
+    grouped = grouped if rules is None else rule_tables.with_points(grouped, rules, "value_num", "_hit")
+    hit = None if rules is None else F.col("_hit")
+    rows = once(grouped, ["hadm_id", "pos", "sub_pos", "cluster", "keyword", "value", "value_num", "is_numeric", "dropped", "gid", "weight"], _pts=points(c, k, value, F.col("value_num"), F.col("plausible"), hit), _low=low)
     kept, low, place, pts, num = ~F.col("dropped"), F.col("_low"), F.struct("pos", "sub_pos"), F.col("_pts"), F.col("value_num")
     of = lambda cl, kw=None: kept & (c == cl) if kw is None else kept & (c == cl) & (k == kw)
     part = lambda cond: F.coalesce(F.sum(F.when(cond, pts)), F.lit(0))
@@ -197,9 +207,9 @@ def cluster_order(c: Column) -> Column:
     return F.array_position(F.array(*[F.lit(x) for x in C.CLUSTERS]), c).cast("int")
 
 
-def cluster_scores(facts: DataFrame) -> DataFrame:
+def cluster_scores(facts: DataFrame, rules: DataFrame | None = None, synonyms: list | None = None) -> DataFrame:
     """(hadm_id, cluster, score) of all nine clusters of every document."""
-    return documents(facts).select("hadm_id", *C.CLUSTERS).unpivot("hadm_id", list(C.CLUSTERS), "cluster", "score")
+    return documents(facts, rules, synonyms).select("hadm_id", *C.CLUSTERS).unpivot("hadm_id", list(C.CLUSTERS), "cluster", "score")
 
 
 def patterns(facts: DataFrame) -> DataFrame:

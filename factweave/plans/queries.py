@@ -443,7 +443,7 @@ one AS (SELECT hadm_id, cluster, keyword, CASE WHEN reason IS NULL THEN 'tp' ELS
         by = "hadm_id, kn, pres" + (", ts" if timestamp else "")
         side = lambda t: f"SELECT *, lower(trim(regexp_replace(keyword, '\\s+', ' ', 'g'))) AS kn, CASE WHEN lower(value) IN ('acute', 'chronic', 'exist', 'yes', 'severe') THEN true WHEN lower(value) IN ('not exist', 'no') THEN false END AS pres FROM {t} WHERE cluster IN ('PROBLEMS', 'SYMPTOMS')"
         base += f""", sa AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY pos, cluster, keyword) AS n FROM ({side('pr')}) x), sb AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY pos, cluster, keyword) AS n FROM ({side('tr')}) x),
-sj AS (SELECT a.hadm_id, coalesce(b.cluster, a.cluster) AS cluster, coalesce(b.keyword, a.keyword) AS keyword, CASE WHEN b.cluster IS NOT NULL THEN 'tp' ELSE 'fp' END AS outcome, CASE WHEN b.cluster IS NOT NULL THEN NULL WHEN NOT EXISTS (SELECT 1 FROM sb c WHERE c.hadm_id = a.hadm_id AND c.kn = a.kn) THEN 'not_in_gt' ELSE 'no_match' END AS reason
+sj AS (SELECT a.hadm_id, coalesce(b.cluster, a.cluster) AS cluster, coalesce(b.keyword, a.keyword) AS keyword, CASE WHEN b.cluster IS NOT NULL THEN 'tp' ELSE 'fp' END AS outcome, CASE WHEN b.cluster IS NOT NULL THEN NULL WHEN NOT EXISTS (SELECT 1 FROM sb c WHERE c.hadm_id = a.hadm_id AND c.kn = a.kn) THEN 'not_in_gt' ELSE 'value_mismatch' END AS reason
   FROM sa a LEFT JOIN sb b ON b.hadm_id = a.hadm_id AND b.kn = a.kn AND b.pres = a.pres AND b.n = a.n {'AND b.ts = a.ts' if timestamp else ''}), two AS (SELECT * FROM one UNION ALL SELECT * FROM sj)"""
     else:
         base += ", two AS (SELECT * FROM one)"
@@ -744,3 +744,5 @@ def risk_or_none(s, d):
 
 
 golden.register(QUERIES, SQL)
+
+from . import runs  # noqa: E402, F401 - adds its queries to those above

@@ -9,15 +9,40 @@ from ..functions.columns import strip
 from ..operators.recover import fact_line
 
 
+def listing(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """(hadm_id, path, mtime): the files ``name`` (a glob) of numeric folders, by their names and times alone; no content is read.
+
+    A folder is named by digits, or by a partition column and digits; ``mtime`` is in seconds. Empty
+    files are no artifacts: Spark's file sources skip them.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root}/*/{name}")
+    found = files.select(F.regexp_extract("path", r"/(?:[a-z_]+=)?([0-9]+)/[^/]+$", 1).alias("_id"), "path", "modificationTime").filter("_id <> ''")
+    return found.select(F.col("_id").cast("bigint").alias("hadm_id"), "path", (F.unix_micros("modificationTime") / 1e6).alias("mtime"))
+
+
+def done_range(files: DataFrame) -> DataFrame:
+    """One row: the oldest and the newest file of a listing with their documents; nulls without any."""
+    place = F.struct("mtime", "hadm_id")
+    return files.agg(F.count("*").alias("done"), F.min_by("hadm_id", place).alias("oldest"), F.min("mtime").alias("oldest_mtime"), F.max_by("hadm_id", place).alias("newest"), F.max("mtime").alias("newest_mtime"))
+
+
 def notes(spark: SparkSession, root: str, with_truth: bool = False, first: int | None = None) -> DataFrame:
-    """(hadm_id, text) of a folder of numeric folders with ``ehr_<id>.txt``; ids come in path order, not numeric order."""
-    path = F.col("_metadata.file_path")
-    rows = spark.read.text(f"{root}/*/ehr_*.txt", wholetext=True).select(F.regexp_extract(path, r"/([0-9]+)/ehr_[0-9]+\.txt$", 1).alias("_id"), path.alias("_path"), F.col("value").alias("text")).filter("_id <> ''")
+    """(hadm_id, text) of a folder of numeric folders with ``ehr_<id>.txt``; ids come in path order, not numeric order.
+
+    Of the ``first`` notes alone the contents are read: names are listed first, and the paths chosen among them.
+    """
+    files = listing(spark, root, "ehr_*.txt")
     if with_truth:
-        rows = rows.join(truth_files(spark, root).select("_id"), "_id", "left_semi")
+        files = files.join(listing(spark, root, "ground_truth_*.json").select("hadm_id"), "hadm_id", "left_semi")
     if first:
-        rows = rows.orderBy("_path").limit(first)
-    return rows.select(F.col("_id").cast("bigint").alias("hadm_id"), "text")
+        paths = [r["path"] for r in files.select("path").orderBy("path").limit(first).collect()]
+        if not paths:
+            return spark.createDataFrame([], "hadm_id long, text string")
+        rows = spark.read.text(paths, wholetext=True).select("value", F.col("_metadata.file_path").alias("_path"))
+    else:
+        rows = spark.read.text(f"{root}/*/ehr_*.txt", wholetext=True).select("value", F.col("_metadata.file_path").alias("_path"))
+    rows = rows.select(F.regexp_extract("_path", r"/([0-9]+)/ehr_[0-9]+\.txt$", 1).alias("_id"), F.col("value").alias("text")).filter("_id <> ''").select(F.col("_id").cast("bigint").alias("hadm_id"), "text")
+    return rows.join(files.select("hadm_id"), "hadm_id", "left_semi") if with_truth and not first else rows
 
 
 def truth_files(spark: SparkSession, root: str) -> DataFrame:
