@@ -229,21 +229,25 @@ class Model:
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, order: int = ORDER) -> Model:
     """A model of every language in ``lang`` (null and 'und' excepted), from a bounded sample of ``docs``.
 
-    Only identifiers are counted and ranked; the texts of those chosen are fetched after that.
+    Only identifiers are counted and ranked; the texts of those chosen are fetched after that, one for
+    each language and identifier, of several the shortest and then that of the smallest hash. Repeated
+    rows count once, so a sample never holds more than it may.
     """
+    size, print_ = F.octet_length("text").cast("long").alias("_size"), F.xxhash64("text").alias("_text")
     named = docs.filter(F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    named = named.select("lang", "doc_id", F.octet_length("text").cast("long").alias("_size"), F.xxhash64(F.lit("language"), "doc_id").alias("_h"))
-    counts = scratch(named.groupBy("lang").agg(F.count("*").alias("n")))
-    # a hash threshold leaves about four times the rows wanted of each language, so that the ranking is small
-    near = spread_join(named, counts, ["lang"]).filter(F.shiftrightunsigned("_h", 11) / float(1 << 53) < 4.0 * per_language / F.col("n"))
-    order_by = Window.partitionBy("lang").orderBy("_h", "doc_id", "_size")
+    named = named.select("lang", "doc_id", size, print_, F.xxhash64(F.lit("language"), "doc_id").alias("_h"))
+    counts = scratch(named.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("doc_id").alias("_ids")))
+    # a hash threshold leaves about four times the identifiers wanted of each language, so that the ranking is small
+    near = spread_join(named, counts, ["lang"]).filter(F.shiftrightunsigned("_h", 11) / float(1 << 53) < 4.0 * per_language / F.col("_ids"))
+    near = near.groupBy("lang", "doc_id", "_h").agg(F.min(F.struct("_size", "_text")).alias("_one")).select("lang", "doc_id", "_h", "_one.*")
+    order_by = Window.partitionBy("lang").orderBy("_h", "doc_id")
     ranked = near.withColumn("_r", F.row_number().over(order_by)).filter(F.col("_r") <= per_language)
-    chosen = scratch(ranked.withColumn("_upto", F.sum("_size").over(order_by.rowsBetween(Window.unboundedPreceding, 0))).filter((F.col("_r") == 1) | (F.col("_upto") <= SAMPLE_BYTES)).select("lang", "doc_id", "_size", "_r"))
+    chosen = scratch(ranked.withColumn("_upto", F.sum("_size").over(order_by.rowsBetween(Window.unboundedPreceding, 0))).filter((F.col("_r") == 1) | (F.col("_upto") <= SAMPLE_BYTES)).select("lang", "doc_id", "_size", "_text", "_r"))
     few = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen
-    texts = docs.select("lang", "doc_id", "text", F.octet_length("text").cast("long").alias("_size")).join(few, ["lang", "doc_id", "_size"]).select("lang", "_r", "text")
+    texts = docs.select("lang", "doc_id", "text", size, print_).join(few, ["lang", "doc_id", "_size", "_text"]).groupBy("lang", "_r").agg(F.min("text").alias("text"))
     train: dict[str, list] = {}
     held: dict[str, list] = {}
-    for r in sorted(texts.toLocalIterator(), key=lambda r: (r["lang"], r["_r"], r["text"])):
+    for r in sorted(texts.toLocalIterator(), key=lambda r: (r["lang"], r["_r"])):
         data = np.frombuffer(r["text"].encode(), np.uint8)
         own = symbols(data, np.array([0, len(data)]))[0]
         (held if r["_r"] % 5 == 0 else train).setdefault(r["lang"], []).append(own)

@@ -20,6 +20,8 @@ HOT_STEP = 16
 LEADER_PARTS = 1024
 #: Set members that one verification task holds at most, unless one text alone has more.
 TASK_MEMBERS = 4_000_000
+#: Sets of a group that are compared each with each, at most; in larger groups their rarest members choose whom to compare.
+FEW_SETS = 48
 #: Bytes of texts that a worker gathers before it links the groups among them.
 FLUSH_BYTES = 2 << 20
 #: Edges of a component search that one file holds, about.
@@ -256,11 +258,31 @@ def linked_components(sets: DataFrame, rows: int, expand: Callable, width: int,
     return scratch(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
 
 
+def prefix_lists(ids: np.ndarray, after: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each set its rarest members, as many as two qualifying sets must share one of, and the sets by such a member.
+
+    Returns the members and where those of each set begin, the sets sorted by member and where each
+    member's begin. A set x that qualifies with another shares den * shared >= num * |x| members with
+    it, so in one order of all members both have one in common among their first |x| - shared + 1.
+    """
+    size = np.diff(after)
+    owner = np.repeat(np.arange(len(size)), size)
+    often = np.bincount(ids, minlength=1)
+    order = np.lexsort((ids, often[ids], owner))
+    ids = ids[order]
+    place = np.arange(len(ids)) - np.repeat(after[:-1], size)
+    keep = (place < np.repeat(size + -(num * size) // den + 1, size)) & (often[ids] > 1)
+    members, owner = ids[keep], owner[keep]
+    begin = np.searchsorted(owner, np.arange(len(size) + 1))
+    by = np.argsort(members, kind="stable")
+    return members, begin, owner[by], np.searchsorted(members[by], np.arange(len(often) + 1))
+
+
 def link_sets(values: np.ndarray, after: np.ndarray, num: int, den: int, label: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that join all sets with den * intersection >= num * union, but those between equal labels.
 
-    Every pair of sets that the links found so far leave apart is compared, so the components of
-    the links are those of all qualifying pairs.
+    Every pair of sets that the links found so far leave apart is compared if the rarest members of
+    both meet, so the components of the links are those of all qualifying pairs.
     """
     n = len(after) - 1
     label = np.arange(n) if label is None else label.copy()
@@ -269,12 +291,23 @@ def link_sets(values: np.ndarray, after: np.ndarray, num: int, den: int, label:
     flags = np.zeros(int(ids.max()) + 1 if len(ids) else 1, bool)
     links = []
     left = len(np.unique(label))
+    lists = prefix_lists(ids, after, num, den) if n > FEW_SETS else None
     for i in range(n - 1):
         if left == 1:
             break
         if not sizes[i]:
             continue
-        out = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        out = None
+        if lists:
+            members, begin, sets, edges = lists
+            own = members[begin[i] : begin[i + 1]]
+            a, b = edges[own], edges[own + 1]
+            # as many as there are sets: then all of them are compared
+            if int((b - a).sum()) < n:
+                out = np.unique(np.concatenate([sets[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)] or [sets[:0]]))
+                out = out[(out > i) & (label[out] != label[i])]
+        if out is None:
+            out = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
         size = sizes[out]
         out = out[(den * np.minimum(size, sizes[i]) >= num * np.maximum(size, sizes[i])) & (size > 0)]
         if not len(out):
@@ -349,7 +382,7 @@ def verified_links(members: DataFrame, texts: Callable[[DataFrame], DataFrame],
     ``members`` has id, block, weight (set size) and may have the component that other links give an
     id; members of one component are not compared. A block over ``task`` set members is dealt to
     several tasks by id: first each part is linked on its own, then one member of each component
-    found is compared, and where a block still falls apart every pair of its parts is compared,
+    found is compared, and where a block still falls apart sets meet by their rarest members,
     without the pairs already connected. No task holds more than two parts.
     """
     known = "component" in members.columns
@@ -370,6 +403,34 @@ def verified_links(members: DataFrame, texts: Callable[[DataFrame], DataFrame],
     found = scratch(found.unionByName(_verify(texts(heads.select("id", "block", "part", "component")), ["block", "part"], sets, num, den)))
     rest = labelled(found)
     apart = rest.groupBy("block").agg(F.min("component").alias("_l"), F.max("component").alias("_m")).filter("_l <> _m").select("block")
-    pairs = rest.join(apart, "block", "left_semi").withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_q") - 1)))
-    pairs = pairs.select("id", "block", "component", F.least("part", "_o").alias("p"), F.greatest("part", "_o").alias("r"))
-    return scratch(found.unionByName(_verify(texts(pairs), ["block", "p", "r"], sets, num, den)))
+    more = _by_members(rest.join(apart, "block", "left_semi").select("id", "block", "component"), texts, sets, num, den, task)
+    return scratch(found.unionByName(more))
+
+
+def _by_members(rows: DataFrame, texts: Callable[[DataFrame], DataFrame], sets: Callable, num: int, den: int, task: int) -> DataFrame:
+    """Links between the components of large blocks: sets meet where one of their rarest members is the same.
+
+    Members are counted in their block, and each set goes to the groups of as many of its rarest ones
+    as two qualifying sets must share one of (see ``prefix_lists``). The work grows with the sets, not
+    with their pairs. Only a group over ``task`` set members is dealt to pairs of its parts.
+    """
+
+    def run(batches):
+        for b in batches:
+            values, after = sets(b.column("text"))
+            size = np.diff(after)
+            at = pa.array(np.repeat(np.arange(b.num_rows), size))
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in ("id", "block", "component")), pa.array(values.view(np.int64)), pa.array(np.repeat(size, size))], names=["id", "block", "component", "member", "size"])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    each = scratch(small_batches(texts(rows).select("id", "block", "component", "text")).mapInArrow(run, f"{fields}, member bigint, size bigint"))
+    often = scratch(each.groupBy("block", "member").agg(F.count("*").alias("n")).filter("n > 1"))
+    own = Window.partitionBy("block", "id")
+    # members that no other set has come first and meet nothing
+    ranked = spread_join(each, often, ["block", "member"]).withColumn("_k", F.row_number().over(own.orderBy("n", "member"))).withColumn("_m", F.count("*").over(own))
+    kept = scratch(ranked.filter(F.col("size") - F.col("_m") + F.col("_k") <= F.col("size") - F.ceil(F.col("size") * num / den) + 1).select("id", "block", "component", "member", "size"))
+    parts = scratch(kept.groupBy("block", "member").agg(F.ceil(F.sum("size") / task).cast("int").alias("_q"), F.count("*").alias("n")).filter("n > 1"))
+    dealt = spread_join(kept, parts, ["block", "member"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("_q")).cast("int"))
+    dealt = dealt.withColumn("_o", F.explode(F.when(F.col("_q") > 1, F.sequence(F.lit(0), F.col("_q") - 1)).otherwise(F.array(F.lit(0)))))
+    pairs = dealt.select("id", "block", "member", "component", F.least("part", "_o").alias("p"), F.greatest("part", "_o").alias("r"))
+    return _verify(texts(pairs), ["block", "member", "p", "r"], sets, num, den)

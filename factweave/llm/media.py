@@ -19,7 +19,7 @@ from .common import read, small_batches
 #: Rows of the payload images of documents, and the unit that payloads are filled up to.
 WIDTH, UNIT, FILL = 24, 576, 255
 TILE = 32
-#: Samples that an image may declare, and samples beyond which the integral image is kept at the borders of cells alone.
+#: Samples that an image may declare beyond its bytes, and samples beyond which the integral image is kept at the borders of cells alone.
 MOST_SAMPLES, WHOLE_SAMPLES = 1 << 30, 1 << 22
 
 
@@ -50,7 +50,7 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     if not 0 < most < 65536:
         raise ValueError("broken header")
     channels = 3 if kind in (b"P3", b"P6") else 1
-    if not 0 < wide * high * channels <= MOST_SAMPLES:
+    if not 0 < wide * high * channels <= max(MOST_SAMPLES, len(data)):
         raise ValueError("empty or too large")
     if kind in (b"P1", b"P2", b"P3") and wide * high * channels > len(data):
         raise ValueError("too few samples")
@@ -111,7 +111,7 @@ def decode_bmp(data: bytes) -> np.ndarray:
     if depth not in (1, 4, 8, 16, 24, 32) or packed not in {4: (0, 2), 8: (0, 1), 16: (0, 3, 6), 32: (0, 3, 6)}.get(depth, (0,)) or wide <= 0 or not high:
         raise ValueError("unsupported bitmap")
     rows = abs(high)
-    if wide * rows > MOST_SAMPLES:
+    if wide * rows > max(MOST_SAMPLES, len(data)):
         raise ValueError("too large")
     if packed in (1, 2):
         raw = _runs(data, start, wide, rows, depth)
