@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from factweave.llm import line_dedup, mixing, near_dedup, packing, quality
-from factweave.llm.common import discard, read, scratch
+from factweave.llm.common import discard, read, scratch, scratch_scope
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -56,9 +56,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read by the next."""
+    """All stages over ``documents``, each written to the shared folder and read by the next.
+
+    What a stage writes on its way is deleted with it, and its result once the next one is written.
+    """
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        before, docs = docs, scratch(stage(spark, docs, sf_dir))
+        with scratch_scope(spark):
+            before, docs = docs, scratch(stage(spark, docs, sf_dir), keep=True)
         discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -44,8 +44,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: The scratch tables of the innermost scope of a thread.
-_scope: ContextVar[list[str] | None] = ContextVar("scratch_scope", default=None)
+#: The scratch tables of the innermost scope of a thread, and the scope around it.
+_scope: ContextVar[tuple[list[str], tuple] | None] = ContextVar("scratch_scope", default=None)
 
 
 def _place(spark: SparkSession, path: str):
@@ -58,15 +58,18 @@ def scratch(df: DataFrame, keep: bool = False) -> DataFrame:
     """Writes ``df`` below the shared folder and reads it back, which cuts the lineage.
 
     The table survives the loss of executors. Inside a ``scratch_scope`` it is deleted at the end of
-    the scope, unless it is to be kept; other tables are deleted when the application ends.
+    the scope, one that is to be kept at the end of the scope around that; tables outside of scopes are
+    deleted when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/factweave-{uuid.uuid4().hex}"
-    made = _scope.get()
-    if made is not None and not keep:
-        made.append(path)
+    scope = _scope.get()
+    if keep and scope is not None:
+        scope = scope[1]
+    if scope is not None:
+        scope[0].append(path)
     df.write.option("compression", "zstd").parquet(path)
-    if made is None or keep:
+    if scope is None:
         system, place = _place(spark, path)
         system.deleteOnExit(place)
     table = spark.read.schema(df.schema).parquet(path)
@@ -88,7 +91,7 @@ def scratch_scope(spark: SparkSession):
     Scopes belong to the thread that opens them, so queries in other threads keep their tables.
     """
     made: list[str] = []
-    before = _scope.set(made)
+    before = _scope.set((made, _scope.get()))
     try:
         yield
     finally:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import array
+import json
+import math
 import os
 import re
 import zlib
@@ -17,10 +19,15 @@ from .common import read, scratch, small_batches, utf8
 CAPACITY = 2048
 #: Pieces longer than this share of the capacity are large.
 LARGE = 1 / 8
-#: Groups of equal cardinality that the large lengths are rounded up within.
+#: Groups of equal cardinality that the large lengths are rounded up within, and the numbers of them that are tried:
+#: many round up less, few leave more of their configurations whole.
 GROUPS = 40
-#: Words, and parts of words, whose ids a Python worker remembers at most.
-REMEMBERED = 300_000
+TRIED = (20, 30, 40, 60)
+#: Bytes of words, and of parts of words, whose ids a Python worker remembers at most.
+REMEMBERED = 24 << 20
+#: What the fast way of finding ids assumes of a vocabulary; any other is asked for whole texts.
+_NORMAL = [("NFC", None), ("Replace", r"\s+"), ("Lowercase", None)]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Rows that one rank window holds, on average at most, for one length.
 BLOCK_ROWS = 200_000
 
@@ -37,11 +44,21 @@ _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: b for b in _PRINTED} | {b: 256 + n for n, b in enumerate(x for x in range(256) if x not in _PRINTED)}
 
 
+def reads_words(tokenizer) -> bool:
+    """Whether the ids of a text are those of its runs between white space, each by the steps that ``Ids`` takes."""
+    d = json.loads(tokenizer.to_str())
+    normal, split, model = d["normalizer"] or {}, d["pre_tokenizer"] or {}, d["model"]
+    steps = [(x["type"], x.get("pattern", {}).get("Regex")) for x in normal.get("normalizers", [])]
+    first, last = (split.get("pretokenizers") or [{}, {}])[:1], (split.get("pretokenizers") or [{}])[1:]
+    same = steps == _NORMAL and [x.get("pattern", {}).get("Regex") for x in first] == [_SPLIT] and [(x["type"], x.get("add_prefix_space"), x.get("use_regex")) for x in last] == [("ByteLevel", False, False)]
+    return same and d["post_processor"] is None and model["type"] == "BPE" and not model.get("unk_token") and not model.get("dropout") and all(x["special"] and "<" in x["content"] for x in d["added_tokens"])
+
+
 class Ids(dict):
     """Ids of runs between ASCII white space, as bytes of 32-bit numbers.
 
-    Neither the normaliser nor the pre-tokeniser of the vocabulary looks across white space, so a
-    text's ids are those of its runs. Runs and their parts are remembered up to a bound.
+    Of a vocabulary that lower-cases and splits as ``reads_words`` tells, a text's ids are those of its
+    runs; runs and their parts are remembered up to a bound in bytes. Any other tokenizer gets whole texts.
     """
 
     def __init__(self, path: str):
@@ -49,28 +66,39 @@ class Ids(dict):
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
+        self.by_words = reads_words(self.whole)
         self.parts: dict[str, bytes] = {}
+        self.held = self.held_parts = 0
+
+    def _encoded(self, s: str) -> bytes:
+        return array.array("I", self.whole.encode(s, add_special_tokens=False).ids).tobytes()
 
     def part(self, s: str) -> bytes:
         found = array.array("I", [t.id for t in self.model.tokenize(s if s.isascii() else s.encode().decode("latin-1").translate(_BYTES))]).tobytes()
         self.parts[s] = found
+        self.held_parts += len(s) + len(found)
         return found
 
     def __missing__(self, word: bytes) -> bytes:
         s = word.decode()
         if _OTHER.search(s):
-            found = array.array("I", self.whole.encode(s, add_special_tokens=False).ids).tobytes()
+            found = self._encoded(s)
         else:
             parts = self.parts
             found = b"".join([parts.get(p) or self.part(p) for p in _PART.findall(s.lower())])
         self[word] = found
+        self.held += len(word) + len(found)
         return found
 
     def text(self, raw: bytes) -> bytes:
-        if len(self) > REMEMBERED:
+        if not self.by_words:
+            return self._encoded(raw.decode())
+        if self.held > REMEMBERED:
             self.clear()
-        if len(self.parts) > REMEMBERED:
+            self.held = 0
+        if self.held_parts > REMEMBERED:
             self.parts.clear()
+            self.held_parts = 0
         return b"".join(map(self.__getitem__, raw.split()))
 
 
@@ -129,26 +157,28 @@ def linear_groups(counts: np.ndarray, large: int, groups: int) -> list[tuple[int
 
 
 def _knapsack(sizes: list[int], values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The best multiset of sizes under the capacity, by dynamic programming over the room used."""
-    best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    order = [k for k in range(len(sizes)) if values[k] > 1e-12]
-    least = min((sizes[k] for k in order), default=capacity + 1)
-    for room in range(least, capacity + 1):
-        best[room], choice[room] = best[room - 1], -2
-        for k in order:
-            if sizes[k] <= room and best[room - sizes[k]] + values[k] > best[room] + 1e-12:
-                best[room], choice[room] = best[room - sizes[k]] + values[k], k
+    """The best multiset of sizes within the capacity, by dynamic programming, one size after the other.
+
+    For a size s the rooms that differ by multiples of s are a column; the best with any number of
+    copies is a running maximum down the column, less what the copies are worth.
+    """
+    order = [k for k in range(len(sizes)) if values[k] > 1e-12 and sizes[k] <= capacity]
+    tables = [np.zeros(capacity + 1)]
+    for k in order:
+        rows = -(-(capacity + 1) // sizes[k])
+        padded = np.full(rows * sizes[k], -np.inf)
+        padded[: capacity + 1] = tables[-1]
+        worth = np.arange(rows)[:, None] * values[k]
+        tables.append((np.maximum.accumulate(padded.reshape(rows, -1) - worth, axis=0) + worth).reshape(-1)[: capacity + 1])
     out, room = np.zeros(len(sizes), np.int64), capacity
-    while room > 0 and choice[room] != -1:
-        if choice[room] == -2:
-            room -= 1
-        else:
-            out[choice[room]] += 1
-            room -= sizes[choice[room]]
-    return float(best[capacity]), out
+    for k, before, now in zip(order[::-1], tables[-2::-1], tables[:0:-1], strict=True):
+        copies = np.arange(room // sizes[k] + 1)
+        out[k] = np.argmax(before[room - copies * sizes[k]] + copies * values[k] >= now[room] - 1e-9)
+        room -= int(out[k]) * sizes[k]
+    return float(tables[-1][capacity]), out
 
 
-def configurations(groups: list[tuple[int, int]], capacity: int, rounds: int = 200) -> list[tuple[np.ndarray, int]]:
+def configurations(groups: list[tuple[int, int]], capacity: int, rounds: int = 2000) -> list[tuple[np.ndarray, int]]:
     """Configurations of rounded lengths and how often each is used, by column generation.
 
     The linear programme over configurations starts with one length each; a knapsack prices new
@@ -273,6 +303,11 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY, large: float = LARGE, gro
     return rows
 
 
+def bins_of(rows: list) -> int:
+    """How many bins a plan fills."""
+    return max((first - (begin - end) // each for _, begin, end, first, each, _ in rows), default=0)
+
+
 def ranked(rows: DataFrame, order: list[str]) -> DataFrame:
     """Numbers rows of equal length from 0. Rows are dealt to blocks by a hash, counted per block
     and numbered inside it, so a length that a third of all rows have is spread over all blocks."""
@@ -292,16 +327,39 @@ def pack(rows: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataFra
 
     The driver gets one count per length, at most ``capacity`` numbers, and sends back a plan of
     runs whose size depends on the lengths alone. Rows may repeat; they are packed one by one.
+    Sequences are numbered so that those alike in the plan are far apart.
     """
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in rows.groupBy("length").count().collect():
         counts[length] = n
-    made = plan(counts, capacity)
-    spark = rows.sparkSession
-    table = spark.createDataFrame(made, "length bigint, _from bigint, _to bigint, _bin bigint, _each bigint, _offset bigint")
-    at = F.col("rank") - F.col("_from")
-    placed = ranked(rows, order).join(F.broadcast(table), "length").filter("rank >= _from AND rank < _to")
-    return placed.withColumn("sequence_id", F.col("_bin") + F.floor(at / F.col("_each"))).withColumn("offset", F.col("_offset") + F.pmod(at, F.col("_each")) * F.col("length")).drop("_from", "_to", "_bin", "_each", "_offset", "rank")
+    made = np.array(sorted(min((plan(counts, capacity, groups=g) for g in TRIED), key=bins_of)), np.int64).reshape(-1, 6)
+    # places of the plan in order of (length, first rank); the place of a piece is the last one that begins at or before it
+    begin = made[:, 0] << 40 | made[:, 1]
+    bins = bins_of(made.tolist())
+    step = _stride(bins)
+    kept = [c for c in rows.columns if c not in ("sequence_id", "offset")]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in kept)
+
+    def place(batches):
+        for b in batches:
+            length, rank = b.column("length").to_numpy(), b.column("rank").to_numpy()
+            _, first, _, bin_, each, offset = made[np.searchsorted(begin, length << 40 | rank, "right") - 1].T
+            at = rank - first
+            number = bin_ + at // each
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(number * step % bins if bins < 1 << 31 else number), pa.array(offset + at % each * length)], names=[*kept, "sequence_id", "offset"])
+
+    return small_batches(ranked(rows, order).select(*kept, F.col("rank").cast("bigint").alias("rank"))).mapInArrow(place, f"{kinds}, sequence_id bigint, offset bigint")
+
+
+def _stride(n: int) -> int:
+    """A number without common divisors with n, near the golden section of it: multiples of it modulo n are a permutation far from order.
+
+    The plan fills bins from the longest pieces down; numbered this way, bins that follow each other hold unlike pieces.
+    """
+    step = max(1, int(n * 0.6180339887))
+    while math.gcd(step, max(n, 1)) > 1:
+        step += 1
+    return step
 
 
 def default_tokenizer() -> str:

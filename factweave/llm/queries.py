@@ -22,6 +22,7 @@ QUERIES = {
 SQL = {
     "op2_exact_dedup": exact_dedup.SQL,
     "op6_source_mix": mixing.SQL,
+    "op11_spelling": spelling.SQL,
     "op12_decontam": decontam.SQL,
     "op13_hard_negatives": negatives.SQL,
 }

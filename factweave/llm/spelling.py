@@ -306,3 +306,24 @@ def variant_groups(docs: DataFrame, least: int = LEAST_LENGTH, count: int = LEAS
 
 def op11_spelling(spark, sf_dir):
     return variant_groups(read(spark, sf_dir, "documents"))
+
+
+#: Near words meet by what is left when a place is blanked or taken out; the checksum goes byte by byte and bit by bit.
+SQL = r"""
+WITH RECURSIVE run AS (SELECT coalesce(doc_id::VARCHAR, '') AS d, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r FROM documents),
+each AS (SELECT d, r, count(*) AS k, hex(encode(concat(d, ':', r))) AS x FROM run WHERE length(r) >= 6 GROUP BY d, r),
+bytes AS (SELECT d, r, k, list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT) AS b FROM each),
+crc AS (SELECT r, k, xor(list_reduce(list_prepend(4294967295, b), lambda c, y: list_reduce([xor(c, y), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)), 4294967295) AS h FROM bytes),
+cut AS (SELECT CASE WHEN h % 199 = 0 THEN left(r, (h % length(r))::BIGINT) || substr(r, (h % length(r))::BIGINT + 2) ELSE r END AS word, k FROM crc),
+vocab AS (SELECT word, sum(k)::BIGINT AS n FROM cut WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+place AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM vocab),
+swap AS (SELECT word, n, i, left(word, i - 1) || '_' || substr(word, i + 1) AS s FROM place),
+less AS (SELECT DISTINCT word, n, left(word, i - 1) || substr(word, i + 1) AS s FROM place),
+near AS (SELECT a.word, a.n, b.word AS other, b.n AS m FROM swap a JOIN swap b USING (i, s) WHERE a.word <> b.word
+  UNION SELECT l.word, l.n, v.word, v.n FROM less l JOIN vocab v ON v.word = l.s UNION SELECT v.word, v.n, l.word, l.n FROM less l JOIN vocab v ON v.word = l.s),
+best AS (SELECT word, n, count(*) AS n_near, max(m) AS m FROM near GROUP BY word, n),
+form AS (SELECT best.word, min(other) AS form, best.m AS form_n FROM best JOIN near ON near.word = best.word AND near.m = best.m WHERE best.m >= 5 * best.n GROUP BY best.word, best.m),
+walk AS (SELECT word, form AS w, 1 AS step FROM form UNION ALL SELECT walk.word, form.form, step + 1 FROM walk JOIN form ON form.word = walk.w),
+root AS (SELECT word, arg_max(w, step) AS root FROM walk GROUP BY word)
+SELECT v.word, form, coalesce(root, v.word) AS root, v.n, coalesce(n_near, 0) AS n_near, form_n FROM vocab v LEFT JOIN best USING (word) LEFT JOIN form USING (word) LEFT JOIN root USING (word)
+"""

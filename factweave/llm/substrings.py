@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import flag_keys, matching, read, scratch, scratch_scope, small_batches, spans, utf8
+from .common import HOT_KEYS, flag_keys, matching, read, scratch, scratch_scope, small_batches, spans, spread_join, utf8
 
 WINDOW = 50
 #: Words of a minimiser.
@@ -18,6 +18,8 @@ MINIMISER = 8
 RUN = 64
 #: Bytes of packed strings per bucket, and of text that a task packs at a time.
 BUCKET_BYTES, FLUSH_BYTES = 6 << 20, 8 << 20
+#: A bucket of more bytes than this is hot: its equal strings are merged by an aggregation before they meet in a task.
+HOT_BYTES = 8 * BUCKET_BYTES
 
 
 def _sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
@@ -94,9 +96,8 @@ def _blobs(docs: DataFrame, buckets: int, window: int, minimiser: int) -> DataFr
         for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             own = keep[x:y]
             strings = [held[p][6][i:j] for p, i, j in zip(part[own].tolist(), a[own].tolist(), b[own].tolist(), strict=True)]
-            out.append((int(bucket[own[0]]), ids[own].tobytes(), shared[x:y].tobytes(), h0[own].tobytes(), h1[own].tobytes(), (b - a)[own].astype(np.int32).tobytes(), pack.compress(b"".join(strings))))
-        kinds = [pa.int64(), *[pa.binary()] * 6]
-        return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], names=["bucket", "ids", "shared", "h0", "h1", "sizes", "strings"])
+            out.append((int(bucket[own[0]]), ids[own].tobytes(), shared[x:y].tobytes(), h0[own].tobytes(), h1[own].tobytes(), (b - a)[own].astype(np.int32).tobytes(), pack.compress(b"".join(strings)), int((b - a)[own].sum())))
+        return _packed_rows(out)
 
     def run(batches):
         held, size = [], 0
@@ -114,7 +115,54 @@ def _blobs(docs: DataFrame, buckets: int, window: int, minimiser: int) -> DataFr
         if held:
             yield flush(held)
 
-    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, "bucket bigint, ids binary, shared binary, h0 binary, h1 binary, sizes binary, strings binary")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, PACKED)
+
+
+#: Strings of a bucket, packed: identifiers, marks, hashes, sizes and the strings themselves, and how many bytes these are.
+PACKED = "bucket bigint, ids binary, shared binary, h0 binary, h1 binary, sizes binary, strings binary, size bigint"
+
+
+def _packed_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), *[pa.binary()] * 6, pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=[f.split()[0] for f in PACKED.split(", ")])
+
+
+def _unpack(row: dict):
+    """Identifier, mark, hashes and string of each string of a packed row."""
+    text = zstandard.ZstdDecompressor().decompress(row["strings"])
+    ends = np.cumsum(np.frombuffer(row["sizes"], np.int32).astype(np.int64)).tolist()
+    ids, shared, h0, h1 = (np.frombuffer(row[c], t).tolist() for c, t in (("ids", np.int64), ("shared", bool), ("h0", np.int64), ("h1", np.int64)))
+    return zip(ids, shared, h0, h1, (text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)), strict=True)
+
+
+def _merged(blobs: DataFrame) -> DataFrame:
+    """The same strings, each once in its bucket: copies that any number of tasks have sent are merged by an aggregation.
+
+    It is partial before the shuffle and streams after it, so no task holds the copies of a string.
+    """
+
+    def apart(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, shared, h0, h1, strings = zip(*_unpack(row), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([row["bucket"]] * len(ids), pa.int64()), pa.array(ids, pa.int64()), pa.array(shared), pa.array(h0, pa.int64()), pa.array(h1, pa.int64()), pa.array(strings, pa.binary())], names=["bucket", "id", "shared", "h0", "h1", "string"])
+
+    def together(batches):
+        for batch in batches:
+            table = pa.Table.from_batches([batch]).sort_by("bucket").combine_chunks()
+            bucket = table["bucket"].to_numpy()
+            edges = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket)).tolist()
+            pack, out = zstandard.ZstdCompressor(level=3), []
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                own = table.slice(a, b - a)
+                strings = own["string"].to_pylist()
+                sizes = np.array([len(x) for x in strings], np.int32)
+                out.append((int(bucket[a]), *(own[c].to_numpy().astype(t).tobytes() for c, t in (("id", np.int64), ("shared", bool), ("h0", np.int64), ("h1", np.int64))), sizes.tobytes(), pack.compress(b"".join(strings)), int(sizes.sum())))
+            yield _packed_rows(out)
+
+    rows = small_batches(blobs).mapInArrow(apart, "bucket bigint, id bigint, shared boolean, h0 bigint, h1 bigint, string binary")
+    one = rows.groupBy("bucket", "h0", "h1", "string").agg(F.min("id").alias("id"), (F.bool_or("shared") | (F.min("id") != F.max("id"))).alias("shared"))
+    return small_batches(one.select("bucket", "id", "shared", "h0", "h1", "string")).mapInArrow(together, PACKED)
 
 
 def count_bucket(table: pa.Table, window: int) -> pa.Table:
@@ -126,12 +174,7 @@ def count_bucket(table: pa.Table, window: int) -> pa.Table:
     known: dict[bytes, int] = {}
     ids, shared, h0, h1 = [], [], [], []
     for row in table.to_pylist():
-        text = zstandard.ZstdDecompressor().decompress(row["strings"])
-        ends = np.cumsum(np.frombuffer(row["sizes"], np.int32).astype(np.int64)).tolist()
-        at = 0
-        for i, m, x, y, e in zip(np.frombuffer(row["ids"], np.int64).tolist(), np.frombuffer(row["shared"], bool).tolist(), np.frombuffer(row["h0"], np.int64).tolist(), np.frombuffer(row["h1"], np.int64).tolist(), ends, strict=True):
-            s = text[at:e]
-            at = e
+        for i, m, x, y, s in _unpack(row):
             k = known.setdefault(s, len(ids))
             if k == len(ids):
                 ids.append(i)
@@ -182,14 +225,21 @@ def repeat_spans(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMIS
 
     Two rounds. First each task packs its distinct super-k-mers, one string for all documents that
     share it, and sends them to the bucket of their minimiser, where windows are sorted and the
-    smallest doc_id of each is found. Then the documents' super-k-mers, as hashes, are joined with
-    the strings found to repeat; that join may be split where a string is in very many documents.
+    smallest doc_id of each is found; copies of a string in the largest buckets are merged before.
+    Then the documents' super-k-mers, as hashes, are joined with the strings found to repeat; those
+    in very many documents are not shuffled.
     """
     rows = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(48, int(size * 3.3) // BUCKET_BYTES)
+    blobs = scratch(_blobs(rows, buckets, window, minimiser))
+    sizes = blobs.groupBy("bucket").agg(F.sum("size").alias("_bytes"))
+    hot = [r["bucket"] for r in sizes.filter(F.col("_bytes") > HOT_BYTES).orderBy(F.desc("_bytes")).limit(HOT_KEYS).collect()]
+    if hot:
+        is_hot = F.col("bucket").isin(hot)
+        blobs = blobs.filter(~is_hot).unionByName(_merged(blobs.filter(is_hot)))
     # a task holds one bucket after the other; eight buckets to a task keep what it reads bounded at any size
-    found = scratch(_blobs(rows, buckets, window, minimiser).repartition(max(48, buckets // 8), "bucket").groupBy("bucket").applyInArrow(lambda t: count_bucket(t, window), "h0 bigint, h1 bigint, w_from bigint, w_to bigint, least bigint"))
+    found = scratch(blobs.repartition(max(48, buckets // 8), "bucket").groupBy("bucket").applyInArrow(lambda t: count_bucket(t, window), "h0 bigint, h1 bigint, w_from bigint, w_to bigint, least bigint"))
 
     def run(batches):
         for batch in batches:
@@ -200,7 +250,11 @@ def repeat_spans(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMIS
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("_text").take(at), pa.array(r.first), pa.array(r.h0.view(np.int64)), pa.array(r.h1.view(np.int64))], names=["doc_id", "_text", "first", "h0", "h1"])
 
     own = small_batches(rows.withColumn("_text", F.xxhash64("text"))).mapInArrow(run, "doc_id bigint, _text bigint, first bigint, h0 bigint, h1 bigint")
-    met = matching(own, found, ["h0", "h1"]).join(found, ["h0", "h1"]).filter("least < doc_id")
+    near = scratch(matching(own, found, ["h0", "h1"]))
+    # of each string, the runs of its windows and how many documents' strings they are for
+    runs = found.groupBy("h0", "h1").agg(F.collect_list(F.struct("w_from", "w_to", "least")).alias("_runs"))
+    counted = scratch(runs.join(near.groupBy("h0", "h1").agg(F.count("*").alias("n")), ["h0", "h1"]))
+    met = spread_join(near, counted, ["h0", "h1"]).select("doc_id", "_text", "first", F.inline("_runs")).filter("least < doc_id")
     span = F.struct((F.col("first") + F.col("w_from")).alias("a"), (F.col("first") + F.col("w_to") + window - 1).alias("b"))
     return met.groupBy("doc_id", "_text").agg(F.collect_set(span).alias("spans"))
 

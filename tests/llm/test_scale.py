@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from factweave.llm import language, links, media
+from factweave.llm import common, language, links, media
 
 
 def template_sets(n, seed=3, shared=38, own=22):
@@ -144,3 +144,17 @@ def test_an_image_may_be_as_large_as_its_bytes(monkeypatch, spark):
     broken = dict(zip(media.ADDED, media.describe(b"P5\n100000 100000\n255\nabc"), strict=True))
     assert broken["error"] == "empty or too large" and broken["samples"] is None
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_scopes_delete_what_is_made_in_them(spark):
+    from factweave.sources import tables
+
+    made = []
+    with common.scratch_scope(spark):
+        with common.scratch_scope(spark):
+            made += [common.scratch(spark.range(3)), common.scratch(spark.range(4), keep=True)]
+        assert [tables.exists(spark, t.scratch_path) for t in made] == [False, True]
+        made += [common.scratch(spark.range(5)), common.scratch(spark.range(6), keep=True)]
+    assert [tables.exists(spark, t.scratch_path) for t in made] == [False, False, False, True] and made[3].count() == 6
+    common.discard(made[3])
+    assert not tables.exists(spark, made[3].scratch_path)
