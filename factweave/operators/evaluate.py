@@ -131,18 +131,21 @@ def downstream(details: DataFrame, weights: dict[str, float] | None = None, gate
     return out.withColumn("score", F.when(F.col("gate_passed"), score))
 
 
-def format_stats(lines: DataFrame) -> DataFrame:
-    """Counters of raw output lines per document; END lines and three-part 'not stated' lines are left out of the rate."""
+def format_stats(lines: DataFrame, extracted: bool = False) -> DataFrame:
+    """Counters of raw output lines per document; END lines and three-part 'not stated' lines are left out of the rate.
+
+    Outputs that are no lines are judged by their ``extracted`` lines, all of which count, and of which none is a repaired one.
+    """
     s = strip(F.col("line"))
     p = parts(s)
     rows = lines.filter(s != "").select("hadm_id", s.alias("_s"), p.alias("_p"))
     end = F.lower("_s") == "end"
     unsaid = (F.size("_p") == 3) & (F.lower(F.get("_p", F.lit(1))) == "not stated")
     full = lambda a: F.forall(a, lambda x: x != "")
-    rows = rows.withColumns({"_end": end, "_unsaid": unsaid & ~end})
+    rows = rows.withColumns({"_end": end & ~F.lit(extracted), "_unsaid": unsaid & ~end & ~F.lit(extracted)})
     rows = rows.withColumn("_cand", ~F.col("_end") & ~F.col("_unsaid"))
     rows = rows.withColumn("_valid", F.col("_cand") & (F.size("_p") == 4) & full("_p"))
-    rows = rows.withColumn("_rec", F.col("_cand") & (F.size("_p") == 5) & F.upper(F.get("_p", F.lit(0))).isin("CLUSTER", "CLUSTERS") & full(F.slice("_p", 2, 4)))
+    rows = rows.withColumn("_rec", ~F.lit(extracted) & F.col("_cand") & (F.size("_p") == 5) & F.upper(F.get("_p", F.lit(0))).isin("CLUSTER", "CLUSTERS") & full(F.slice("_p", 2, 4)))
     out = rows.groupBy("hadm_id").agg(
         F.count_if("_cand").alias("raw_total_lines"), F.count_if("_valid").alias("raw_valid_kvt4_lines"), F.count_if(F.col("_cand") & ~F.col("_valid")).alias("raw_invalid_lines"),
         (F.count_if("_valid") - F.count_distinct(F.when(F.col("_valid"), F.col("_s")))).alias("raw_duplicates_exact"), F.count_if("_rec").alias("raw_recovered_cluster_prefix_lines"),

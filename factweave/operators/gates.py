@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -107,6 +107,37 @@ def ab_diff(a: DataFrame, b: DataFrame, key: list[str], text: str) -> DataFrame:
     return one.join(two, key, "full_outer").withColumn("kind", kind).filter("kind IS NOT NULL").select(*key, "kind")
 
 
+#: What two outputs must share to mean the same, and what the records of two runs are compared by.
+SAME_PARTS = ["normalized", "normalization_stats", "format_stats", "prompt_template_id", "prompt_prefix_sha256", "generation_params"]
+RUN_KEYS = ["prompt_template_id", "prompt_prefix_sha256", "prompt_prefix_chars", "model", "url", "scope", "output_mode"]
+
+
+def same_json(a: Column, b: Column, strict: bool = False) -> Column:
+    """Whether two JSON texts are equal: byte by byte if ``strict``, else in their ``SAME_PARTS`` alone, whatever the order of keys."""
+    if strict:
+        return F.sha2(a, 256) == F.sha2(b, 256)
+    part = lambda c: F.struct(*[F.to_json(F.try_variant_get(F.try_parse_json(c), f"$.{k}", "variant")).alias(k) for k in SAME_PARTS])
+    return part(a) == part(b)
+
+
+def ab_record(a: DataFrame, b: DataFrame, docs: DataFrame, meta_a: DataFrame, meta_b: DataFrame, json_kinds: list[str], strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Differences (hadm_id, kind, sha_a, sha_b, note) of the artifacts of two runs, and one row about the comparison.
+
+    Artifacts have (hadm_id, kind, text). Of kinds in ``json_kinds`` the meaning counts (see ``same_json``),
+    of others the text. An artifact that one run lacks is missing. The row has the number of documents
+    and of differences, and for each of ``RUN_KEYS`` both values of the runs' records (one row of text columns each).
+    """
+    wanted = lambda x, s: x.join(docs.select("hadm_id"), "hadm_id", "left_semi").select("hadm_id", "kind", F.col("text").alias(f"text_{s}"), F.sha2("text", 256).alias(f"sha_{s}"))
+    both = wanted(a, "a").join(wanted(b, "b"), ["hadm_id", "kind"], "full_outer")
+    is_json = F.col("kind").isin(json_kinds)
+    same = F.when(is_json, same_json(F.col("text_a"), F.col("text_b"), strict)).otherwise(F.col("sha_a") == F.col("sha_b"))
+    note = F.when(F.col("sha_a").isNull() | F.col("sha_b").isNull(), "missing_file").when(~same, F.when(is_json, "json_bytes_diff" if strict else "json_semantic_diff").otherwise("content_diff"))
+    diffs = both.withColumn("note", note).filter("note IS NOT NULL").select("hadm_id", "kind", F.coalesce("sha_a", F.lit("")).alias("sha_a"), F.coalesce("sha_b", F.lit("")).alias("sha_b"), "note")
+    meta = meta_a.select(*[F.col(k).alias(f"{k}_a") for k in RUN_KEYS]).crossJoin(F.broadcast(meta_b.select(*[F.col(k).alias(f"{k}_b") for k in RUN_KEYS])))  # one row each
+    one = docs.agg(F.count_distinct("hadm_id").alias("n_hadm")).crossJoin(F.broadcast(diffs.agg(F.count("*").alias("n_diffs")))).crossJoin(F.broadcast(meta))
+    return diffs, one
+
+
 def progress(artifacts: DataFrame, total: Column, done: Column, ts: Column) -> DataFrame:
     """Counts of done work, rate per minute since the first, and the minutes left at that rate."""
     out = artifacts.agg(F.count("*").alias("n_total"), F.count_if(done).alias("n_done"), F.round((F.max(F.when(done, F.unix_timestamp(ts))) - F.min(F.unix_timestamp(ts))) / 60.0, 4).alias("minutes"))
@@ -119,11 +150,3 @@ def impact(base: DataFrame, reductions: tuple[float, ...] = (0.02, 0.05, 0.08))
     r = F.explode(F.array(*[F.lit(x) for x in reductions]))
     rows = base.withColumn("reduction", r).withColumn("readmissions", F.col("discharges") * F.col("rate"))
     return rows.withColumn("avoided", F.col("readmissions") * F.col("reduction")).withColumn("saved", F.col("avoided") * F.col("cost"))
-
-
-def markdown_table(df: DataFrame, cols: list[str], order: list[str]) -> DataFrame:
-    """(n, line): the rows of a Markdown table, header and rule first; n orders them."""
-    spark = df.sparkSession
-    head = spark.createDataFrame([(0, "| " + " | ".join(cols) + " |"), (1, "|" + "---|" * len(cols))], "n long, line string")
-    body = df.select((F.row_number().over(Window.orderBy(*order)) + 1).cast("long").alias("n"), F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]), F.lit(" |")).alias("line"))
-    return head.unionByName(body)

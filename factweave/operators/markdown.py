@@ -98,12 +98,14 @@ def objective_supplement(md: DataFrame, policy: str = "admission") -> DataFrame:
 
 def hybrid(base: DataFrame, md: DataFrame, policy: str = "admission") -> DataFrame:
     """Facts, medications and problems of the summary that are not among them as lines, and vitals and labs whose key is missing."""
-    cols = ["hadm_id", "cluster", "keyword", "value", "ts"]
-    base = base.select(*cols).distinct().withColumn("origin", F.lit("base"))
-    added = medication_supplement(md).unionByName(problem_supplement(md)).select(*cols).distinct()
-    both = base.unionByName(added.join(base.select(*cols), cols, "left_anti").withColumn("origin", F.lit("supplement")))
-    measured = objective_supplement(md, policy).select(*cols)
-    return both.unionByName(measured.join(both.select("hadm_id", "cluster", "keyword").distinct(), ["hadm_id", "cluster", "keyword"], "left_anti").withColumn("origin", F.lit("objective")))
+    cols, names = ["hadm_id", "cluster", "keyword", "value", "ts"], ["base", "supplement", "objective"]
+    from_ = lambda rows, k: rows.select(*cols, F.lit(k).alias("_o"))
+    rows = from_(base, 0).unionByName(from_(medication_supplement(md), 1)).unionByName(from_(problem_supplement(md), 1)).unionByName(from_(objective_supplement(md, policy), 2))
+    # equal facts are one, of the first origin that has it; one partitioning by document serves both steps
+    one = rows.repartition("hadm_id").groupBy(*cols).agg(F.min("_o").alias("_o"))
+    first = F.min("_o").over(Window.partitionBy("hadm_id", "cluster", "keyword"))
+    kept = one.withColumn("_first", first).filter("_o < 2 OR _first = 2")
+    return kept.select(*cols, F.get(F.array(*[F.lit(n) for n in names]), F.col("_o")).alias("origin"))
 
 
 def clean_item(c: Column) -> Column:

@@ -171,30 +171,39 @@ def normalize(lines: DataFrame, cfg: C.EngineConfig = C.EngineConfig()) -> DataF
 
 
 def normalize_stats(lines: DataFrame, cfg: C.EngineConfig = C.EngineConfig()) -> DataFrame:
-    """The counters of a normalization, one row per document."""
-    found = candidates(lines, cfg)
-    count = lambda s: F.count_if(F.col("status") == s)
-    stats = found.groupBy("hadm_id").agg(
-        F.count("*").alias("input_lines"),
-        F.count_if(F.col("status") != "unparsed").alias("parsed_kvt4"),
+    """The counters of a normalization, one row per document.
+
+    Lines are parsed once and meet by document in one exchange, which serves the windows over keys and
+    the aggregation alike. A fact is lost on arrival if an earlier one of its key has at least as good
+    a timestamp; of each key the best timestamp, then the first fact stays.
+    """
+    rows = candidates(lines, cfg).repartition("hadm_id").select("hadm_id", "pos", "status", F.inline_outer("facts"))
+    key = Window.partitionBy("hadm_id", "cluster", "keyword")
+    fact = F.col("cluster").isNotNull()
+    rows = rows.withColumn("_r", priority(F.col("ts"), cfg.timestamp_priority))
+    rows = rows.withColumn("_before", F.min(F.when(fact, F.col("_r"))).over(key.orderBy("pos", "sub_pos").rowsBetween(Window.unboundedPreceding, -1)))
+    place = F.struct("_r", "pos", "sub_pos")
+    rows = rows.withColumn("_kept", fact & (place == F.min(F.when(fact, place)).over(key)))
+    line, kept, c = F.coalesce(F.col("sub_pos") == 0, F.lit(True)), F.col("_kept"), F.col("cluster")
+    strict, ok = kept & c.isin(list(C.STRICT_KEYWORDS)), F.lit(False)
+    for cluster, keywords in C.STRICT_KEYWORDS.items():
+        ok = ok | ((c == cluster) & F.col("keyword").isin(keywords))
+    measured = kept & c.isin("VITALS", "LABS")
+    count = lambda x: F.count_if(line & (F.col("status") == x))
+    rate = lambda n, d: F.coalesce(F.try_divide(F.count_if(d & n), F.count_if(d)), F.lit(1.0))
+    return rows.groupBy("hadm_id").agg(
+        F.count_if(line).alias("input_lines"),
+        F.count_if(line & (F.col("status") != "unparsed")).alias("parsed_kvt4"),
         count("placeholder").alias("dropped_placeholders"),
         count("noncanonical").alias("dropped_noncanonical"),
         count("disallowed").alias("dropped_by_allowed_clusters"),
         count("expanded").alias("expanded_bp"),
+        F.count_if(fact & (F.col("_r") >= F.col("_before"))).alias("dedup_dropped"),
+        F.count_if(kept).alias("output_lines"),
+        rate(ok, strict).alias("canonical_keyword_rate_strict"),
+        rate(F.col("value").rlike(r"^-?[0-9]+(\.[0-9]+)?$"), measured).alias("numeric_only_rate_vitals_labs"),
+        F.lit(0).cast("bigint").alias("duplicates_after_dedup"),
     )
-    facts = explode_facts(found)
-    lost = losers(facts, cfg).groupBy("hadm_id").agg(F.count("*").alias("dedup_dropped"))
-    kept = dedupe(facts, cfg)
-    c = F.col("cluster")
-    strict = c.isin(list(C.STRICT_KEYWORDS))
-    ok = F.lit(False)
-    for cluster, keywords in C.STRICT_KEYWORDS.items():
-        ok = ok | ((c == cluster) & F.col("keyword").isin(keywords))
-    measured = c.isin("VITALS", "LABS")
-    rate = lambda n, d: F.coalesce(F.try_divide(F.count_if(n), F.count_if(d)), F.lit(1.0))
-    after = kept.groupBy("hadm_id").agg(F.count("*").alias("output_lines"), rate(strict & ok, strict).alias("canonical_keyword_rate_strict"), rate(measured & F.col("value").rlike(r"^-?[0-9]+(\.[0-9]+)?$"), measured).alias("numeric_only_rate_vitals_labs"))
-    joined = stats.join(lost, "hadm_id", "left").join(after, "hadm_id", "left")
-    return joined.na.fill(0, ["dedup_dropped", "output_lines"]).na.fill(1.0, ["canonical_keyword_rate_strict", "numeric_only_rate_vitals_labs"]).withColumn("duplicates_after_dedup", F.lit(0).cast("bigint"))
 
 
 def render(facts: DataFrame) -> DataFrame:

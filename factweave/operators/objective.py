@@ -22,11 +22,13 @@ LAB_NAMES = {
 }
 # Labelled vitals.
 VITAL_PATTERNS = {
-    "temperature": r"(?i)\bT(?:emp(?:erature)?)?\s*[:=]?\s*([0-9]+(?:\.[0-9]+)?)\b", "heart_rate": r"(?i)\b(?:HR|P|Pulse|Heart Rate)\s*[:=]?\s*([0-9]+(?:\.[0-9]+)?)\b",
-    "respiratory_rate": r"(?i)\b(?:RR|Resp(?:iratory)?\s*Rate|R)\s*[:=]?\s*([0-9]+(?:\.[0-9]+)?)\b", "spo2": r"(?i)\b(?:SaO2|SpO2|O2\s*sat)\s*[:=]?\s*([0-9]+(?:\.[0-9]+)?)\b", "weight": r"(?i)\b([0-9]+(?:\.[0-9]+)?)\s*kg\b",
+    "temperature": r"(?i)\bT(?:emp(?:erature)?)?\s*[:=]?\s*(\d+(?:\.\d+)?)\b", "heart_rate": r"(?i)\b(?:HR|P|Pulse|Heart Rate)\s*[:=]?\s*(\d+(?:\.\d+)?)\b",
+    "respiratory_rate": r"(?i)\b(?:RR|Resp(?:iratory)?\s*Rate|R)\s*[:=]?\s*(\d+(?:\.\d+)?)\b", "spo2": r"(?i)\b(?:SaO2|SpO2|O2\s*sat)\s*[:=]?\s*(\d+(?:\.\d+)?)\b", "weight": r"(?i)\b(\d+(?:\.\d+)?)\s*kg\b",
 }
-PAIR, LABELLED_PAIR = r"\b([0-9]{2,3})/([0-9]{2,3})\b", r"(?i)\bBP\s*[:=]?\s*([0-9]{2,3})/([0-9]{2,3})\b"
-INLINE = r"(?i)\bvitals:\s*([0-9]+(?:\.[0-9]+)?)\s+([0-9]+(?:\.[0-9]+)?)\s+([0-9]+(?:\.[0-9]+)?)/([0-9]+(?:\.[0-9]+)?)\s+([0-9]+(?:\.[0-9]+)?)\s+([0-9]+(?:\.[0-9]+)?)"
+# Pressure pairs, vitals in one line, and what stands behind the name of a laboratory value.
+PAIR, LABELLED_PAIR = r"\b(\d{2,3})/(\d{2,3})\b", r"(?i)\bBP\s*[:=]?\s*(\d{2,3})/(\d{2,3})\b"
+INLINE = r"(?i)\bvitals:\s*(\d+(?:\.\d+)?)\s+(\d+(?:\.\d+)?)\s+(\d+(?:\.\d+)?)/(\d+(?:\.\d+)?)\s+(\d+(?:\.\d+)?)\s+(\d+(?:\.\d+)?)"
+LAB_VALUE = r"(\d+(?:\.\d+)?)(?:[*#])?\b"
 #: Lines of each kind at most, and lines after a heading that may go on with vitals.
 MOST_VITALS, MOST_LABS, FOLLOWING = 3, 6, 5
 VITALS = ["temperature", "heart_rate", "systolic_bp", "diastolic_bp", "respiratory_rate", "spo2", "weight"]
@@ -91,8 +93,7 @@ def vital_values(lines: Column) -> Column:
 def lab_values(lines: Column) -> Column:
     """A struct of laboratory values read off evidence lines; lines about urine do not count."""
     text = F.array_join(F.filter(lines, lambda x: ~F.upper(x).contains("URINE")), " ")
-    value = r"([0-9]+(?:\.[0-9]+)?)(?:[*#])?\b"
-    return F.struct(*[F.coalesce(*[_group(text, rf"(?i)\b{n}-{value}") for n in dash], *[_group(text, rf"(?i)\b{n}\s*[:=]\s*{value}") for n in colon]).alias(k) for k, (dash, colon) in LAB_NAMES.items()])
+    return F.struct(*[F.coalesce(*[_group(text, rf"(?i)\b{n}-{LAB_VALUE}") for n in dash], *[_group(text, rf"(?i)\b{n}\s*[:=]\s*{LAB_VALUE}") for n in colon]).alias(k) for k, (dash, colon) in LAB_NAMES.items()])
 
 
 def fill_map(stated: Column, found: Column, names: list[str]) -> Column:

@@ -88,9 +88,25 @@ def salvaged_facts(text: DataFrame) -> DataFrame:
     items = items.withColumn("_m", F.map_concat(F.map_filter("_m", lambda k, v: ~k.isin(_KEYS["cluster"])), F.create_map(F.lit("cluster"), F.col("_c"))))
     grouped = items.select("hadm_id", F.lit(4).alias("branch"), F.row_number().over(Window.partitionBy("hadm_id").orderBy("_b", "_k")).alias("n"), fact_line(F.col("_m")).alias("line"))
     quoted = text.select("hadm_id", F.lit(5).alias("branch"), F.posexplode(take("«([^»]+)»", 1, F.col("text"))).alias("n", "_q")).select("hadm_id", "branch", "n", recovered_line(F.col("_q")).alias("line"))
-    told = F.arrays_zip(*[take(r"(?im)\*\*Cluster:\*\*\s*(.+?)\s*$\s*^.*?\*\*Keyword:\*\*\s*(.+?)\s*$\s*^.*?\*\*Value:\*\*\s*(.+?)\s*$\s*^.*?\*\*Timestamp:\*\*\s*(.+?)\s*$", g, F.col("text")).alias(n) for g, n in enumerate("ckvt", 1)])
-    narrative = text.select("hadm_id", F.lit(6).alias("branch"), F.posexplode(told).alias("n", "_z")).select("hadm_id", "branch", "n", F.concat_ws("|", category_to_cluster(F.col("_z.c")), "_z.k", "_z.v", "_z.t").alias("line"))
-    return flat.unionByName(grouped).unionByName(quoted).unionByName(narrative).unionByName(inline_facts(text))
+    return flat.unionByName(grouped).unionByName(quoted).unionByName(narrative_facts(text)).unionByName(inline_facts(text))
+
+
+def narrative_facts(text: DataFrame) -> DataFrame:
+    """(hadm_id, branch, n, line) of facts told field by field, one a line, with or without stars.
+
+    A cluster holds for all keywords up to the next one; a keyword's value and timestamp are the last
+    ones before the next keyword or cluster. A fact without a timestamp has an unknown one.
+    """
+    field = r"(?i)^\*{0,2}(cluster|keyword|value|timestamp)\s*:?\s*\*{0,2}\s*(.+)$"
+    rows = text.select("hadm_id", F.posexplode(F.split("text", "\n")).alias("_b", "_s")).withColumn("_s", strip(F.col("_s"))).filter(F.col("_s").rlike(field))
+    rows = once(rows, ["hadm_id", "_b"], _f=F.lower(F.regexp_extract("_s", field, 1)), _v=strip(strip(strip(F.regexp_extract("_s", field, 2)), "*")))
+    upto = Window.partitionBy("hadm_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    of = lambda f: F.when(F.col("_f") == f, F.col("_v"))
+    rows = rows.withColumns({"_c": F.last(of("cluster"), ignorenulls=True).over(upto), "_g": F.count_if(F.col("_f").isin("cluster", "keyword")).over(upto)})
+    last = lambda f: F.max_by(of(f), F.when(F.col("_f") == f, F.col("_b"))).alias(f"_{f}")
+    told = rows.groupBy("hadm_id", "_g").agg(F.max("_c").alias("_c"), last("keyword"), last("value"), last("timestamp"))
+    told = told.filter("_c <> '' AND _keyword <> '' AND _value <> ''")
+    return told.select("hadm_id", F.lit(6).alias("branch"), F.col("_g").cast("int").alias("n"), F.concat_ws("|", category_to_cluster(F.col("_c")), "_keyword", "_value", F.coalesce(F.nullif("_timestamp", F.lit("")), F.lit("Unknown"))).alias("line"))
 
 
 def inline_facts(text: DataFrame) -> DataFrame:
@@ -162,6 +178,17 @@ def extract_facts(raw: DataFrame, allow_kvt3: bool = True, literals: bool = True
     return first.select("hadm_id", F.row_number().over(Window.partitionBy("hadm_id").orderBy("_at", "line")).cast("bigint").alias("pos"), "line")
 
 
+def json_mode_facts(raw: DataFrame) -> DataFrame:
+    """The lines of ``extract_facts``; a document without any gives the complete objects of its cut-off JSON, values without leading dollar signs."""
+    found = extract_facts(raw)
+    rest = clean_text(raw).join(found.select("hadm_id").distinct(), "hadm_id", "left_anti")
+    objects = rest.select("hadm_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"(\{[^{}]*\})"), F.lit(1))).alias("n", "_t"))
+    of = lambda k: strip(F.coalesce(F.get_json_object("_t", f"$.{k}"), F.get_json_object("_t", f"$.{k.upper()}")))
+    value = strip(F.ltrim(of("value"), F.lit("$")))
+    lines = objects.select("hadm_id", (F.col("n") + 1).cast("bigint").alias("pos"), F.when(of("cluster").isNotNull() & of("keyword").isNotNull() & of("timestamp").isNotNull(), F.concat_ws("|", of("cluster"), of("keyword"), value, of("timestamp"))).alias("line"))
+    return found.unionByName(lines.filter("line IS NOT NULL"))
+
+
 def first_json_object(c: Column) -> Column:
     """The JSON object that begins at a text's first brace, without what follows it; null if there is none.
 

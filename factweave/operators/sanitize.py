@@ -122,20 +122,21 @@ def sanitize(lines: DataFrame, scope: str = "all", cfg: C.EngineConfig = C.Engin
     objective = F.col("cluster").isin(C.OBJECTIVE_CLUSTERS)
     low = F.lower("ts")
     rank = F.when(low == "discharge", 0).when(low == "admission", 1).otherwise(2)
-    best = rows.filter(objective).withColumn("_n", F.row_number().over(Window.partitionBy(*KEY).orderBy(rank, "pos"))).filter("_n = 1").drop("_n")
+    canonical = F.when(F.col("cluster") == "DISPOSITION", "Discharge").when(F.col("cluster") == "UTILIZATION", "Past").otherwise("Admission")
+    one = lambda found, by, order: found.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter("_n = 1").drop("_n")
+    if scope == "all" and not cfg.expand_semantic:
+        # objective facts are one per key, the others one per key, value and timestamp: clusters tell them apart, so one window does for both
+        rows = rows.withColumns({"sub_pos": F.lit(0), "_o": objective, "_as": F.when(~objective, F.struct("value", "ts"))})
+        kept = one(rows, [*KEY, "_as"], [F.when(F.col("_o"), rank).otherwise(0), "pos"]).drop("_as")
+        return (kept.withColumn("ts", F.when(F.col("_o"), canonical).otherwise(F.col("ts"))) if cfg.canonical_objective_ts else kept).drop("_o")
+    best = one(rows.filter(objective), KEY, [rank, "pos"])
     if scope == "objective" or cfg.canonical_objective_ts:
-        best = best.withColumn("ts", F.when(F.col("cluster") == "DISPOSITION", "Discharge").when(F.col("cluster") == "UTILIZATION", "Past").otherwise("Admission"))
+        best = best.withColumn("ts", canonical)
     best = best.withColumn("sub_pos", F.lit(0))
     if scope == "objective":
         return best
-    rest = rows.filter(~objective)
-    if cfg.expand_semantic:
-        rest = expand_semantic(rest)
-    else:
-        rest = rest.withColumn("sub_pos", F.lit(0))
-    both = best.withColumn("_o", F.lit(0)).unionByName(rest.withColumn("_o", F.lit(1)))
-    first = Window.partitionBy(*KEY, "value", "ts").orderBy("_o", "pos", "sub_pos")
-    return both.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n", "_o")
+    both = best.withColumn("_o", F.lit(0)).unionByName(expand_semantic(rows.filter(~objective)).withColumn("_o", F.lit(1)))
+    return one(both, [*KEY, "value", "ts"], ["_o", "pos", "sub_pos"]).drop("_o")
 
 
 def binary_flags(facts: DataFrame) -> DataFrame:

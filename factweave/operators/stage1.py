@@ -231,3 +231,14 @@ def keyword_report(facts: DataFrame) -> DataFrame:
         inside = inside | ((c == cluster) & k.isin(keywords))
     strict = c.isin(list(C.STRICT_KEYWORDS))
     return facts.groupBy("hadm_id").agg(F.array_join(F.array_sort(F.collect_set(F.when(strict & ~inside, k))), ",").alias("outside"), F.coalesce(F.try_divide(F.count_if(strict & inside), F.count_if(strict)), F.lit(1.0)).alias("compliance"))
+
+
+#: The sections of a summary that have a canonical form.
+SECTIONS = ["demographics", "vitals", "labs", "medications", "procedures", "disposition"]
+
+
+def canonical_sections(summaries: DataFrame, note: str | None = None) -> DataFrame:
+    """Summaries (hadm_id and texts of ``SECTIONS``) with each section in its canonical form; ``note`` names the column of the note's text, if there is one."""
+    made = {"demographics": demographics, "vitals": vitals, "labs": labs, "medications": medications, "disposition": disposition}
+    text = None if note is None else F.col(note)
+    return summaries.select("hadm_id", *[(procedures(F.col(n), text) if n == "procedures" else made[n](F.col(n))).alias(n) for n in SECTIONS])

@@ -23,7 +23,6 @@ from ..operators import stage1 as G1
 from ..operators import synonyms as Y
 from ..sources import adapter as A
 from ..streaming import progress as P
-from . import golden
 from . import sqltext as Q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -563,9 +562,7 @@ _NS = "not stated"
   concat('Any Procedure=', CASE k % 5 WHEN 0 THEN 'no' WHEN 2 THEN 'no' WHEN 3 THEN 'yes' ELSE '{_NS}' END, chr(10), 'Surgery=', CASE k % 5 WHEN 0 THEN 'no' WHEN 2 THEN 'yes' WHEN 3 THEN 'no' ELSE '{_NS}' END, chr(10), 'Dialysis=', CASE k % 5 WHEN 0 THEN 'done' WHEN 2 THEN 'no' WHEN 3 THEN 'no' ELSE '{_NS}' END, chr(10), 'Mechanical Ventilation=', CASE k % 5 WHEN 0 THEN 'no' WHEN 2 THEN 'no' WHEN 3 THEN (k % 9)::VARCHAR ELSE '{_NS}' END) AS procedures,
   CASE k % 3 WHEN 0 THEN concat('Sex=female', chr(10), 'Age={_NS}') WHEN 1 THEN concat('Sex={_NS}', chr(10), 'Age=', k % 90) ELSE concat('Sex=male', chr(10), 'Age=', k % 90) END AS demographics FROM (SELECT c_custkey AS k FROM customer) c""")
 def stage1_sections(s, d):
-    x = A.from_sql(s, d, _SECTION_TEXTS)
-    made = {n: getattr(G1, n)(F.col(n)) for n in ("vitals", "labs", "medications", "disposition", "procedures", "demographics")}
-    return x.select("hadm_id", *[v.alias(n) for n, v in made.items()])
+    return G1.canonical_sections(A.from_sql(s, d, _SECTION_TEXTS))
 
 
 @query(f"""WITH {Q.sanitized(A.LINES, 'all')} SELECT hadm_id, coalesce(string_agg(DISTINCT keyword, ',' ORDER BY keyword) FILTER (NOT {Q.strict_ok('cluster', 'keyword')}), '') AS outside, CASE WHEN count(*) FILTER ({Q.within('cluster', list(C.STRICT_KEYWORDS))}) > 0 THEN count(*) FILTER ({Q.within('cluster', list(C.STRICT_KEYWORDS))} AND {Q.strict_ok('cluster', 'keyword')}) / count(*) FILTER ({Q.within('cluster', list(C.STRICT_KEYWORDS))})::DOUBLE ELSE 1.0 END AS compliance FROM clean GROUP BY hadm_id""")
@@ -629,15 +626,6 @@ def two_stage_union(s, d):
     return B.run_stages(x, lambda n: n.filter("pos % 3 = 0"), lambda n: n.filter("pos % 2 = 0")).select(*FACT)
 
 
-@query(f"WITH {Q.sanitized(A.LINES, 'all')} SELECT DISTINCT hadm_id, cluster, keyword, value, ts FROM clean")
-def reextract_sanitize(s, d):
-    """Raw outputs are searched for lines again, and these are sanitized."""
-    x = lines(s, d)
-    raw = x.groupBy("hadm_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda v: v["line"]), "\n").alias("raw"))
-    again = V.raw_lines(raw).select("hadm_id", F.col("pos").cast("bigint").alias("pos"), "line")
-    return S.sanitize(again, "all").select("hadm_id", "cluster", "keyword", "value", "ts").distinct()
-
-
 @query(f"WITH {Q.normalized(A.LINES)} SELECT hadm_id, count(*) AS n_facts, count(DISTINCT cluster) AS n_clusters, string_agg(DISTINCT cluster, ',' ORDER BY cluster) AS clusters, round(coalesce(count(*) FILTER (cluster IN ('VITALS', 'LABS') AND regexp_full_match(value, '-?[0-9]+(?:\\.[0-9]+)?')) / nullif(count(*) FILTER (cluster IN ('VITALS', 'LABS')), 0)::DOUBLE, 0), 6) AS numeric_rate FROM best GROUP BY hadm_id")
 def gate_summary(s, d):
     return G.gate_summary(N.normalize(lines(s, d)))
@@ -743,6 +731,4 @@ def risk_or_none(s, d):
     return R.or_none(x.filter("n_facts_parsed > 0"), x).select("hadm_id", "composite_score", "probability")
 
 
-golden.register(QUERIES, SQL)
-
-from . import runs  # noqa: E402, F401 - adds its queries to those above
+from . import files, runs, texts  # noqa: E402, F401 - they add their queries to those above

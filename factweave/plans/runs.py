@@ -189,7 +189,7 @@ _BROKEN = f"replace(replace({_ESCAPED}, chr(10), chr(92) || 'n'), chr(13), chr(9
 
 
 @query(f"SELECT doc_id, {_OBJECT(_BROKEN)} AS object FROM documents")
-def json_objects(s, d):
+def json_object(s, d):
     """Objects found inside raw output, with line breaks in strings or with more text behind them."""
     x = read(s, d, "documents")
     spark_sql = lambda sql: sql.replace(r"\x", r"\\x").replace(", 'g')", ")")

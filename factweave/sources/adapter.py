@@ -136,6 +136,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def from_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Runs one of the statements above over the tables of a folder."""
     named = {t: table(spark, sf_dir, t) for t in TABLES if re.search(rf"\b{t}\b", sql)}
+    sql = sql.replace("{", "{{").replace("}", "}}")  # braces of the statement stay as they are
     for t in named:
         sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
     made = spark.sql(sql, **named)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import strip
-from ..operators.recover import fact_line
+from ..functions.columns import once, strip
+from ..operators.recover import fact_line, first_json_object
+from . import tables
 
 
 def listing(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -51,13 +52,13 @@ def truth_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def truth(files: DataFrame) -> DataFrame:
-    """(hadm_id, pos, line) of reference facts: a list of lines or of objects, below one of five names or alone."""
+    """(hadm_id, pos, line) of reference facts: a list of lines or of objects, below one of five names or alone, or a text of lines."""
     j = F.col("json")
     names = ["$.facts", "$.toon_facts", "$.kvt_facts", "$.fact_lines", "$.lines"]
     body = F.coalesce(*[F.nullif(F.nullif(F.get_json_object(j, n), F.lit("[]")), F.lit("")) for n in names], j)
     objects = F.from_json(body, "array<map<string,string>>")
-    found = F.coalesce(F.when(F.size(objects) > 0, F.transform(objects, fact_line)), F.from_json(body, "array<string>"), F.split(F.get_json_object(j, "$.text"), "\n"))
-    return files.select(F.col("_id").cast("bigint").alias("hadm_id"), F.posexplode(found).alias("pos", "line")).filter(F.col("line").contains("|"))
+    found = F.coalesce(F.when(F.size(objects) > 0, F.transform(objects, fact_line)), F.from_json(body, "array<string>"), F.split(F.coalesce(F.nullif(F.get_json_object(j, "$.text"), F.lit("")), F.get_json_object(j, "$.raw")), "\r\n|[\n\r]"))
+    return files.select(F.col("_id").cast("bigint").alias("hadm_id"), F.posexplode(F.transform(found, lambda x: strip(x))).alias("pos", "line")).filter(F.col("line").contains("|"))
 
 
 def ids_from_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -68,6 +69,11 @@ def ids_from_csv(spark: SparkSession, path: str) -> DataFrame:
     return table.filter(strip(F.col("hadm_id")).rlike("^[0-9]+$")).select(strip(F.col("hadm_id")).cast("bigint").alias("hadm_id")).distinct()
 
 
+def in_first_order(rows: DataFrame, key: str, pos: str) -> DataFrame:
+    """Distinct keys with the first of their places, which orders them as they are first met."""
+    return rows.groupBy(key).agg(F.min(pos).alias(pos))
+
+
 def ids_from_json(spark: SparkSession, path: str) -> DataFrame:
     text = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<string>")).alias("hadm_id"))
     return text.filter(F.col("hadm_id").rlike("^[0-9]+$")).select(F.col("hadm_id").cast("bigint").alias("hadm_id")).distinct()
@@ -138,22 +144,60 @@ def evidence_claims(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*[F.coalesce(strip(F.col(n)), F.lit("")).alias(shown) for n, shown in names.items()])
 
 
+#: The tables of a run's artifacts and their columns.
+ARTIFACTS = {
+    "stage1_raw": "hadm_id bigint, raw string, variant string, asked int, did_hygiene boolean, did_retry boolean, did_placeholder boolean, used_baseline boolean",
+    "stage1_json": "hadm_id bigint, json string, json_ok boolean",
+    "stage1_md": "hadm_id bigint, md string",
+    "stage1_facts": "hadm_id bigint, pos bigint, line string",
+    "stage1_meta": "hadm_id bigint, json_ok boolean, missing_keys array<string>, md_chars int, had_placeholders boolean",
+    "stage2_raw": "hadm_id bigint, raw string, did_retry boolean",
+    "stage2_facts": "hadm_id bigint, pos bigint, line string",
+    "stage2_normalized": "hadm_id bigint, pos bigint, sub_pos int, cluster string, keyword string, value string, ts string",
+}
+
+
+def as_artifact(df: DataFrame, kind: str) -> DataFrame:
+    """The columns of a kind of artifact in their types; a column that is missing is an error."""
+    return df.select(*[F.col(n).cast(t).alias(n) for n, t in (c.split(" ", 1) for c in ARTIFACTS[kind].split(", "))])
+
+
+def stage1_artifacts(answers: DataFrame, markdown: DataFrame, facts: DataFrame, keys: list[str]) -> dict[str, DataFrame]:
+    """The tables of the first stage: answers (see ``generation.first_stage``), their objects, Markdown, facts and what is known of each."""
+    found = first_json_object(F.col("raw"))
+    objects = once(answers, ["hadm_id", "json_ok", "raw"], json=found)
+    have = F.coalesce(F.json_object_keys("json"), F.array().cast("array<string>"))
+    meta = objects.join(markdown, "hadm_id", "left").select("hadm_id", "json_ok", F.array_except(F.array(*[F.lit(k) for k in keys]), have).alias("missing_keys"), F.length(F.coalesce("md", F.lit(""))).alias("md_chars"), F.coalesce(F.col("raw").contains("___"), F.lit(False)).alias("had_placeholders"))
+    made = {"stage1_raw": answers, "stage1_json": objects, "stage1_md": markdown, "stage1_facts": facts, "stage1_meta": meta}
+    return {kind: as_artifact(df, kind) for kind, df in made.items()}
+
+
 def write_artifacts(df: DataFrame, path: str, kind: str, buckets: int = 64) -> None:
     """One table per kind of artifact, by buckets of documents; a run replaces the artifacts of the documents it holds.
 
     Buckets with a document of the run are rewritten with what they hold of other documents, so that
-    a rerun gives no row twice; other buckets are not touched.
+    a rerun gives no row twice; other buckets are not touched. The new buckets are staged whole before
+    any is replaced, and a staged table that an earlier run has left is put in place first.
     """
     spark = df.sparkSession
-    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/kind={kind}")
+    staged = f"{path}/_staged_{kind}"  # Spark's readers skip names that begin with an underscore
     mine = df.withColumn("kind", F.lit(kind)).withColumn("bucket", F.pmod(F.xxhash64("hadm_id"), F.lit(buckets)).cast("int"))
-    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+
+    def put() -> None:
+        rows = spark.read.schema(mine.schema).parquet(staged)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kind", "bucket").parquet(path)
+        system, place = tables.place(spark, staged)
+        system.delete(place, True)
+
+    if tables.exists(spark, f"{staged}/_SUCCESS"):
+        put()
+    rows = mine
+    if tables.exists(spark, f"{path}/kind={kind}"):
         old = spark.read.schema(mine.schema).parquet(path).filter(F.col("kind") == kind)
         kept = old.join(mine.select("bucket").distinct(), "bucket", "left_semi").join(mine.select("hadm_id").distinct(), "hadm_id", "left_anti")
-        staged = f"{path}/_staged_{kind}"  # Spark's readers skip names that begin with an underscore
-        mine.unionByName(kept.select(mine.columns)).write.mode("overwrite").parquet(staged)
-        mine = spark.read.schema(mine.schema).parquet(staged)
-    mine.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kind", "bucket").parquet(path)
+        rows = mine.unionByName(kept.select(mine.columns))
+    rows.write.mode("overwrite").parquet(staged)
+    put()
 
 
 def write_run(timings: DataFrame, summary: DataFrame, path: str) -> None:

@@ -1,44 +1,27 @@
-"""Queries over small literal inputs, with literal rows as what is expected.
-
-The tables hold no notes and no raw output of models, so these operators are held against rows worked
-out by hand, which share no table or pattern with the operators.
-"""
+"""Small inputs and the rows that operators must return for them, worked out by hand."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cloud as C
-from ..operators import gates as G
-from ..operators import notes as T
-from ..operators import objective as O
-from ..operators import recover as V
-from ..operators import risk as R
-from ..operators import stage1 as S
-from ..operators import synonyms as Y
-
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
+from factweave.operators import cloud as C
+from factweave.operators import gates as G
+from factweave.operators import notes as T
+from factweave.operators import objective as O
+from factweave.operators import recover as V
+from factweave.operators import risk as R
+from factweave.operators import stage1 as S
+from factweave.operators import synonyms as Y
 
-def _sql(x) -> str:
-    if x is None:
-        return "NULL"
-    if isinstance(x, bool):
-        return str(x).lower()
-    if isinstance(x, int | float):
-        return repr(x)
-    return " || chr(10) || ".join("'" + line.replace("'", "''") + "'" for line in x.split("\n"))
+CASES: dict = {}
 
 
 def golden(columns: str, want: list[tuple], given: list[tuple], schema: str):
-    """Registers a query of rows (``given``, ``schema``) and the rows it must return; ``columns`` names and types them."""
+    """Adds a case: rows (``given``, ``schema``) and the rows an operator must return; ``columns`` names and types them."""
 
     def add(f):
-        names, kinds = zip(*(c.split() for c in columns.split(", ")), strict=True)
-        QUERIES[f.__name__] = lambda spark, _: f(spark.createDataFrame(given, schema)).select(*names)
-        cast = ", ".join(f"CAST({n} AS {k}) AS {n}" for n, k in zip(names, kinds, strict=True))
-        SQL[f.__name__] = f"SELECT {cast} FROM (VALUES {', '.join('(' + ', '.join(map(_sql, row)) + ')' for row in want)}) AS t({', '.join(names)})"
+        names = [c.split()[0] for c in columns.split(", ")]
+        CASES[f.__name__] = lambda spark: ([tuple(r) for r in f(spark.createDataFrame(given, schema)).select(*names).collect()], want)
         return f
 
     return add
@@ -264,8 +247,3 @@ def strict_contract(lines):
 )
 def inline_items(text):
     return V.inline_facts(text).select("hadm_id", "n", "line")
-
-
-def register(queries: dict, sql: dict[str, str]) -> None:
-    queries.update(QUERIES)
-    sql.update(SQL)

@@ -362,3 +362,85 @@ def test_scores_by_table_equal_scores_by_literals(spark, sf):
     assert {len(r.bounds) for r in by.values()} and set(by) == {k for _, k in C.RANGES}
     rows = lambda x: sorted((r.hadm_id, r.cluster, r.score) for r in x.collect())
     assert rows(R.cluster_scores(facts, U.index(U.from_config(spark)), K.from_config())) == rows(R.cluster_scores(facts))
+
+
+def test_artifacts_are_staged_whole_and_put_in_place_once(spark, tmp_path):
+    rows = lambda ids, text: spark.createDataFrame([(i, text) for i in ids], "hadm_id long, md string")
+    read = lambda: sorted((r.hadm_id, r.md) for r in spark.read.parquet(f"{tmp_path}/a").collect())
+    readers.write_artifacts(rows(range(20), "x"), f"{tmp_path}/a", "stage1_md", 4)
+    readers.write_artifacts(rows([3, 30], "y"), f"{tmp_path}/a", "stage1_md", 4)
+    assert read() == sorted([(i, "y" if i in (3, 30) else "x") for i in (*range(20), 30)])
+    assert not tables.exists(spark, f"{tmp_path}/a/_staged_stage1_md")
+    # a run that ended between staging and replacing: its rows are put in place by the next one
+    left = rows([5, 40], "z").withColumn("kind", F.lit("stage1_md")).withColumn("bucket", F.pmod(F.xxhash64("hadm_id"), F.lit(4)).cast("int"))
+    old = spark.read.parquet(f"{tmp_path}/a").select("hadm_id", "md", "kind", "bucket").join(left.select("bucket").distinct(), "bucket", "left_semi").filter("hadm_id <> 5")
+    left.unionByName(old).write.parquet(f"{tmp_path}/a/_staged_stage1_md")
+    readers.write_artifacts(rows([7], "w"), f"{tmp_path}/a", "stage1_md", 4)
+    assert dict(read()) == {**{i: "x" for i in range(20)}, 3: "y", 30: "y", 5: "z", 40: "z", 7: "w"}
+
+
+def test_tables_of_the_first_stage(spark):
+    answers = spark.createDataFrame([(1, 'a {"A": 1, "B": "___"} z', "full", True, 1, False, False, False, False), (2, None, None, False, 3, False, False, False, False)], f"hadm_id long, {L._FIRST.replace('error string, ', '')}")
+    md = spark.createDataFrame([(1, "## A\nx")], "hadm_id long, md string")
+    made = readers.stage1_artifacts(answers, md, spark.createDataFrame([(1, 0, "LABS|Na|1|Past")], "hadm_id long, pos long, line string"), ["A", "B", "C"])
+    assert set(made) == {"stage1_raw", "stage1_json", "stage1_md", "stage1_facts", "stage1_meta"}
+    assert {r.hadm_id: (r.json_ok, r.missing_keys, r.md_chars, r.had_placeholders) for r in made["stage1_meta"].collect()} == {1: (True, ["C"], 6, True), 2: (False, ["A", "B", "C"], 0, False)}
+    assert {r.hadm_id: r.json for r in made["stage1_json"].collect()} == {1: '{"A": 1, "B": "___"}', 2: None}
+    for kind, df in made.items():
+        assert ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) == readers.ARTIFACTS[kind]
+
+
+def test_notes_without_fall_back_and_empty_ones(spark):
+    from factweave.operators import service
+
+    def down():
+        def ask(prompt, form):
+            raise RuntimeError("down")
+
+        return ask
+
+    notes = spark.createDataFrame([(1, "A 75 year-old male, HR: 90."), (2, " "), (3, None)], "hadm_id long, text string")
+    lost = service.analyse(notes, down, fall_back=False)
+    assert {r.hadm_id: (r.backend, r.error) for r in lost.documents.collect()} == {1: ("client", "pipeline_error: down"), 2: ("none", "empty_input"), 3: ("none", "empty_input")}
+    assert lost.facts.isEmpty() and lost.scores.isEmpty()
+    ruled = service.analyse(notes)
+    assert [r.hadm_id for r in ruled.scores.collect()] == [1] and {(r.keyword, r.value) for r in ruled.facts.collect()} == {("Age", "75"), ("Sex", "male"), ("Heart Rate", "90")}
+    again = service.analyse(notes, down)
+    assert again.facts.count() == 3 and again.documents.filter("hadm_id = 1").first().backend == "rules after the client"
+
+
+def test_record_of_two_runs(spark):
+    from factweave.operators import gates as G
+
+    rows = lambda x: spark.createDataFrame(x, "hadm_id long, kind string, text string")
+    a = rows([(1, "j", '{"normalized": [1], "x": 1}'), (2, "t", "same"), (9, "t", "not wanted")])
+    b = rows([(1, "j", '{"x": 2, "normalized": [1]}'), (2, "t", "other"), (3, "t", "new")])
+    meta = lambda v: spark.createDataFrame([tuple(f"{k}{v}" for k in G.RUN_KEYS)], ", ".join(f"{k} string" for k in G.RUN_KEYS))
+    docs = spark.createDataFrame([(1,), (2,), (3,)], "hadm_id long")
+    diffs, one = G.ab_record(a, b, docs, meta("a"), meta("b"), ["j"])
+    assert sorted((r.hadm_id, r.kind, r.note) for r in diffs.collect()) == [(2, "t", "content_diff"), (3, "t", "missing_file")]
+    r = one.first()
+    assert (r.n_hadm, r.n_diffs, r.model_a, r.scope_b) == (3, 2, "modela", "scopeb")
+    strict, _ = G.ab_record(a, b, docs, meta("a"), meta("b"), ["j"], strict=True)
+    assert (1, "j", "json_bytes_diff") in {(r.hadm_id, r.kind, r.note) for r in strict.collect()}
+
+
+def test_counts_of_extracted_lines(spark):
+    lines = spark.createDataFrame([(1, 0, "END"), (1, 1, "A|not stated|B"), (1, 2, "CLUSTER|LABS|Na|1|Past"), (1, 3, "LABS|Na|1|Past"), (1, 4, "LABS|Na|1|Past")], "hadm_id long, pos long, line string")
+    shown = lambda r: (r.raw_total_lines, r.raw_valid_kvt4_lines, r.raw_invalid_lines, r.raw_duplicates_exact, r.raw_recovered_cluster_prefix_lines, r.raw_end_lines, r.raw_kvt3_not_stated_lines)
+    assert shown(E.format_stats(lines).first()) == (3, 2, 1, 1, 1, 1, 1)
+    assert shown(E.format_stats(lines, extracted=True).first()) == (5, 2, 3, 1, 0, 0, 0)
+
+
+def test_texts_of_reference_facts(spark, tmp_path):
+    for k, x in {1: {"raw": "LABS|Na|1|Past\n\n VITALS|HR|80|Past "}, 2: {"text": "", "raw": "LABS|K|4|Past"}, 3: {"facts": [], "lines": ["LABS|K|5|Past"]}, 4: [{"C": "LABS", "K": "Na", "V": 2, "T": "Past"}], 5: {"text": "prose"}}.items():
+        (tmp_path / str(k)).mkdir()
+        (tmp_path / str(k) / f"ground_truth_{k}.json").write_text(json.dumps(x))
+    got = sorted((r.hadm_id, r.line) for r in readers.truth(readers.truth_files(spark, str(tmp_path))).collect())
+    assert got == [(1, "LABS|Na|1|Past"), (1, "VITALS|HR|80|Past"), (2, "LABS|K|4|Past"), (3, "LABS|K|5|Past"), (4, "LABS|Na|2|Past")]
+
+
+def test_narrative_facts_carry_their_cluster(spark):
+    text = "**CLUSTER:** DEMOGRAPHICS\n**Keyword:** Sex\n**Value:** male\n**Timestamp:** Admission\nkeyword: Age\nprose in between\nValue: **75**\nCluster: labs\nValue: 9\nKeyword: Na\nValue: 1\nValue: 2\nkeyword: K"
+    rows = spark.createDataFrame([(1, text), (2, "Keyword: lost\nValue: 1")], "hadm_id long, text string")
+    assert [(r.hadm_id, r.line) for r in V.narrative_facts(rows).orderBy("n").collect()] == [(1, "DEMOGRAPHICS|Sex|male|Admission"), (1, "DEMOGRAPHICS|Age|75|Unknown"), (1, "LABS|Na|2|Unknown")]
