@@ -19,7 +19,8 @@ RUN = 64
 #: Bytes of packed strings per bucket, and of text that a task packs at a time.
 BUCKET_BYTES, FLUSH_BYTES = 6 << 20, 8 << 20
 #: A bucket of more bytes than this is hot: its equal strings are merged by an aggregation before they meet in a task.
-HOT_BYTES = 8 * BUCKET_BYTES
+#: The strings of one of ``HOT_STEP`` documents tell which are, at most ``HOT_KEYS`` of them.
+HOT_BYTES, HOT_STEP = 8 * BUCKET_BYTES, 16
 
 
 def _sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
@@ -75,14 +76,23 @@ class Runs:
         self.size = len(begin)
 
 
-def _blobs(docs: DataFrame, buckets: int, window: int, minimiser: int) -> DataFrame:
-    """Distinct super-k-mers of a task, per bucket, with the smallest doc_id of each and whether it is in other documents."""
+def _blobs(docs: DataFrame, buckets: int, window: int, minimiser: int, hot: list[int] = (), take: bool = False) -> DataFrame:
+    """Distinct super-k-mers of a task, per bucket, with the smallest doc_id of each and whether it is in other documents.
+
+    Those of the buckets in ``hot`` alone, or all others.
+    """
+    named = np.array(sorted(hot), np.int64)
 
     def flush(held):
         ids, mins, h0, h1 = (np.concatenate([x[k] for x in held]) for k in range(4))
         part = np.concatenate([np.full(len(x[0]), k) for k, x in enumerate(held)])
         a, b = (np.concatenate([x[k] for x in held]) for k in (4, 5))
         bucket = (K.mix(mins) % np.uint64(buckets)).astype(np.int64)
+        if len(named):
+            pick = np.flatnonzero(np.isin(bucket, named) == take)
+            if not len(pick):
+                return _packed_rows([])
+            ids, mins, h0, h1, part, a, b, bucket = (x[pick] for x in (ids, mins, h0, h1, part, a, b, bucket))
         order = np.lexsort((ids, h1, h0, bucket))
         new = np.ones(len(order), bool)
         new[1:] = (bucket[order][1:] != bucket[order][:-1]) | (h0[order][1:] != h0[order][:-1]) | (h1[order][1:] != h1[order][:-1])
@@ -232,12 +242,13 @@ def repeat_spans(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMIS
     rows = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(48, int(size * 3.3) // BUCKET_BYTES)
-    blobs = scratch(_blobs(rows, buckets, window, minimiser))
-    sizes = blobs.groupBy("bucket").agg(F.sum("size").alias("_bytes"))
-    hot = [r["bucket"] for r in sizes.filter(F.col("_bytes") > HOT_BYTES).orderBy(F.desc("_bytes")).limit(HOT_KEYS).collect()]
+    hot = []
+    if 3.3 * size > HOT_BYTES:
+        some = _blobs(rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(HOT_STEP)) == 0), buckets, window, minimiser).groupBy("bucket").agg(F.sum("size").alias("_bytes"))
+        hot = [r["bucket"] for r in some.filter(F.col("_bytes") * HOT_STEP > HOT_BYTES).orderBy(F.desc("_bytes")).limit(HOT_KEYS).collect()]
+    blobs = _blobs(rows, buckets, window, minimiser, hot)
     if hot:
-        is_hot = F.col("bucket").isin(hot)
-        blobs = blobs.filter(~is_hot).unionByName(_merged(blobs.filter(is_hot)))
+        blobs = blobs.unionByName(_merged(_blobs(rows, buckets, window, minimiser, hot, True)))
     # a task holds one bucket after the other; eight buckets to a task keep what it reads bounded at any size
     found = scratch(blobs.repartition(max(48, buckets // 8), "bucket").groupBy("bucket").applyInArrow(lambda t: count_bucket(t, window), "h0 bigint, h1 bigint, w_from bigint, w_to bigint, least bigint"))
 

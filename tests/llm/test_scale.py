@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from factweave.llm import common, language, links, media
+from factweave.llm import common, language, links, media, substrings
 
 
 def template_sets(n, seed=3, shared=38, own=22):
@@ -158,3 +158,18 @@ def test_scopes_delete_what_is_made_in_them(spark):
     assert [tables.exists(spark, t.scratch_path) for t in made] == [False, False, False, True] and made[3].count() == 6
     common.discard(made[3])
     assert not tables.exists(spark, made[3].scratch_path)
+
+
+def test_hot_buckets_are_merged_without_a_change(spark, monkeypatch):
+    passage = " ".join(f"p{i}" for i in range(70))
+    rows = [(i, f"{' '.join(f'a{i}x{j}' for j in range(i % 90))} {passage} {' '.join(f'b{i}x{j}' for j in range(60))}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    shown = lambda: sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substrings.remove_repeats(docs).collect())
+    plain = shown()
+    assert [r[2] for r in plain] == [0] + [70] * 299
+    monkeypatch.setattr(substrings, "HOT_BYTES", 2_000)
+    monkeypatch.setattr(substrings, "HOT_STEP", 2)
+    seen = []
+    merged = substrings._merged
+    monkeypatch.setattr(substrings, "_merged", lambda blobs: (seen.append(1), merged(blobs))[1])
+    assert shown() == plain and seen
