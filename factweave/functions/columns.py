@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -95,5 +95,10 @@ def once(df: DataFrame, keep: list[str], **cols: Column) -> DataFrame:
     return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a column that is computed once, however often ``f`` uses it; works inside lambdas too."""
+    return F.get(F.transform(F.array(c), lambda x: f(x)), F.lit(0))
+
+
 def line(*cols: Column) -> Column:
     return F.concat_ws("|", *cols)

@@ -6,12 +6,12 @@ import ast
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import config as C
-from ..functions.columns import any_of, once, strip
+from ..functions.columns import any_of, let, once, strip
 from .normalize import category_to_cluster, infer_cluster
 from .sanitize import looks_like_fact, recovered_line
 
@@ -20,173 +20,251 @@ THINKING = ["thought", "the user wants", "here's my plan", "input:", "output:",
 _KEYS = {"cluster": ["cluster", "Cluster", "CLUSTER", "C", "category", "Category"], "keyword": ["keyword", "Keyword", "KEYWORD", "K"], "value": ["value", "Value", "VALUE", "V"], "ts": ["timestamp", "Timestamp", "TIMESTAMP", "T"]}
 
 
-def raw_lines(raw: DataFrame) -> DataFrame:
-    """(hadm_id, pos, line) without internal tokens and without thinking.
+# Marks that no text has (noncharacters), put between the parts of a text that is cut in one pass.
+_HEAD, _NEXT, _VALUE, _TIME = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3"
+_ITEM = "array<struct<branch:int,n:int,line:string>>"
+
+
+def kept_lines(raw: Column) -> Column:
+    """The lines of an output as (pos, line), without internal tokens and without thinking.
 
     A line with a mark of thinking starts a block and is dropped; the block ends with the first line
     that has three pipes or looks like JSON, which stays.
     """
-    text = F.regexp_replace(F.coalesce("raw", F.lit("")), "<unused[0-9]+>", "")
-    rows = raw.select("hadm_id", F.posexplode(F.split(text, "\r\n|[\n\r]")).alias("pos", "line"))
-    s = strip(F.col("line"))
-    mark = any_of(F.lower(s), THINKING)
-    payload = (F.length("line") - F.length(F.replace("line", F.lit("|"), F.lit(""))) >= 3) | any_of(F.col("line"), ['{"K"', '"facts"']) | s.startswith("{") | s.startswith("```json")
-    rows = once(rows, ["hadm_id", "pos", "line"], _event=F.when(mark, 1).when(payload, 0))
-    inside = F.last("_event", ignorenulls=True).over(Window.partitionBy("hadm_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("_in", inside).filter("coalesce(_in, 0) = 0").select("hadm_id", "pos", "line")
+
+    def event(x: Column) -> Column:
+        pipes = F.length(x) - F.length(F.replace(x, F.lit("|"), F.lit("")))
+        return let(strip(x), lambda s: F.when(any_of(F.lower(s), THINKING), "t").when((pipes >= 3) | any_of(x, ['{"K"', '"facts"']) | s.startswith("{") | s.startswith("```json"), "p").otherwise("-"))
+
+    def keep(lines: Column) -> Column:
+        # one letter a line; a block is its mark and the lines right after it that are nothing else
+        told = F.split(F.regexp_replace(F.array_join(F.transform(lines, lambda x: event(x)), ""), r"t|(?!^)\G-", "x"), "")
+        placed = F.transform(lines, lambda x, i: F.struct(i.alias("pos"), x.alias("line")))
+        return let(told, lambda t: F.filter(placed, lambda x, i: F.get(t, i) != "x"))
+
+    return let(F.split(F.regexp_replace(F.coalesce(raw, F.lit("")), "<unused[0-9]+>", ""), "\r\n|[\n\r]"), keep)
+
+
+def raw_lines(raw: DataFrame) -> DataFrame:
+    """(hadm_id, pos, line) of raw outputs, see ``kept_lines``."""
+    return raw.select("hadm_id", F.inline(kept_lines(F.col("raw"))))
+
+
+def _cleaned(lines: Column) -> Column:
+    """The text of kept lines without START, END and fences; null if nothing stays."""
+    left = F.filter(F.transform(lines, lambda x: x["line"]), lambda x: ~F.upper(strip(x)).isin("START", "END") & ~strip(x).startswith("```"))
+    return let(left, lambda x: F.when(F.size(x) > 0, F.array_join(x, "\n")))
 
 
 def clean_text(raw: DataFrame) -> DataFrame:
     """(hadm_id, text): the kept lines without START, END and fences."""
-    s = strip(F.col("line"))
-    rows = raw_lines(raw).filter(~F.upper(s).isin("START", "END") & ~s.startswith("```"))
-    return rows.groupBy("hadm_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    return once(raw, ["hadm_id"], text=_cleaned(kept_lines(F.col("raw")))).filter("text IS NOT NULL")
+
+
+def _line_of(m: Column, cluster: Column | None = None) -> Column:
+    of = lambda k: F.coalesce(*[F.nullif(strip(F.try_element_at(m, F.lit(a))), F.lit("")) for a in _KEYS[k]])
+    found = F.struct((of("cluster") if cluster is None else cluster).alias("c"), of("keyword").alias("k"), of("value").alias("v"), of("ts").alias("t"))
+    name = lambda x: F.coalesce(category_to_cluster(x["c"]), infer_cluster(x["k"]), F.lit("UNKNOWN"))
+    return let(found, lambda x: F.when(x["k"].isNotNull() & x["v"].isNotNull(), F.concat_ws("|", name(x), x["k"], x["v"], F.coalesce(x["t"], F.lit("Unknown")))))
 
 
 def fact_line(m: Column) -> Column:
     """A fact object (a map of strings) as a line; null without keyword or value."""
-    of = lambda k: F.coalesce(*[F.nullif(strip(F.try_element_at(m, F.lit(a))), F.lit("")) for a in _KEYS[k]])
-    cluster = F.coalesce(category_to_cluster(of("cluster")), infer_cluster(of("keyword")), F.lit("UNKNOWN"))
-    return F.when(of("keyword").isNotNull() & of("value").isNotNull(), F.concat_ws("|", cluster, of("keyword"), of("value"), F.coalesce(of("ts"), F.lit("Unknown"))))
-
-
-def json_facts(text: DataFrame) -> DataFrame:
-    """(hadm_id, branch, n, line) of JSON: a list of fact objects, an object with ``facts``, one fact, or lists by cluster."""
-    t = strip(F.col("text"))
-    whole = F.coalesce(F.nullif(F.regexp_extract(t, r"(?s)(\{.*\})", 1), F.lit("")), t)
-    array = F.nullif(F.regexp_extract(t, r"(?s)(\[.*\])", 1), F.lit(""))
-    rows = once(text, ["hadm_id"], _o=whole, _a=array, _t=t)
-    wrapped = F.from_json("_o", "facts array<map<string,string>>")["facts"]
-    listed = F.when(F.col("_t").startswith("["), F.from_json("_a", "array<map<string,string>>"))
-    single = F.from_json("_o", "map<string,string>")
-    grouped = F.from_json("_o", "map<string,array<map<string,string>>>")
-    flat = F.coalesce(F.when(F.size(wrapped) > 0, wrapped), F.when(F.size(listed) > 0, listed), F.when(fact_line(single).isNotNull(), F.array(single)))
-    one = rows.select("hadm_id", F.lit(1).alias("branch"), F.posexplode(flat).alias("n", "_m")).select("hadm_id", "branch", "n", fact_line(F.col("_m")).alias("line"))
-    by = rows.select("hadm_id", F.explode(F.map_entries(grouped)).alias("_e")).filter(F.upper("_e.key").isin(C.CLUSTERS)).select("hadm_id", F.upper("_e.key").alias("_c"), F.posexplode("_e.value").alias("n", "_m"))
-    two = by.select("hadm_id", F.lit(2).alias("branch"), "n", fact_line(F.map_concat(F.map_filter("_m", lambda k, v: ~k.isin(_KEYS["cluster"])), F.create_map(F.lit("cluster"), F.col("_c")))).alias("line"))
-    return one.unionByName(two).filter("line IS NOT NULL")
-
-
-def _objects(c: Column) -> Column:
-    """The innermost objects of a text as maps, whatever the order of their keys; what is cut off or no JSON is left out."""
-    found = F.transform(F.regexp_extract_all(c, F.lit(r"(\{[^{}]*\})"), F.lit(1)), lambda x: F.from_json(x, "map<string,string>", {"allowSingleQuotes": "true"}))
+    return _line_of(m)
+
+
+def _items(branch: int, lines: Column, first: int = 0) -> Column:
+    """Lines as (branch, n, line), numbered by their places."""
+    made = F.transform(lines, lambda x, i: F.struct(F.lit(branch).alias("branch"), (i + first).alias("n"), x.alias("line")))
+    return F.coalesce(made, F.array()).cast(_ITEM)
+
+
+def json_items(text: Column) -> Column:
+    """(branch, n, line) of JSON: a list of fact objects, an object with ``facts``, one fact, or lists by cluster."""
+
+    def found(x: Column) -> Column:
+        maps = lambda c: F.transform(c, lambda m: fact_line(m))
+        some = lambda c: let(c, lambda y: F.when(F.size(y) > 0, maps(y)))
+        wrapped = some(F.from_json(x["o"], "facts array<map<string,string>>")["facts"])
+        listed = F.when(x["t"].startswith("["), some(F.from_json(x["a"], "array<map<string,string>>")))
+        single = let(fact_line(F.from_json(x["o"], "map<string,string>")), lambda y: F.when(y.isNotNull(), F.array(y)))
+        lists = F.filter(F.map_entries(F.from_json(x["o"], "map<string,array<map<string,string>>>")), lambda e: F.upper(e["key"]).isin(C.CLUSTERS) & e["value"].isNotNull())
+        grouped = F.flatten(F.transform(lists, lambda e: let(F.upper(e["key"]), lambda c: _items(2, F.transform(e["value"], lambda m: F.when(m.isNotNull(), _line_of(m, c)))))))
+        return F.concat(_items(1, F.coalesce(wrapped, listed, single)), F.coalesce(grouped, F.array()).cast(_ITEM))
+
+    def cut(t: Column) -> Column:
+        whole = F.coalesce(F.nullif(F.regexp_extract(t, r"(?s)(\{.*\})", 1), F.lit("")), t)
+        array = F.nullif(F.regexp_extract(t, r"(?s)(\[.*\])", 1), F.lit(""))
+        return F.struct(whole.alias("o"), array.alias("a"), t.alias("t"))
+
+    return let(let(strip(text), cut), found)
+
+
+def _objects(c: Column, within: str = "") -> Column:
+    """The innermost objects of a text as maps, whatever the order of their keys; what is cut off or no JSON is left out, and what holds a character of ``within``."""
+    found = F.transform(F.regexp_extract_all(c, F.lit(rf"(\{{[^{{}}{within}]*\}})"), F.lit(1)), lambda x: F.from_json(x, "map<string,string>", {"allowSingleQuotes": "true"}))
     return F.filter(found, lambda m: m.isNotNull() & (F.size(m) > 0))
 
 
-def _has(m: str, key: str) -> Column:
+def _has(m: Column, key: str) -> Column:
     return F.exists(F.map_keys(m), lambda k: k.isin(_KEYS[key]))
 
 
-def salvaged_facts(text: DataFrame) -> DataFrame:
-    """(hadm_id, branch, n, line) of fact objects in cut-off JSON, flat or below a cluster's heading, and of «quoted» facts."""
-    take = lambda p, g, c: F.regexp_extract_all(c, F.lit(p), F.lit(g))
-    flat = text.select("hadm_id", F.lit(3).alias("branch"), F.posexplode(_objects(F.col("text"))).alias("n", "_m")).filter(_has("_m", "cluster") & _has("_m", "ts")).select("hadm_id", "branch", "n", fact_line(F.col("_m")).alias("line"))
+def _blocks(c: Column, mark: str) -> Column:
+    """What follows each mark, up to the next one."""
+    return F.filter(F.split(c, mark), lambda x, i: i > 0)
+
+
+def salvaged_items(text: Column) -> Column:
+    """(branch, n, line) of fact objects in cut-off JSON, flat or below a cluster's heading, of «quoted» facts, of told and of inline facts."""
+    flat = F.transform(F.filter(_objects(text), lambda m: _has(m, "cluster") & _has(m, "ts")), lambda m: fact_line(m))
     heads = "|".join(C.CLUSTERS)
-    marked = F.regexp_replace("text", rf'(?i)"({heads})"\s*:\s*\[', "\x1e$1\x1f")
-    blocks = text.select("hadm_id", F.posexplode(F.slice(F.split(marked, "\x1e"), 2, 1 << 20)).alias("_b", "_s")).select("hadm_id", "_b", F.upper(F.substring_index("_s", "\x1f", 1)).alias("_c"), F.substring_index("_s", "\x1f", -1).alias("_i"))
-    items = blocks.select("hadm_id", "_b", "_c", F.posexplode(_objects(F.col("_i"))).alias("_k", "_m")).filter(~_has("_m", "cluster") & _has("_m", "ts"))
-    items = items.withColumn("_m", F.map_concat(F.map_filter("_m", lambda k, v: ~k.isin(_KEYS["cluster"])), F.create_map(F.lit("cluster"), F.col("_c"))))
-    grouped = items.select("hadm_id", F.lit(4).alias("branch"), F.row_number().over(Window.partitionBy("hadm_id").orderBy("_b", "_k")).alias("n"), fact_line(F.col("_m")).alias("line"))
-    quoted = text.select("hadm_id", F.lit(5).alias("branch"), F.posexplode(take("«([^»]+)»", 1, F.col("text"))).alias("n", "_q")).select("hadm_id", "branch", "n", recovered_line(F.col("_q")).alias("line"))
-    return flat.unionByName(grouped).unionByName(quoted).unionByName(narrative_facts(text)).unionByName(inline_facts(text))
+    marked = F.regexp_replace(text, rf'(?i)"({heads})"\s*:\s*\[', f"{_HEAD}$1{_NEXT}")
+    own = lambda b: F.filter(_objects(F.substring_index(b, _NEXT, -1)), lambda m: ~_has(m, "cluster") & _has(m, "ts"))
+    grouped = F.flatten(F.transform(_blocks(marked, _HEAD), lambda b: let(F.upper(F.substring_index(b, _NEXT, 1)), lambda c: F.transform(own(b), lambda m: _line_of(m, c)))))
+    quoted = F.transform(F.regexp_extract_all(text, F.lit("«([^»]+)»"), F.lit(1)), lambda q: recovered_line(q))
+    braces = text.contains("{")
+    parts = [_items(3, F.when(braces, flat)), _items(4, F.when(braces, grouped)), _items(5, F.when(text.contains("«"), quoted)), narrative_items(text), inline_items(text)]
+    return F.concat(*parts)
 
 
-def narrative_facts(text: DataFrame) -> DataFrame:
-    """(hadm_id, branch, n, line) of facts told field by field, one a line, with or without stars.
+def salvaged_facts(text: DataFrame) -> DataFrame:
+    """(hadm_id, branch, n, line), see ``salvaged_items``."""
+    return text.select("hadm_id", F.inline(salvaged_items(F.col("text"))))
+
+
+def narrative_items(text: Column) -> Column:
+    """(branch, n, line) of facts told field by field, one a line, with or without stars.
 
     A cluster holds for all keywords up to the next one; a keyword's value and timestamp are the last
     ones before the next keyword or cluster. A fact without a timestamp has an unknown one.
     """
     field = r"(?i)^\*{0,2}(cluster|keyword|value|timestamp)\s*:?\s*\*{0,2}\s*(.+)$"
-    rows = text.select("hadm_id", F.posexplode(F.split("text", "\n")).alias("_b", "_s")).withColumn("_s", strip(F.col("_s"))).filter(F.col("_s").rlike(field))
-    rows = once(rows, ["hadm_id", "_b"], _f=F.lower(F.regexp_extract("_s", field, 1)), _v=strip(strip(strip(F.regexp_extract("_s", field, 2)), "*")))
-    upto = Window.partitionBy("hadm_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    of = lambda f: F.when(F.col("_f") == f, F.col("_v"))
-    rows = rows.withColumns({"_c": F.last(of("cluster"), ignorenulls=True).over(upto), "_g": F.count_if(F.col("_f").isin("cluster", "keyword")).over(upto)})
-    last = lambda f: F.max_by(of(f), F.when(F.col("_f") == f, F.col("_b"))).alias(f"_{f}")
-    told = rows.groupBy("hadm_id", "_g").agg(F.max("_c").alias("_c"), last("keyword"), last("value"), last("timestamp"))
-    told = told.filter("_c <> '' AND _keyword <> '' AND _value <> ''")
-    return told.select("hadm_id", F.lit(6).alias("branch"), F.col("_g").cast("int").alias("n"), F.concat_ws("|", category_to_cluster(F.col("_c")), "_keyword", "_value", F.coalesce(F.nullif("_timestamp", F.lit("")), F.lit("Unknown"))).alias("line"))
+    marks = {"cluster": _HEAD, "keyword": _NEXT, "value": _VALUE, "timestamp": _TIME}
+    kind = lambda x: let(F.lower(F.regexp_extract(x, field, 1)), lambda f: F.when(f == "cluster", _HEAD).when(f == "keyword", _NEXT).when(f == "value", _VALUE).otherwise(_TIME))
+    told = F.filter(F.transform(F.split(text, "\n"), lambda x: strip(x)), lambda x: x.rlike(field))
+    # all fields in one text, each behind its mark: it is cut at clusters, then at keywords
+    whole = F.array_join(F.transform(told, lambda x: F.concat(kind(x), strip(strip(strip(F.regexp_extract(x, field, 2)), "*")))), "")
+    own = lambda x: F.regexp_extract(x, f"(?s)^([^{_VALUE}{_TIME}]*)", 1)
+    last = lambda x, f: F.regexp_extract(x, f"(?s)^.*{marks[f]}([^{_VALUE}{_TIME}]*)", 1)
 
+    def fact(x: Column, c: Column) -> Column:
+        made = F.struct(own(x).alias("k"), last(x, "value").alias("v"), last(x, "timestamp").alias("t"))
+        return let(made, lambda m: F.when((m["k"] != "") & (m["v"] != ""), F.concat_ws("|", c, m["k"], m["v"], F.coalesce(F.nullif(m["t"], F.lit("")), F.lit("Unknown")))))
 
-def inline_facts(text: DataFrame) -> DataFrame:
-    """(hadm_id, branch, n, line) of fact objects without a cluster that follow text in their line.
+    def facts(block: Column) -> Column:
+        rest = _blocks(block, _NEXT)
+        return let(own(F.substring_index(block, _NEXT, 1)), lambda c: F.when(c != "", let(category_to_cluster(c), lambda n: F.transform(rest, lambda x: fact(x, n)))))
+
+    lines = F.flatten(F.filter(F.transform(_blocks(whole, _HEAD), facts), lambda x: x.isNotNull()))
+    return _items(6, F.when(F.lower(text).contains("keyword"), F.filter(lines, lambda x: x.isNotNull())))
+
+
+def narrative_facts(text: DataFrame) -> DataFrame:
+    """(hadm_id, branch, n, line), see ``narrative_items``."""
+    return text.select("hadm_id", F.inline(narrative_items(F.col("text"))))
+
+
+def inline_items(text: Column) -> Column:
+    """(branch, n, line) of fact objects without a cluster that follow text in their line.
 
     Their cluster is the last one named so far in a line that does not begin with a brace or bracket.
     """
-    rows = text.select("hadm_id", F.posexplode(F.split("text", "\n")).alias("_b", "_s")).withColumn("_s", strip(F.col("_s"))).filter(~F.col("_s").rlike(r"^$|^[{\[]"))
-    plain = F.regexp_replace("_s", r"^[*•\-\s]+", "")
-    heading = F.regexp_extract(plain, r"^([A-Z][A-Z ]{2,})\s*:[\s*]*$", 1)
-    named = category_to_cluster(F.coalesce(F.nullif(heading, F.lit("")), F.nullif(F.regexp_extract(plain, rf"(?i)\b({'|'.join(C.CLUSTERS)})\b", 1), F.lit(""))))
-    rows = once(rows, ["hadm_id", "_b", "_s"], _n=F.when(named.isin(C.CLUSTERS), named))
-    last = F.last("_n", ignorenulls=True).over(Window.partitionBy("hadm_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
-    items = rows.withColumn("_c", last).filter("_c IS NOT NULL").select("hadm_id", "_b", "_c", F.posexplode(_objects(F.col("_s"))).alias("_k", "_m"))
-    stamp = F.lower(F.element_at(F.map_values(F.map_filter("_m", lambda k, v: k.isin(_KEYS["ts"]))), 1))
-    items = items.filter(~_has("_m", "cluster") & _has("_m", "ts")).filter(stamp.isin(*[t.lower() for t in C.TIMESTAMPS]))
-    items = items.withColumn("_m", F.map_concat("_m", F.create_map(F.lit("cluster"), F.col("_c"))))
-    ranked = F.row_number().over(Window.partitionBy("hadm_id").orderBy("_b", "_k"))
-    return items.select("hadm_id", F.lit(7).alias("branch"), ranked.alias("n"), fact_line(F.col("_m")).alias("line"))
-
-
-def line_facts(lines: DataFrame, allow_kvt3: bool = True) -> DataFrame:
-    """(hadm_id, branch, n, line) of lines that look like facts once numbering, bullets and quotes are off."""
-    s = strip(F.col("line"))
-    for pattern in (r"^\[[0-9]+\]\s*", r"^[-*•]\s+", r"^[0-9]+[.)]\s+", r",$", r"""^["'`]+|["'`]+$"""):
-        s = F.regexp_replace(s, pattern, "")
-    keyed = F.regexp_extract(s, r"^([^|=]+)\|([^|=]+)=([^|]+)$", 1) != ""
-    s = F.when(keyed, F.regexp_replace(s, r"^([^|=]+)\|([^|=]+)=([^|]+)$", "$1|$2|$3|Unknown")).otherwise(s)
-    rows = once(lines, ["hadm_id", "pos"], _s=s)
-    rows = once(rows, ["hadm_id", "pos"], line=recovered_line(F.col("_s")))
-    return rows.filter(F.col("line").isNotNull() & looks_like_fact(F.col("line"), allow_kvt3)).select("hadm_id", F.lit(8).alias("branch"), F.col("pos").cast("int").alias("n"), "line")
-
-
-def literal_facts(text: DataFrame) -> DataFrame:
-    """Facts of texts that are literals of another language's dictionaries and lists: rare, and the one place for a Python function."""
-
-    def run(frames):
-        for f in frames:
-            out = []
-            for doc, t in zip(f["hadm_id"], f["text"], strict=True):
-                try:
-                    found = ast.literal_eval(t.strip())
-                except (ValueError, SyntaxError, MemoryError, RecursionError):
-                    continue
-                found = found.get("facts", [found]) if isinstance(found, dict) else found
-                for n, d in enumerate(found if isinstance(found, list) else []):
-                    if isinstance(d, dict):
-                        out.append((doc, n, {str(k): str(v) for k, v in d.items() if v is not None}))
-            yield pd.DataFrame(out, columns=["hadm_id", "n", "m"])
-
-    odd = text.filter(strip(F.col("text")).rlike(r"^[\[{].*'") & F.from_json("text", "map<string,string>").isNull())
-    return odd.select("hadm_id", "text").mapInPandas(run, "hadm_id bigint, n int, m map<string,string>").select("hadm_id", F.lit(1).alias("branch"), "n", fact_line(F.col("m")).alias("line")).filter("line IS NOT NULL")
+    rows = F.filter(F.transform(F.split(text, "\n"), lambda x: strip(x)), lambda x: ~x.rlike(r"^$|^[{\[]"))
+
+    def headed(s: Column) -> Column:
+        heading = F.regexp_extract(F.regexp_replace(s, r"^[*•\-\s]+", ""), r"^([A-Z][A-Z ]{2,})\s*:[\s*]*$", 1)
+        inside = F.regexp_extract(F.regexp_replace(s, r"^[*•\-\s]+", ""), rf"(?i)\b({'|'.join(C.CLUSTERS)})\b", 1)
+        named = let(F.coalesce(F.nullif(heading, F.lit("")), F.nullif(inside, F.lit(""))), category_to_cluster)
+        return let(named, lambda c: F.when(c.isin(C.CLUSTERS), F.concat(F.lit(_HEAD), c, F.lit(_NEXT), s)).otherwise(s))
+
+    def stamped(m: Column) -> Column:
+        stamp = F.lower(F.get(F.map_values(F.map_filter(m, lambda k, v: k.isin(_KEYS["ts"]))), F.lit(0)))
+        return ~_has(m, "cluster") & F.coalesce(stamp.isin(*[t.lower() for t in C.TIMESTAMPS]), F.lit(False))
+
+    # a new block begins with each line that names a cluster
+    whole = F.array_join(F.transform(rows, headed), "\n")
+    own = lambda b: F.filter(_objects(F.substring_index(b, _NEXT, -1), r"\n"), stamped)
+    lines = F.flatten(F.transform(_blocks(whole, _HEAD), lambda b: let(F.substring_index(b, _NEXT, 1), lambda c: F.transform(own(b), lambda m: _line_of(m, c)))))
+    return _items(7, F.when(text.contains("{"), lines), first=1)
+
+
+def inline_facts(text: DataFrame) -> DataFrame:
+    """(hadm_id, branch, n, line), see ``inline_items``."""
+    return text.select("hadm_id", F.inline(inline_items(F.col("text"))))
+
+
+def line_items(lines: Column, allow_kvt3: bool = True) -> Column:
+    """(branch, n, line) of lines (pos, line) that look like facts once numbering, bullets and quotes are off."""
+
+    def bare(s: Column) -> Column:
+        s = strip(s)
+        for pattern in (r"^\[[0-9]+\]\s*", r"^[-*•]\s+", r"^[0-9]+[.)]\s+", r",$", r"""^["'`]+|["'`]+$"""):
+            s = F.regexp_replace(s, pattern, "")
+        return F.regexp_replace(s, r"^([^|=]+)\|([^|=]+)=([^|]+)$", "$1|$2|$3|Unknown")
+
+    found = F.transform(lines, lambda x: F.struct(F.lit(8).alias("branch"), x["pos"].alias("n"), let(recovered_line(bare(x["line"])), lambda y: F.when(y.isNotNull() & looks_like_fact(y, allow_kvt3), y)).alias("line")))
+    return found.cast(_ITEM)
+
+
+def _literals(text: str | None) -> list[dict[str, str] | None] | None:
+    """Fact objects of a text that is a literal of another language's dictionaries and lists."""
+    try:
+        found = ast.literal_eval(text.strip()) if text else None
+    except (ValueError, SyntaxError, MemoryError, RecursionError):
+        return None
+    found = found.get("facts", [found]) if isinstance(found, dict) else found
+    return [{str(k): str(v) for k, v in d.items() if v is not None} if isinstance(d, dict) else None for d in found] if isinstance(found, list) else None
+
+
+@F.pandas_udf(T.ArrayType(T.MapType(T.StringType(), T.StringType())))
+def _literal_maps(texts: pd.Series) -> pd.Series:
+    return texts.map(_literals)
+
+
+def _extracted(raw: DataFrame, allow_kvt3: bool, literals: bool) -> DataFrame:
+    """(hadm_id, text, lines): a row per output with its clean text and its fact lines in order.
+
+    A document is one row from end to end: its branches are columns of arrays, so that an output is
+    read once, whatever it holds, and nothing is shuffled.
+    """
+    rows = once(raw, ["hadm_id"], _k=kept_lines(F.col("raw")))
+    rows = once(rows, ["hadm_id", "_k"], text=_cleaned(F.col("_k")))
+    if literals:
+        # rare, and the one place for a Python function
+        odd = strip(F.col("text")).rlike(r"^[\[{].*'") & F.from_json("text", "map<string,string>").isNull()
+        rows = once(rows, ["hadm_id", "_k", "text"], _odd=F.when(odd, F.col("text"))).withColumn("_odd", _literal_maps("_odd"))
+        told = _items(1, F.transform("_odd", lambda m: fact_line(m)))
+    else:
+        told = F.array().cast(_ITEM)
+    valid = lambda x: F.filter(x, lambda y: y["line"].isNotNull())
+    rows = once(rows, ["hadm_id", "_k", "text"], _p=valid(F.concat(json_items(F.col("text")), told)))
+    rest = F.concat(salvaged_items(F.col("text")), line_items(F.col("_k"), allow_kvt3))
+    both = F.when(F.exists("_p", lambda x: x["branch"] == 1), F.col("_p")).otherwise(F.concat("_p", valid(rest)))
+    return once(rows, ["hadm_id", "text"], lines=F.array_distinct(F.transform(F.array_sort(both), lambda x: x["line"])))
 
 
 def extract_facts(raw: DataFrame, allow_kvt3: bool = True, literals: bool = True) -> DataFrame:
-    """(hadm_id, pos, line) of raw outputs (hadm_id, raw): all branches in order, the first of equal lines.
+    """(hadm_id, pos, line) of raw outputs (hadm_id, raw), one a document: all branches in order, the first of equal lines.
 
     Flat JSON that parses ends the search for its document; lists by cluster do not, so what the
     other branches find is added to them.
     """
-    text = clean_text(raw)
-    parsed = json_facts(text)
-    if literals:
-        parsed = parsed.unionByName(literal_facts(text))
-    done = parsed.filter("branch = 1").select("hadm_id").distinct()
-    rest = salvaged_facts(text).unionByName(line_facts(raw_lines(raw), allow_kvt3)).join(done, "hadm_id", "left_anti")
-    both = parsed.unionByName(rest).filter("line IS NOT NULL")
-    first = both.groupBy("hadm_id", "line").agg(F.min(F.struct("branch", "n")).alias("_at"))
-    return first.select("hadm_id", F.row_number().over(Window.partitionBy("hadm_id").orderBy("_at", "line")).cast("bigint").alias("pos"), "line")
+    found = _extracted(raw, allow_kvt3, literals).select("hadm_id", F.posexplode("lines").alias("pos", "line"))
+    return found.select("hadm_id", (F.col("pos") + 1).cast("bigint").alias("pos"), "line")
 
 
 def json_mode_facts(raw: DataFrame) -> DataFrame:
     """The lines of ``extract_facts``; a document without any gives the complete objects of its cut-off JSON, values without leading dollar signs."""
-    found = extract_facts(raw)
-    rest = clean_text(raw).join(found.select("hadm_id").distinct(), "hadm_id", "left_anti")
-    objects = rest.select("hadm_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"(\{[^{}]*\})"), F.lit(1))).alias("n", "_t"))
-    of = lambda k: strip(F.coalesce(F.get_json_object("_t", f"$.{k}"), F.get_json_object("_t", f"$.{k.upper()}")))
-    value = strip(F.ltrim(of("value"), F.lit("$")))
-    lines = objects.select("hadm_id", (F.col("n") + 1).cast("bigint").alias("pos"), F.when(of("cluster").isNotNull() & of("keyword").isNotNull() & of("timestamp").isNotNull(), F.concat_ws("|", of("cluster"), of("keyword"), value, of("timestamp"))).alias("line"))
-    return found.unionByName(lines.filter("line IS NOT NULL"))
+    of = lambda t, k: strip(F.coalesce(F.get_json_object(t, f"$.{k}"), F.get_json_object(t, f"$.{k.upper()}")))
+
+    def line(t: Column) -> Column:
+        made = F.struct(of(t, "cluster").alias("c"), of(t, "keyword").alias("k"), strip(F.ltrim(of(t, "value"), F.lit("$"))).alias("v"), of(t, "timestamp").alias("t"))
+        return let(made, lambda x: F.when(x["c"].isNotNull() & x["k"].isNotNull() & x["t"].isNotNull(), F.concat_ws("|", x["c"], x["k"], x["v"], x["t"])))
+
+    objects = F.transform(F.regexp_extract_all("text", F.lit(r"(\{[^{}]*\})"), F.lit(1)), line)
+    rows = _extracted(raw, True, True).select("hadm_id", F.posexplode(F.when(F.size("lines") > 0, F.col("lines")).otherwise(objects)).alias("pos", "line"))
+    return rows.select("hadm_id", (F.col("pos") + 1).cast("bigint").alias("pos"), "line").filter("line IS NOT NULL")
 
 
 def first_json_object(c: Column) -> Column:

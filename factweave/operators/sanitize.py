@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.columns import NUMBER, any_of, any_prefix, first_number, lookup, once, parts, squeeze, strip, words
+from ..functions.columns import NUMBER, any_of, any_prefix, first_number, let, lookup, once, parts, squeeze, strip, words
 from .normalize import cluster_name, infer_cluster
 
 KEY = ["hadm_id", "cluster", "keyword"]
@@ -20,10 +20,12 @@ def valid_line(c: Column) -> Column:
 
 def looks_like_fact(c: Column, allow_kvt3: bool = True) -> Column:
     """Whether a line may be a fact: part counts, headers, lengths and word counts."""
-    s = strip(c)
-    p = parts(s)
+    made = let(strip(c), lambda s: let(parts(s), lambda p: F.struct(s.alias("s"), p.alias("p"), F.transform(p, F.lower).alias("low"))))
+    return let(made, lambda x: _fact_parts(x["s"], x["p"], x["low"], allow_kvt3))
+
+
+def _fact_parts(s: Column, p: Column, low: Column, allow_kvt3: bool) -> Column:
     n = F.size(p)
-    low = F.transform(p, F.lower)
     at = lambda i, a=p: F.coalesce(F.get(a, F.lit(i)), F.lit(""))
     count = lambda x: F.when(x == "", 0).otherwise(F.size(F.split(x, r"\s+")))
     header = (
@@ -41,13 +43,16 @@ def looks_like_fact(c: Column, allow_kvt3: bool = True) -> Column:
 
 def recovered_line(c: Column) -> Column:
     """Repairs of a literal CLUSTER prefix; null for the template header and for lines that stay no facts."""
-    p = F.transform(parts(c), lambda x: strip(x, "«»\"'"))
+    return let(F.transform(parts(c), lambda x: strip(x, "«»\"'")), _recovered)
+
+
+def _recovered(p: Column) -> Column:
     a, k, v, t, e = (F.get(p, F.lit(i)) for i in range(5))
     literal = F.upper(a).isin("CLUSTER", "CLUSTERS")
     low = F.lower(v)
     guess = F.coalesce(infer_cluster(k), F.when(low.isin("acute", "chronic", "exist", "not exist"), "PROBLEMS").when(low.isin("yes", "no", "severe"), "SYMPTOMS"))
     template = (F.lower(k) == "keyword") & (F.lower(v) == "value")
-    four = F.when(literal, F.when(~template & guess.isNotNull(), F.concat_ws("|", guess, k, v, t))).otherwise(F.array_join(p, "|"))
+    four = F.when(literal, F.when(~template, let(guess, lambda g: F.when(g.isNotNull(), F.concat_ws("|", g, k, v, t))))).otherwise(F.array_join(p, "|"))
     five = F.when(literal, F.concat_ws("|", k, v, t, e))
     return F.when(F.size(p) == 5, five).when(F.size(p) == 4, four).when(F.size(p) == 3, F.array_join(p, "|"))
 

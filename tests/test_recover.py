@@ -102,3 +102,20 @@ def test_fact_objects_in_any_order_of_keys(spark):
     raw = '{"LABS": [{"T":"Past","K":"Na","V":130}, {"V":"1.2","K":"Creatinine","T":"Discharge"}, {"K":'
     rows = V.extract_facts(spark.createDataFrame([(1, raw)], "hadm_id long, raw string")).orderBy("pos").collect()
     assert [r.line for r in rows] == ["LABS|Na|130|Past", "LABS|Creatinine|1.2|Discharge"]
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_outputs_are_read_once(spark):
+    raw = spark.createDataFrame([(1, "VITALS|Heart Rate|67|Admission")], "hadm_id long, raw string")
+    for df in (V.extract_facts(raw), V.json_mode_facts(raw)):
+        plan = plan_of(df)
+        assert "Exchange" not in plan and plan.count("ExistingRDD") == 1
+
+
+def test_told_facts_keep_the_last_value(spark):
+    text = "Keyword: lost\nCluster: labs\nValue: 1\nKeyword: Na\nValue: 2\nvalue: 3\nTimestamp: Past\nKeyword: none\nCluster: vitals\nKeyword: HR\nTimestamp: ADM\nValue: 5"
+    rows = V.narrative_facts(spark.createDataFrame([(1, text)], "hadm_id long, text string")).orderBy("n").collect()
+    assert [r.line for r in rows] == ["LABS|Na|3|Past", "VITALS|HR|5|ADM"]
