@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.columns import NUMBER, any_of, first_number, lookup, once, strip, words
+from ..functions.columns import NUMBER, any_of, first_number, let, lookup, once, strip, words
 from .sanitize import key_norm
 
 # Keys of laboratory values in summaries, by normalized name.
@@ -42,12 +42,14 @@ def value_of(x: Column) -> Column:
 
 
 def binary_text(v: Column) -> Column:
-    low = F.lower(strip(v))
-    return F.when(low.isin(C.TEXT_PLACEHOLDERS), UNSAID).when(low.isin(C.BINARY_TRUE), "yes").when(low.isin(C.BINARY_FALSE), "no").otherwise(strip(v))
+    return let(F.lower(strip(v)), lambda low: F.when(low.isin(C.TEXT_PLACEHOLDERS), UNSAID).when(low.isin(C.BINARY_TRUE), "yes").when(low.isin(C.BINARY_FALSE), "no").otherwise(strip(v)))
 
 
 def mental_status(v: Column) -> Column:
-    low = F.lower(strip(v))
+    return let(F.lower(strip(v)), _mental_status)
+
+
+def _mental_status(low: Column) -> Column:
     return (
         F.when(low.isin("", "...", "…"), UNSAID).when(any_of(low, ["clear", "coherent"]), "alert").when(any_of(low, ["intact", "oriented"]), "oriented").when(low.contains("letharg"), "lethargic").when(low.contains("confus"), "confused")
         .when(low == "alert", "alert").otherwise(UNSAID)
@@ -56,7 +58,10 @@ def mental_status(v: Column) -> Column:
 
 def demographics(c: Column) -> Column:
     """Two lines, sex and age, either of which may be 'not stated'."""
-    t = strip(F.coalesce(c, F.lit("")))
+    return let(strip(F.coalesce(c, F.lit(""))), _demographics)
+
+
+def _demographics(t: Column) -> Column:
     up = F.upper(t)
     fixed = F.replace(F.replace(t, F.lit("Sex=F"), F.lit("Sex=female")), F.lit("Sex=M"), F.lit("Sex=male"))
     found = text_lines(fixed)
@@ -81,12 +86,12 @@ def _measured(c: Column, keys: list[str], name, pick) -> Column:
         rest = F.regexp_replace(x, r"(?i)^(adm|dc)\s*:", "")
         found = F.filter(F.transform(F.split(rest, ";"), lambda p: strip(p)), lambda p: p.contains("=") & (F.lower(value_of(p)) != UNSAID))
         found = F.transform(found, lambda p: F.struct(name(key_of(p)).alias("k"), pick(key_of(p), value_of(p)).alias("v")))
-        last = F.transform(F.array(*[F.lit(k) for k in keys]), lambda k: F.try_element_at(F.filter(found, lambda q: (q["k"] == k) & q["v"].isNotNull()), F.lit(-1)))
+        last = let(found, lambda f: F.transform(F.array(*[F.lit(k) for k in keys]), lambda k: F.try_element_at(F.filter(f, lambda q: (q["k"] == k) & q["v"].isNotNull()), F.lit(-1))))
         kept = F.transform(F.filter(last, lambda q: q.isNotNull()), lambda q: F.concat(q["k"], F.lit("="), q["v"]))
-        return F.when(F.size(kept) > 0, F.concat(F.when(prefix != "", F.concat(prefix, F.lit(": "))).otherwise(""), F.array_join(kept, "; ")))
+        return let(kept, lambda x: F.when(F.size(x) > 0, F.concat(F.when(prefix != "", F.concat(prefix, F.lit(": "))).otherwise(""), F.array_join(x, "; "))))
 
     made = F.filter(F.transform(text_lines(undecorated(c)), one), lambda x: x.isNotNull())
-    return F.when(F.size(made) > 0, F.array_join(made, "\n")).otherwise(UNSAID)
+    return let(made, lambda x: F.when(F.size(x) > 0, F.array_join(x, "\n")).otherwise(UNSAID))
 
 
 def vitals(c: Column) -> Column:
@@ -110,9 +115,8 @@ def disposition(c: Column) -> Column:
         bare = F.when(words(F.lower(v), DISPOSITIONS).isNotNull(), pair(F.lit("d"), words(F.lower(v), DISPOSITIONS))).when(mental_status(v) != UNSAID, pair(F.lit("m"), mental_status(v)))
         return F.when(v.contains("="), keyed).otherwise(bare)
 
-    found = F.transform(x, typed)
-    first = lambda k: F.coalesce(F.get(F.filter(found, lambda q: (q["k"] == k) & ~F.lower(q["v"]).isin("", UNSAID)), F.lit(0))["v"], F.lit(UNSAID))
-    full = F.concat_ws("\n", F.concat(F.lit("Discharge Disposition="), first("d")), F.concat(F.lit("Mental Status="), first("m")), F.concat(F.lit("Support Needs="), first("s")))
+    stated = lambda found, k: F.coalesce(F.get(F.filter(found, lambda q: (q["k"] == k) & ~F.lower(q["v"]).isin("", UNSAID)), F.lit(0))["v"], F.lit(UNSAID))
+    full = let(F.transform(x, typed), lambda f: F.concat_ws("\n", F.concat(F.lit("Discharge Disposition="), stated(f, "d")), F.concat(F.lit("Mental Status="), stated(f, "m")), F.concat(F.lit("Support Needs="), stated(f, "s"))))
     return F.when(strip(F.coalesce(c, F.lit(""))) == "", UNSAID).otherwise(full)
 
 
@@ -122,9 +126,9 @@ def _last(found: Column, k: str) -> Column:
 
 def medications(c: Column) -> Column:
     """All seven keys; counts as numbers, flags as yes or no, the last of equal keys."""
-    found = text_lines(c)
-    made = [F.concat(F.lit(f"{k}="), F.coalesce(first_number(_last(found, k)) if k.endswith("Count") else binary_text(_last(found, k)), F.lit(UNSAID))) for k in C.STRICT_KEYWORDS["MEDICATIONS"]]
-    return F.when(strip(F.coalesce(c, F.lit(""))) == "", UNSAID).otherwise(F.concat_ws("\n", *made))
+    told = lambda found, k: first_number(_last(found, k)) if k.endswith("Count") else binary_text(_last(found, k))
+    made = let(text_lines(c), lambda found: F.concat_ws("\n", *[F.concat(F.lit(f"{k}="), F.coalesce(told(found, k), F.lit(UNSAID))) for k in C.STRICT_KEYWORDS["MEDICATIONS"]]))
+    return F.when(strip(F.coalesce(c, F.lit(""))) == "", UNSAID).otherwise(made)
 
 
 def procedures(c: Column, note: Column | None = None, negatives_unsaid: bool = False, need_evidence: bool = True) -> Column:
@@ -132,37 +136,52 @@ def procedures(c: Column, note: Column | None = None, negatives_unsaid: bool = F
 
     Negatives alone, with no procedure mentioned in the note, are defaults of a model and become 'not stated'.
     """
-    found = text_lines(c)
-    typed = F.exists(found, lambda x: x.contains("=") & key_of(x).isin(PROCEDURES))
-    a, s, d, v = (_last(found, k) for k in PROCEDURES)
-    dl, vl = F.lower(d), F.lower(v)
-    d1 = F.when(d.isNull(), "no").when(dl.isin(C.BINARY_FALSE), "no").when(dl.isin(C.BINARY_TRUE), "done").when(dl.isin("started", "done", "decided", "cancelled"), dl).when(dl.isin(C.TEXT_PLACEHOLDERS), UNSAID).otherwise("done")
-    v1 = F.when(v.isNull(), "no").when(vl.isin(C.TEXT_PLACEHOLDERS), UNSAID).when(vl.isin(C.BINARY_FALSE), "no").when(vl.isin(C.BINARY_TRUE), "1").otherwise(F.coalesce(first_number(v), binary_text(v)))
-    explicit = [F.coalesce(binary_text(a), F.lit("no")), F.coalesce(binary_text(s), F.lit("no")), d1, v1]
+    names = "asdv"
+    four = lambda xs: F.struct(*[x.alias(n) for n, x in zip(names, xs, strict=True)])
+    of = lambda q: [q[n] for n in names]
+
+    def explicit(q: Column) -> Column:
+        a, s, d, v = of(q)
+        dl, vl = F.lower(d), F.lower(v)
+        d1 = F.when(d.isNull(), "no").when(dl.isin(C.BINARY_FALSE), "no").when(dl.isin(C.BINARY_TRUE), "done").when(dl.isin("started", "done", "decided", "cancelled"), dl).when(dl.isin(C.TEXT_PLACEHOLDERS), UNSAID).otherwise("done")
+        v1 = F.when(v.isNull(), "no").when(vl.isin(C.TEXT_PLACEHOLDERS), UNSAID).when(vl.isin(C.BINARY_FALSE), "no").when(vl.isin(C.BINARY_TRUE), "1").otherwise(F.coalesce(first_number(v), binary_text(v)))
+        return four([F.coalesce(binary_text(a), F.lit("no")), F.coalesce(binary_text(s), F.lit("no")), d1, v1])
 
     def told(x: Column) -> Column:
         val = F.when(x.contains("="), value_of(x)).otherwise(x)
         b = F.lower(binary_text(val))
-        present = (b == "yes") | ~(b.isin("yes", "no", UNSAID) | F.lower(val).isin([*C.TEXT_PLACEHOLDERS, "no"]))
-        return F.struct(F.replace(x, F.lit("="), F.lit(" ")).alias("t"), val.alias("v"), b.alias("b"), present.alias("p"))
+        present = lambda y: (y["b"] == "yes") | ~(y["b"].isin("yes", "no", UNSAID) | F.lower(y["v"]).isin([*C.TEXT_PLACEHOLDERS, "no"]))
+        return let(F.struct(F.replace(x, F.lit("="), F.lit(" ")).alias("t"), val.alias("v"), b.alias("b")), lambda y: F.struct(y["t"].alias("t"), y["v"].alias("v"), y["b"].alias("b"), present(y).alias("p")))
 
-    seen = F.transform(found, told)
     has = lambda q, p: q["t"].rlike(f"(?i)({p})")
-    state = lambda p: F.try_element_at(F.filter(seen, lambda q: has(q, p) & (q["b"] != UNSAID)), F.lit(-1))
-    dia, ven = state(DIALYSIS), state(VENTILATION)
-    free = [
-        F.when(F.exists(seen, lambda q: q["p"] & ~q["t"].rlike(f"(?i){HISTORICAL}")), "yes").otherwise("no"), F.when(F.exists(seen, lambda q: q["p"] & has(q, SURGERY)), "yes").otherwise("no"),
-        F.when(dia["b"] == "no", "no").when(dia.isNotNull(), "done").otherwise("no"), F.when(ven["b"] == "no", "no").when(ven.isNotNull(), F.coalesce(first_number(ven["v"]), F.lit("1"))).otherwise("no"),
-    ]
-    a, s, d, v = (F.when(typed, e).otherwise(f) for e, f in zip(explicit, free, strict=True))
-    if negatives_unsaid:
+
+    def free(seen: Column) -> Column:
+        state = lambda p: F.try_element_at(F.filter(seen, lambda q: has(q, p) & (q["b"] != UNSAID)), F.lit(-1))
+        a = F.when(F.exists(seen, lambda q: q["p"] & ~q["t"].rlike(f"(?i){HISTORICAL}")), "yes").otherwise("no")
+        s = F.when(F.exists(seen, lambda q: q["p"] & has(q, SURGERY)), "yes").otherwise("no")
+        d = let(state(DIALYSIS), lambda x: F.when(x["b"] == "no", "no").when(x.isNotNull(), "done").otherwise("no"))
+        v = let(state(VENTILATION), lambda x: F.when(x["b"] == "no", "no").when(x.isNotNull(), F.coalesce(first_number(x["v"]), F.lit("1"))).otherwise("no"))
+        return four([a, s, d, v])
+
+    def unsaid(q: Column) -> Column:
+        a, s, d, v = of(q)
         s, d, v = (F.when(x == "no", UNSAID).otherwise(x) for x in (s, d, v))
-        a = F.when((a == "no") & (s == UNSAID) & (d == UNSAID) & (v == UNSAID), UNSAID).otherwise(a)
-    if need_evidence:
+        return four([F.when((a == "no") & (s == UNSAID) & (d == UNSAID) & (v == UNSAID), UNSAID).otherwise(a), s, d, v])
+
+    def founded(q: Column) -> Column:
+        a, s, d, v = of(q)
         positive = (s == "yes") | (a == "yes") | d.isin("started", "done", "decided", "cancelled") | ~v.isin("", "no", UNSAID, "0", "0.0", "false")
         mention = F.coalesce(note, F.lit("")).rlike(f"(?i)({MENTION})") if note is not None else F.lit(False)
-        a, s, d, v = (F.when(positive | mention, x).otherwise(UNSAID) for x in (a, s, d, v))
-    out = F.concat_ws("\n", *[F.concat(F.lit(f"{k}="), x) for k, x in zip(PROCEDURES, (a, s, d, v), strict=True)])
+        return F.when(positive | mention, q).otherwise(four([F.lit(UNSAID)] * 4))
+
+    def state(found: Column) -> Column:
+        typed = F.exists(found, lambda x: x.contains("=") & key_of(x).isin(PROCEDURES))
+        return F.when(typed, let(four([_last(found, k) for k in PROCEDURES]), explicit)).otherwise(let(F.transform(found, told), free))
+
+    made = let(text_lines(c), state)
+    made = let(made, unsaid) if negatives_unsaid else made
+    made = let(made, founded) if need_evidence else made
+    out = let(made, lambda q: F.concat_ws("\n", *[F.concat(F.lit(f"{k}="), x) for k, x in zip(PROCEDURES, of(q), strict=True)]))
     return F.when(strip(F.coalesce(c, F.lit(""))) == "", "\n".join(f"{k}={UNSAID}" for k in PROCEDURES)).otherwise(out)
 
 

@@ -92,3 +92,10 @@ def test_keyword_windows_on_notes_that_need_no_cut(spark):
     long = "x" * 3000 + " HGB 9 " + "y" * 3000
     found = T.trim_keyword_windows(spark.createDataFrame([(1, long)], "hadm_id long, text string"), 4000, True).first().trimmed
     assert found == long[:900] + "\n\n" + long[2101:3904]
+
+
+def test_sections_are_evaluated_once(spark):
+    x = spark.range(1).select(*[F.lit("Surgery=yes").alias(n) for n in [*G.SECTIONS, "note"]])
+    made = x.select(G.procedures(F.col("procedures"), F.col("note")).alias("p"))
+    assert len(made._jdf.queryExecution().analyzed().expressions().toString()) < 20000
+    assert made.first().p == "Any Procedure=no\nSurgery=yes\nDialysis=no\nMechanical Ventilation=no"
