@@ -10,6 +10,8 @@ from . import queries as Q
 from . import sqltext as X
 
 query, read = Q.query, Q.read
+#: A library's file is one list, which one task reads whole.
+_CASES_IN_A_FILE = 5000
 
 
 @query("SELECT (conv_id * 1000 + turn)::VARCHAR AS hadm_id, text AS raw FROM conversations WHERE turn % 4 <> 0 AND trim(text) <> ''")
@@ -55,9 +57,11 @@ def truth_read(s, d):
 def cases_read(s, d):
     """A library of cases in files of JSON lists, trimmed, without empty ones."""
     place = tables.new_place(s, "cases")
-    x = read(s, d, "conversations").select(F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("id"), F.concat(F.lit(" "), "role").alias("title"), F.concat(F.lit("turn "), "turn", F.lit(" ")).alias("description"), F.when(F.col("turn") % 5 == 0, " ").otherwise(F.trim("text")).alias("text"), "conv_id")
-    lists = x.groupBy("conv_id").agg(F.to_json(F.collect_list(F.struct("id", "title", "description", "text"))).alias("value"))
-    lists.select("value", (F.col("conv_id") % 8).alias("part"), "conv_id").repartition("conv_id").write.mode("overwrite").partitionBy("part", "conv_id").text(place)
+    x = read(s, d, "conversations").select(F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("id"), F.concat(F.lit(" "), "role").alias("title"), F.concat(F.lit("turn "), "turn", F.lit(" ")).alias("description"), F.when(F.col("turn") % 5 == 0, " ").otherwise(F.trim("text")).alias("text"))
+    files = 1 + x.count() // _CASES_IN_A_FILE
+    part = F.pmod(F.xxhash64("id"), F.lit(files)).alias("part")
+    lists = x.groupBy(part).agg(F.to_json(F.collect_list(F.struct("id", "title", "description", "text"))).alias("value"))
+    lists.write.mode("overwrite").partitionBy("part").text(place)
     return readers.cases(s, place)
 
 

@@ -100,8 +100,9 @@ def facts_text(spark: SparkSession, path: str, hadm_id: int = 0) -> DataFrame:
 
 def cases(spark: SparkSession, path: str) -> DataFrame:
     """The case library: id, title, description and text, trimmed, without empty ones."""
-    rows = spark.read.json(path, multiLine=True)
-    return rows.select(*[strip(F.col(c).cast("string")).alias(c) for c in ("id", "title", "description", "text")]).filter("id <> '' AND text <> ''")
+    names = ("id", "title", "description", "text")
+    rows = spark.read.schema(", ".join(f"{n} string" for n in names)).json(path, multiLine=True)
+    return rows.select(*[strip(F.col(c)).alias(c) for c in names]).filter("id <> '' AND text <> ''")
 
 
 def missing_ids(wanted: DataFrame, have: DataFrame) -> DataFrame:

@@ -119,3 +119,14 @@ def test_told_facts_keep_the_last_value(spark):
     text = "Keyword: lost\nCluster: labs\nValue: 1\nKeyword: Na\nValue: 2\nvalue: 3\nTimestamp: Past\nKeyword: none\nCluster: vitals\nKeyword: HR\nTimestamp: ADM\nValue: 5"
     rows = V.narrative_facts(spark.createDataFrame([(1, text)], "hadm_id long, text string")).orderBy("n").collect()
     assert [r.line for r in rows] == ["LABS|Na|3|Past", "VITALS|HR|5|ADM"]
+
+
+def test_cases_lie_in_few_files(spark, sf):
+    from factweave.plans import files
+
+    assert len(files.cases_read(spark, sf).inputFiles()) == 1
+
+
+def test_cases_keep_numbers_and_missing_fields(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"id": 7, "text": " x "}, {"id": " ", "text": "y"}]')
+    assert [tuple(r) for r in D.cases(spark, str(tmp_path)).collect()] == [("7", None, None, "x")]
