@@ -77,8 +77,10 @@ def split_items(value: Column, limit: int | None = None) -> Column:
 
 
 def expand_semantic(rows: DataFrame) -> DataFrame:
-    """Facts of semantic lines: one per item of aggregate lines, else the line with its canonical value."""
-    base = ["hadm_id", "pos", "cluster", "keyword", "value", "ts"]
+    """Facts of semantic lines: one per item of aggregate lines, else the line with its canonical value; other lines and columns stay."""
+    fixed = ["hadm_id", "pos", "cluster", "keyword", "value", "ts"]
+    own = [n for n in rows.columns if n not in fixed]
+    base = [*fixed, *own]
     rows = once(rows, base, _kw=F.rtrim(squeeze(strip(F.col("keyword"))), F.lit(" :;,.")), _sq=squeeze(F.lower(strip(F.col("value")))), _items=split_items(F.col("value")))
     c, kw, sq, t = F.col("cluster"), F.col("_kw"), F.col("_sq"), F.col("ts")
     problem = words(sq, C.PROBLEM_WORDS, F.when(F.lower(t).isin("discharge", "dc") & sq.contains("discharg"), "acute").when((F.lower(t) == "past") & any_of(sq, ["hist", "past"]), "chronic"))
@@ -90,13 +92,11 @@ def expand_semantic(rows: DataFrame) -> DataFrame:
     rows = once(rows, [*base, "_kw", "_items"], _single=F.when(known, F.when(c == "PROBLEMS", problem).when(c == "SYMPTOMS", symptom)), _listed=listed)
     single = F.col("_single")
     filled = F.when((c != "PROBLEMS") | (F.lower(t) != "unknown"), t).when(single == "acute", "Discharge").when(single == "chronic", "Past").otherwise("Admission")
-    out = ["hadm_id", "pos", "sub_pos", "cluster", "keyword", "value", "ts"]
-    whole = rows.filter(F.col("_listed").isNull()).withColumn("sub_pos", F.lit(0))
-    plain = whole.filter(~c.isin("PROBLEMS", "SYMPTOMS")).select(*out)
-    valued = whole.filter(c.isin("PROBLEMS", "SYMPTOMS") & single.isNotNull()).select("hadm_id", "pos", "sub_pos", "cluster", kw.alias("keyword"), single.alias("value"), filled.alias("ts"))
-    each = rows.filter(F.col("_listed").isNotNull()).select("hadm_id", "pos", "cluster", "_listed", F.posexplode("_items").alias("sub_pos", "keyword"))
-    each = each.select("hadm_id", "pos", "sub_pos", "cluster", "keyword", F.get("_listed", F.lit(0)).alias("value"), F.get("_listed", F.lit(1)).alias("ts"))
-    return plain.unionByName(valued).unionByName(each)
+    fact = lambda n, k, v, ts: F.struct(n.alias("sub_pos"), c.alias("cluster"), k.alias("keyword"), v.alias("value"), ts.alias("ts"))
+    items = F.transform("_items", lambda x, i: fact(i, x, F.get("_listed", F.lit(0)), F.get("_listed", F.lit(1))))
+    semantic = c.isin("PROBLEMS", "SYMPTOMS")
+    facts = F.when(F.col("_listed").isNotNull(), items).when(~semantic, F.array(fact(F.lit(0), F.col("keyword"), F.col("value"), t))).when(semantic & single.isNotNull(), F.array(fact(F.lit(0), kw, single, filled)))
+    return rows.select(*own, "hadm_id", "pos", F.inline(facts)).select("hadm_id", "pos", "sub_pos", "cluster", "keyword", "value", "ts", *own)
 
 
 def sanitize(lines: DataFrame, scope: str = "all", cfg: C.EngineConfig = C.EngineConfig()) -> DataFrame:
@@ -134,13 +134,14 @@ def sanitize(lines: DataFrame, scope: str = "all", cfg: C.EngineConfig = C.Engin
         rows = rows.withColumns({"sub_pos": F.lit(0), "_o": objective, "_as": F.when(~objective, F.struct("value", "ts"))})
         kept = one(rows, [*KEY, "_as"], [F.when(F.col("_o"), rank).otherwise(0), "pos"]).drop("_as")
         return (kept.withColumn("ts", F.when(F.col("_o"), canonical).otherwise(F.col("ts"))) if cfg.canonical_objective_ts else kept).drop("_o")
-    best = one(rows.filter(objective), KEY, [rank, "pos"])
-    if scope == "objective" or cfg.canonical_objective_ts:
-        best = best.withColumn("ts", canonical)
-    best = best.withColumn("sub_pos", F.lit(0))
     if scope == "objective":
-        return best
-    both = best.withColumn("_o", F.lit(0)).unionByName(expand_semantic(rows.filter(~objective)).withColumn("_o", F.lit(1)))
+        return one(rows.filter(objective), KEY, [rank, "pos"]).withColumns({"ts": canonical, "sub_pos": F.lit(0)})
+    # lines of both kinds go through together, so that they are made once and stay where their document is
+    rows = expand_semantic(rows.withColumn("_o", F.when(objective, 0).otherwise(1)))
+    first = F.row_number().over(Window.partitionBy(*KEY, "_o").orderBy(rank, "pos", "sub_pos"))
+    both = rows.withColumn("_n", first).filter("_o = 1 OR _n = 1").drop("_n")
+    if cfg.canonical_objective_ts:
+        both = both.withColumn("ts", F.when(F.col("_o") == 0, canonical).otherwise(F.col("ts")))
     return one(both, [*KEY, "value", "ts"], ["_o", "pos", "sub_pos"]).drop("_o")
 
 
@@ -183,8 +184,7 @@ def semantic_gate(facts: DataFrame) -> DataFrame:
     gated = c.isin("PROBLEMS", "SYMPTOMS")
     prefer = F.when(c == "PROBLEMS", (F.lower("value") == "chronic") | (F.col("ts") == "Past")).otherwise(F.col("ts") == "Admission")
     w = Window.partitionBy("hadm_id", "cluster", "_nk").orderBy(F.when(prefer, 0).otherwise(1), "pos", "sub_pos")
-    kept = rows.filter(gated).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
-    return rows.filter(~gated).unionByName(kept).drop("_nk")
+    return rows.withColumn("_n", F.row_number().over(w)).filter(~gated | (gated & (F.col("_n") == 1))).drop("_n", "_nk")
 
 
 def gate_utilization(facts: DataFrame, md: DataFrame) -> DataFrame:

@@ -133,3 +133,12 @@ def test_stream_resumes(spark, sf, tmp_path):
 def test_experimental_profile_recovers(spark):
     got = facts(S.sanitize(frame(spark, ["Heart Rate|67|Admission", "PROBLEMS|Discharge Dx|CHF; COPD, CHF|x"]), "all", C.EngineConfig.experimental()))
     assert got == ["VITALS|Heart Rate|67|Admission", "PROBLEMS|CHF|acute|Discharge", "PROBLEMS|COPD|acute|Discharge"]
+
+
+def test_lines_are_sanitized_once(spark):
+    from factweave import config as C
+
+    lines = frame(spark, ["PROBLEMS|Discharge Dx|CHF; COPD|Discharge", "LABS|Na|1|ADM", "LABS|Na|2|Discharge"]).select(F.lit(1).alias("hadm_id"), F.lit(1).alias("pos"), "line")
+    made = S.semantic_gate(S.sanitize(lines, "all", C.EngineConfig.experimental()))
+    assert made._jdf.queryExecution().executedPlan().toString().count("ExistingRDD") == 1
+    assert sorted((r.keyword, r.value) for r in made.collect()) == [("CHF", "acute"), ("COPD", "acute"), ("Na", "2")]
