@@ -419,8 +419,8 @@ def survival(s, d):
 _TRUTH_SQL = f"SELECT hadm_id, pos, concat_ws('|', cluster, CASE WHEN pos % 7 = 1 THEN upper(keyword) ELSE keyword END, CASE WHEN pos % 7 = 2 AND cluster IN ('VITALS', 'LABS') THEN concat(value, '0') WHEN pos % 7 = 3 THEN upper(value) ELSE value END, CASE WHEN pos % 7 = 4 THEN 'Past' ELSE ts END) AS line FROM (SELECT {COLS} FROM best WHERE pos % 7 <> 5) b"
 
 
-def _sides(s, d):
-    best = N.normalize(lines(s, d))
+def _sides(s, d, best=None):
+    best = N.normalize(lines(s, d)) if best is None else best
     pred = N.render(best)
     k, v, t, m = F.col("keyword"), F.col("value"), F.col("ts"), F.col("pos") % 7
     truth = best.filter("pos % 7 <> 5").select("hadm_id", "pos", line(F.col("cluster"), F.when(m == 1, F.upper(k)).otherwise(k), F.when((m == 2) & F.col("cluster").isin("VITALS", "LABS"), F.concat(v, F.lit("0"))).when(m == 3, F.upper(v)).otherwise(v), F.when(m == 4, "Past").otherwise(t)).alias("line"))

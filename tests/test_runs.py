@@ -444,3 +444,10 @@ def test_narrative_facts_carry_their_cluster(spark):
     text = "**CLUSTER:** DEMOGRAPHICS\n**Keyword:** Sex\n**Value:** male\n**Timestamp:** Admission\nkeyword: Age\nprose in between\nValue: **75**\nCluster: labs\nValue: 9\nKeyword: Na\nValue: 1\nValue: 2\nkeyword: K"
     rows = spark.createDataFrame([(1, text), (2, "Keyword: lost\nValue: 1")], "hadm_id long, text string")
     assert [(r.hadm_id, r.line) for r in V.narrative_facts(rows).orderBy("n").collect()] == [(1, "DEMOGRAPHICS|Sex|male|Admission"), (1, "DEMOGRAPHICS|Age|75|Unknown"), (1, "LABS|Na|2|Unknown")]
+
+
+def test_summaries_read_a_table_of_facts(spark, sf):
+    from factweave.plans import runs
+
+    made = runs.stage2_summary(spark, sf)
+    assert "lineitem" not in made._jdf.queryExecution().executedPlan().toString() and made.count() > 0
