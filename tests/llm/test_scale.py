@@ -1,12 +1,14 @@
 """Repeated rows, loose templates and large images: work that must not grow beyond its input."""
 
+import re
 import time
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from factweave.llm import common, language, links, media, substrings
+from factweave.llm import common, kernels, language, line_dedup, links, media, substrings
 
 
 def template_sets(n, seed=3, shared=38, own=22):
@@ -173,3 +175,62 @@ def test_hot_buckets_are_merged_without_a_change(spark, monkeypatch):
     merged = substrings._merged
     monkeypatch.setattr(substrings, "_merged", lambda blobs: (seen.append(1), merged(blobs))[1])
     assert shown() == plain and seen
+
+
+def compared(line):
+    return " ".join(re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), line)))
+
+
+def test_line_shingles_tell_the_same_lines_apart_as_strings():
+    """Lines of narrow and wide code points, odd white space and lowest bytes that look like it, cut at any place."""
+    rng = np.random.default_rng(5)
+    signs = [*"ab AÀé\t\r\n\n  \x00\x05", "’", "中", "😀", "Ġ", "ĉ", "Ċ", "Ł"]
+    texts = [" ".join("".join(signs[k] for k in rng.integers(0, 12 if t % 2 else len(signs), 9)) for _ in range(t % 4)) for t in range(900)]
+    data, offs = common.utf8(pa.array(texts))
+    shingles, prints = {}, {}
+    for i, j in common.spans(offs, 150):
+        lines, length, values, after, marks = line_dedup.line_shingles(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+        own = [x.split("\n") for x in texts[i:j]]
+        assert lines.tolist() == [len(x) for x in own]
+        forms = [compared(x) for y in own for x in y]
+        assert length.tolist() == [len(x) for x in forms]
+        for k, x in enumerate(forms):
+            cut = [x[a : a + 8] for a in range(max(len(x) - 7, 1))] if x else []
+            found = values[after[k] : after[k + 1]].tolist()
+            assert len(found) == len(cut) and all(shingles.setdefault(a, b) == b for a, b in zip(cut, found, strict=True))
+            assert prints.setdefault(x, marks[k].tolist()) == marks[k].tolist()
+    assert len(shingles) == len(set(shingles.values())) > 1000
+    assert len(prints) == len({a for a, _ in prints.values()}) == len({b for _, b in prints.values()}) > 400
+
+
+def test_line_shingles_take_little_more_than_their_minima():
+    """The check of op10 was over its CPU budget; most of the first pass went into shingles, three times the minima's time."""
+    words = ["café", "the", "Dedup", "line", "of", "something", "else", "naïve"]
+    rng = np.random.default_rng(1)
+    text = "\n".join(" ".join(words[k] for k in rng.integers(0, 8, 60)) for _ in range(320))
+    data, offs = common.utf8(pa.array([text]))
+
+    def seconds(f):
+        spent = []
+        for _ in range(15):
+            start = time.process_time()
+            f()
+            spent.append(time.process_time() - start)
+        return min(spent)
+
+    values, after = line_dedup.line_shingles(data, offs)[2:4]
+    assert seconds(lambda: line_dedup.line_shingles(data, offs)) < 2.3 * seconds(lambda: kernels.minima(values, after, 30, 9))
+
+
+def test_few_sets_are_linked_as_by_brute_force():
+    rng = np.random.default_rng(3)
+    for n in (2, 3, 9, 48):
+        base = rng.integers(0, 1 << 63, 60).astype(np.uint64)
+        sets = [np.unique(np.concatenate([rng.choice(base, int(rng.integers(0, 60)), replace=False), rng.integers(0, 1 << 63, int(rng.integers(0, 6))).astype(np.uint64)])) for _ in range(n // 2)]
+        sets += [np.unique(np.delete(base, rng.integers(0, 60, int(rng.integers(0, 9))))) for _ in range(n - n // 2)]
+        label = rng.integers(0, n, n)
+        want = [(i, j) for i in range(n) for j in range(i) if 10 * len(np.intersect1d(sets[i], sets[j])) >= 8 * len(np.union1d(sets[i], sets[j])) > 0]
+        got = links.link_sets(np.concatenate(sets), np.cumsum([0, *map(len, sets)]), 8, 10, label)
+        same = [(i, int(np.flatnonzero(label == label[i])[0])) for i in range(n)]
+        assert components(n, same + got) == components(n, same + want)
+        assert len(got) == len(set(components(n, same))) - len(set(components(n, same + want)))
